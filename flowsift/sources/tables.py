@@ -88,7 +88,7 @@ def attach_runs(rows: DataFrame, manifest: DataFrame, path_column: str = "_path"
 
 def inventory(spark: SparkSession, directory: str, glob: str) -> DataFrame:
     """Stems of the files in a directory; only listings are read, never contents."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(directory)
+    files = spark.read.format("binaryFile").load(f"{directory}/{glob}")
     return files.select(file_stem("path").alias("stem"), F.col("length"))
 
 

@@ -27,41 +27,42 @@ def decode(messages: DataFrame) -> DataFrame:
     Error classes: unicode_decode, json_decode, schema_mismatch.
     """
     raw = F.col("value").cast("binary")
-    readable = F.is_valid_utf8(raw.cast("string"))
-    body = F.when(readable, raw.cast("string"))
-    # a text map tells which fields the message has, whatever their types
-    fields = F.from_json(body, "map<string,string>")
-    parsed = F.from_json(body, FLOW_SCHEMA)
-    staged = messages.select("*", readable.alias("_readable"), fields.alias("_fields"), parsed.alias("_parsed"))
+    body = F.when(F.is_valid_utf8(raw.cast("string")), raw.cast("string"))
+    # each message is parsed once for its field names and once for its values; the lambda
+    # binds both, so the many uses below do not repeat the parsing
+    parsed = F.array(F.struct(
+        body.alias("body"),
+        F.from_json(body, "map<string,string>").alias("fields"),
+        F.from_json(body, FLOW_SCHEMA).alias("row"),
+    ))
+    judged = F.transform(parsed, _judge)[0]
+    return messages.select("*", judged.alias("_d")).select(
+        *messages.columns, F.col("_d.error_class").alias("error_class"), F.col("_d.row").alias("row")
+    )
 
-    def present(name: str) -> Column:
-        return F.coalesce(F.map_contains_key("_fields", F.lit(name)), F.lit(False))
 
-    def badly_typed(name: str) -> Column:
-        return F.try_element_at("_fields", F.lit(name)).isNotNull() & F.col("_parsed")[name].isNull()
+def _judge(message: Column) -> Column:
+    fields, parsed = message["fields"], message["row"]
 
-    # a message that lacks required fields or holds a value of another type does not fit
-    lacks = ~F.forall(F.array(*[present(c) for c in REQUIRED]), lambda ok: ok)
-    mistyped = F.exists(F.array(*[badly_typed(c) for c in FLOW_COLUMNS]), lambda bad: bad)
-    error = (
-        F.when(~F.coalesce(F.col("_readable"), F.lit(False)), "unicode_decode")
-        .when(F.col("_fields").isNull(), "json_decode")
-        .when(lacks | mistyped, "schema_mismatch")
-    )
+    def present(name: str) -> Column:
+        return F.map_contains_key(fields, F.lit(name))
 
     def value(name: str) -> Column:
-        got = F.col("_parsed")[name]
         default = WIRE_DEFAULTS.get(name)
         if default is None:
-            return got
-        return F.when(present(name), got).otherwise(F.lit(default).cast(FLOW_TYPES[name]))
+            return parsed[name]
+        return F.when(present(name), parsed[name]).otherwise(F.lit(default).cast(FLOW_TYPES[name]))
 
-    row = F.struct(*[value(c).alias(c) for c in FLOW_COLUMNS])
-    return staged.select(
-        *[F.col(c) for c in messages.columns],
-        error.alias("error_class"),
-        F.when(error.isNull(), row).alias("row"),
+    # a message that lacks required fields or holds a value of another type does not fit
+    lacking = [~present(c) for c in REQUIRED]
+    mistyped = [F.try_element_at(fields, F.lit(c)).isNotNull() & parsed[c].isNull() for c in FLOW_COLUMNS]
+    error = (
+        F.when(message["body"].isNull(), "unicode_decode")
+        .when(fields.isNull(), "json_decode")
+        .when(F.array_contains(F.array(*lacking, *mistyped), True), "schema_mismatch")
     )
+    row = F.struct(*[value(c).alias(c) for c in FLOW_COLUMNS])
+    return F.struct(error.alias("error_class"), F.when(error.isNull(), row).alias("row"))
 
 
 def good_rows(decoded: DataFrame) -> DataFrame:
