@@ -55,6 +55,8 @@ def score(rows: DataFrame, models: Models, top_k: int = 5, policy: str = "servic
         "_moved", attribution_column(models.paths, FEATURE_COLUMNS, "class_index")
     )
     values = F.array(*[F.col(c) for c in FEATURE_COLUMNS])
+    # named before the flow fields unfold, since some model columns share their names
+    explained = explained.withColumn("_why", evidence_texts(top_contributions(values, F.col("_moved"), top_k)))
     level = severity("_verdict.confidence")
     if anomaly_info:
         level = F.when(F.col("_verdict.threat_class") == "unknown_anomaly", "info").otherwise(level)
@@ -64,5 +66,5 @@ def score(rows: DataFrame, models: Models, top_k: int = 5, policy: str = "servic
         F.round("_verdict.confidence", 4).alias("confidence"),
         F.round("_anomaly", 4).alias("anomaly_score"),
         level.alias("severity"),
-        evidence_texts(top_contributions(values, F.col("_moved"), top_k)).alias("evidence"),
+        F.col("_why").alias("evidence"),
     )

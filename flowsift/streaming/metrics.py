@@ -36,7 +36,7 @@ def queue_depth(produced: DataFrame, committed: DataFrame, key: str = "partition
     """Newest minus committed offset per partition; -1 where nothing was committed."""
     newest = produced.groupBy(key).agg(F.max(offset).alias("_newest"))
     done = committed.groupBy(key).agg(F.max(offset).alias("_done"))
-    depth = F.greatest(F.col("_newest") - F.col("_done"), F.lit(0))
+    depth = F.when(F.col("_done").isNotNull(), F.greatest(F.col("_newest") - F.col("_done"), F.lit(0)))
     return newest.join(done, key, "left").select(key, F.coalesce(depth, F.lit(-1)).cast("bigint").alias("queue_depth"))
 
 
