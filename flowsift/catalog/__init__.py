@@ -1,0 +1,6 @@
+"""Named queries over the driver tables with their SQL twins."""
+
+from flowsift.catalog import features  # noqa: F401
+from flowsift.catalog.base import ORACLE, QUERIES
+
+__all__ = ["ORACLE", "QUERIES"]

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from flowsift.functions.bind import bind
 from flowsift.schema import BOOL_COLUMNS, FEATURE_COLUMNS
 
 # fixed values: the readable name of each model feature
@@ -48,33 +49,59 @@ FEATURE_LABELS = {
 }
 
 
-def _three_decimals(value: Column) -> Column:
-    """Scientific text with three decimals, exact halves rounded to the even digit.
+# d.ddd5 and nothing but zeros: the shortest text of the number is half way
+_HALF_WAY = r"^(-?)(\d)\.(\d{3})50*e(.*)$"
 
-    The formatter rounds halves up. A half is exact only where the number is a whole count of
-    2**-20, as for integers; then an even third decimal stays.
+
+def _below_half(value: Column, half: Column, exponent: Column) -> Column:
+    """Whether |value| rounds down at five digits: below the half, or on it with an even digit.
+
+    The half is half * 10 ** (exponent - 4). The value is m * 2 ** -shift, so both sides are
+    compared as whole numbers.
     """
-    digits = F.format_string("%.14e", value)
-    shape = r"^(-?\d\.\d{2}[02468])50*e(.*)$"
-    binary = value * F.lit(float(1 << 20))
-    even_half = digits.rlike(shape) & (binary == F.floor(binary))
-    kept = F.concat(F.regexp_extract(digits, shape, 1), F.lit("e"), F.regexp_extract(digits, shape, 2))
-    return F.when(even_half, kept).otherwise(F.format_string("%.3e", value))
+    whole = "decimal(38,0)"
+    size = F.abs(value)
+    shift = (F.lit(53) - F.floor(F.log2(size))).cast("int")
+    one = F.lit(1).cast("bigint")
+    low = F.call_function("shiftleft", one, F.least(shift, F.lit(46))).cast("decimal(15,0)")
+    high = F.call_function("shiftleft", one, F.greatest(shift - 46, F.lit(0))).cast("decimal(17,0)")
+    mantissa = (size * F.pow(F.lit(2.0), shift)).cast("bigint").cast("decimal(19,0)")
+    ten = F.pow(F.lit(10.0), F.lit(4) - exponent).cast("bigint").cast("decimal(18,0)")
+    order = (mantissa * ten).cast(whole) - ((half.cast("decimal(5,0)") * low).cast("decimal(20,0)") * high).cast(whole)
+    even = F.substring(half, 4, 1).isin("0", "2", "4", "6", "8")
+    # from five whole digits on the half is exact; under 1e-12 the shortest text decides
+    return (
+        F.when(exponent >= 4, even).when(exponent < -12, F.lit(False))
+        .otherwise(bind(order, lambda o: (o < 0) | ((o == 0) & even)))
+    )
 
 
-def g4(value: Column) -> Column:
-    """Four significant digits without trailing zeros, exponent form outside 1e-4 .. 1e4."""
-    scientific = _three_decimals(value.cast("double"))
-    parts = F.split(scientific, "e")
-    mantissa, exponent = parts[0], parts[1].try_cast("int")
-    trimmed = F.regexp_replace(mantissa, r"\.?0+$", "")
+def _three_decimals(value: Column, digits: Column) -> Column:
+    """Scientific text with three decimals, rounded by the binary value, exact halves to even.
+
+    The formatter rounds the shortest text half up, so only half-way texts need a closer look.
+    """
+    group = lambda i: F.regexp_extract(digits, _HALF_WAY, i)
+    kept = F.concat(group(1), group(2), F.lit("."), group(3), F.lit("e"), group(4))
+    half = F.concat(group(2), group(3), F.lit("5"))
+    down = F.when(digits.rlike(_HALF_WAY), _below_half(value, half, group(4).try_cast("int"))).otherwise(F.lit(False))
+    return F.when(down, kept).otherwise(F.format_string("%.3e", value))
+
+
+def _shortest(scientific: Column) -> Column:
+    mantissa, exponent = F.split(scientific, "e")[0], F.split(scientific, "e")[1].try_cast("int")
     fixed = F.regexp_replace(scientific.try_cast("decimal(12,7)").cast("string"), r"\.?0+$", "")
     signed = F.format_string("%s%02d", F.when(exponent < 0, "-").otherwise("+"), F.abs(exponent))
-    return (
-        F.when(value == 0, F.lit("0"))
-        .when((exponent >= -4) & (exponent < 4), fixed)
-        .otherwise(F.concat(trimmed, F.lit("e"), signed))
-    )
+    far = F.concat(F.regexp_replace(mantissa, r"\.?0+$", ""), F.lit("e"), signed)
+    return F.when((exponent >= -4) & (exponent < 4), fixed).otherwise(far)
+
+
+def g4(value: Column) -> Column:
+    """Four significant digits without trailing zeros, exponent form outside 1e-4 .. 1e4."""
+    number = value.cast("double")
+    shown = F.struct(number.alias("v"), F.format_string("%.17e", number).alias("digits"))
+    text = bind(bind(shown, lambda s: _three_decimals(s["v"], s["digits"])), _shortest)
+    return F.when(number == 0, F.lit("0")).otherwise(text)
 
 
 def _lookup(names: list[str], values: list[str]) -> Column:

@@ -24,15 +24,23 @@ def _is_finite(number: Column) -> Column:
     return number.isNotNull() & ~F.isnan(number) & (F.abs(number) != F.lit(float("inf")))
 
 
+# white space that trimming removes
+BLANKS = " \t\n\r\x0b\x0c"
+
+
+def _strip(value) -> Column:
+    return F.btrim(_col(value).cast("string"), F.lit(BLANKS))
+
+
 def text(value) -> Column:
     """Trimmed text; null, blank and '-' become ''."""
-    trimmed = F.trim(_col(value).cast("string"))
+    trimmed = _strip(value)
     return F.coalesce(F.when(trimmed != "-", trimmed), F.lit(""))
 
 
 def number(value) -> Column:
     """Finite double or null."""
-    parsed = F.trim(_col(value).cast("string")).try_cast("double")
+    parsed = _strip(value).try_cast("double")
     return F.when(_is_finite(parsed), parsed)
 
 
@@ -42,7 +50,7 @@ def number_or(value, default: float = 0.0) -> Column:
 
 def count_value(value) -> Column:
     """Non-negative whole number, '-' is zero, anything else null."""
-    raw = F.trim(_col(value).cast("string"))
+    raw = _strip(value)
     exact = raw.try_cast("bigint")
     parsed = number(raw)
     whole = F.when(parsed == F.floor(parsed), parsed.try_cast("bigint"))
@@ -100,14 +108,14 @@ def clean_ip(value) -> Column:
     A valid IPv4 text is its own canonical form, so only IPv6 needs parsing.
     """
     raw = _col(value).cast("string")
-    blank = raw.isNull() | F.trim(raw).isin("", "-")
+    blank = raw.isNull() | _strip(raw).isin("", "-")
     return F.when(blank, F.lit("")).when(raw.contains(":"), _canonical_ipv6(raw)).otherwise(raw)
 
 
 def clean_ipv4(value) -> Column:
     """clean_ip for inputs known to hold no IPv6 text: stays inside the JVM."""
     raw = _col(value).cast("string")
-    return F.when(raw.isNull() | F.trim(raw).isin("", "-"), F.lit("")).otherwise(raw)
+    return F.when(raw.isNull() | _strip(raw).isin("", "-"), F.lit("")).otherwise(raw)
 
 
 def truthy(value) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from flowsift.functions.bind import bind
 from flowsift.schema import FLOW_COLUMNS, FLOW_SCHEMA, FLOW_TYPES, RESULT_COLUMNS, WIRE_DEFAULTS
 
 REQUIRED = [c for c in FLOW_COLUMNS if c not in WIRE_DEFAULTS]
@@ -28,14 +29,13 @@ def decode(messages: DataFrame) -> DataFrame:
     """
     raw = F.col("value").cast("binary")
     body = F.when(F.is_valid_utf8(raw.cast("string")), raw.cast("string"))
-    # each message is parsed once for its field names and once for its values; the lambda
-    # binds both, so the many uses below do not repeat the parsing
-    parsed = F.array(F.struct(
+    # each message is parsed once for its field names and once for its values
+    parsed = F.struct(
         body.alias("body"),
         F.from_json(body, "map<string,string>").alias("fields"),
         F.from_json(body, FLOW_SCHEMA).alias("row"),
-    ))
-    judged = F.transform(parsed, _judge)[0]
+    )
+    judged = bind(parsed, _judge)
     return messages.select("*", judged.alias("_d")).select(
         *messages.columns, F.col("_d.error_class").alias("error_class"), F.col("_d.row").alias("row")
     )
