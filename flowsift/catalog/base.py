@@ -41,9 +41,10 @@ def prop_k() -> Column:
     return F.get_json_object("props", "$.k").cast("int")
 
 
-def flows(spark: SparkSession, directory: str) -> DataFrame:
+def flows(spark: SparkSession, directory: str, events: DataFrame | None = None) -> DataFrame:
     """Events seen as flows: user to event type, port from the properties."""
-    return table(spark, directory, "events").select(
+    events = table(spark, directory, "events") if events is None else events
+    return events.select(
         F.col("event_id").cast("string").alias("uid"),
         (micros("ts") / F.lit(1e6)).alias("ts"),
         F.col("user_id").cast("string").alias("src_ip"),

@@ -334,10 +334,17 @@ def contract_violations(spark, d):
     count(*) AS n FROM e GROUP BY ALL""")
 def wire_messages(spark, d):
     """Encodes rows, damages some of the messages, decodes all of them."""
-    flat = flows(spark, d).select("*", F.lit("tcp").alias("protocol"), F.lit(1).alias("src_port"))
-    body = F.to_json(F.struct(F.col("uid").alias("flow_id"), *[c for c in flat.columns if c != "uid"], *[
-        F.lit(1).alias(c) for c in wire.REQUIRED if c not in ("flow_id", *flat.columns) and not c.startswith(("ja3", "is_"))
-    ], F.lit("").alias("ja3_hash"), F.lit("").alias("ja3s_hash"), F.lit(True).alias("is_tls")))
+    decoded = wire.decode(damaged_messages(flows(spark, d)))
+    return decoded.groupBy(F.coalesce("error_class", F.lit("good")).alias("outcome")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def damaged_messages(rows):
+    """(key, value) of flows as contract messages, three in five of them broken in some way."""
+    values = {
+        "flow_id": F.col("uid"), "protocol": F.lit("tcp"), "ja3_hash": F.lit(""), "ja3s_hash": F.lit(""), "is_tls": F.lit(True),
+        **{c: F.col(c) for c in ("ts", "src_ip", "dst_ip", "dst_port")},
+    }
+    body = F.to_json(F.struct(*[values.get(c, F.lit(1)).alias(c) for c in wire.REQUIRED]))
     kind = F.col("uid").cast("bigint") % 5
     damaged = (
         F.when(kind == 0, F.concat(F.unhex(F.lit("FF")), body.cast("binary")))
@@ -345,8 +352,7 @@ def wire_messages(spark, d):
         .when(kind == 2, F.regexp_replace(body, '"dst_ip":"[a-z]+",', "").cast("binary"))
         .otherwise(body.cast("binary"))
     )
-    decoded = wire.decode(flat.select(F.col("src_ip").cast("binary").alias("key"), damaged.alias("value")))
-    return decoded.groupBy(F.coalesce("error_class", F.lit("good")).alias("outcome")).agg(F.count(F.lit(1)).alias("n"))
+    return rows.select(F.col("src_ip").cast("binary").alias("key"), damaged.alias("value"))
 
 
 @query("top_contributions", """WITH e AS (SELECT vec_id, unnest(embedding)::DOUBLE AS c, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from flowsift.functions.scalar import number, text, truthy
+from flowsift.functions.scalar import number_of, text, truthy
 from flowsift.operators.joins import lookup_join
 from flowsift.operators.running import per_temperature, plan_slices, running
 from flowsift.schema import (
@@ -75,7 +75,9 @@ def model_rows(rows: DataFrame, encoders: DataFrame | None, keep: list[str] = ()
     def value(name: str) -> Column:
         if name in BOOL_COLUMNS:
             return _flag(coded, name).cast("double")
-        out = number(name) if name not in FILL_ZERO_COLUMNS else F.coalesce(number(name), F.lit(0.0))
+        out = number_of(coded, name)
+        if name in FILL_ZERO_COLUMNS:
+            out = F.coalesce(out, F.lit(0.0))
         return F.least(out, F.lit(PERIODICITY_CAP)) if cap and name == "periodicity_score" else out
 
     return coded.select(*keep, *[value(c).alias(c) for c in FEATURE_COLUMNS])

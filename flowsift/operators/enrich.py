@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowsift.functions.scalar import (
-    clean_ip, count_value, event_time, number, number_or, packet_sizes, required, safe_divide,
+    clean_ip, count_of, count_value, event_time, number, number_of, number_or, packet_sizes, required, safe_divide,
     text, tls_ordinal, truthy, truthy_number,
 )
 from flowsift.schema import (
@@ -192,10 +192,10 @@ def to_contract(rows: DataFrame, mode: str = "strict") -> DataFrame:
         elif kind == "boolean":
             out = F.coalesce(value, F.lit(False)) if is_bool else truthy(value)
         elif kind in ("int", "bigint"):
-            out = count_value(value).cast(kind)
+            out = (count_of(rows, name) if name in rows.columns else value).cast(kind)
             problems.append(F.when(out.isNull(), F.lit(f"invalid {name}")))
         else:
-            out = number(value)
+            out = number_of(rows, name)
             problems.append(F.when(out.isNull(), F.lit(f"invalid {name}")))
         typed.append(out.alias(name))
     for name in ("flow_id", "src_ip", "dst_ip", "protocol"):

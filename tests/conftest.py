@@ -12,7 +12,6 @@ def spark(tmp_path_factory):
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.sql.warehouse.dir", str(tmp_path_factory.mktemp("warehouse")))
-        .config("spark.sql.streaming.noDataMicroBatches.enabled", "false")
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
