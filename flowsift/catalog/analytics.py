@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from flowsift.catalog.base import DAY, micros, prop_k, query, rounded, table
+from flowsift.catalog.base import DAY, micros, prop_k, query, rounded, run_folder, table
 from flowsift.catalog.features import contract_rows
 from flowsift.functions import scalar
 from flowsift.operators import classify, encode, enrich, evaluate, isolation, ordering, quality, rolling
@@ -340,7 +340,10 @@ def small_models(labelled):
 @query("scored_flows")
 def scored_flows(spark, d):
     """End to end: features of all events, models trained on them, verdicts with evidence."""
-    labelled = contract_features(spark, d)
+    # training passes over the rows many times: compute the features once
+    path = f"{run_folder(spark, 'scored')}/rows"
+    contract_features(spark, d).write.parquet(path)
+    labelled = spark.read.parquet(path)
     return score(labelled, small_models(labelled)).select(
         "flow_id", "threat_class", "confidence", "anomaly_score", "severity", F.array_join("evidence", "; ").alias("evidence")
     )

@@ -5,11 +5,15 @@ A query is registered together with the SQL that must give the same rows, where
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from flowsift.streaming.store import state_root
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
@@ -32,6 +36,12 @@ def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{directory}/{name}.parquet")
 
 
+def run_folder(spark: SparkSession, name: str) -> str:
+    """A folder of its own per run, under the cluster's shared checkpoint folder."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="flowsift-")
+    return state_root(spark, f"{name}-{uuid.uuid4().hex}", shared)
+
+
 def micros(column: str) -> Column:
     """A zone-less timestamp as epoch microseconds, whatever the session zone is."""
     return F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', {column})")

@@ -28,7 +28,7 @@ ENTROPY_SQL = f"""SELECT uid, round(-sum(c / n * log2(c / n)) + 0, 6) + 0 AS src
         ON a.src = b.src AND b.t BETWEEN a.t - {W} AND a.t GROUP BY a.uid, b.dst)) GROUP BY uid"""
 INTERVALS_SQL = f"""SELECT uid,
     coalesce(round(avg(gap) OVER life + {SHIFT}, 6), 0) AS iat_mean,
-    coalesce(round(stddev_pop(gap) OVER life + {SHIFT}, 6), 0) AS iat_std,
+    coalesce(round(stddev_pop(gap) OVER life + {SHIFT}, 5), 0) AS iat_std,
     coalesce(round(min(gap) OVER life, 6), 0) AS iat_min, coalesce(round(max(gap) OVER life, 6), 0) AS iat_max
   FROM (SELECT *, (t - lag(t) OVER (PARTITION BY src ORDER BY t)) / 1e6 AS gap FROM flows)
   WINDOW life AS (PARTITION BY src ORDER BY t ROWS UNBOUNDED PRECEDING)"""
@@ -66,7 +66,7 @@ def rolling_periodicity(spark, d):
 def _interval_columns():
     some = F.col("iat_max") > 0
     return [
-        *[F.when(some, F.round(F.col(c) + SHIFT, 6)).otherwise(F.lit(0.0)).alias(c) for c in ("iat_mean", "iat_std")],
+        *[F.when(some, F.round(F.col(c) + SHIFT, n)).otherwise(F.lit(0.0)).alias(c) for c, n in (("iat_mean", 6), ("iat_std", 5))],
         rounded("iat_min"), rounded("iat_max"),
     ]
 
@@ -91,7 +91,7 @@ def flow_windows(spark, d):
 
 
 def _ratio_sql(top: str, bottom: str) -> str:
-    return f"round(CASE WHEN abs({bottom}) < 1e-9 THEN 0 ELSE {top} / ({bottom}) END, 6)"
+    return f"round(CASE WHEN abs({bottom}) < 1e-9 THEN 0 ELSE {top} / ({bottom}) END + {SHIFT}, 5)"
 
 
 @query("flow_rates", f"""SELECT l_orderkey, l_linenumber, l_partkey,
@@ -106,7 +106,7 @@ def flow_rates(spark, d):
     )
     return enrich.with_rates(rows).select(
         "l_orderkey", "l_linenumber", "l_partkey",
-        *[rounded(c) for c in ("packets_per_sec", "bytes_per_sec", "outbound_inbound_ratio")],
+        *[F.round(F.col(c) + SHIFT, 5).alias(c) for c in ("packets_per_sec", "bytes_per_sec", "outbound_inbound_ratio")],
     )
 
 
@@ -183,7 +183,7 @@ GREASE = [0x0A0A + 0x1010 * i for i in range(16)]
       list_filter([l_partkey % 65536, 2570, l_suppkey, 64250], lambda x: x NOT IN ({', '.join(map(str, GREASE))})) AS ciphers FROM lineitem)
   SELECT l_orderkey, l_linenumber, l_partkey,
     md5(concat_ws(',', (768 + l_linenumber)::VARCHAR, array_to_string(ciphers, '-'), '0-23', l_suppkey::VARCHAR, '0')) AS ja3,
-    md5('771,' || l_partkey || ',') AS ja3s FROM c""")
+    CASE WHEN l_partkey NOT IN ({', '.join(map(str, GREASE))}) THEN md5('771,' || l_partkey || ',') END AS ja3s FROM c""")
 def fingerprints(spark, d):
     part, supplier = F.col("l_partkey"), F.col("l_suppkey")
     whole = lambda *values: F.array(*[F.lit(v).cast("bigint") if isinstance(v, int) else v for v in values])

@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from flowsift.catalog.alerts import ALERTS_SQL, CORRELATED_SQL, LOOKBACK, MOMENT, alerts
-from flowsift.catalog.base import DAY, ORACLE, flows, micros, prop_k, query, table
+from flowsift.catalog.base import DAY, ORACLE, flows, micros, query, run_folder, table
 from flowsift.catalog.features import _interval_columns, damaged_messages
 from flowsift.catalog.analytics import contract_features, small_models
 from flowsift.operators.alerts import correlate
@@ -16,17 +13,11 @@ from flowsift.streaming import ingest, metrics
 from flowsift.streaming.correlation import tagged_alerts
 from flowsift.streaming.features import FlowFeatures
 from flowsift.streaming.scoring import score_batches
-from flowsift.streaming.store import read_table, state_root, write_batch
+from flowsift.streaming.store import read_table, write_batch
 
 HOUR = 3_600_000_000
 
 
-def _root(spark, name: str) -> str:
-    """A folder of its own per run, under the cluster's shared checkpoint folder."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="flowsift-")
-    return state_root(spark, f"{name}-{uuid.uuid4().hex}", shared)
-
-
 def _events(spark, d):
     schema = table(spark, d, "events").schema
     return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
@@ -43,7 +34,7 @@ def _append(path: str):
 @query("stream_flow_features", ORACLE["flow_windows"])
 def stream_flow_features(spark, d):
     """Rolling features computed batch by batch with carried state."""
-    root = _root(spark, "features")
+    root = run_folder(spark, "features")
     _drain(_flow_stream(spark, d), FlowFeatures(root, DAY, lateness_seconds=0), root)
     return read_table(spark, f"{root}/features").select(
         "uid", "connection_frequency", "fan_out", "unique_dst_ips", "unique_dst_ports", "fan_in",
@@ -65,7 +56,7 @@ def stream_throughput(spark, d):
         F.timestamp_micros(micros("ts")).alias("event_time"), F.col("event_id").alias("flow_id"),
         F.length("props").alias("bytes"), F.col("value").alias("latency_ms"),
     ).withWatermark("event_time", "1 hour")
-    root = _root(spark, "throughput")
+    root = run_folder(spark, "throughput")
     _drain(metrics.throughput(rows, 3600), _append(f"{root}/metrics"), root)
     return read_table(spark, f"{root}/metrics").select(
         F.unix_micros("ts").alias("t"), "flows_per_sec", "bytes_per_sec", "window_flows"
@@ -76,7 +67,7 @@ def stream_throughput(spark, d):
 def stream_unique_flows(spark, d):
     """Every flow arrives twice and leaves once."""
     rows = _flow_stream(spark, d).withColumnRenamed("uid", "flow_id").select("flow_id", "ts")
-    root = _root(spark, "unique")
+    root = run_folder(spark, "unique")
     _drain(ingest.deduplicate(rows.union(rows)), _append(f"{root}/flows"), root)
     return read_table(spark, f"{root}/flows").select("flow_id")
 
@@ -84,7 +75,7 @@ def stream_unique_flows(spark, d):
 @query("stream_messages", ORACLE["wire_messages"])
 def stream_messages(spark, d):
     """Damaged and sound messages, split into rows and dead letters."""
-    root = _root(spark, "messages")
+    root = run_folder(spark, "messages")
     messages = damaged_messages(_flow_stream(spark, d))
     _drain(messages, ingest.split_messages(f"{root}/rows", f"{root}/dead"), root)
     good = read_table(spark, f"{root}/rows").select(F.lit("good").alias("outcome"))
@@ -95,7 +86,7 @@ def stream_messages(spark, d):
 @query("stream_correlation", f"WITH {ALERTS_SQL}, {CORRELATED_SQL} SELECT * FROM made")
 def stream_correlation(spark, d):
     """Alerts written as a stream; each batch triggers a correlation cycle over the table."""
-    root = _root(spark, "chains")
+    root = run_folder(spark, "chains")
 
     def write(batch, batch_id):
         write_batch(batch, f"{root}/alerts", batch_id)
@@ -109,7 +100,7 @@ def stream_correlation(spark, d):
 @query("stream_scores")
 def stream_scores(spark, d):
     """Contract rows scored as a stream: results per class, alerts and metrics written beside."""
-    root = _root(spark, "scores")
+    root = run_folder(spark, "scores")
     contract_features(spark, d).write.parquet(f"{root}/rows")
     rows = spark.read.parquet(f"{root}/rows")
     stream = spark.readStream.schema(rows.schema).parquet(f"{root}/rows")

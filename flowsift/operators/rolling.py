@@ -181,12 +181,14 @@ _LIFETIME = ["_gaps", "_gap_sum", "_gap_squares", "_gap_min", "_gap_max"]
 
 
 def source_window(flows: DataFrame, window_seconds: float = WINDOW_SECONDS,
-                  target_rows: int | None = None, lifetime: bool = True) -> DataFrame:
+                  target_rows: int | None = None, lifetime: bool = True,
+                  plan_on: DataFrame | None = None) -> DataFrame:
     """Adds every source-keyed statistic.
 
     fan_out, unique_dst_ips, unique_dst_ports, connection_frequency, src_ip_entropy and
     periodicity_score over the trailing window; iat_* over the lifetime of the source.
     Cold sources need one shuffle: hash(src_ip) also satisfies the finer (src_ip, dst) keys.
+    plan_on: a cheaper table of the same flows to look for hot sources in.
     """
     window = round(window_seconds * MICROS)
     timed = flows.withColumn("_t", ticks("ts"))
@@ -231,7 +233,8 @@ def source_window(flows: DataFrame, window_seconds: float = WINDOW_SECONDS,
         )
         return step.filter("_leaves = 0")
 
-    done = per_temperature(timed, plan_slices(timed, ["src_ip"], "_t", target_rows), sweep)
+    planned = timed if plan_on is None else plan_on.withColumn("_t", ticks("ts"))
+    done = per_temperature(timed, plan_slices(planned, ["src_ip"], "_t", target_rows), sweep)
     n = F.col("_n")
     logs = F.col("_log_whole") + F.col("_log_part") / F.lit(float(1 << _FRACTION_BITS))
     entropy = F.greatest(F.log2(n.cast("double")) - logs / n, F.lit(0.0))
@@ -257,5 +260,5 @@ def flow_windows(flows: DataFrame, window_seconds: float = WINDOW_SECONDS,
     source sweep.
     """
     return source_window(
-        destination_window(flows, window_seconds, target_rows), window_seconds, target_rows
+        destination_window(flows, window_seconds, target_rows), window_seconds, target_rows, plan_on=flows
     )

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+from flowsift.operators.joins import lookup_join
 from flowsift.schema import CLASSES, FLOW_COLUMNS, LABEL_SCHEMA, MANIFEST_SCHEMA
 
 
@@ -57,11 +58,10 @@ def read_benign(spark: SparkSession, directory: str, glob: str = "benign_*.parqu
 def attach_labels(rows: DataFrame, classes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(rows with the label of their scenario, scenarios without a label and their row counts).
 
-    The label table has one row per capture scenario; it is joined with no hint, so Spark
-    broadcasts it by its measured size and not by assumption.
+    classes holds one row per scenario; its size is measured before it is broadcast.
     """
     known = classes.select("scenario", F.col("label").alias("_class"))
-    labelled = rows.join(known, "scenario").select(
+    labelled = lookup_join(rows, known, "scenario", "inner").select(
         *[c for c in rows.columns if c != "label"], F.col("_class").alias("label")
     )
     skipped = rows.groupBy("scenario").agg(F.count(F.lit(1)).alias("rows")).join(known, "scenario", "left_anti")
@@ -83,7 +83,7 @@ def attach_runs(rows: DataFrame, manifest: DataFrame, path_column: str = "_path"
     runs = manifest.select(
         file_stem("parquet_path").alias("_stem"), "run_id", F.col("attack_scenario")
     )
-    return rows.withColumn("_stem", file_stem(path_column)).join(runs, "_stem").drop("_stem")
+    return lookup_join(rows.withColumn("_stem", file_stem(path_column)), runs, "_stem", "inner").drop("_stem")
 
 
 def inventory(spark: SparkSession, directory: str, glob: str) -> DataFrame:

@@ -43,26 +43,28 @@ def decode(messages: DataFrame) -> DataFrame:
 
 def _judge(message: Column) -> Column:
     fields, parsed = message["fields"], message["row"]
-
-    def present(name: str) -> Column:
-        return F.map_contains_key(fields, F.lit(name))
+    names = F.map_keys(fields)
 
     def value(name: str) -> Column:
         default = WIRE_DEFAULTS.get(name)
         if default is None:
             return parsed[name]
-        return F.when(present(name), parsed[name]).otherwise(F.lit(default).cast(FLOW_TYPES[name]))
+        # a field that is there but null stays null
+        absent = ~F.array_contains(names, F.lit(name))
+        return F.coalesce(parsed[name], F.when(absent, F.lit(default).cast(FLOW_TYPES[name])))
 
     # a message that lacks required fields or holds a value of another type does not fit
-    lacking = [~present(c) for c in REQUIRED]
-    mistyped = [F.try_element_at(fields, F.lit(c)).isNotNull() & parsed[c].isNull() for c in FLOW_COLUMNS]
+    lacking = F.size(F.array_except(F.array(*[F.lit(c) for c in REQUIRED]), names)) > 0
+    empty = F.array(*[F.when(parsed[c].isNull(), F.lit(c)) for c in FLOW_COLUMNS])
+    filled = F.map_keys(F.map_filter(fields, lambda _, v: v.isNotNull()))
+    mistyped = F.size(F.array_intersect(F.filter(empty, lambda c: c.isNotNull()), filled)) > 0
     error = (
         F.when(message["body"].isNull(), "unicode_decode")
         .when(fields.isNull(), "json_decode")
-        .when(F.array_contains(F.array(*lacking, *mistyped), True), "schema_mismatch")
+        .when(lacking | mistyped, "schema_mismatch")
     )
     row = F.struct(*[value(c).alias(c) for c in FLOW_COLUMNS])
-    return F.struct(error.alias("error_class"), F.when(error.isNull(), row).alias("row"))
+    return bind(error, lambda e: F.struct(e.alias("error_class"), F.when(e.isNull(), row).alias("row")))
 
 
 def good_rows(decoded: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ import codecs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from flowsift.operators.joins import lookup_join
 from flowsift.schema import CONN_DASH_FIELDS
 
 # log kinds the pipeline reacts to, rotated copies included (conn.2024-01-01.log)
@@ -64,8 +65,8 @@ def read_log(spark: SparkSession, path, preserve_dash=(), mode: str = "strict")
     lines = _text_lines(spark, path).withColumn("_line", F.monotonically_increasing_id())
     rows = lines.filter(~F.col("value").startswith("#"))
     if len(layouts) > 1:
-        # one row per file: joined without a hint, the number of files is not bounded
-        rows = rows.join(_headers(lines).select("_file", F.col("fields").alias("_fields")), "_file")
+        headers = _headers(lines).select("_file", F.col("fields").alias("_fields"))
+        rows = lookup_join(rows, headers, "_file", "inner", row_id="_line")
     parts = []
     for layout in layouts:
         own = rows

@@ -76,7 +76,7 @@ class FlowFeatures:
         window_rows = recent.withColumn("_new", F.lit(False)).unionByName(ready.withColumn("_new", F.lit(True)))
         rolled = source_window(
             destination_window(window_rows.drop("_t"), self.window_seconds, self.target_rows),
-            self.window_seconds, self.target_rows, lifetime=False,
+            self.window_seconds, self.target_rows, lifetime=False, plan_on=window_rows,
         ).filter("_new").drop("_new")
         features = continue_lifetime(rolled, sources, self.target_rows)
         write_batch(features, self._table("features"), batch_id)
