@@ -41,22 +41,26 @@ def class_scores(pairs: DataFrame, classes: list[str] = CLASSES) -> DataFrame:
 
 
 def report(pairs: DataFrame, classes: list[str] = CLASSES) -> DataFrame:
-    """Per-class scores, then accuracy, macro avg and weighted avg rows."""
-    scores = class_scores(pairs, classes)
+    """Per-class scores, then accuracy, macro avg and weighted avg rows.
+
+    Each class row also counts towards the three summary rows: plainly for the macro average,
+    by its support for the weighted one. Accuracy is the recall weighted by support.
+    """
     measures = ["precision", "recall", "f1"]
-    total = F.sum("support")
-    macro = scores.agg(
-        F.lit("macro avg").alias("class"), *[F.avg(m).alias(m) for m in measures], total.alias("support")
-    )
-    weighted = scores.agg(
-        F.lit("weighted avg").alias("class"),
-        *[_ratio(F.sum(F.col(m) * F.col("support")), total).alias(m) for m in measures], total.alias("support"),
-    )
-    right = _ratio(F.sum(F.when(F.col("label") == F.col("predicted"), F.col("n")).otherwise(0)), F.sum("n"))
-    accuracy = pairs.agg(
-        F.lit("accuracy").alias("class"), *[right.alias(m) for m in measures], F.sum("n").alias("support")
+    weight = {"macro avg": F.lit(1.0), "weighted avg": F.col("support"), "accuracy": F.col("support")}
+
+    def part(name: Column, factor: Column, shown: list[Column]) -> Column:
+        values = [value.alias(m) for m, value in zip(measures, shown)]
+        return F.struct(name.alias("class"), factor.cast("double").alias("_w"), *values)
+
+    own = [F.col(m) for m in measures]
+    parts = [part(F.col("class"), F.lit(1.0), own)]
+    parts += [part(F.lit(n), w, [F.col("recall")] * 3 if n == "accuracy" else own) for n, w in weight.items()]
+    rows = class_scores(pairs, classes).select("support", F.explode(F.array(*parts)).alias("_p"))
+    return rows.select("support", "_p.*").groupBy("class").agg(
+        *[_ratio(F.sum(F.col(m) * F.col("_w")), F.sum("_w")).alias(m) for m in measures],
+        F.sum("support").alias("support"),
     )
-    return scores.unionByName(accuracy).unionByName(macro).unionByName(weighted)
 
 
 def macro_f1(pairs: DataFrame, classes: list[str] = CLASSES) -> float:

@@ -10,64 +10,56 @@ from pyspark.sql import functions as F
 from flowsift.operators.running import TARGET_ROWS, Slicing, running
 
 
-def exact_quantiles(df: DataFrame, column: str, quantiles: list[float],
-                    target_rows: int | None = None) -> DataFrame:
-    """(quantile, value): linearly interpolated percentiles, exact, as one distributed scan.
+def _ranked_values(df: DataFrame, column: str, target_rows: int | None) -> tuple[DataFrame, int]:
+    """(value _v, its rows _n, rows up to and including it _upto) and the number of rows.
 
     Equal values are merged map-side first. The distinct values are cut into slices of about
-    the row target and ranked by a running count, so no task sees more than a slice. Only
-    the two ranks next to each wanted position survive.
+    the row target and ranked by a running count, so no task sees more than a slice.
     """
     target = target_rows or TARGET_ROWS
     values = df.filter(F.col(column).isNotNull()).select(F.col(column).cast("double").alias("_v"))
     distinct = values.groupBy("_v").agg(F.count(F.lit(1)).alias("_n")).withColumn("_all", F.lit(0))
     total = values.count()
     pieces = max(1, math.ceil(total / target))
-    cuts = []
+    slicing = None
     if pieces > 1:
         cuts = values.approxQuantile("_v", [i / pieces for i in range(1, pieces)], 0.25 / pieces)
-    spark = df.sparkSession
-    one = spark.createDataFrame([(0,)], "_all int")
-    slicing = Slicing(["_all"], one, "_v", sorted(set(cuts))) if cuts else None
-    ranked = running(distinct, ["_all"], ["_v"], {"_upto": ("sum", F.col("_n"))}, slicing)
+        everything = df.sparkSession.createDataFrame([(0,)], "_all int")
+        slicing = Slicing(["_all"], everything, "_v", sorted(set(cuts)))
+    return running(distinct, ["_all"], ["_v"], {"_upto": ("sum", F.col("_n"))}, slicing), total
 
-    def position(q: float) -> float:
-        return q * (total - 1)
 
-    # a value covers ranks upto - n .. upto - 1 (from zero)
+def _interpolated(total: int, quantile: float) -> Column:
+    """Aggregate over the ranked values: the value at a quantile."""
+    position = quantile * (total - 1)
+    low, high = math.floor(position), math.ceil(position)
+
+    # a value covers the ranks from upto - n to upto - 1
     def at(rank: int) -> Column:
         return F.max(F.when((F.col("_upto") > rank) & (F.col("_upto") - F.col("_n") <= rank), F.col("_v")))
 
-    wanted = sorted({r for q in quantiles for r in (math.floor(position(q)), math.ceil(position(q)))})
-    if total == 0:
-        return spark.createDataFrame([(q, None) for q in quantiles], "quantile double, value double")
-    found = ranked.agg(*[at(r).alias(f"r{r}") for r in wanted])
+    return at(low) + (at(high) - at(low)) * F.lit(position - low)
 
-    def interpolated(q: float) -> Column:
-        low, high = math.floor(position(q)), math.ceil(position(q))
-        return F.col(f"r{low}") + (F.col(f"r{high}") - F.col(f"r{low}")) * F.lit(position(q) - low)
 
-    pairs = F.array(*[F.struct(F.lit(float(q)).alias("quantile"), interpolated(q).alias("value")) for q in quantiles])
+def exact_quantiles(df: DataFrame, column: str, quantiles: list[float],
+                    target_rows: int | None = None) -> DataFrame:
+    """(quantile, value): linearly interpolated percentiles, exact, from one distributed scan."""
+    ranked, total = _ranked_values(df, column, target_rows)
+    found = ranked.agg(*[_interpolated(total, q).alias(f"q{i}") for i, q in enumerate(quantiles)])
+    pairs = F.array(*[F.struct(F.lit(float(q)).alias("quantile"), F.col(f"q{i}").alias("value")) for i, q in enumerate(quantiles)])
     return found.select(F.explode(pairs).alias("_p")).select("_p.*")
 
 
-def score_summary(df: DataFrame, column: str, threshold_quantile: float = 0.99) -> DataFrame:
+def score_summary(df: DataFrame, column: str, threshold_quantile: float = 0.99,
+                  target_rows: int | None = None) -> DataFrame:
     """One row: rows, min, max, mean, median and the alert threshold of a score."""
-    basic = df.agg(
-        F.count(column).alias("rows"), F.min(column).alias("min"),
-        F.max(column).alias("max"), F.avg(column).alias("mean"),
-    )
-    ranks = exact_quantiles(df, column, [0.5, threshold_quantile]).agg(
-        F.max(F.when(F.col("quantile") == 0.5, F.col("value"))).alias("median"),
-        F.max(F.when(F.col("quantile") == threshold_quantile, F.col("value"))).alias("threshold"),
+    ranked, total = _ranked_values(df, column, target_rows)
+    return ranked.agg(
+        F.coalesce(F.sum("_n"), F.lit(0)).alias("rows"),
+        F.min("_v").alias("min"), F.max("_v").alias("max"),
+        (F.sum(F.col("_v") * F.col("_n")) / F.sum("_n")).alias("mean"),
+        _interpolated(total, 0.5).alias("median"), _interpolated(total, threshold_quantile).alias("threshold"),
     )
-    return _beside(basic, ranks)
-
-
-def _beside(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Two one-row tables as one row, by a constant key."""
-    key = F.lit(0).alias("_one")
-    return left.select("*", key).join(right.select("*", key), "_one").drop("_one")
 
 
 def histogram(df: DataFrame, column: str, bins: int = 50) -> DataFrame:
