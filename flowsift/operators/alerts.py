@@ -149,19 +149,22 @@ def alert_stats(alerts: DataFrame, now: datetime, hours: float = 1.0) -> dict[st
 
 
 def correlate(alerts: DataFrame, now: datetime, lookback: timedelta = LOOKBACK,
-              min_classes: int = 2) -> DataFrame:
+              min_classes: int = 2, max_alerts: int | None = None) -> DataFrame:
     """(id, src_ip, kill_chain_id) of the alerts that get a chain id in this cycle.
 
     A source whose alerts of the look-back show enough different classes forms a chain. Its
     oldest existing id is kept; a new one is a hash of the source and its first alert, so a
     repeated cycle gives the same id. Sources are summed up map-side; what is joined back is
-    one row per chain.
+    one row per chain. max_alerts looks at the oldest alerts of the look-back only; by default
+    all count.
     """
     seen = alerts.filter(
         (F.col("ingested_at") >= F.lit(now - lookback))
         & (F.col("threat_class") != "benign")
         & (F.coalesce(F.col("src_ip"), F.lit("")) != "")
     ).select("id", "src_ip", "threat_class", "kill_chain_id", "ingested_at")
+    if max_alerts:
+        seen = seen.orderBy("ingested_at", "id").limit(max_alerts)
     tagged = F.coalesce(F.col("kill_chain_id"), F.lit("")) != ""
     arrival = F.struct("ingested_at", "id")
     per_source = seen.groupBy("src_ip", "threat_class").agg(

@@ -61,13 +61,17 @@ def _flag(rows: DataFrame, name: str) -> Column:
     return truthy(name).cast("int")
 
 
-def model_rows(rows: DataFrame, encoders: DataFrame | None, keep: list[str] = (), cap: bool = True) -> DataFrame:
+def model_rows(rows: DataFrame, encoders: DataFrame | None, keep: list[str] = (), cap: bool = True,
+               zero_missing: bool = False) -> DataFrame:
     """The 36 model columns as doubles in order, after `keep`.
 
     Optional groups are zero-filled, flags become 0/1, periodicity is capped: the same step
-    for training and serving.
+    for training and serving. zero_missing: a column that is not there, or null, counts as 0,
+    for requests that leave fields out.
     """
     coded = apply_encoders(rows, encoders)
+    if zero_missing:
+        coded = coded.select("*", *[F.lit(0.0).alias(c) for c in FEATURE_COLUMNS if c not in coded.columns])
     missing = [c for c in FEATURE_COLUMNS if c not in coded.columns]
     if missing:
         raise ValueError("model input is missing columns: " + ", ".join(missing))
@@ -76,7 +80,7 @@ def model_rows(rows: DataFrame, encoders: DataFrame | None, keep: list[str] = ()
         if name in BOOL_COLUMNS:
             return _flag(coded, name).cast("double")
         out = number_of(coded, name)
-        if name in FILL_ZERO_COLUMNS:
+        if zero_missing or name in FILL_ZERO_COLUMNS:
             out = F.coalesce(out, F.lit(0.0))
         return F.least(out, F.lit(PERIODICITY_CAP)) if cap and name == "periodicity_score" else out
 

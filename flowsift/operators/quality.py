@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from flowsift.schema import (
@@ -66,6 +66,11 @@ def check_columns(df: DataFrame, expected: list[str] = FLOW_COLUMNS, subject: st
     return _static(df, found)
 
 
+def check_files(spark: SparkSession, paths: list[str], expected: list[str] = FLOW_COLUMNS) -> DataFrame:
+    """Schema of each feature file on its own: footers only, one file per capture scenario."""
+    return union_all([check_columns(spark.read.parquet(p), expected, p.rsplit("/", 1)[-1]) for p in paths])
+
+
 def check_raw_columns(df: DataFrame) -> list[str]:
     """Model columns a raw frame lacks, not counting those derived later."""
     derived = set(ENCODED_COLUMNS.values())

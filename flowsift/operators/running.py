@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 TARGET_ROWS = 4_000_000
 MAX_SLICES = 10_000
 SLICE = "_slice"
+KEY = "_key"
 
 
 @dataclass(frozen=True)
@@ -38,12 +39,14 @@ class Slicing:
     def assign(self, df: DataFrame) -> DataFrame:
         """Adds the slice number of the order column."""
         if not self.splits:
-            return df.withColumn(SLICE, F.lit(0.0))
+            return df.withColumn(SLICE, F.lit(0))
         position = "_slice_position"
         cut = Bucketizer(
             splits=[-math.inf, *self.splits, math.inf], inputCol=position, outputCol=SLICE
         )
-        return cut.transform(df.withColumn(position, F.col(self.order_col).cast("double"))).drop(position)
+        placed = cut.transform(df.withColumn(position, F.col(self.order_col).cast("double"))).drop(position)
+        # whole numbers: a double key would be normalized and shuffled a second time
+        return placed.withColumn(SLICE, F.col(SLICE).cast("int"))
 
 
 def plan_slices(df: DataFrame, keys: list[str], order_col: str,
@@ -114,23 +117,28 @@ def running(df: DataFrame, keys: list[str], order: list[str],
         frame = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
         return df.select("*", *[FOLDS[k](c).over(frame).alias(n) for n, (k, c) in folds.items()])
 
-    sliced = slicing.assign(df)
-    group = [*keys, SLICE]
-    frame = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    sliced = _sliced(df, keys, slicing)
+    frame = Window.partitionBy(KEY, SLICE).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     local = sliced.select("*", *[FOLDS[k](c).over(frame).alias(f"_l_{n}") for n, (k, c) in folds.items()])
-    totals = sliced.groupBy(*group).agg(*[FOLDS[k](c).alias(f"_t_{n}") for n, (k, c) in folds.items()])
-    before = Window.partitionBy(*keys).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
+    totals = sliced.groupBy(KEY, SLICE).agg(*[FOLDS[k](c).alias(f"_t_{n}") for n, (k, c) in folds.items()])
+    before = Window.partitionBy(KEY).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
     carry = totals.select(
-        *[F.col(g).alias(f"_c_{g}") for g in group],
-        *[FOLDS[k](F.col(f"_t_{n}")).over(before).alias(f"_b_{n}") for n, (k, _) in folds.items()],
+        KEY, SLICE, *[FOLDS[k](F.col(f"_t_{n}")).over(before).alias(f"_b_{n}") for n, (k, _) in folds.items()]
     )
-    match = reduce(lambda a, b: a & b, [F.col(g).eqNullSafe(F.col(f"_c_{g}")) for g in group])
-    return local.join(carry, match, "left").select(
+    return local.join(carry, [KEY, SLICE], "left").select(
         *df.columns,
         *[combine(k, F.col(f"_b_{n}"), F.col(f"_l_{n}")).alias(n) for n, (k, _) in folds.items()],
     )
 
 
+def _sliced(df: DataFrame, keys: list[str], slicing: Slicing) -> DataFrame:
+    """Rows shuffled by (key, slice): the window, the totals and the carry join share this.
+
+    The key is one struct, which compares equal also where a part of it is null.
+    """
+    return slicing.assign(df).withColumn(KEY, F.struct(*keys)).repartition(KEY, SLICE)
+
+
 def neighbours(df: DataFrame, keys: list[str], order: list[str],
                slicing: Slicing | None = None) -> DataFrame:
     """Adds prev_<t> and next_<t>: the first order column of the rows before and after."""
@@ -140,19 +148,15 @@ def neighbours(df: DataFrame, keys: list[str], order: list[str],
         frame = Window.partitionBy(*keys).orderBy(*order)
         return df.select("*", F.lag(t).over(frame).alias(prev_name), F.lead(t).over(frame).alias(next_name))
 
-    sliced = slicing.assign(df)
-    group = [*keys, SLICE]
-    frame = Window.partitionBy(*group).orderBy(*order)
+    sliced = _sliced(df, keys, slicing)
+    frame = Window.partitionBy(KEY, SLICE).orderBy(*order)
     local = sliced.select("*", F.lag(t).over(frame).alias("_lag"), F.lead(t).over(frame).alias("_lead"))
-    edges = sliced.groupBy(*group).agg(F.min(t).alias("_first"), F.max(t).alias("_last"))
-    along = Window.partitionBy(*keys).orderBy(SLICE)
+    edges = sliced.groupBy(KEY, SLICE).agg(F.min(t).alias("_first"), F.max(t).alias("_last"))
+    along = Window.partitionBy(KEY).orderBy(SLICE)
     carry = edges.select(
-        *[F.col(g).alias(f"_c_{g}") for g in group],
-        F.lag("_last").over(along).alias("_before"),
-        F.lead("_first").over(along).alias("_after"),
+        KEY, SLICE, F.lag("_last").over(along).alias("_before"), F.lead("_first").over(along).alias("_after")
     )
-    match = reduce(lambda a, b: a & b, [F.col(g).eqNullSafe(F.col(f"_c_{g}")) for g in group])
-    return local.join(carry, match, "left").select(
+    return local.join(carry, [KEY, SLICE], "left").select(
         *df.columns,
         F.coalesce("_lag", "_before").alias(prev_name),
         F.coalesce("_lead", "_after").alias(next_name),

@@ -55,6 +55,16 @@ def read_benign(spark: SparkSession, directory: str, glob: str = "benign_*.parqu
     return read_features(spark, directory, glob).withColumn("label", F.lit("benign"))
 
 
+def evaluation_rows(spark: SparkSession, path, label: str | None = None,
+                    classes: DataFrame | None = None) -> DataFrame:
+    """One file or a directory to evaluate: a given label for all rows, else the scenario's,
+    else the label the rows carry."""
+    rows = read_features(spark, path)
+    if label is not None:
+        return rows.withColumn("label", F.lit(label))
+    return rows if classes is None else attach_labels(rows, classes)[0]
+
+
 def attach_labels(rows: DataFrame, classes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(rows with the label of their scenario, scenarios without a label and their row counts).
 

@@ -79,6 +79,7 @@ def test_correlation(spark, table):
     tagged = A.write_back(table, A.correlate(table, NOW))
     assert tagged.columns == table.columns and tagged.count() == 11
     assert A.correlate(tagged, NOW).isEmpty()
+    assert A.correlate(table, NOW, max_alerts=2).collect() == []  # c and g only: one class each
 
 
 def test_kill_chains(spark, table):

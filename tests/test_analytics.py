@@ -76,6 +76,7 @@ def test_model_rows(spark):
         encode.strict_model_rows(broken).collect()
     with pytest.raises(ValueError, match="fan_in"):
         encode.model_rows(rows.drop("fan_in"), None)
+    assert encode.model_rows(rows.drop("fan_in"), None, zero_missing=True).first().fan_in == 0.0
 
 
 def test_weights(spark):
@@ -115,7 +116,7 @@ def messages(df, **kw):
     return [r.message for r in quality.check_rows(df, **kw).collect()]
 
 
-def test_row_checks(spark):
+def test_row_checks(spark, tmp_path):
     good = to_contract(contract_row(spark)).withColumn("label", F.lit("ddos"))
     assert messages(good, require_label=True) == []
     assert messages(good.limit(0)) == ["dataframe is empty"]
@@ -127,6 +128,11 @@ def test_row_checks(spark):
     assert messages(good.withColumn("ja4_hash_enc", F.lit(7))) == ["unexpected model-only column: ja4_hash_enc"]
     twice = good.select("*", F.lit("x").alias("flow_id"))
     assert "duplicate column names: flow_id" in messages(twice)
+    paths = [f"{tmp_path}/{name}.parquet" for name in ("one", "two")]
+    good.write.parquet(paths[0])
+    good.drop("duration").write.parquet(paths[1])
+    found = quality.check_files(spark, paths).collect()
+    assert [(r.subject, r.message) for r in found] == [("two.parquet", "missing required columns: duration")]
     report = quality.summary(quality.check_rows(bad)).first()
     assert (report.errors, report.warnings, report.passed) == (2, 0, False)
 

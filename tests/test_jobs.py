@@ -161,6 +161,10 @@ def test_labels_manifest_and_files(spark, tmp_path):
     assert [(r.scenario, r.rows) for r in skipped.collect()] == [("mystery", 1)]
     with pytest.raises(ValueError):
         tables.write_features(rows, " ", feats)
+    classes = tables.scenario_classes(read)
+    assert [r.label for r in tables.evaluation_rows(spark, feats, "benign").collect()] == ["benign", "benign"]
+    assert [r.label for r in tables.evaluation_rows(spark, feats, classes=classes).collect()] == ["ddos"]
+    assert tables.evaluation_rows(spark, feats).count() == 2
     manifest = tmp_path / "runs.csv"
     manifest.write_text("run_id,attack_scenario,profile,pcap_path,zeek_log_dir,parquet_path,seed\nr1,syn_flood,p,a,b,x/one.parquet,7\n")
     runs = tables.read_manifest(spark, str(manifest))
