@@ -7,7 +7,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
+from pyspark.ml.classification import (
+    GBTClassifier, OneVsRest, OneVsRestModel, RandomForestClassificationModel, RandomForestClassifier,
+)
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
@@ -21,6 +23,7 @@ DEFAULT_PARAMS = {"numTrees": 40, "maxDepth": 8, "minInstancesPerNode": 1}
 # search space of the random trials
 SPACE = {"numTrees": [20, 40, 80], "maxDepth": [4, 6, 8, 10], "minInstancesPerNode": [1, 2, 5]}
 TRIALS = 20
+BOOSTED_PARAMS = {"maxIter": 20, "maxDepth": 4}
 SEED = 42
 
 
@@ -40,15 +43,28 @@ def train(rows: DataFrame, features: list[str] = FEATURE_COLUMNS, classes: list[
     return classifier.fit(assemble(indexed, features))
 
 
+def train_boosted(rows: DataFrame, features: list[str] = FEATURE_COLUMNS, classes: list[str] = CLASSES,
+                  params: dict | None = None, label: str = "label", weight: str | None = "weight",
+                  seed: int = SEED) -> OneVsRestModel:
+    """One boosted ensemble per class: slower to fit than the forest, one pass per class and tree."""
+    indexed = rows.withColumn("label_index", class_index(label, classes).cast("double"))
+    booster = GBTClassifier(seed=seed, **{**BOOSTED_PARAMS, **(params or {})})
+    each = OneVsRest(classifier=booster, featuresCol="features", labelCol="label_index",
+                     **({"weightCol": weight} if weight else {}))
+    return each.fit(assemble(indexed, features))
+
+
 def predict(model, rows: DataFrame, features: list[str] = FEATURE_COLUMNS,
             classes: list[str] = CLASSES) -> DataFrame:
     """Adds probabilities (one per class), class_index, predicted and confidence."""
-    scored = model.transform(assemble(rows, features))
-    # classes above the largest label seen in training have no entry in the vector
-    given = vector_to_array("probability")
-    padded = F.slice(F.concat(given, F.array(*[F.lit(0.0)] * len(classes))), 1, len(classes))
+    if isinstance(model, OneVsRestModel):
+        scored = rows.withColumn("probabilities", boosted_probabilities(BoostedPaths(model, len(classes)), features))
+    else:
+        # classes above the largest label seen in training have no entry in the vector
+        given = F.concat(vector_to_array("probability"), F.array(*[F.lit(0.0)] * len(classes)))
+        scored = model.transform(assemble(rows, features)).withColumn("probabilities", F.slice(given, 1, len(classes)))
     best = F.array_max("probabilities")
-    out = scored.withColumn("probabilities", padded).withColumn("confidence", best)
+    out = scored.withColumn("confidence", best)
     index = (F.array_position("probabilities", F.col("confidence")) - 1).cast("int")
     out = out.withColumn("class_index", index).withColumn("predicted", class_name("class_index", classes))
     return out.select(*rows.columns, "probabilities", "class_index", "predicted", "confidence")
@@ -78,63 +94,124 @@ def search(training: DataFrame, validation: DataFrame | None, features: list[str
     return best, best_score
 
 
-class ForestPaths:
-    """Split structure and class shares of every node of a fitted forest.
+class TreePaths:
+    """Splits of an ensemble and what each node says about every class, as flat arrays.
 
-    Size is fixed by the parameters: at most numTrees * 2 ** (maxDepth + 1) nodes.
+    Size is fixed by the parameters: at most trees * 2 ** (maxDepth + 1) nodes.
     """
 
-    def __init__(self, model: RandomForestClassificationModel, class_count: int):
-        self.feature, self.threshold, self.below, self.above, self.share, self.roots = [], [], [], [], [], []
-        for tree in model.trees:
-            self.roots.append(self._add(tree._call_java("rootNode"), class_count))
-        for name in ("feature", "below", "above", "roots"):
-            setattr(self, name, np.array(getattr(self, name), dtype=np.int64))
-        self.threshold = np.array(self.threshold)
-        self.share = np.array(self.share)
+    def __init__(self):
+        self.feature, self.threshold, self.below, self.above, self.said, self.roots = [], [], [], [], [], []
 
-    def _add(self, node, class_count: int) -> int:
+    def _add(self, node, value) -> int:
         at = len(self.feature)
-        stats = np.array(list(node.impurityStats().stats()), dtype=float)
-        share = np.zeros(class_count)
-        share[: len(stats)] = stats / stats.sum()
-        self.share.append(share)
+        self.said.append(value(node))
         for values in (self.feature, self.below, self.above):
             values.append(-1)
         self.threshold.append(0.0)
         if node.subtreeDepth() > 0:
             split = node.split()
             self.feature[at], self.threshold[at] = split.featureIndex(), split.threshold()
-            self.below[at] = self._add(node.leftChild(), class_count)
-            self.above[at] = self._add(node.rightChild(), class_count)
+            self.below[at] = self._add(node.leftChild(), value)
+            self.above[at] = self._add(node.rightChild(), value)
         return at
 
+    def _freeze(self):
+        for name in ("feature", "below", "above", "roots"):
+            setattr(self, name, np.array(getattr(self, name), dtype=np.int64))
+        self.threshold, self.said = np.array(self.threshold), np.array(self.said)
+
     def base(self) -> np.ndarray:
-        """Class probabilities before any split."""
-        return self.share[self.roots].mean(axis=0)
+        """What the ensemble says about each class before any split."""
+        return self.said[self.roots].sum(axis=0)
+
+    def _walk(self, x: np.ndarray, root: int):
+        """Yields (rows, nodes, next nodes) of each step until all rows reach a leaf."""
+        rows, at = np.arange(len(x)), np.full(len(x), root)
+        while len(rows):
+            inner = self.feature[at] >= 0
+            rows, at = rows[inner], at[inner]
+            if len(rows):
+                goes_below = x[rows, self.feature[at]] <= self.threshold[at]
+                following = np.where(goes_below, self.below[at], self.above[at])
+                yield rows, at, following
+                at = following
 
     def contributions(self, x: np.ndarray, target: np.ndarray) -> np.ndarray:
-        """How much each feature moved the target class's probability along the paths.
+        """How far each feature moved the target class along the paths.
 
-        base()[target] plus the row sum equals the predicted probability.
+        base()[target] plus the row sum is what the ensemble says about the target.
         """
         out = np.zeros(x.shape)
-        rows = np.arange(len(x))
         for root in self.roots:
-            at = np.full(len(x), root)
-            active = self.feature[at] >= 0
-            while active.any():
-                who, node = rows[active], at[active]
-                feature = self.feature[node]
-                nxt = np.where(x[who, feature] <= self.threshold[node], self.below[node], self.above[node])
-                moved = self.share[nxt, target[who]] - self.share[node, target[who]]
-                out[who, feature] += moved  # one feature per row and step: no repeated index
-                at[active] = nxt
-                active = self.feature[at] >= 0
-        return out / len(self.roots)
-
-
-def attribution_column(paths: ForestPaths, features: list[str], target: str) -> Column:
+            for rows, node, following in self._walk(x, root):
+                moved = self.said[following, target[rows]] - self.said[node, target[rows]]
+                out[rows, self.feature[node]] += moved  # a row occurs once per step
+        return out
+
+    def totals(self, x: np.ndarray) -> np.ndarray:
+        """What the ensemble says about every class, per row."""
+        out = np.tile(self.base(), (len(x), 1))
+        for root in self.roots:
+            for rows, node, following in self._walk(x, root):
+                out[rows] += self.said[following] - self.said[node]
+        return out
+
+
+class ForestPaths(TreePaths):
+    """Class probabilities: the mean of the trees' class shares."""
+
+    def __init__(self, model: RandomForestClassificationModel, class_count: int):
+        super().__init__()
+        trees = model.trees
+
+        def share(node) -> np.ndarray:
+            stats = np.array(list(node.impurityStats().stats()), dtype=float)
+            padded = np.zeros(class_count)
+            padded[: len(stats)] = stats / stats.sum() / len(trees)
+            return padded
+
+        self.roots = [self._add(tree._call_java("rootNode"), share) for tree in trees]
+        self._freeze()
+
+
+class BoostedPaths(TreePaths):
+    """Class margins: the weighted sum of the trees of the class's own ensemble."""
+
+    def __init__(self, model: OneVsRestModel, class_count: int):
+        super().__init__()
+        for position, ensemble in enumerate(model.models):
+            for tree, weight in zip(ensemble.trees, ensemble.treeWeights):
+                def margin(node, position=position, weight=weight) -> np.ndarray:
+                    value = np.zeros(class_count)
+                    value[position] = node.prediction() * weight
+                    return value
+
+                self.roots.append(self._add(tree._call_java("rootNode"), margin))
+        self.known = len(model.models)
+        self._freeze()
+
+    def probabilities(self, x: np.ndarray) -> np.ndarray:
+        """Logistic of the margins, scaled to sum to one; classes never trained get none."""
+        odds = 1.0 / (1.0 + np.exp(-2.0 * self.totals(x)))
+        odds[:, self.known:] = 0.0
+        return odds / odds.sum(axis=1, keepdims=True)
+
+
+def paths_of(model, class_count: int) -> TreePaths:
+    return (BoostedPaths if isinstance(model, OneVsRestModel) else ForestPaths)(model, class_count)
+
+
+def boosted_probabilities(paths: BoostedPaths, features: list[str]) -> Column:
+    @F.pandas_udf("array<double>")
+    def probabilities(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for x in parts:
+            yield pd.Series(list(paths.probabilities(np.stack(x.to_numpy()))) if len(x) else [], dtype=object)
+
+    return probabilities(F.array(*[F.col(c).cast("double") for c in features]))
+
+
+def attribution_column(paths: TreePaths, features: list[str], target: str) -> Column:
     """array<double> in feature order: contributions to the class of index column `target`."""
     @F.pandas_udf("array<double>")
     def attribute(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 from dataclasses import dataclass, field
 
-from pyspark.ml.classification import RandomForestClassificationModel
+from pyspark.ml.classification import OneVsRestModel, RandomForestClassificationModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -68,6 +68,7 @@ class TrainConfig:
     seed: int = 42
     trials: int = 20
     params: dict | None = None  # given: no search
+    boosted: bool = False  # one boosted ensemble per class, with the given or default parameters
     space: dict | None = None
 
 
@@ -90,13 +91,14 @@ def train_job(rows: DataFrame, output_dir: str, config: TrainConfig | None = Non
     weighted = {name: encode.with_weights(part) if name == "train" else part for name, part in ready.items()}
 
     params, found = config.params, None
-    if params is None:
+    if params is None and not config.boosted:
         params, found = classify.search(
             weighted["train"], ready["val"], classes=config.classes, trials=config.trials,
             seed=config.seed, space=config.space,
         )
     final_rows = encode.with_weights(ready["train"].unionByName(ready["val"]))
-    model = classify.train(final_rows, classes=config.classes, params=params, seed=config.seed)
+    train = classify.train_boosted if config.boosted else classify.train
+    model = train(final_rows, classes=config.classes, params=params, seed=config.seed)
     model.write().overwrite().save(f"{output_dir}/classifier")
 
     tested = ready["train"] if ready["test"].isEmpty() else ready["test"]
@@ -105,6 +107,7 @@ def train_job(rows: DataFrame, output_dir: str, config: TrainConfig | None = Non
     pairs = rows.sparkSession.read.parquet(f"{output_dir}/pairs")
     _write_json(rows.sparkSession, f"{output_dir}/training", {
         "classes": config.classes, "features": FEATURE_COLUMNS, "params": params, "validation_macro_f1": found,
+        "boosted": config.boosted,
     })
     return {
         "split": encode.split_report(known, assignment),
@@ -151,8 +154,9 @@ def read_json(spark: SparkSession, path: str) -> dict:
 
 def load_models(spark: SparkSession, model_dir: str, forest_dir: str | None = None) -> Models:
     meta = read_json(spark, f"{model_dir}/training")
+    kind = OneVsRestModel if meta["boosted"] else RandomForestClassificationModel
     return Models(
-        classifier=RandomForestClassificationModel.load(f"{model_dir}/classifier"),
+        classifier=kind.load(f"{model_dir}/classifier"),
         forest=isolation.load(spark.read.parquet(f"{forest_dir or model_dir}/forest")),
         encoders=spark.read.parquet(f"{model_dir}/encoders"),
         classes=tuple(meta["classes"]),

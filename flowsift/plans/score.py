@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from flowsift.functions.evidence import evidence_texts, top_contributions
 from flowsift.functions.scalar import anomaly_norm, decide, severity
-from flowsift.operators.classify import ForestPaths, attribution_column, predict
+from flowsift.operators.classify import TreePaths, attribution_column, paths_of, predict
 from flowsift.operators.encode import model_rows
 from flowsift.operators.isolation import Forest, with_score
 from flowsift.schema import CLASSES, FEATURE_COLUMNS
@@ -27,12 +27,12 @@ class Models:
     classifier: object
     forest: Forest
     encoders: DataFrame | None
-    paths: ForestPaths | None = None
+    paths: TreePaths | None = None
     classes: tuple[str, ...] = tuple(CLASSES)
 
     def __post_init__(self):
         if self.paths is None:
-            self.paths = ForestPaths(self.classifier, len(self.classes))
+            self.paths = paths_of(self.classifier, len(self.classes))
 
 
 def score(rows: DataFrame, models: Models, top_k: int = 5, policy: str = "service",

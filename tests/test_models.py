@@ -77,6 +77,27 @@ def test_contributions_add_up(spark, trained):
         assert models.paths.base()[r.class_index] + sum(r.moved) == pytest.approx(r.confidence, abs=1e-9)
 
 
+def test_boosted(spark, tmp_path):
+    out = str(tmp_path)
+    rows = labelled(spark, 8, 4).persist()
+    jobs.train_job(rows, out, jobs.TrainConfig(boosted=True, params={"maxIter": 3, "maxDepth": 3}))
+    jobs.train_anomaly_job(rows.filter("label = 'benign'"), out, trees=10, sample=16)
+    models = jobs.load_models(spark, out)
+    ready = encode.model_rows(rows, models.encoders, ["flow_id"])
+    predicted = classify.predict(models.classifier, ready)
+    got = predicted.withColumn("moved", classify.attribution_column(models.paths, FEATURE_COLUMNS, "class_index")).collect()
+    # the margins must be those of Spark's own ensembles
+    own = {}
+    for position, ensemble in enumerate(models.classifier.models):
+        for r in ensemble.transform(classify.assemble(ready)).select("flow_id", "rawPrediction").collect():
+            own[r.flow_id, position] = r.rawPrediction[1]
+    for r in got:
+        assert sum(r.probabilities) == pytest.approx(1.0)
+        assert models.paths.base()[r.class_index] + sum(r.moved) == pytest.approx(own[r.flow_id, r.class_index], abs=1e-9)
+    assert sum(r.flow_id.startswith(r.predicted) for r in got) > 0.9 * len(got)
+    assert all(len(r.evidence) == 5 for r in score(rows, models).collect())
+
+
 def test_isolation_ranks_outliers_first(spark):
     rng = np.random.default_rng(0)
     points = [(str(i), float(a), float(b)) for i, (a, b) in enumerate(rng.normal(size=(400, 2)))] + [("out", 9.0, 9.0)]
