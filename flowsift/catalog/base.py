@@ -38,7 +38,9 @@ def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
 
 def run_folder(spark: SparkSession, name: str) -> str:
     """A folder of its own per run, under the cluster's shared checkpoint folder."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="flowsift-")
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and spark.sparkContext.master.startswith("local"):
+        shared = tempfile.mkdtemp(prefix="flowsift-")  # one machine: its own folder is shared
     return state_root(spark, f"{name}-{uuid.uuid4().hex}", shared)
 
 

@@ -47,7 +47,7 @@ def tree_samples(rows: DataFrame, features: list[str], row_id: str, trees: int =
     x = F.array(*[F.col(c).cast("double") for c in features]).alias("x")
     pool = trees * size
     if total >= pool:
-        # the wanted rows are the smallest hashes: cut most others before the top-k
+        # a cut on the hash leaves about twice the rows wanted; the smallest of those are taken
         share = min(1.0, (2.0 * pool + 1000.0) / total)
         draw = F.xxhash64(F.lit(seed), row_id)
         near = rows.select(x, draw.alias("_draw"), F.col(row_id).alias("_id")).filter(

@@ -5,6 +5,8 @@ including window_seconds older count, later rows with the same ts do not.
 
 Counts, distinct counts and entropy come from a sweep: every flow enters at ts and leaves
 after ts + window, and running sums over these marks replace any per-row look at the window.
+A value becomes distinct where its last occurrence is more than a window away, and stops
+being so where its next one is; both are known from the neighbouring rows of that value.
 Everything summed is a whole number (microseconds, counts, fixed-point logs), so nothing
 drifts and slices of a hot key add up exactly. Cost is n log n whatever the window holds.
 """
@@ -22,17 +24,16 @@ from flowsift.operators.running import (
 from flowsift.schema import EPSILON, WINDOW_SECONDS
 
 MICROS = 1_000_000
+ORDER = ["_t", "uid"]
 SWEEP = ["_t", "_leaves", "uid"]
 _FRACTION_BITS = 36
 
 
-def _marks(df: DataFrame, window: int, payload: list[str], on_enter: dict, on_leave: dict) -> DataFrame:
+def _marks(df: DataFrame, window: int, keep: list[str], payload: list[str], on_enter: dict, on_leave: dict) -> DataFrame:
     """Two rows per flow: entering at _t and leaving at _t + window.
 
     The payload rides only on the entering row.
     """
-    keep = [c for c in df.columns if c not in payload and c not in ("_t", "prev__t", "next__t")]
-
     def mark(leaves: int, t: Column, extra: dict) -> Column:
         return F.struct(
             F.lit(leaves).alias("_leaves"),
@@ -46,11 +47,14 @@ def _marks(df: DataFrame, window: int, payload: list[str], on_enter: dict, on_le
     return df.select(*keep, F.explode(both).alias("_mark")).select(*keep, "_mark.*")
 
 
-def _becomes_distinct(count: str) -> Column:
-    """+1 when a value enters the window, -1 when its last occurrence leaves."""
-    entered = (F.col("_sign") > 0) & (F.col(count) == 1)
-    left = (F.col("_sign") < 0) & (F.col(count) == 0)
-    return F.when(entered, 1).when(left, -1).otherwise(0).cast("bigint")
+def _appears(before: str, window: int) -> Column:
+    """1 where the value was not in the window yet."""
+    return F.when(F.col("_t") - F.col(before) <= window, 0).otherwise(1).cast("bigint")
+
+
+def _vanishes(after: str, window: int) -> Column:
+    """-1 where the value leaves the window with this flow."""
+    return F.when(F.col(after) - F.col("_t") <= window, 0).otherwise(-1).cast("bigint")
 
 
 def _c_log_c(count: Column) -> Column:
@@ -74,17 +78,18 @@ def destination_window(flows: DataFrame, window_seconds: float = WINDOW_SECONDS,
     """Adds fan_in: distinct sources that reached the flow's destination in the window."""
     window = round(window_seconds * MICROS)
     timed = flows.withColumn("_t", ticks("ts"))
-    payload = [c for c in flows.columns if c not in ("uid", "src_ip", "dst_ip")]
+    payload = [c for c in flows.columns if c not in ("uid", "dst_ip")]
 
     def sweep(rows: DataFrame, slicing: Slicing | None) -> DataFrame:
-        marks = _marks(rows, window, payload, {}, {})
         if slicing is None:
             # one shuffle serves both windows below
-            marks = marks.repartition("dst_ip")
-        counted = running(marks, ["dst_ip", "src_ip"], SWEEP, {"_pair": ("sum", F.col("_sign"))}, slicing)
-        summed = running(
-            counted, ["dst_ip"], SWEEP, {"_sources": ("sum", _becomes_distinct("_pair"))}, slicing
+            rows = rows.repartition("dst_ip")
+        placed = neighbours(rows, ["dst_ip", "src_ip"], ORDER, ("_before", "_after"), slicing)
+        marks = _marks(
+            placed, window, ["uid", "dst_ip"], payload,
+            {"_step": _appears("_before", window)}, {"_step": _vanishes("_after", window)},
         )
+        summed = running(marks, ["dst_ip"], SWEEP, {"_sources": ("sum", F.col("_step"))}, slicing)
         return summed.filter("_leaves = 0").select(
             *flows.columns, F.col("_sources").cast("double").alias("fan_in")
         )
@@ -103,8 +108,8 @@ def lifetime_intervals(flows: DataFrame, target_rows: int | None = None) -> Data
 
 
 def _lifetime(rows: DataFrame, slicing: Slicing | None) -> DataFrame:
-    placed = neighbours(rows, ["src_ip"], ["_t", "uid"], slicing)
-    return running(placed, ["src_ip"], ["_t", "uid"], _gap_folds(), slicing)
+    placed = neighbours(rows, ["src_ip"], ORDER, ("prev__t", "next__t"), slicing)
+    return running(placed, ["src_ip"], ORDER, _gap_folds(), slicing)
 
 
 def _gap_folds() -> dict[str, tuple[str, Column]]:
@@ -125,7 +130,7 @@ def _placed_after(rows: DataFrame, sources: DataFrame, target_rows: int | None)
     timed = rows.withColumn("_t", ticks("ts"))
     slicing = plan_slices(timed, ["src_ip"], "_t", target_rows)
     placed = per_temperature(
-        timed, slicing, lambda part, cut: neighbours(part, ["src_ip"], ["_t", "uid"], cut)
+        timed, slicing, lambda part, cut: neighbours(part, ["src_ip"], ORDER, ("prev__t", "next__t"), cut)
     )
     stored = sources.select("src_ip", *[F.col(c).alias(f"_s{c}") for c in ("_last", *_LIFETIME)])
     joined = lookup_join(placed, stored, "src_ip", row_id="uid")
@@ -138,7 +143,7 @@ def continue_lifetime(rows: DataFrame, sources: DataFrame, target_rows: int | No
     folds = _gap_folds()
     local = {f"_l{name}": fold for name, fold in folds.items()}
     summed = per_temperature(
-        placed, slicing, lambda part, cut: running(part, ["src_ip"], ["_t", "uid"], local, cut)
+        placed, slicing, lambda part, cut: running(part, ["src_ip"], ORDER, local, cut)
     )
     total = summed.select(*rows.columns, *[
         combine(kind, F.col(f"_s{name}"), F.col(f"_l{name}")).alias(name) for name, (kind, _) in folds.items()
@@ -192,15 +197,16 @@ def source_window(flows: DataFrame, window_seconds: float = WINDOW_SECONDS,
     """
     window = round(window_seconds * MICROS)
     timed = flows.withColumn("_t", ticks("ts"))
-    needed = ("uid", "src_ip", "dst_ip", "dst_port")
     # gaps inside a window add up to at most the window, so their squares to its square
     square_type = "bigint" if window * window < 2**63 else "decimal(38,0)"
 
     def sweep(rows: DataFrame, slicing: Slicing | None) -> DataFrame:
         if slicing is None:
             rows = rows.repartition("src_ip")
-        placed = _lifetime(rows, slicing) if lifetime else neighbours(rows, ["src_ip"], ["_t", "uid"], slicing)
-        payload = [c for c in flows.columns if c not in needed] + (_LIFETIME if lifetime else [])
+        gaps = ("prev__t", "next__t")
+        placed = _lifetime(rows, slicing) if lifetime else neighbours(rows, ["src_ip"], ORDER, gaps, slicing)
+        placed = neighbours(placed, ["src_ip", "dst_port"], ORDER, ("_port_before", "_port_after"), slicing)
+        placed = neighbours(placed, ["src_ip", "dst_ip", "dst_port"], ORDER, ("_pair_before", "_pair_after"), slicing)
 
         def inside(gap: Column, sign: int) -> dict[str, Column]:
             kept = F.coalesce(F.when(gap <= window, gap), F.lit(0)).cast("bigint")
@@ -208,22 +214,29 @@ def source_window(flows: DataFrame, window_seconds: float = WINDOW_SECONDS,
             return {"_gap": kept * F.lit(sign), "_square": (wide * wide * F.lit(sign)).cast(square_type)}
 
         marks = _marks(
-            placed, window, payload,
-            inside(F.col("_t") - F.col("prev__t"), 1),
-            inside(F.col("next__t") - F.col("_t"), -1),
+            placed, window, ["uid", "src_ip", "dst_ip"],
+            [c for c in flows.columns if c not in ("uid", "src_ip", "dst_ip")] + (_LIFETIME if lifetime else []),
+            {
+                "_port": _appears("_port_before", window), "_pair": _appears("_pair_before", window),
+                **inside(F.col("_t") - F.col("prev__t"), 1),
+            },
+            {
+                "_port": _vanishes("_port_after", window), "_pair": _vanishes("_pair_after", window),
+                **inside(F.col("next__t") - F.col("_t"), -1),
+            },
         )
-        sign = ("sum", F.col("_sign"))
-        step = running(marks, ["src_ip", "dst_port"], SWEEP, {"_n_port": sign}, slicing)
-        step = running(step, ["src_ip", "dst_ip", "dst_port"], SWEEP, {"_n_pair": sign}, slicing)
-        step = running(step, ["src_ip", "dst_ip"], SWEEP, {"_n_ip": sign}, slicing)
-        now, before = _c_log_c(F.col("_n_ip")), _c_log_c(F.col("_n_ip") - F.col("_sign"))
+        sign, count = ("sum", F.col("_sign")), F.col("_n_ip")
+        step = running(marks, ["src_ip", "dst_ip"], SWEEP, {"_n_ip": sign}, slicing)
+        first = (F.col("_sign") > 0) & (count == 1)
+        last = (F.col("_sign") < 0) & (count == 0)
+        now, before = _c_log_c(count), _c_log_c(count - F.col("_sign"))
         step = running(
             step, ["src_ip"], SWEEP,
             {
                 "_n": sign,
-                "_ips": ("sum", _becomes_distinct("_n_ip")),
-                "_pairs": ("sum", _becomes_distinct("_n_pair")),
-                "_ports": ("sum", _becomes_distinct("_n_port")),
+                "_ips": ("sum", F.when(first, 1).when(last, -1).otherwise(0).cast("bigint")),
+                "_pairs": ("sum", F.col("_pair")),
+                "_ports": ("sum", F.col("_port")),
                 "_log_whole": ("sum", F.floor(now) - F.floor(before)),
                 "_log_part": ("sum", _fraction(now) - _fraction(before)),
                 "_window_gap": ("sum", F.col("_gap")),

@@ -139,11 +139,11 @@ def _sliced(df: DataFrame, keys: list[str], slicing: Slicing) -> DataFrame:
     return slicing.assign(df).withColumn(KEY, F.struct(*keys)).repartition(KEY, SLICE)
 
 
-def neighbours(df: DataFrame, keys: list[str], order: list[str],
+def neighbours(df: DataFrame, keys: list[str], order: list[str], names: tuple[str, str],
                slicing: Slicing | None = None) -> DataFrame:
-    """Adds prev_<t> and next_<t>: the first order column of the rows before and after."""
+    """Adds the first order column of the rows before and after, under the two names."""
     t = order[0]
-    prev_name, next_name = f"prev_{t}", f"next_{t}"
+    prev_name, next_name = names
     if slicing is None:
         frame = Window.partitionBy(*keys).orderBy(*order)
         return df.select("*", F.lag(t).over(frame).alias(prev_name), F.lead(t).over(frame).alias(next_name))

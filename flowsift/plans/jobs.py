@@ -87,13 +87,17 @@ def train_job(rows: DataFrame, output_dir: str, config: TrainConfig | None = Non
 
     encode.fit_encoders(parts["train"]).coalesce(1).write.mode("overwrite").parquet(f"{output_dir}/encoders")
     encoders = rows.sparkSession.read.parquet(f"{output_dir}/encoders")
-    ready = {name: encode.model_rows(part, encoders, ["label", "scenario"]) for name, part in parts.items()}
-    weighted = {name: encode.with_weights(part) if name == "train" else part for name, part in ready.items()}
+    # every trial reads the model rows again, so they are prepared once
+    ready = {}
+    for name, part in parts.items():
+        path = f"{output_dir}/rows/split={name}"
+        encode.model_rows(part, encoders, ["label", "scenario"]).write.mode("overwrite").parquet(path)
+        ready[name] = rows.sparkSession.read.parquet(path)
 
     params, found = config.params, None
     if params is None and not config.boosted:
         params, found = classify.search(
-            weighted["train"], ready["val"], classes=config.classes, trials=config.trials,
+            encode.with_weights(ready["train"]), ready["val"], classes=config.classes, trials=config.trials,
             seed=config.seed, space=config.space,
         )
     final_rows = encode.with_weights(ready["train"].unionByName(ready["val"]))
