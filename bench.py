@@ -13,8 +13,8 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from pyspark.sql import SparkSession  # noqa: E402
 
 HEADLINE = [
-    "flow_windows", "rolling_source", "rolling_fan_in", "arrival_intervals", "dns_window", "dns_by_uid",
-    "enriched_flows", "contract_violations", "flow_rates", "char_entropy", "fingerprints", "parsed_values",
+    "flow_rates", "parsed_values", "fingerprints", "rolling_fan_in", "arrival_intervals", "rolling_source",
+    "flow_windows", "dns_by_uid", "dns_window", "enriched_flows", "contract_violations", "char_entropy",
     "wire_messages", "top_contributions", "alert_page", "text_search", "stats_timeline", "correlate",
     "chain_summary", "kill_chains", "applied_codes", "group_split", "classification_report",
     "score_summary", "score_histogram", "row_checks", "isolation_scores", "trained_predictions",
