@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from flowsift.catalog.base import DAY, micros, prop_k, query, rounded, run_folder, table
+from flowsift.catalog.base import prop_k, query, rounded, run_folder, table
 from flowsift.catalog.features import contract_rows
 from flowsift.functions import scalar
-from flowsift.operators import classify, encode, enrich, evaluate, isolation, ordering, quality, rolling
+from flowsift.operators import classify, encode, enrich, evaluate, isolation, ordering, quality
 from flowsift.plans.score import Models, score
 from flowsift.schema import CLASSES, FEATURE_COLUMNS
 from flowsift.sources import tables
@@ -324,8 +324,7 @@ def trained_predictions(spark, d):
 
 def contract_features(spark, d):
     """Contract rows of all sound events, labelled by their kind."""
-    rows = rolling.flow_windows(enrich.with_rates(contract_rows(spark, d)), DAY)
-    good, _ = enrich.split_violations(enrich.to_contract(rows, "quarantine"))
+    good, _ = enrich.split_violations(enrich.to_contract(contract_rows(spark, d), "quarantine"))
     kinds = F.when(F.col("dst_ip") == "click", "ddos").when(F.col("dst_ip") == "error", "port_scan").otherwise("benign")
     return good.withColumn("label", kinds)
 

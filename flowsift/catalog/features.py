@@ -278,15 +278,15 @@ def quic_sizes(spark, d):
     return enrich.quic_features(log).select("uid", "quic_0rtt", rounded("quic_pkt_size_mean"), rounded("quic_pkt_size_std"))
 
 
-def _enriched(spark, d):
-    flow = flows(spark, d)
+def _side_logs(spark, d):
+    """Clicks as TLS sessions, views as QUIC sessions."""
     events = table(spark, d, "events")
     uid = F.col("event_id").cast("string").alias("uid")
     tls = enrich.tls_features(events.filter("event_type = 'click'").select(
         uid, micros("ts").alias("ts"), F.lit("TLSv1.3").alias("version"), F.concat(F.lit("C"), prop_k()).alias("cipher")))
     quic = enrich.quic_features(events.filter("event_type = 'view'").select(
         uid, F.concat_ws(",", prop_k(), F.lit("10")).alias("packet_sizes")))
-    return enrich.enrich(flow, None, tls, quic)
+    return tls, quic
 
 
 @query("enriched_flows", """SELECT event_id::VARCHAR AS uid, event_type = 'click' AS is_tls,
@@ -296,26 +296,26 @@ def _enriched(spark, d):
     0::BIGINT AS dns_query_count, '' AS ja3_hash
   FROM (SELECT *, json_extract_string(props, '$.k')::INT AS k FROM events)""")
 def enriched_flows(spark, d):
-    return _enriched(spark, d).select(
+    return enrich.enrich(flows(spark, d), None, *_side_logs(spark, d)).select(
         "uid", "is_tls", "cipher_suite", "tls_version", "is_quic", "quic_0rtt", "quic_pkt_size_mean", "dns_query_count", "ja3_hash"
     )
 
 
 def contract_rows(spark, d):
-    """Full contract rows from the events, some of them broken on purpose."""
-    rows = _enriched(spark, d).join(
-        table(spark, d, "events").select(F.col("event_id").cast("string").alias("uid"), "event_id", "value"), "uid"
-    )
-    k = F.col("dst_port")
-    shaped = rows.select(
-        "*",
+    """Feature rows of all events before the contract check, some broken on purpose."""
+    k, value = prop_k(), F.col("value")
+    events = table(spark, d, "events")
+    shaped = events.select(
+        F.col("event_id").cast("string").alias("uid"), (micros("ts") / F.lit(1e6)).alias("ts"),
+        F.col("user_id").cast("string").alias("src_ip"), F.col("event_type").alias("dst_ip"), k.alias("dst_port"),
         F.when(k % 13 == 0, "sctp").when(k % 2 == 0, "tcp").otherwise("udp").alias("protocol"),
         (F.col("event_id") % 65536).cast("int").alias("src_port"),
-        (F.col("value") / 100).alias("duration"),
-        F.when(k % 17 == 0, -1).otherwise(F.floor("value")).alias("orig_bytes"),
-        F.floor(F.col("value") / 2).alias("resp_bytes"), (k % 9).cast("bigint").alias("orig_pkts"), (k % 4).cast("bigint").alias("resp_pkts"),
+        (value / 100).alias("duration"),
+        F.when(k % 17 == 0, -1).otherwise(F.floor(value)).alias("orig_bytes"),
+        F.floor(value / 2).alias("resp_bytes"), (k % 9).cast("bigint").alias("orig_pkts"), (k % 4).cast("bigint").alias("resp_pkts"),
     )
-    return shaped
+    features = rolling.flow_windows(enrich.with_rates(shaped), DAY)
+    return enrich.enrich(features, None, *_side_logs(spark, d), validate=False)
 
 
 @query("contract_violations", """WITH e AS (SELECT event_id, json_extract_string(props, '$.k')::INT AS k FROM events)
@@ -323,9 +323,7 @@ def contract_rows(spark, d):
       CASE WHEN k % 13 = 0 THEN 'invalid protocol' END) AS violations FROM e WHERE k % 17 = 0 OR k % 13 = 0""")
 def contract_violations(spark, d):
     """Rows that break the durable contract, with their reasons."""
-    rows = enrich.with_rates(contract_rows(spark, d))
-    full = rolling.flow_windows(rows, DAY)
-    _, bad = enrich.split_violations(enrich.to_contract(full, "quarantine"))
+    _, bad = enrich.split_violations(enrich.to_contract(contract_rows(spark, d), "quarantine"))
     return bad.select("flow_id", F.concat_ws(";", F.array_sort("violations")).alias("violations"))
 
 

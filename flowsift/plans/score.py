@@ -16,7 +16,7 @@ from flowsift.schema import CLASSES, FEATURE_COLUMNS
 
 CARRIED = [
     "flow_id", "ts", "src_ip", "dst_ip", "src_port", "dst_port", "protocol", "duration",
-    "ja3_hash", "ja4_hash", "is_quic", "quic_0rtt",
+    "ja3_hash", "ja4_hash", "is_quic", "quic_0rtt", "bytes",
 ]
 
 
