@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowsift.llm import license_scan, packing, positional_index, sharding, token_counts
+from flowsift.llm import license_scan, packing, positional_index, sharding, spot_signatures, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -60,3 +60,8 @@ def op4(spark, directory):
 @query("op6_license_scan")
 def op6(spark, directory):
     return license_scan.license_scan(table(spark, directory, "documents"))
+
+
+@query("op2_spot_signatures")
+def op2(spark, directory):
+    return spot_signatures.fingerprints(table(spark, directory, "documents"))
