@@ -8,7 +8,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowsift.llm import license_scan, packing, positional_index, sharding, spot_signatures, token_counts
+from flowsift.llm import (
+    license_scan,
+    packing,
+    positional_index,
+    sharding,
+    spot_signatures,
+    suffix_dedup,
+    token_counts,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -65,3 +73,8 @@ def op6(spark, directory):
 @query("op2_spot_signatures")
 def op2(spark, directory):
     return spot_signatures.fingerprints(table(spark, directory, "documents"))
+
+
+@query("op3_suffix_dedup")
+def op3(spark, directory):
+    return suffix_dedup.dedup_digest(table(spark, directory, "documents"))
