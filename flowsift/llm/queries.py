@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from flowsift.llm import (
     license_scan,
+    ngram_join,
     packing,
     positional_index,
     sharding,
@@ -78,3 +79,8 @@ def op2(spark, directory):
 @query("op3_suffix_dedup")
 def op3(spark, directory):
     return suffix_dedup.dedup_digest(table(spark, directory, "documents"))
+
+
+@query("op10_ngram_jaccard_join")
+def op10(spark, directory):
+    return ngram_join.ngram_links(table(spark, directory, "documents")).select("doc_id", "class_id", "n_links")
