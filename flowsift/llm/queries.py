@@ -17,8 +17,11 @@ from flowsift.llm import (
     spot_signatures,
     suffix_dedup,
     token_counts,
+    toxicity,
 )
 
+from flowsift.llm.common import held_out
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
@@ -84,3 +87,11 @@ def op3(spark, directory):
 @query("op10_ngram_jaccard_join")
 def op10(spark, directory):
     return ngram_join.ngram_links(table(spark, directory, "documents")).select("doc_id", "class_id", "n_links")
+
+
+@query("op8_toxicity")
+def op8(spark, directory):
+    docs = table(spark, directory, "documents")
+    scored = toxicity.scored(docs, toxicity.fit(docs, table(spark, directory, "labels")))
+    return scored.select("doc_id", held_out(3, 1).alias("held_out"), "score",
+                         (F.col("score") >= 0.7).cast("int").alias("predicted"))
