@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowsift.llm import (
+    language_model,
     license_scan,
     ngram_join,
     packing,
@@ -95,3 +96,9 @@ def op8(spark, directory):
     scored = toxicity.scored(docs, toxicity.fit(docs, table(spark, directory, "labels")))
     return scored.select("doc_id", held_out(3, 1).alias("held_out"), "score",
                          (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+@query("op1_lm_scoring")
+def op1(spark, directory):
+    words = language_model.Vocabulary(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return language_model.language_scores(table(spark, directory, "documents"), words)
