@@ -348,7 +348,7 @@ def scored(docs: DataFrame, net: Network | None, *extra: str) -> DataFrame:
 
     def score(records):
         scorer = Scorer(net)
-        for batch in batches(records, 100):
+        for batch in batches(records, 400):
             values = scorer.scores(utf8(batch.column("text")))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(values, pa.float64())], [*names, "score"])
 
