@@ -449,6 +449,22 @@ def kept_text(text: bytes, spans: list[dict]) -> str:
     return b"".join([*parts, text[at:]]).decode()
 
 
+def kept_texts(docs: DataFrame, *extra: str) -> DataFrame:
+    """doc_id, text without its repeated bytes, the named other columns, and whether anything was cut."""
+    found = repeated_spans(docs, *extra)
+    names = [c for c in found.columns if c != "spans"]
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in found.schema if f.name != "spans")
+
+    def keep(records):
+        for batch in batches(records, 500):
+            spans = batch.column("spans").to_pylist()
+            texts = [kept_text(t, x) for t, x in zip(utf8(batch.column("text")), spans)]
+            columns = [pa.array(texts, pa.string()) if n == "text" else batch.column(n) for n in names]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array([bool(x) for x in spans])], [*names, "cut"])
+
+    return found.mapInArrow(keep, f"{kinds}, cut boolean")
+
+
 def dedup_digest(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row."""
     found = repeated_spans(docs)
