@@ -3,9 +3,9 @@
 import pytest
 
 import __spark_entry__ as entry_point
+from flowsift.catalog import ORACLE, QUERIES
 from tests.oracle import compare, connect
 
-QUERIES, ORACLE = entry_point.queries(), entry_point.oracle_sql()
 MODELS = {"isolation_scores", "trained_predictions", "scored_flows", "stream_scores"}
 
 
@@ -16,6 +16,7 @@ def db(sf):
 
 def test_registry():
     assert set(ORACLE) <= set(QUERIES) and set(QUERIES) - set(ORACLE) == MODELS
+    assert set(QUERIES) <= set(entry_point.queries()) and set(ORACLE) <= set(entry_point.oracle_sql())
 
 
 @pytest.mark.parametrize("name", sorted(ORACLE))
