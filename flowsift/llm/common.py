@@ -49,7 +49,7 @@ class Memo(dict):
         return value
 
 
-def word_hashes(bound: int = 1_000_000) -> Memo:
+def word_hashes(bound: int = 250_000) -> Memo:
     return Memo(xxhash.xxh3_64_intdigest, bound)
 
 

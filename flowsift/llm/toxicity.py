@@ -32,7 +32,7 @@ SAMPLE, SAMPLE_BYTES = (3_000, 1_500), 20_000
 ROUNDS = 6
 # windows of repeated words per round
 ECHOES = 3_000
-WORDS_HELD = 400_000
+WORDS_HELD = 200_000
 
 
 def trigram_numbers(items: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -315,7 +315,7 @@ class Scorer:
     def _reset(self):
         self.fresh: list[bytes] = []
         self.known = Memo(self._number, 1 << 60)
-        self.table = np.zeros((1, 6 * STATE), np.float32)  # row 0 is padding
+        self.table = np.zeros((WORDS_HELD // 4, 6 * STATE), np.float32)  # row 0 is padding
 
     def _number(self, word: bytes) -> int:
         self.fresh.append(word)
@@ -326,13 +326,18 @@ class Scorer:
             self._reset()
         numbers = [np.fromiter(map(self.known.__getitem__, words(t)), np.int32) for t in texts]
         if self.fresh:
-            gates = self.net.gates(self.net.inputs(self.fresh))
-            self.table = np.concatenate([self.table, gates])
+            end = len(self.known) + 1
+            while len(self.table) < end:
+                self.table = np.concatenate([self.table, np.zeros_like(self.table)])
+            for k in range(0, len(self.fresh), 20_000):
+                part = self.fresh[k : k + 20_000]
+                at = end - len(self.fresh) + k
+                self.table[at : at + len(part)] = self.net.gates(self.net.inputs(part))
             self.fresh = []
         starts = [window_starts(len(n)) for n in numbers]
         rows = np.concatenate([windows(n, s, 0) for n, s in zip(numbers, starts)])
         logits = np.concatenate([self.net.forward(self.table[part], part != 0)
-                                 for part in (rows[k : k + 1024] for k in range(0, len(rows), 1024))])
+                                 for part in (rows[k : k + 512] for k in range(0, len(rows), 512))])
         first = np.concatenate([[0], np.cumsum([len(s) for s in starts])[:-1]])
         top = np.maximum.reduceat(logits, first)
         return sigmoid(self.net.scale * top.astype(np.float64) + self.net.shift)
@@ -348,7 +353,7 @@ def scored(docs: DataFrame, net: Network | None, *extra: str) -> DataFrame:
 
     def score(records):
         scorer = Scorer(net)
-        for batch in batches(records, 400):
+        for batch in batches(records, 200):
             values = scorer.scores(utf8(batch.column("text")))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(values, pa.float64())], [*names, "score"])
 
