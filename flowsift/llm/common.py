@@ -16,10 +16,6 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# the word pattern, for JVM regular expressions
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-
 _WORDS = bytes(
     c + 32 if 0x41 <= c <= 0x5A else c if c >= 0x80 or 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A else 0x20
     for c in range(256)
@@ -79,8 +75,18 @@ def shingle_hashes(word_hash: np.ndarray, width: int) -> np.ndarray:
     return np.unique(mix(total))
 
 
+# rows of one Arrow batch: whole documents, of which ten thousand (the default) may be too much for a task
+ARROW_ROWS = 1_000
+
+
 def whole(docs: DataFrame, *extra: str) -> DataFrame:
-    """doc_id and the whole text, null read as empty; other columns only when named."""
+    """doc_id and the whole text, null read as empty; other columns only when named.
+
+    Sets the session's Arrow batches to at most `ARROW_ROWS` rows.
+    """
+    conf = docs.sparkSession.conf
+    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > ARROW_ROWS:
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
     return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *extra)
 
 
@@ -95,6 +101,7 @@ def batches(records: Iterator[pa.RecordBatch], step: int = 1_000) -> Iterator[pa
     for batch in records:
         for start in range(0, batch.num_rows, step):
             yield batch.slice(start, step)
+    pa.default_memory_pool().release_unused()  # the worker is used again
 
 
 def held_out(of: int, remainder: int) -> Column:

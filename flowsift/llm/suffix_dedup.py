@@ -39,7 +39,7 @@ OFFSETS = LENGTH - RUN + 1  # 64, the bits of a mask
 BEFORE = OFFSETS - 1
 SEGMENT = 1 << 19
 # anchors that a task holds before it sends them on, and kinds of neighbourhoods a task may get of one run
-HELD, KINDS = 1_000_000, 20_000
+HELD, KINDS = 250_000, 20_000
 SHALLOW = 40
 
 _BASE = 0x9E3779B97F4A7C15 | 1
