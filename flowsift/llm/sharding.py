@@ -46,7 +46,7 @@ def propagate(nodes: DataFrame, shards: int, quota: float, rounds: int = ROUNDS,
         counts = state.groupBy("hub", "shard").agg(F.count("*").alias("n"))
         # tables of at most one row per shard, or per pair of shards
         sizes = counts.groupBy("shard").agg(F.sum("n").alias("size"))
-        open_ = F.coalesce("size", F.lit(0)) < quota
+        open_ = F.coalesce("size", F.lit(0)) < 0.95 * quota
         ranked = counts.join(F.broadcast(sizes), "shard").withColumn(
             "own", F.struct("n", F.xxhash64("hub", "shard").alias("draw"), "shard"))
         best = ranked.groupBy("hub").agg(F.max(F.when(open_, F.col("own"))).alias("best"))

@@ -1,6 +1,7 @@
 """Toxicity of texts by a bidirectional gated recurrent network with attention pooling, in numpy.
 
-A word enters by an embedding of its hash and by the mean embedding of its character trigrams. A network
+A word enters by its embedding, if the sample has it in `LEAST_DOCS` documents, and by the mean embedding of
+its character trigrams. A network
 reads windows of words in both directions, pools its states by attention, and gives one logit per window;
 windows overlap and cover the whole text, and a text is as toxic as its most toxic window. Training takes
 a bounded sample of labelled documents (`SAMPLE` of label 0 and 1, by a hash of their ids, whole texts of at most
@@ -25,13 +26,15 @@ from pyspark.sql import functions as F
 from flowsift.llm.common import Memo, batches, held_out, mix, utf8, whole, words
 
 WINDOW, STRIDE = 32, 24
-WORD_BUCKETS, CHAR_BUCKETS = 1 << 15, 1 << 13
+CHAR_BUCKETS = 1 << 13
+# documents of the sample that a word needs for an embedding of its own
+LEAST_DOCS, DRAWN = 4, 6
 WORD_SIZE, CHAR_SIZE, STATE = 8, 8, 8
 # training documents per label 0 and 1, and bytes of each
 SAMPLE, SAMPLE_BYTES = (3_000, 1_500), 20_000
-ROUNDS = 6
-# windows of repeated words per round
-ECHOES = 3_000
+ROUNDS = 5
+# windows of repeated words per round, and steps of 256 windows in a round
+ECHOES, LEAST_STEPS = 3_000, 40
 WORDS_HELD = 200_000
 
 
@@ -47,8 +50,12 @@ def trigram_numbers(items: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         np.concatenate([[0], np.cumsum(sizes - 2)[:-1]]))
 
 
-def word_numbers(items: list[bytes]) -> np.ndarray:
-    return np.fromiter((xxhash.xxh3_64_intdigest(w) % WORD_BUCKETS for w in items), np.int64, len(items))
+def odds(labels: np.ndarray, docs: np.ndarray, number: np.ndarray, size: int) -> np.ndarray:
+    """Log odds of a number in documents of label 1 against label 0, drawn to 0 as if seen `DRAWN` times evenly."""
+    with_one = np.bincount(number[labels[docs] == 1], minlength=size)
+    with_zero = np.bincount(number[labels[docs] == 0], minlength=size)
+    ones, zeros = (labels == 1).mean(), (labels == 0).mean()
+    return np.log((with_one / ones + DRAWN) / (with_zero / zeros + DRAWN))
 
 
 def window_starts(n: int) -> np.ndarray:
@@ -73,11 +80,12 @@ class Network:
     """Parameters by name; gates are update, reset and candidate, for both directions."""
 
     p: dict[str, np.ndarray]
+    known: np.ndarray  # sorted hashes of the words with embeddings; all others have the last one, zero
     scale: float = 1.0
     shift: float = 0.0
 
     @classmethod
-    def fresh(cls, seed: int = 7) -> Network:
+    def fresh(cls, known: np.ndarray, seed: int = 7) -> Network:
         draw = np.random.default_rng(seed)
         size = WORD_SIZE + CHAR_SIZE
 
@@ -85,18 +93,26 @@ class Network:
             return draw.normal(0, 1 / np.sqrt(shape[0]), shape).astype(np.float32)
 
         return cls({
-            "word": draw.normal(0, 0.02, (WORD_BUCKETS, WORD_SIZE)).astype(np.float32),
+            "word": np.concatenate([draw.normal(0, 0.02, (len(known), WORD_SIZE)), np.zeros((1, WORD_SIZE))]
+                                   ).astype(np.float32),
             "char": draw.normal(0, 0.05, (CHAR_BUCKETS, CHAR_SIZE)).astype(np.float32),
             "into": matrix(size, 6 * STATE), "bias": np.zeros(6 * STATE, np.float32),
             "f": matrix(STATE, 3 * STATE), "b": matrix(STATE, 3 * STATE),
-            "attend": matrix(2 * STATE), "out": matrix(2 * STATE), "level": np.zeros(1, np.float32)})
+            "attend": matrix(2 * STATE), "out": matrix(2 * STATE), "level": np.zeros(1, np.float32)}, known)
+
+    def word_numbers(self, items: list[bytes]) -> np.ndarray:
+        hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, items), np.uint64, len(items))
+        if not len(self.known):
+            return np.zeros(len(items), np.int64)
+        at = np.minimum(np.searchsorted(self.known, hashes), len(self.known) - 1)
+        return np.where(self.known[at] == hashes, at, len(self.known))
 
     def inputs(self, items: list[bytes]) -> np.ndarray:
         """Word and character inputs of words."""
         trigram, begin = trigram_numbers(items)
         sizes = np.diff(np.append(begin, len(trigram)))
         mean = np.add.reduceat(self.p["char"][trigram], begin) / sizes[:, None]
-        return np.concatenate([self.p["word"][word_numbers(items)], mean], axis=1).astype(np.float32)
+        return np.concatenate([self.p["word"][self.word_numbers(items)], mean], axis=1).astype(np.float32)
 
     def gates(self, inputs: np.ndarray) -> np.ndarray:
         return inputs @ self.p["into"] + self.p["bias"]
@@ -167,14 +183,23 @@ class Trainer:
     """Adam on the words of a sample."""
 
     def __init__(self, texts: list[bytes], labels: np.ndarray, seed: int = 7):
-        self.net, self.labels, self.draw = Network.fresh(seed), labels, np.random.default_rng(seed)
+        self.labels, self.draw = labels, np.random.default_rng(seed)
         number = Memo(lambda w: len(number), 1 << 60)
         self.docs = [np.fromiter(map(number.__getitem__, words(t)), np.int64) for t in texts]
         self.items = list(number) or [b"-"]
         self.pad = len(self.items)
-        self.word = word_numbers(self.items)
+        distinct = [np.unique(d) for d in self.docs]
+        of = np.repeat(np.arange(len(texts)), [len(d) for d in distinct])
+        flat = np.concatenate(distinct)
+        common = np.flatnonzero(np.bincount(flat, minlength=len(self.items)) >= LEAST_DOCS)
+        known = np.fromiter((xxhash.xxh3_64_intdigest(self.items[k]) for k in common), np.uint64, len(common))
+        self.net = Network.fresh(np.sort(known), seed)
+        self.word = self.net.word_numbers(self.items)
         self.trigram, self.begin = trigram_numbers(self.items)
         self.sizes = np.diff(np.append(self.begin, len(self.trigram)))
+        # words start from what they say by themselves
+        p = self.net.p
+        p["word"][:-1, 0] = odds(labels, of, self.word[flat], len(p["word"]))[:-1] / 2
         self.moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in self.net.p.items()}
         self.turn = 0
         self.starts = [window_starts(len(d)) for d in self.docs]
@@ -208,6 +233,7 @@ class Trainer:
         d_inputs = d_table @ self.net.p["into"].T
         g["word"] = np.zeros_like(self.net.p["word"])
         np.add.at(g["word"], self.word[known], d_inputs[:, :WORD_SIZE])
+        g["word"][-1] = 0
         g["char"] = np.zeros_like(self.net.p["char"])
         rows_of = np.repeat(np.arange(len(known)), self.sizes[known])
         np.add.at(g["char"], self.trigram[_ranges(self.begin[known], self.sizes[known])],
@@ -232,12 +258,13 @@ class Trainer:
         clean = np.flatnonzero((self.labels[which] == 0) & (rows != self.pad).all(axis=1))
         if not len(clean):
             return rows, which, weight
-        of = self.draw.choice(clean, ECHOES)
-        size = self.draw.integers(1, WINDOW // 2, ECHOES)
-        begin = self.draw.integers(0, WINDOW // 2, ECHOES)
+        count = min(ECHOES, len(rows))
+        of = self.draw.choice(clean, count)
+        size = self.draw.integers(1, WINDOW // 2, count)
+        begin = self.draw.integers(0, WINDOW // 2, count)
         place = begin[:, None] + np.arange(WINDOW) % size[:, None]
         return (np.concatenate([rows, rows[of[:, None], place]]), np.concatenate([which, which[of]]),
-                np.concatenate([weight, np.full(ECHOES, weight[of].mean())]))
+                np.concatenate([weight, np.full(count, weight[of].mean())]))
 
     def train(self, rounds: int = ROUNDS) -> Network:
         balance = np.where(self.labels == 1, (self.labels == 0).sum(), (self.labels == 1).sum()) / len(self.labels)
@@ -254,7 +281,9 @@ class Trainer:
             which = np.repeat(np.arange(len(picked)), [len(s) for s in picked])
             weight = balance[which] / np.array([len(s) for s in picked])[which]
             rows, which, weight = self._with_echoes(rows, which, weight)
-            order = self.draw.permutation(len(rows))
+            # small samples are gone over several times, for as many steps as a network needs
+            passes = max(1, -(-LEAST_STEPS * 256 // len(rows)))
+            order = np.concatenate([self.draw.permutation(len(rows)) for _ in range(passes)])
             for k in range(0, len(order), 256):
                 part = order[k : k + 256]
                 self.step(rows[part], self.labels[which[part]], weight[part], 0.01 if turn < 3 else 0.003)
