@@ -7,6 +7,8 @@ where they are one table translation and one split.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import uuid
 from collections.abc import Iterator
 
@@ -96,12 +98,21 @@ def utf8(column: pa.Array) -> list[bytes]:
     return [b"" if x is None else x for x in column.cast(kind).to_pylist()]
 
 
+def _release() -> None:
+    """Gives freed memory back to the machine: the worker process lives on and is used again."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def batches(records: Iterator[pa.RecordBatch], step: int = 1_000) -> Iterator[pa.RecordBatch]:
     """Record batches of at most `step` rows, so what a task holds besides is small."""
     for batch in records:
         for start in range(0, batch.num_rows, step):
             yield batch.slice(start, step)
-    pa.default_memory_pool().release_unused()  # the worker is used again
+    _release()
 
 
 def held_out(of: int, remainder: int) -> Column:

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from flowsift.llm.common import Memo, batches, stored, utf8, whole
 from flowsift.llm.pretokens import Cutter
 
-CHUNKS = 700_000
+CHUNKS = 500_000
 # pieces of one block, on average
 BLOCK = 50_000
 

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from flowsift.llm.common import Memo, batches, utf8, whole
 from flowsift.llm.pretokens import Cutter, byte_letters
 
-CHUNKS = 800_000
+CHUNKS = 700_000
 PAIRS = 1_000_000
 NEVER = 1 << 60
 BYTES = {c: b for b, c in enumerate(byte_letters())}

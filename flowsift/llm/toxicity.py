@@ -35,7 +35,7 @@ SAMPLE, SAMPLE_BYTES = (3_000, 1_500), 20_000
 ROUNDS = 5
 # windows of repeated words per round, and steps of 256 windows in a round
 ECHOES, LEAST_STEPS = 3_000, 40
-WORDS_HELD = 200_000
+WORDS_HELD = 120_000
 
 
 def trigram_numbers(items: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
