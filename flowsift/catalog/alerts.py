@@ -121,12 +121,12 @@ def stats_total(spark, d):
 
 @query("stats_by_class", f"WITH {ALERTS_SQL}, {RECENT_SQL} SELECT threat_class, count(*) AS n FROM recent GROUP BY 1 ORDER BY n DESC, 1 LIMIT 20")
 def stats_by_class(spark, d):
-    return A.count_by_class(_recent(spark, d))
+    return A.count_by_class(_recent(spark, d), 20)
 
 
 @query("stats_by_severity", f"WITH {ALERTS_SQL}, {RECENT_SQL} SELECT severity, count(*) AS n FROM recent GROUP BY 1 ORDER BY n DESC, 1 LIMIT 10")
 def stats_by_severity(spark, d):
-    return A.count_by_severity(_recent(spark, d))
+    return A.count_by_severity(_recent(spark, d), 10)
 
 
 @query("stats_top_sources", f"WITH {ALERTS_SQL} SELECT src_ip, count(*) AS n FROM alerts GROUP BY 1 ORDER BY n DESC, 1 LIMIT 10")
@@ -192,7 +192,7 @@ STAGES_SQL = """stages AS (SELECT * FROM (SELECT kill_chain_id AS chain_id, id A
 
 @query("chain_stages", f"WITH {ALERTS_SQL}, {CORRELATED_SQL}, {TAGGED_SQL}, {STAGES_SQL} SELECT * FROM stages")
 def chain_stages(spark, d):
-    return A.chain_stages(_tagged(spark, d)).select(
+    return A.chain_stages(_tagged(spark, d), limit=A.STAGE_LIMIT).select(
         "chain_id", "alert_id", _at("timestamp"), "threat_class", "severity", F.col("stage").cast("bigint").alias("stage")
     )
 
@@ -204,7 +204,7 @@ def chain_stages(spark, d):
     string_agg(threat_class, ',' ORDER BY stage) AS classes FROM top JOIN stages USING (chain_id) GROUP BY ALL""")
 def kill_chains(spark, d):
     """The hundred chains seen last, each with its first twenty stages nested."""
-    done = A.kill_chains(_tagged(spark, d), max_chains=100)
+    done = A.kill_chains(_tagged(spark, d), stages=A.STAGE_LIMIT, max_chains=100)
     return done.select(
         "chain_id", _at("last_seen", "last_seen"), "stage_count",
         F.array_join("stages.alert_id", ",").alias("alerts"), F.array_join("stages.threat_class", ",").alias("classes"),
@@ -215,7 +215,7 @@ def kill_chains(spark, d):
   SELECT chain_id, stage, id, tagged.t, confidence FROM stages JOIN tagged ON alert_id = id""")
 def stage_alerts(spark, d):
     tagged = _tagged(spark, d)
-    return A.stage_alerts(A.chain_stages(tagged), tagged).select(
+    return A.stage_alerts(A.chain_stages(tagged, limit=A.STAGE_LIMIT), tagged).select(
         "chain_id", F.col("stage").cast("bigint").alias("stage"), "id", _at("timestamp"), "confidence"
     )
 

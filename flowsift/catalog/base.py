@@ -5,7 +5,6 @@ A query is registered together with the SQL that must give the same rows, where
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -37,11 +36,9 @@ def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
 
 
 def run_folder(spark: SparkSession, name: str) -> str:
-    """A folder of its own per run, under the cluster's shared checkpoint folder."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared and spark.sparkContext.master.startswith("local"):
-        shared = tempfile.mkdtemp(prefix="flowsift-")  # one machine: its own folder is shared
-    return state_root(spark, f"{name}-{uuid.uuid4().hex}", shared)
+    """A folder of its own per run, under the shared checkpoint folder, else under the warehouse."""
+    warehouse = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/runs"
+    return state_root(spark, f"{name}-{uuid.uuid4().hex}", warehouse)
 
 
 def micros(column: str) -> Column:

@@ -105,8 +105,12 @@ def event_time(ts) -> Column:
 
 
 def iso_utc(ts) -> Column:
-    """ISO-8601 text of an epoch (the session runs in UTC)."""
-    return F.date_format(event_time(ts), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'+00:00'")
+    """ISO-8601 text of an epoch, in UTC whatever the session's zone is."""
+    micros = ticks(ts)
+    seconds = F.floor(micros / F.lit(1_000_000)).cast("decimal(18,6)")
+    moment = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(secs=seconds)
+    fraction = F.lpad(F.pmod(micros, F.lit(1_000_000)).cast("string"), 6, "0")
+    return F.concat(F.translate(moment.cast("string"), " ", "T"), F.lit("."), fraction, F.lit("+00:00"))
 
 
 def timestamp_seconds(ts) -> Column:

@@ -102,11 +102,11 @@ def _counts(alerts: DataFrame, column: str, limit: int | None) -> DataFrame:
     return counted.limit(limit) if limit else counted
 
 
-def count_by_class(alerts: DataFrame, limit: int | None = 20) -> DataFrame:
+def count_by_class(alerts: DataFrame, limit: int | None = None) -> DataFrame:
     return _counts(alerts, "threat_class", limit)
 
 
-def count_by_severity(alerts: DataFrame, limit: int | None = 10) -> DataFrame:
+def count_by_severity(alerts: DataFrame, limit: int | None = None) -> DataFrame:
     return _counts(alerts, "severity", limit)
 
 
@@ -199,8 +199,8 @@ def chained(alerts: DataFrame, since: datetime | None) -> DataFrame:
     return tagged if since is None else tagged.filter(F.col("timestamp") >= F.lit(since))
 
 
-def chain_stages(alerts: DataFrame, since: datetime | None = None, limit: int = STAGE_LIMIT) -> DataFrame:
-    """The first stages of each chain in time order, one row per stage."""
+def chain_stages(alerts: DataFrame, since: datetime | None = None, limit: int | None = None) -> DataFrame:
+    """The stages of each chain in time order, one row per stage; only the first `limit` if given."""
     ranked = first_in_groups(
         chained(alerts, since), ["kill_chain_id"], [F.asc("timestamp"), F.asc("id")], limit, "stage"
     )
@@ -218,11 +218,11 @@ def chain_summary(alerts: DataFrame, since: datetime | None = None, min_stages:
     ).filter(F.col("stage_count") >= min_stages)
 
 
-def kill_chains(alerts: DataFrame, since: datetime | None = None, stages: int = STAGE_LIMIT,
+def kill_chains(alerts: DataFrame, since: datetime | None = None, stages: int | None = None,
                 max_chains: int | None = None, min_stages: int = 1) -> DataFrame:
-    """Chains, latest activity first, each with its first stages as a nested list.
+    """Chains, latest activity first, each with its stages as a nested list, or the first ones if capped.
 
-    The nested list is a top-k by definition; chain_stages and chain_summary cover the rest.
+    A chain that may outgrow one row is better read as rows of chain_stages.
     """
     summary = chain_summary(alerts, since, min_stages)
     first = chain_stages(alerts, since, stages).groupBy("chain_id").agg(

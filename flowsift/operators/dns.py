@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flowsift.functions.scalar import char_entropy, dns_qtype, label_count, number, text, ticks
+from flowsift.functions.scalar import char_entropy, clean_ip, dns_qtype, label_count, number, required, text, ticks
 from flowsift.operators.running import per_temperature, plan_slices, running
 from flowsift.schema import DNS_ALIASES, WINDOW_SECONDS
 from flowsift.sources.columns import optional, resolve
@@ -18,13 +18,18 @@ _MEASURES = {
 }
 
 
-def dns_events(log: DataFrame, clean=text) -> DataFrame:
-    """(uid, src_ip, ts, query, qtype) from any log that carries the aliased columns."""
+def dns_events(log: DataFrame, clean=clean_ip, mode: str = "quarantine") -> DataFrame:
+    """(uid, src_ip, ts, query, qtype) from any log that carries the aliased columns.
+
+    Addresses get the canonical form that flows have. mode "strict": a bad time ends the job; else it
+    is null, and the event counts for its uid only.
+    """
     found = resolve(log, DNS_ALIASES, ["uid", "src_ip", "ts", "query"])
     return log.select(
         text(found["uid"]).alias("uid"),
         clean(found["src_ip"]).alias("src_ip"),
-        number(found["ts"]).alias("ts"),
+        (required(number(found["ts"]), "invalid required value: dns ts") if mode == "strict"
+         else number(found["ts"])).alias("ts"),
         text(found["query"]).alias("query"),
         dns_qtype(optional(found["qtype"])).alias("qtype"),
     )

@@ -15,7 +15,7 @@ from flowsift.schema import (
 
 def fit_frequency(rows: DataFrame, column: str, top_n: int = TOP_N_CATEGORIES) -> DataFrame:
     """(column, value, code): the top_n most frequent values, coded from 1; ties by value."""
-    counts = rows.filter(F.col(column).isNotNull()).groupBy(F.col(column).cast("string").alias("value")).agg(
+    counts = rows.filter(F.col(column).isNotNull()).groupBy(text(column).alias("value")).agg(
         F.count(F.lit(1)).alias("_n")
     )
     order = [F.desc("_n"), F.asc("value")]

@@ -101,24 +101,37 @@ def normalise_conn(log: DataFrame, mode: str = "strict", ip=clean_ip) -> DataFra
     parsed = {"ts": number(raw["ts"]), **{name: count_value(raw[source]) for name, source in counts.items()}}
     if mode == "strict":
         parsed = {name: required(value, f"invalid required value: {name}") for name, value in parsed.items()}
-    selected = log.select(
-        F.coalesce(raw["uid"].cast("string"), F.lit("")).alias("uid"),
-        parsed["ts"].alias("ts"),
-        ip(raw["id.orig_h"]).alias("src_ip"),
-        ip(raw["id.resp_h"]).alias("dst_ip"),
-        parsed["src_port"].cast("int").alias("src_port"),
-        parsed["dst_port"].cast("int").alias("dst_port"),
-        proto.alias("protocol"),
-        F.greatest(number_or(raw["duration"]), F.lit(0.0)).alias("duration"),
-        *[parsed[c].alias(c) for c in ("orig_bytes", "resp_bytes", "orig_pkts", "resp_pkts")],
-    )
+    names = ["uid", "ts", "src_ip", "dst_ip", "src_port", "dst_port", "protocol", "duration", "orig_bytes",
+             "resp_bytes", "orig_pkts", "resp_pkts"]
+    selected = [c.alias(n) for n, c in zip(names, _typed(raw, parsed, proto, ip))]
     if mode == "strict":
-        return selected
+        return log.select(*selected)
+    # the reader's mark of lines that don't fit their header
+    torn = F.col("_malformed") if "_malformed" in log.columns else F.lit(False)
+    found = log.select(*selected, torn.alias("_torn"))
     bad = F.filter(
-        F.array(*[F.when(F.col(name).isNull(), F.lit(f"invalid {name}")) for name in parsed]),
+        F.array(F.when(F.col("_torn"), F.lit("malformed line")),
+                *[F.when(F.col(name).isNull(), F.lit(f"invalid {name}")) for name in parsed]),
         lambda v: v.isNotNull(),
     )
-    return selected.withColumn(VIOLATIONS, bad)
+    return found.withColumn(VIOLATIONS, bad).drop("_torn")
+
+
+def _typed(raw, parsed, proto, ip) -> list[Column]:
+    return [
+        F.coalesce(raw["uid"].cast("string"), F.lit("")), parsed["ts"], ip(raw["id.orig_h"]), ip(raw["id.resp_h"]),
+        parsed["src_port"].cast("int"), parsed["dst_port"].cast("int"), proto,
+        F.greatest(number_or(raw["duration"]), F.lit(0.0)),
+        *[parsed[c] for c in ("orig_bytes", "resp_bytes", "orig_pkts", "resp_pkts")],
+    ]
+
+
+def mark_duplicates(flows: DataFrame, key: str = "uid") -> DataFrame:
+    """Adds a violation to every row whose key other rows without violations have too."""
+    twice = duplicate_keys(flows.filter(F.size(VIOLATIONS) == 0), key).select(F.col(key).alias("_key"))
+    return flows.join(twice, F.col(key) == F.col("_key"), "left").withColumn(
+        VIOLATIONS, F.when(F.col("_key").isNotNull() & (F.size(VIOLATIONS) == 0), F.array(F.lit(f"duplicate {key}")))
+        .otherwise(F.col(VIOLATIONS))).drop("_key")
 
 
 def with_rates(flows: DataFrame) -> DataFrame:

@@ -83,17 +83,18 @@ def histogram(df: DataFrame, column: str, bins: int = 50) -> DataFrame:
     )
 
 
-def first_in_groups(df: DataFrame, keys: list[str], order: list[Column], limit: int,
+def first_in_groups(df: DataFrame, keys: list[str], order: list[Column], limit: int | None,
                     rank: str = "rank") -> DataFrame:
-    """The first rows of each group with their rank.
+    """The first rows of each group, or all without a limit, with their rank.
 
     The bound on the rank reaches the map side, where each task keeps its own best rows per
     group, so a large group never meets in one place.
     """
-    if limit < 1:
+    if limit is not None and limit < 1:
         raise ValueError("limit must be positive")
     frame = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn(rank, F.row_number().over(frame)).filter(F.col(rank) <= limit)
+    ranked = df.withColumn(rank, F.row_number().over(frame))
+    return ranked if limit is None else ranked.filter(F.col(rank) <= limit)
 
 
 def latest(df: DataFrame, time_column: str, limit: int, tie: str | None = None) -> DataFrame:

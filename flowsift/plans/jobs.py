@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from flowsift.operators import classify, encode, evaluate, isolation, quality
 from flowsift.operators.dns import dns_events, dns_features
 from flowsift.operators.enrich import (
-    assert_unique, enrich, normalise_conn, quic_features, tls_features, to_contract, with_rates,
+    assert_unique, enrich, mark_duplicates, normalise_conn, quic_features, tls_features, to_contract, with_rates,
 )
 from flowsift.operators.ordering import histogram, score_summary
 from flowsift.operators.rolling import flow_windows
@@ -30,21 +30,27 @@ def conn_features(flows: DataFrame, window_seconds: float = WINDOW_SECONDS,
 def feature_rows(conn_log: DataFrame, dns_log: DataFrame | None = None, tls_log: DataFrame | None = None,
                  quic_log: DataFrame | None = None, mode: str = "strict", dns_mode: str = "source_window",
                  window_seconds: float = WINDOW_SECONDS, target_rows: int | None = None) -> DataFrame:
-    """Log tables to contract rows. In quarantine mode rejected rows keep `violations`."""
+    """Log tables to contract rows. In quarantine mode rejected rows keep `violations`; rows of the
+    connection log that can't become features at all are given by rejected_flows."""
     flows = normalise_conn(conn_log, mode)
     if mode == "quarantine":
-        flows = flows.filter(F.size("violations") == 0).drop("violations")
+        flows = mark_duplicates(flows).filter(F.size("violations") == 0).drop("violations")
     if mode == "strict":
         assert_unique(flows, "uid", "flows")  # on the narrow flows, not on the finished features
     features = conn_features(flows, window_seconds, target_rows)
     dns = None if dns_log is None else dns_features(
-        flows.select("uid", "ts", "src_ip"), dns_events(dns_log), dns_mode, window_seconds, target_rows
+        flows.select("uid", "ts", "src_ip"), dns_events(dns_log, mode=mode), dns_mode, window_seconds, target_rows
     )
     tls = None if tls_log is None else tls_features(tls_log)
     quic = None if quic_log is None else quic_features(quic_log)
     return to_contract(enrich(features, dns, tls, quic, validate=False), mode)
 
 
+def rejected_flows(conn_log: DataFrame) -> DataFrame:
+    """Rows of the connection log with their `violations`: torn lines, bad values, repeated uids."""
+    return mark_duplicates(normalise_conn(conn_log, "quarantine")).filter(F.size("violations") > 0)
+
+
 def feature_job(spark: SparkSession, log_dir: str, scenario: str, output_dir: str, mode: str = "strict",
                 dns_mode: str = "source_window") -> None:
     """conn.log is required; dns, ssl and quic logs are used when present."""
@@ -53,7 +59,9 @@ def feature_job(spark: SparkSession, log_dir: str, scenario: str, output_dir: st
     rows = feature_rows(conn, others["dns"], others["ssl"], others["quic"], mode, dns_mode)
     if mode == "quarantine":
         good = rows.filter(F.size("violations") == 0).drop("violations")
-        rows.filter(F.size("violations") > 0).write.mode("overwrite").parquet(f"{output_dir}_rejected/scenario={scenario}")
+        rejected = rows.filter(F.size("violations") > 0).unionByName(
+            rejected_flows(conn).withColumnRenamed("uid", "flow_id"), allowMissingColumns=True)
+        rejected.write.mode("overwrite").parquet(f"{output_dir}_rejected/scenario={scenario}")
         rows = good
     tables.write_features(rows, scenario, output_dir)
 

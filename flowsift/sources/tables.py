@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
@@ -89,11 +89,21 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
 
 
 def attach_runs(rows: DataFrame, manifest: DataFrame, path_column: str = "_path") -> DataFrame:
-    """Adds run_id and attack_scenario by the Parquet file a row came from."""
+    """Adds run_id and attack_scenario by the Parquet file a row came from.
+
+    A manifest path matches the file it names, or a file whose path ends with it (relative paths); a file
+    that was moved matches by its name if no other run has a file of that name.
+    """
+    def plain(path: str) -> Column:
+        return F.concat(F.lit("/"), F.regexp_replace(F.url_decode(F.col(path)), r"^([A-Za-z][\w+.-]*:)?/*(\./)*", ""))
+
     runs = manifest.select(
-        file_stem("parquet_path").alias("_stem"), "run_id", F.col("attack_scenario")
-    )
-    return lookup_join(rows.withColumn("_stem", file_stem(path_column)), runs, "_stem", "inner").drop("_stem")
+        file_stem("parquet_path").alias("_stem"), plain("parquet_path").alias("_named"), "run_id", "attack_scenario"
+    ).withColumn("_same", F.count(F.lit(1)).over(Window.partitionBy("_stem")))
+    keyed = rows.withColumn("_stem", file_stem(path_column)).withColumn("_from", plain(path_column))
+    met = lookup_join(keyed, runs, "_stem", "inner").filter(
+        F.col("_from").endswith(F.col("_named")) | (F.col("_same") == 1))
+    return met.drop("_stem", "_named", "_from", "_same")
 
 
 def inventory(spark: SparkSession, directory: str, glob: str) -> DataFrame:

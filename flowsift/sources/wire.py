@@ -72,9 +72,10 @@ def good_rows(decoded: DataFrame) -> DataFrame:
 
 
 def dead_letters(decoded: DataFrame) -> DataFrame:
-    """Rejected messages with their key, offset when there is one, and the start of the text."""
+    """Rejected messages: whole binary key and value, offset when there is one, and a preview `raw`."""
     offset = F.col("offset") if "offset" in decoded.columns else F.lit(None).cast("bigint")
     raw = F.substring(F.make_valid_utf8(F.col("value").cast("string")), 1, RAW_CHARS)
     return decoded.filter("error_class is not null").select(
-        "error_class", offset.alias("offset"), F.col("key").cast("string").alias("key"), raw.alias("raw")
+        "error_class", offset.alias("offset"), F.col("key").cast("binary").alias("key"),
+        F.col("value").cast("binary").alias("value"), raw.alias("raw"),
     )

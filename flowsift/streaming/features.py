@@ -58,7 +58,7 @@ class FlowFeatures:
         top = fresh.agg(F.max("_t")).first()[0]
         reached = max([m for m in (mark, None if top is None else top - self.lateness) if m is not None], default=None)
 
-        is_late = F.lit(False) if mark is None else F.col("_t") <= mark
+        is_late = F.col("_t").isNull() if mark is None else F.coalesce(F.col("_t") <= mark, F.lit(True))
         candidates = fresh.filter(~is_late).unionByName(state("waiting"))
         is_ready = F.lit(False) if reached is None else F.col("_t") <= reached
         write_batch(fresh.filter(is_late).select(*columns), self._table("late"), batch_id)
