@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_right
+from functools import lru_cache
 from itertools import accumulate
 
 import pyarrow as pa
@@ -150,6 +151,12 @@ class PrefixCounter:
         return PrefixTable(self, text)
 
 
+@lru_cache(maxsize=1)
+def counter_of(path: str) -> PrefixCounter:
+    """A worker's counter; it serves the worker's later tasks too, its tables bounded as ever."""
+    return PrefixCounter(path)
+
+
 def piece_letters(piece: str) -> list[int]:
     """How many byte letters each code point of a piece takes."""
     if piece.isascii():
@@ -193,7 +200,7 @@ def token_counts(docs: DataFrame, path: str, limit: int = 2048) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit of every row's whole text."""
 
     def count(records):
-        counter = PrefixCounter(path)
+        counter = counter_of(path)
         for batch in batches(records):
             texts = utf8(batch.column(1))
             tokens = [counter.total(t) for t in texts]
@@ -211,7 +218,7 @@ def truncation_points(docs: DataFrame, path: str, budgets: list[int]) -> DataFra
     """doc_id, budget, n_chars: how much of each text fits into each budget, answered from one table per text."""
 
     def cut(records):
-        counter = PrefixCounter(path)
+        counter = counter_of(path)
         for batch in batches(records):
             ids, limits, chars = [], [], []
             for doc, text in zip(batch.column(0).to_pylist(), utf8(batch.column(1))):
