@@ -386,12 +386,11 @@ def _dealt_out(around: DataFrame) -> DataFrame:
 
 def covered(size: int, places: np.ndarray, masks: np.ndarray) -> list[tuple[int, int]]:
     """Maximal runs of bytes covered by the strings that the masks name."""
-    edge = np.zeros(size + LENGTH + 1, np.int32)
-    for offset in range(OFFSETS):
-        start = places[(masks >> np.uint64(offset)) & np.uint64(1) == 1] - offset
-        start = start[(start >= 0) & (start + LENGTH <= size)]
-        np.add.at(edge, start, 1)
-        np.add.at(edge, start + LENGTH, -1)
+    offsets = np.arange(OFFSETS)
+    chosen = (masks[:, None] >> offsets.astype(np.uint64)) & np.uint64(1) == 1
+    start = (places[:, None] - offsets)[chosen]
+    start = start[(start >= 0) & (start + LENGTH <= size)]
+    edge = np.bincount(start, minlength=size + 1) - np.bincount(start + LENGTH, minlength=size + 1)
     hit = np.concatenate([[0], np.cumsum(edge[:size]) > 0, [0]]).astype(np.int8)
     borders = np.flatnonzero(np.diff(hit))
     return list(zip(borders[::2].tolist(), borders[1::2].tolist()))
