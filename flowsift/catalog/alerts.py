@@ -164,6 +164,13 @@ def correlate(spark, d):
     return _made(spark, d)
 
 
+@query("correlate_oldest", f"""WITH {ALERTS_SQL}, {CORRELATED_SQL.replace("<> 'benign')", "<> 'benign' ORDER BY arrived, id LIMIT 25)", 1)}
+  SELECT * FROM made""")
+def correlate_oldest(spark, d):
+    """A cycle that looks at the 25 oldest alerts of the look-back only."""
+    return A.correlate(alerts(spark, d), MOMENT, LOOKBACK, max_alerts=25)
+
+
 def _tagged(spark, d):
     return A.write_back(alerts(spark, d), _made(spark, d))
 

@@ -102,10 +102,32 @@ def split_report(spark, d):
     return encode.split_report(rows, split, "o_custkey")
 
 
-@query("split_leaks", f"""WITH {SPLIT_SQL} SELECT o_custkey, 'train/val' AS splits FROM split WHERE split = 'train'
-  INTERSECT SELECT o_custkey, 'train/val' FROM split WHERE split = 'val'""")
+@query("split_leaks", f"""WITH {SPLIT_SQL}, leaky AS (SELECT o_custkey, split FROM split UNION ALL
+    SELECT o_custkey, CASE split WHEN 'test' THEN 'train' ELSE 'test' END FROM split WHERE o_custkey % 7 = 0
+    UNION ALL SELECT o_custkey, 'val' FROM split WHERE o_custkey % 11 = 0)
+  SELECT DISTINCT a.o_custkey, a.split || '/' || b.split AS splits FROM leaky a JOIN leaky b USING (o_custkey)
+  WHERE (a.split, b.split) IN (('train', 'val'), ('train', 'test'), ('val', 'test'))""")
 def split_leaks(spark, d):
-    return encode.leaked_groups(_split(spark, d)[1], "o_custkey")
+    """Groups in two splits: a seventh and an eleventh of the customers are put into another one as well."""
+    split = _split(spark, d)[1].select("o_custkey", "split")
+    other = F.when(F.col("split") == "test", "train").otherwise("test")
+    leaky = split.union(split.filter("o_custkey % 7 = 0").withColumn("split", other)).union(
+        split.filter("o_custkey % 11 = 0").withColumn("split", F.lit("val")))
+    return encode.leaked_groups(leaky, "o_custkey")
+
+
+@query("attached_runs", """SELECT event_id, 'run ' || k % 3 AS run_id, event_type || ' of ' || k % 3 AS attack_scenario
+  FROM (SELECT *, json_extract_string(props, '$.k')::INT AS k FROM events) WHERE k % 3 < 2""")
+def attached_runs(spark, d):
+    """Rows of files that share their names, with the run their whole path belongs to."""
+    k = prop_k()
+    rows = table(spark, d, "events").select(
+        "event_id", F.concat_ws("", F.lit("file:///data/r"), k % 3, F.lit("/"), "event_type", F.lit(".parquet")).alias("_path"))
+    runs = table(spark, d, "events").filter(k % 3 < 2).select((k % 3).alias("third"), "event_type").distinct().select(
+        F.concat_ws("", F.lit("r"), "third", F.lit("/"), "event_type", F.lit(".parquet")).alias("parquet_path"),
+        F.concat_ws(" ", F.lit("run"), "third").alias("run_id"),
+        F.concat_ws(" of ", "event_type", "third").alias("attack_scenario"))
+    return tables.attach_runs(rows, runs).select("event_id", "run_id", "attack_scenario")
 
 
 @query("set_operations", """SELECT o_custkey, 'both' AS side FROM (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F' INTERSECT SELECT o_custkey FROM orders WHERE o_orderstatus = 'O')

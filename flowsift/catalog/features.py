@@ -336,6 +336,38 @@ def wire_messages(spark, d):
     return decoded.groupBy(F.coalesce("error_class", F.lit("good")).alias("outcome")).agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("wire_rows", """SELECT event_id::VARCHAR AS flow_id, epoch_us(ts) / 1e6 AS ts, user_id::VARCHAR AS src_ip, event_type AS dst_ip,
+    json_extract_string(props, '$.k')::INT AS dst_port, true AS is_tls, false AS is_quic, 0.0::DOUBLE AS iat_std, '' AS ja4_hash, NULL::VARCHAR AS label
+  FROM events WHERE event_id % 5 > 2""")
+def wire_rows(spark, d):
+    """The messages that can be read, with defaults for the fields they leave out."""
+    return wire.good_rows(wire.decode(damaged_messages(flows(spark, d)))).select(
+        "flow_id", "ts", "src_ip", "dst_ip", "dst_port", "is_tls", "is_quic", "iat_std", "ja4_hash", "label")
+
+
+@query("dead_letter_rows", """SELECT event_id::VARCHAR AS flow_id, user_id::VARCHAR AS sender,
+    ['unicode_decode', 'json_decode', 'schema_mismatch'][event_id % 5 + 1] AS error_class, CASE event_id % 5 WHEN 1 THEN '{{{' ELSE '{"' END AS head
+  FROM events WHERE event_id % 5 < 3""")
+def dead_letter_rows(spark, d):
+    """The messages that can't be read, each with its key and whole payload."""
+    letters = wire.dead_letters(wire.decode(damaged_messages(flows(spark, d))))
+    text = F.make_valid_utf8(F.col("value").cast("string"))
+    return letters.select(
+        F.regexp_extract(text, '"flow_id":"([0-9]+)"', 1).alias("flow_id"), F.col("key").cast("string").alias("sender"),
+        "error_class", F.regexp_extract("raw", r'\{([{]+|")', 0).alias("head"),
+    )
+
+
+@query("encoded_messages", """SELECT user_id::VARCHAR AS sender, '{"uid":"' || event_id || '","src_ip":"' || user_id || '","dst_ip":"' || event_type
+    || '","dst_port":' || coalesce(CASE WHEN k % 5 > 0 THEN k END::VARCHAR, 'null') || '}' AS body
+  FROM (SELECT *, json_extract_string(props, '$.k')::INT AS k FROM events)""")
+def encoded_messages(spark, d):
+    """Keyed messages, nulls written out."""
+    rows = flows(spark, d).withColumn("dst_port", F.when(F.col("dst_port") % 5 > 0, F.col("dst_port")))
+    sent = wire.encode(rows, ["uid", "src_ip", "dst_ip", "dst_port"])
+    return sent.select(F.col("key").cast("string").alias("sender"), F.col("value").cast("string").alias("body"))
+
+
 def damaged_messages(rows):
     """(key, value) of flows as contract messages, three in five of them broken in some way."""
     values = {

@@ -11,7 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowsift.operators.ordering import first_in_groups
@@ -37,28 +37,21 @@ def tree_samples(rows: DataFrame, features: list[str], row_id: str, trees: int =
                  sample: int = SAMPLE, seed: int = SEED) -> tuple[DataFrame, int]:
     """(tree, x) rows and the sample size per tree.
 
-    A row's draw is a hash of its id. Enough rows: the trees share out the smallest hashes,
-    each its own part. Few rows: every tree draws anew from all of them.
+    Every tree draws without replacement from all rows: those of the smallest hashes of tree and row
+    id. A bound on the hash, which about twice the sample passes, is met before a row is copied for a
+    tree, so the copies are bounded by trees and sample whatever the table holds.
     """
     total = rows.count()
     if total == 0:
         raise ValueError("cannot fit on an empty table")
     size = min(sample, total)
+    bound = math.ceil(min(1.0, (2.0 * size + 100.0) / total) * (1 << 62))
+    draws = F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.struct(
+        t.alias("tree"), F.pmod(F.xxhash64(F.lit(seed), t, F.col(row_id)), F.lit(1 << 62)).alias("draw")))
+    near = F.filter(draws, lambda d: d["draw"] < F.lit(bound))
     x = F.array(*[F.col(c).cast("double") for c in features]).alias("x")
-    pool = trees * size
-    if total >= pool:
-        # a cut on the hash leaves about twice the rows wanted; the smallest of those are taken
-        share = min(1.0, (2.0 * pool + 1000.0) / total)
-        draw = F.xxhash64(F.lit(seed), row_id)
-        near = rows.select(x, draw.alias("_draw"), F.col(row_id).alias("_id")).filter(
-            F.pmod(F.col("_draw"), F.lit(1 << 31)) < F.lit(math.ceil(share * (1 << 31)))
-        )
-        chosen = near.orderBy("_draw", "_id").limit(pool)
-        place = F.row_number().over(Window.orderBy("_draw", "_id"))  # at most trees * size rows
-        return chosen.select(F.pmod(place, F.lit(trees)).cast("int").alias("tree"), "x"), size
-    copies = rows.select(x, F.col(row_id).alias("_id"), F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"))
-    draw = F.xxhash64(F.lit(seed), "tree", "_id")
-    return first_in_groups(copies, ["tree"], [draw, F.col("_id")], size).select("tree", "x"), size
+    copies = rows.select(x, F.col(row_id).alias("_id"), F.explode(near).alias("_d")).select("x", "_id", "_d.*")
+    return first_in_groups(copies, ["tree"], [F.col("draw"), F.col("_id")], size).select("tree", "x"), size
 
 
 def fit(rows: DataFrame, features: list[str], row_id: str, trees: int = TREES, sample: int = SAMPLE,

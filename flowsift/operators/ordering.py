@@ -4,62 +4,85 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
-from flowsift.operators.running import TARGET_ROWS, Slicing, running
+BINS = 1024
 
 
-def _ranked_values(df: DataFrame, column: str, target_rows: int | None) -> tuple[DataFrame, int]:
-    """(value _v, its rows _n, rows up to and including it _upto) and the number of rows.
+def _bin(value: Column, low: float, high: float, bins: int) -> Column:
+    """Equal-width bins that never fall while the value rises; low and high never share one.
 
-    Equal values are merged map-side first. The distinct values are cut into slices of about
-    the row target and ranked by a running count, so no task sees more than a slice.
+    What lies outside, infinities and NaN among it, has bins of its own. Halves keep the span finite.
     """
-    target = target_rows or TARGET_ROWS
-    values = df.filter(F.col(column).isNotNull()).select(F.col(column).cast("double").alias("_v"))
-    distinct = values.groupBy("_v").agg(F.count(F.lit(1)).alias("_n")).withColumn("_all", F.lit(0))
-    total = values.count()
-    pieces = max(1, math.ceil(total / target))
-    slicing = None
-    if pieces > 1:
-        cuts = values.approxQuantile("_v", [i / pieces for i in range(1, pieces)], 0.25 / pieces)
-        everything = df.sparkSession.createDataFrame([(0,)], "_all int")
-        slicing = Slicing(["_all"], everything, "_v", sorted(set(cuts)))
-    return running(distinct, ["_all"], ["_v"], {"_upto": ("sum", F.col("_n"))}, slicing), total
-
-
-def _interpolated(total: int, quantile: float) -> Column:
-    """Aggregate over the ranked values: the value at a quantile."""
-    position = quantile * (total - 1)
-    low, high = math.floor(position), math.ceil(position)
-
-    # a value covers the ranks from upto - n to upto - 1
-    def at(rank: int) -> Column:
-        return F.max(F.when((F.col("_upto") > rank) & (F.col("_upto") - F.col("_n") <= rank), F.col("_v")))
-
-    return at(low) + (at(high) - at(low)) * F.lit(position - low)
+    span = high * 0.5 - low * 0.5
+    inside = (F.floor((value * 0.5 - F.lit(low * 0.5)) / F.lit(span) * F.lit(float(bins))).cast("int") if span > 0
+              else F.when(value > F.lit(low), F.lit(bins)).otherwise(F.lit(0)))
+    return (F.when(F.isnan(value), F.lit(bins + 2)).when(value > F.lit(high), F.lit(bins + 1))
+            .when(value < F.lit(low), F.lit(-1)).otherwise(inside))
 
 
-def exact_quantiles(df: DataFrame, column: str, quantiles: list[float],
-                    target_rows: int | None = None) -> DataFrame:
-    """(quantile, value): linearly interpolated percentiles, exact, from one distributed scan."""
-    ranked, total = _ranked_values(df, column, target_rows)
-    found = ranked.agg(*[_interpolated(total, q).alias(f"q{i}") for i, q in enumerate(quantiles)])
-    pairs = F.array(*[F.struct(F.lit(float(q)).alias("quantile"), F.col(f"q{i}").alias("value")) for i, q in enumerate(quantiles)])
-    return found.select(F.explode(pairs).alias("_p")).select("_p.*")
+def _at_ranks(values: DataFrame, ranks: list[int], low: float, high: float, bins: int) -> dict[int, float]:
+    """The value at each rank (from 0) of column `_v`, by counts that narrow down.
 
-
-def score_summary(df: DataFrame, column: str, threshold_quantile: float = 0.99,
-                  target_rows: int | None = None) -> DataFrame:
+    A round counts the rows of each bin, keeps the bins that hold a rank, and cuts those anew between
+    their own least and greatest value, until one value is left. Rows never move: each task sends on
+    at most bins + 4 counts per rank, and so does a round to the driver.
+    """
+    found: dict[int, float] = {}
+    ranges, first = [(low, high, 0, sorted(set(ranks)))], True
+    while ranges:
+        place = F.lit(None).cast("struct<part:int,bin:int>")
+        for part, (a, b, _, _) in enumerate(ranges):
+            within = F.lit(True) if first else F.col("_v").between(F.lit(a), F.lit(b))
+            here = F.struct(F.lit(part).alias("part"), _bin(F.col("_v"), a, b, bins).alias("bin"))
+            place = F.when(within, here).otherwise(place)
+        counts = values.select("_v", place.alias("_p")).filter(F.col("_p").isNotNull()).groupBy("_p").agg(
+            F.count(F.lit(1)).alias("n"), F.min("_v").alias("low"), F.max("_v").alias("high")).collect()
+        narrower = []
+        for part, (_, _, before, wanted) in enumerate(ranges):
+            for row in sorted((r for r in counts if r["_p"]["part"] == part), key=lambda r: r["_p"]["bin"]):
+                inside = [r for r in wanted if before <= r < before + row["n"]]
+                if inside and (row["low"] == row["high"] or math.isnan(row["low"])):
+                    found.update(dict.fromkeys(inside, row["low"]))
+                elif inside:
+                    narrower.append((row["low"], row["high"], before, inside))
+                before += row["n"]
+        ranges, first = narrower, False
+    return found
+
+
+def _look(df: DataFrame, column: str, quantiles: list[float], bins: int | None) -> tuple[Row, list[float | None]]:
+    """Count, sum and ends of a column, and its linearly interpolated percentiles."""
+    values = df.filter(F.col(column).isNotNull()).select(F.col(column).cast("double").alias("_v"))
+    finite = F.when(F.abs("_v") < F.lit(math.inf), F.col("_v"))
+    ends = values.agg(
+        F.count("_v").alias("rows"), F.min("_v").alias("min"), F.max("_v").alias("max"), F.sum("_v").alias("sum"),
+        F.min(finite).alias("low"), F.max(finite).alias("high")).first()
+    if not ends["rows"]:
+        return ends, [None] * len(quantiles)
+    positions = [q * (ends["rows"] - 1) for q in quantiles]
+    ranks = [edge(p) for p in positions for edge in (math.floor, math.ceil)]
+    at = _at_ranks(values, ranks, ends["low"] or 0.0, ends["high"] or 0.0, bins or BINS)
+    return ends, [
+        at[math.floor(p)] if p == math.floor(p)
+        else at[math.floor(p)] + (at[math.ceil(p)] - at[math.floor(p)]) * (p - math.floor(p)) for p in positions]
+
+
+def exact_quantiles(df: DataFrame, column: str, quantiles: list[float], bins: int | None = None) -> DataFrame:
+    """(quantile, value): linearly interpolated percentiles, exact; the table is read once per round."""
+    _, values = _look(df, column, quantiles, bins)
+    return df.sparkSession.createDataFrame(
+        list(zip(map(float, quantiles), values)), "quantile double, value double")
+
+
+def score_summary(df: DataFrame, column: str, threshold_quantile: float = 0.99, bins: int | None = None) -> DataFrame:
     """One row: rows, min, max, mean, median and the alert threshold of a score."""
-    ranked, total = _ranked_values(df, column, target_rows)
-    return ranked.agg(
-        F.coalesce(F.sum("_n"), F.lit(0)).alias("rows"),
-        F.min("_v").alias("min"), F.max("_v").alias("max"),
-        (F.sum(F.col("_v") * F.col("_n")) / F.sum("_n")).alias("mean"),
-        _interpolated(total, 0.5).alias("median"), _interpolated(total, threshold_quantile).alias("threshold"),
-    )
+    ends, (median, threshold) = _look(df, column, [0.5, threshold_quantile], bins)
+    mean = ends["sum"] / ends["rows"] if ends["rows"] else None
+    return df.sparkSession.createDataFrame(
+        [(ends["rows"], ends["min"], ends["max"], mean, median, threshold)],
+        "rows bigint, min double, max double, mean double, median double, threshold double")
 
 
 def histogram(df: DataFrame, column: str, bins: int = 50) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from flowsift.functions.scalar import event_time
 from flowsift.operators.ordering import latest
 
 METRICS_SECONDS = 2
@@ -32,6 +33,29 @@ def throughput(rows: DataFrame, seconds: int = METRICS_SECONDS, time: str = "eve
     )
 
 
+def batch_point(rows: DataFrame, started: float, finished: float, depth: int = -1) -> DataFrame:
+    """One row of the live feed per batch: the rates are over the seconds the batch took.
+
+    rows: bytes, latency_ms, consumer_ts, flow_id; started and finished are epoch seconds. An empty
+    batch gives zeros; a clock that stood still counts as a millisecond.
+    """
+    elapsed = F.lit(max(finished - started, 1e-3))
+    return rows.agg(
+        F.count(F.lit(1)).alias("window_flows"),
+        F.coalesce(F.sum("bytes"), F.lit(0)).alias("_bytes"),
+        F.avg("latency_ms").alias("_mean"),
+        F.max_by("latency_ms", F.struct("consumer_ts", "flow_id")).alias("_last"),
+    ).select(
+        event_time(F.lit(finished)).alias("ts"),
+        F.round(F.col("window_flows") / elapsed, 2).alias("flows_per_sec"),
+        F.round(F.col("_bytes") / elapsed, 2).alias("bytes_per_sec"),
+        F.round(F.coalesce("_last", F.lit(0.0)), 2).alias("pipeline_latency_ms"),
+        F.round(F.coalesce("_mean", F.lit(0.0)), 2).alias("latency_ms_mean"),
+        "window_flows",
+        F.lit(depth).cast("bigint").alias("kafka_queue_depth"),
+    )
+
+
 def queue_depth(produced: DataFrame, committed: DataFrame, key: str = "partition", offset: str = "offset") -> DataFrame:
     """Newest minus committed offset per partition; -1 where nothing was committed."""
     newest = produced.groupBy(key).agg(F.max(offset).alias("_newest"))

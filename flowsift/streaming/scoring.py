@@ -12,14 +12,16 @@ from flowsift.operators.alerts import to_alerts
 from flowsift.plans.score import Models, score
 from flowsift.schema import RESULT_COLUMNS
 from flowsift.streaming.ingest import with_hour
-from flowsift.streaming.metrics import throughput
+from flowsift.streaming.metrics import batch_point
 from flowsift.streaming.store import read_batch, write_batch
 
 
-def score_batches(models: Models, root: str, clock: Callable[[], float]) -> Callable[[DataFrame, int], None]:
+def score_batches(models: Models, root: str, clock: Callable[[], float],
+                  depth: Callable[[], int] = lambda: -1) -> Callable[[DataFrame, int], None]:
     """foreachBatch writer: every row is scored once, the three tables derive from that.
 
-    clock gives epoch seconds; latency is the time from the start of the batch to its score.
+    clock gives epoch seconds; latency is the time from the start of the batch to its score. depth gives
+    the rows still to read, for which `progress_depth` of the running query's last progress serves.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
@@ -40,6 +42,6 @@ def score_batches(models: Models, root: str, clock: Callable[[], float]) -> Call
         hourly = with_hour(alerts.withColumn("ts", F.unix_micros("timestamp") / 1e6)).drop("ts")
         # rebalanced: few files per hour, and an hour with most rows still splits over tasks
         write_batch(hourly.hint("rebalance", "hour"), f"{root}/alerts", batch_id, ["hour"])
-        write_batch(throughput(done.withColumn("event_time", event_time("consumer_ts"))), f"{root}/metrics", batch_id)
+        write_batch(batch_point(done, started, finished, depth()), f"{root}/metrics", batch_id)
 
     return write

@@ -1,3 +1,4 @@
+import math
 import random
 
 import pytest
@@ -29,6 +30,20 @@ def test_quantiles_one_to_ten(spark):
     assert ordering.exact_quantiles(df, "v", [0.99]).first().value == pytest.approx(9.91)
 
 
+def test_quantiles_of_odd_values(spark):
+    numbers = [-math.inf, -1.7e308, -1.0, -5e-324, 0.0, 5e-324, 1.0, 1.0, 1.0000000000000002, 1.7e308, math.inf, math.nan]
+    df = spark.createDataFrame([(v,) for v in numbers] + [(None,)], "v double")
+    got = [r.value for r in ordering.exact_quantiles(df, "v", [i / 11 for i in range(12)]).collect()]
+    # ranks by hand: i / 11 * 11 may miss i by a rounding, which only blends equal or near neighbours
+    for i in (0, 1, 2, 4, 6, 7, 9):
+        assert i / 11 * 11 != i or got[i] == numbers[i]
+    assert math.isnan(got[11])
+    empty = ordering.exact_quantiles(df.limit(0), "v", [0.5]).first()
+    assert empty.value is None and ordering.score_summary(df.limit(0), "v").first().rows == 0
+    same = spark.createDataFrame([(7.0,)] * 50, "v double")
+    assert ordering.score_summary(same, "v").first()[1:] == (7.0, 7.0, 7.0, 7.0, 7.0)
+
+
 def test_histogram(spark):
     df = spark.createDataFrame([(float(v),) for v in [0, 1, 2, 50, 100, 100]], "v double")
     rows = ordering.histogram(df, "v", 50).orderBy("bin").collect()
