@@ -117,11 +117,11 @@ def license_places(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES)
     files = index.where("head").select("row", "doc_id", "n_words")
     hits = index.where("word is not null")
     frequency = hits.groupBy("row", "word").agg(F.lit(1).alias("n")).groupBy("word").agg(F.count("*").alias("df"))
-    total = files.agg(F.count("*").alias("files"))
+    total = files.count()  # one number, from the stored index
     # tables of templates and of the vocabulary: fixed in size by the templates
-    weight = F.log((F.col("files") + 1.0) / (F.coalesce("df", F.lit(0)) + 0.5))
+    weight = F.log(F.lit(total + 1.0) / (F.coalesce("df", F.lit(0)) + 0.5))
     anchors = (
-        _anchor_table(spark, templates).join(F.broadcast(frequency), "word", "left").join(F.broadcast(total))
+        _anchor_table(spark, templates).join(F.broadcast(frequency), "word", "left")
         .withColumn("weight", F.greatest(weight, F.lit(1e-3)))
         .withColumn("rank", F.row_number().over(
             Window.partitionBy("template", "in_key").orderBy(F.desc("weight"), "at")))
