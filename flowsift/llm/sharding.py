@@ -1,11 +1,13 @@
 """Balanced label propagation: linked documents move into the same shard while shards stay even.
 
 Documents with equal texts are linked through a hub per text. A linked document starts in a shard drawn
-for its row. In each round a hub counts its documents per shard and names, among the shards with room,
-the one most of them are in; documents in shards that hold fewer want to move there. A wish is granted as
-far as it is matched by the opposite wish or finds room below the target's quota, shared out among all
-that want to go there. Which documents move is decided by a hash of the row, so no list of wishes is ever
-sorted or held. Documents without links then fill each shard up. At the end all rows are laid out by
+for its row. In each round a hub counts its documents per shard and names the one most of them are in, in
+every second round among the shards with room only; documents in shards that hold fewer want to move there.
+A wish is granted as far as it is matched by the opposite wish or finds room below the target's quota,
+shared out among all that want to go there. Rounds go on until nothing moves. Which documents move is
+decided by a hash of the row, so no list of wishes is ever sorted or held. The quota lies below an even
+share, or a little above an even share of the linked rows where these are nearly all: the cuts even out the
+rest. Documents without links then fill each shard up. At the end all rows are laid out by
 shard, linked ones in the middle of each shard's run, and the layout is cut into runs whose sizes differ
 by one row at most, so a cut separates linked rows only where a hub outgrows a shard. All steps are joins
 and aggregations; a hub that holds a large part of the rows is counted map-side, and laid out and joined
@@ -25,10 +27,11 @@ from pyspark.sql import functions as F
 
 from flowsift.llm.common import stored
 
-ROUNDS = 6
 # salts of a hub's grants, and the part of an even share that linked rows may take
 SALTS = 8
 QUOTA = 0.97
+# where linked rows need more: what a shard may hold above an even share of them
+SLACK = 1.05
 # documents of one cell of the layout, about
 CELL = 20_000
 
@@ -38,42 +41,58 @@ def _drawn(*parts) -> Column:
     return F.pmod(F.xxhash64(*parts), F.lit(1_000_003)) / F.lit(1_000_003.0)
 
 
-def propagate(nodes: DataFrame, shards: int, quota: float, rounds: int = ROUNDS, salts: int = SALTS) -> DataFrame:
-    """row, hub, shard of linked rows after some rounds of moves between shards of at most `quota` rows."""
+def propagate(nodes: DataFrame, shards: int, quota: float, rounds: int | None = None, salts: int = SALTS) -> DataFrame:
+    """row, hub, shard of linked rows after moves between shards of at most `quota` rows.
+
+    Rounds of the two kinds take turns until one of each moves nothing, or `rounds` are over. Every move takes
+    a row to a shard that holds at least as many rows of its hub, so the hubs' sums of squared counts only
+    grow and the rounds come to an end.
+    """
     state = nodes.select("row", "hub", F.pmod(F.xxhash64("row", F.lit(17)), F.lit(shards)).cast("int").alias("shard"))
     numbers = F.array(*map(F.lit, range(salts)))
-    for turn in range(rounds):
+    every = nodes.sparkSession.range(shards).select(F.col("id").cast("int").alias("shard"))
+    turn = idle = 0
+    while idle < 2 and (rounds is None or turn < rounds):
         counts = state.groupBy("hub", "shard").agg(F.count("*").alias("n"))
         # tables of at most one row per shard, or per pair of shards
-        sizes = counts.groupBy("shard").agg(F.sum("n").alias("size"))
-        open_ = F.coalesce("size", F.lit(0)) < 0.95 * quota
-        ranked = counts.join(F.broadcast(sizes), "shard").withColumn(
+        sizes = every.join(counts.groupBy("shard").agg(F.sum("n").alias("held")), "shard", "left").select(
+            "shard", F.coalesce("held", F.lit(0)).alias("size"))
+        room = F.greatest(F.lit(0.0), F.floor(F.lit(quota) - F.col("size")).cast("double"))
+        ranked = counts.join(F.broadcast(sizes.select("shard", room.alias("room"))), "shard").withColumn(
             "own", F.struct("n", F.xxhash64("hub", "shard").alias("draw"), "shard"))
+        # all shards, then those with room only: what can't get into a full shard gathers elsewhere
+        open_ = F.lit(True) if turn % 2 == 0 else F.col("room") > 0
         best = ranked.groupBy("hub").agg(F.max(F.when(open_, F.col("own"))).alias("best"))
         wish = ranked.join(best, "hub").where("own < best").select(
             "hub", "shard", "n", F.col("best.shard").alias("target"))
-        pairs = wish.groupBy("shard", "target").agg(F.sum("n").alias("wanted"))
+        pairs = stored(wish.groupBy("shard", "target").agg(F.sum("n").alias("wanted")))
         back = pairs.select(F.col("shard").alias("target"), F.col("target").alias("shard"),
                             F.col("wanted").alias("returned"))
-        room = sizes.select(F.col("shard").alias("target"), F.greatest(F.lit(0.0), quota - F.col("size")).alias("room"))
-        into = pairs.groupBy("target").agg(F.sum("wanted").alias("into"))
+        pairs = pairs.join(F.broadcast(back), ["shard", "target"], "left").withColumn(
+            "matched", F.least("wanted", F.coalesce("returned", F.lit(0))))
+        into = pairs.groupBy("target").agg(F.sum(F.col("wanted") - F.col("matched")).alias("into"))
+        unmatched = F.col("wanted") - F.col("matched")
         shares = (
-            pairs.join(F.broadcast(back), ["shard", "target"], "left").join(F.broadcast(room), "target")
+            pairs.join(F.broadcast(sizes.select(F.col("shard").alias("target"), room.alias("room"))), "target")
             .join(F.broadcast(into), "target")
-            .select("shard", "target", F.least(F.lit(1.0), (
-                F.least("wanted", F.coalesce("returned", F.lit(0))) / F.col("wanted") + F.col("room") / F.col("into")
-            )).alias("share")))
+            .select("shard", "target", ((F.col("matched") + unmatched * F.least(
+                F.lit(1.0), F.col("room") / F.greatest(F.lit(1), F.col("into")))) / F.col("wanted")).alias("share"))
+            .where("share > 0"))
         grants = wish.join(F.broadcast(shares), ["shard", "target"]).select(
             "hub", "shard", "target", "share", F.explode(numbers).alias("salt"))
         moved = F.col("share").isNotNull() & (_drawn("row", F.lit(turn)) < F.col("share"))
-        state = stored(
+        after = stored(
             state.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(salts)).cast("int"))
             .join(grants, ["hub", "shard", "salt"], "left")
-            .select("row", "hub", F.when(moved, F.col("target")).otherwise(F.col("shard")).alias("shard")))
+            .select("row", "hub", F.when(moved, F.col("target")).otherwise(F.col("shard")).alias("shard"),
+                    moved.alias("moved")))
+        idle = idle + 1 if after.where("moved").isEmpty() else 0
+        state = after.drop("moved")
+        turn += 1
     return state
 
 
-def balanced_shards(docs: DataFrame, shards: int = 16, rounds: int = ROUNDS, cell: int = CELL) -> DataFrame:
+def balanced_shards(docs: DataFrame, shards: int = 16, rounds: int | None = None, cell: int = CELL) -> DataFrame:
     """doc_id, size, text_crc32, shard, slot of every row; shard sizes differ by one row at most."""
     text = F.coalesce("text", F.lit(""))
     nodes = stored(docs.select(
@@ -81,10 +100,12 @@ def balanced_shards(docs: DataFrame, shards: int = 16, rounds: int = ROUNDS, cel
         (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("bigint").alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"), F.sha2(text.cast("binary"), 256).alias("hub")))
     total = nodes.count()
-    sizes = nodes.groupBy("hub").agg(F.count("*").alias("linked")).where("linked > 1")
-    linked = nodes.select("row", "hub").join(sizes, "hub")
+    # a hub goes by its least row here
+    sizes = nodes.groupBy("hub").agg(F.count("*").alias("linked"), F.min("row").alias("least")).where("linked > 1")
+    linked = stored(nodes.select("row", "hub").join(sizes, "hub").select("row", "linked", F.col("least").alias("hub")))
+    quota = max(QUOTA * total, SLACK * linked.count()) / shards
     placed = stored(linked.select("row", "linked").join(
-        propagate(linked.select("row", "hub"), shards, QUOTA * total / shards, rounds), "row"))
+        propagate(linked.select("row", "hub"), shards, quota, rounds), "row"))
     # rows without links go where shards have room: a drawn number falls into the part of one shard
     held = {r["shard"]: r["n"] for r in placed.groupBy("shard").agg(F.count("*").alias("n")).collect()}
     rooms = [max(0.0, total / shards - held.get(k, 0)) for k in range(shards)]

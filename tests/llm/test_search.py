@@ -91,3 +91,23 @@ def test_shards_keep_copies_together(spark):
     split = sum(len(c) > 1 for t, c in of.items() if t != "hot")
     assert split <= 6 and len(of["hot"]) <= 5
     assert sharding.balanced_shards(none(spark)).count() == 0
+
+
+def shards_of(spark, data, shards):
+    got = sharding.balanced_shards(spark.createDataFrame(data, "doc_id long, text string").repartition(4), shards=shards)
+    of = defaultdict(Counter)
+    texts = dict(data)
+    for r in got.collect():
+        of[texts[r.doc_id]][r.shard] += 1
+    return of
+
+
+def test_shards_where_every_row_is_repeated(spark):
+    of = shards_of(spark, [(k, f"text {k // 2}") for k in range(2_000)], 8)
+    assert sum(len(c) > 1 for c in of.values()) <= 50
+
+
+def test_shards_of_large_groups_only(spark):
+    of = shards_of(spark, [(k, f"text {k % 4}") for k in range(1_600)], 8)
+    # 400 rows of a group fill two shards of 200; spread over all shards they are in 32 parts
+    assert sum(map(len, of.values())) <= 20
