@@ -37,8 +37,10 @@ BANDS, ROWS = 30, 3
 HASHES = BANDS * ROWS
 TOLERANCE = 1e-8
 STEP = 10
-# sets of one block of a bucket; shingles of one block of a group
+# sets of one block of a bucket or group; shingles of one block of a group
 BLOCK, BLOCK_SHINGLES = 1_024, 1_000_000
+# sets that are held against others at once
+TILE = 256
 
 _DRAW = np.random.default_rng(20)
 _FACTOR = _DRAW.integers(0, 1 << 31, HASHES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -223,13 +225,13 @@ def candidate_groups(sets: DataFrame, threshold: float) -> DataFrame:
 def _verified(texts: DataFrame, groups: DataFrame, threshold: float) -> DataFrame:
     """set_id, links and tie: per task the weight of a set's partners, and a set it is connected with."""
     least = least_matches(threshold, TOLERANCE)
-    sized = groups.groupBy("group_id").agg(F.sum("size").alias("shingles"))
+    sized = groups.groupBy("group_id").agg(F.greatest(
+        F.ceil(F.sum("size") / BLOCK_SHINGLES), F.ceil(F.count("*") / BLOCK)).alias("cut"))
     rows = groups.join(sized, "group_id").join(texts, "set_id")
-    dealt = _blocks(rows.select("set_id", "group_id", "weight", "keys", "text", "shingles"), "group_id",
-                    F.ceil(F.col("shingles") / BLOCK_SHINGLES))
+    dealt = _blocks(rows.select("set_id", "group_id", "weight", "keys", "text", "cut"), "group_id", F.col("cut"))
     tasks = 8 * wide(texts)
     # a group of several blocks has tasks of its own, others share one
-    task = F.when(F.col("shingles") > BLOCK_SHINGLES, F.concat_ws("-", "group_id", "low", "high")).otherwise(
+    task = F.when(F.col("cut") > 1, F.concat_ws("-", "group_id", "low", "high")).otherwise(
         F.pmod(F.xxhash64("group_id"), F.lit(tasks)).cast("string"))
 
     def verify(table: pa.Table) -> pa.Table:
@@ -244,22 +246,12 @@ def _verified(texts: DataFrame, groups: DataFrame, threshold: float) -> DataFram
         for begin, end in zip(edges, edges[1:]):
             part = order[begin:end]
             values = values_of(keys[part])
-            if crossing[part[0]]:
-                first = np.flatnonzero(own[part] == own[part].min())
-                second = np.flatnonzero(own[part] != own[part].min())
-                left, right = surviving(values[first], values[second], least)
-                left, right = first[left], second[right]
-            else:
-                left, right = surviving(values, values, least)
-                once = left < right
-                left, right = left[once], right[once]
             sets = [shingle_hashes(text_hashes(texts[k], memo), WIDTH) for k in part]
-            keep = exact(sets, left, right, threshold)
-            left, right = left[keep], right[keep]
-            np.add.at(links, part[left], weight[part[right]])
-            np.add.at(links, part[right], weight[part[left]])
             forest = Forest(len(part))
-            forest.tie(left.tolist(), right.tolist())
+            for left, right in verified_pairs(values, sets, own[part] if crossing[part[0]] else None, least, threshold):
+                np.add.at(links, part[left], weight[part[right]])
+                np.add.at(links, part[right], weight[part[left]])
+                forest.tie(left.tolist(), right.tolist())
             for k in range(len(part)):
                 tie[part[k]] = ids[part[forest.top(k)]]
         some = (links > 0) | (tie != ids)
@@ -269,26 +261,52 @@ def _verified(texts: DataFrame, groups: DataFrame, threshold: float) -> DataFram
         verify, "set_id bigint, links bigint, tie bigint")
 
 
+def verified_pairs(values: np.ndarray, sets: list[np.ndarray], side: np.ndarray | None, least: list[int],
+                   threshold: float):
+    """Left and right of the pairs that reach the threshold, some rows against some others at a time.
+
+    All pairs of rows, or those between the two blocks that `side` tells apart. What is held at once depends
+    on `TILE`, not on the number of pairs.
+    """
+    every = np.arange(len(values))
+    first = second = every
+    if side is not None:
+        first, second = every[side == side.min()], every[side != side.min()]
+    for begin in range(0, len(first), TILE):
+        rows = first[begin : begin + TILE]
+        for start in range(begin if side is None else 0, len(second), 4 * TILE):
+            others = second[start : start + 4 * TILE]
+            left, right = surviving(values[rows], values[others], least)
+            left, right = rows[left], others[right]
+            if side is None:
+                once = left < right
+                left, right = left[once], right[once]
+            keep = exact(sets, left, right, threshold)
+            yield left[keep], right[keep]
+
+
 def exact(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, threshold: float) -> np.ndarray:
     """Which pairs of sets reach the threshold; shared shingles are counted over all pairs at once if many."""
     sizes = np.array([len(s) for s in sets], np.int64)
-    if len(left) <= 4 * len(sets):
+    rows, x = np.unique(left, return_inverse=True)
+    others, y = np.unique(right, return_inverse=True)
+    if len(left) <= 4 * (len(rows) + len(others)):
         common = np.fromiter(
-            (len(np.intersect1d(sets[x], sets[y], assume_unique=True)) for x, y in zip(left, right)), np.int64, len(left))
+            (len(np.intersect1d(sets[a], sets[b], assume_unique=True)) for a, b in zip(left, right)), np.int64, len(left))
     else:
-        every = np.concatenate(sets)
-        _, number, count = np.unique(every, return_inverse=True, return_counts=True)
-        shared = np.cumsum(count > 1) - 1  # shingles of one set alone are in no intersection
-        owner = np.repeat(np.arange(len(sets)), sizes)
+        both = np.concatenate([rows, others])
+        _, number, count = np.unique(np.concatenate([sets[k] for k in both]), return_inverse=True, return_counts=True)
+        shared = np.cumsum(count > 1) - 1  # shingles that stand once are in no intersection
+        owner = np.repeat(np.arange(len(both)), sizes[both])
         keep = count[number] > 1
         owner, column = owner[keep], shared[number[keep]]
-        total = np.zeros((len(sets), len(sets)), np.float32)
+        total = np.zeros((len(rows), len(others)), np.float32)
         for begin in range(0, int(shared[-1]) + 1 if len(shared) else 0, 4_096):
             here = (column >= begin) & (column < begin + 4_096)
-            matrix = np.zeros((len(sets), 4_096), np.float32)
+            matrix = np.zeros((len(both), 4_096), np.float32)
             matrix[owner[here], column[here] - begin] = 1
-            total += matrix @ matrix.T
-        common = total[left, right].astype(np.int64)
+            total += matrix[: len(rows)] @ matrix[len(rows) :].T
+        common = total[x, y].astype(np.int64)
     return common >= threshold * (sizes[left] + sizes[right] - common) - 1e-9
 
 

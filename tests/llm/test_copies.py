@@ -1,4 +1,5 @@
 import hashlib
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -63,6 +64,45 @@ def test_links_of_near_copies(spark, tmp_path, monkeypatch, block):
     assert Counter((r.doc_id, r.class_id, r.n_links) for r in got) == linked(docs)
 
 
+@pytest.mark.parametrize("crossed", [False, True])
+def test_verification_holds_no_square_of_a_group(crossed):
+    draw = np.random.default_rng(6)
+    base = draw.integers(0, 1 << 62, 40, dtype=np.uint64)
+    sets = []
+    for k in range(2_500):
+        s = base.copy()
+        s[draw.integers(0, 40, k % 7)] = draw.integers(0, 1 << 62)
+        sets.append(np.unique(s))
+    values = ngram_join.min_hashes(sets)
+    side = np.arange(len(sets)) % 2 if crossed else None
+    least = ngram_join.least_matches(0.8, 1e-8)
+    got = np.zeros(len(sets), np.int64)
+    tracemalloc.start()
+    for left, right in ngram_join.verified_pairs(values, sets, side, least, 0.8):
+        np.add.at(got, left, 1)
+        np.add.at(got, right, 1)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 150e6  # the pairs alone would take more
+    for k in draw.integers(0, len(sets), 12):
+        want = sum(len(np.intersect1d(sets[k], s)) >= 0.8 * len(np.union1d(sets[k], s)) - 1e-9
+                   for j, s in enumerate(sets) if j != k and (side is None or side[j] != side[k]))
+        assert got[k] == want
+
+
+def test_groups_are_cut_by_sets(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(ngram_join, "BLOCK", 4)
+    docs = [(k, " ".join(f"w{j}" for j in range(60)) + f" e{k}") for k in range(30)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "d"))
+    cut = []
+    blocks = ngram_join._blocks
+    monkeypatch.setattr(ngram_join, "_blocks", lambda rows, *rest: cut.append(blocks(rows, *rest)) or cut[-1])
+    got = ngram_join.ngram_links(spark.read.parquet(str(tmp_path / "d"))).collect()
+    assert Counter((r.doc_id, r.class_id, r.n_links) for r in got) == linked(docs)
+    # 30 sets in eight blocks, few as their shingles are
+    assert cut[-1].groupBy("low", "high").count().where("low != high").count() > 20
+
+
 def test_pruning_keeps_pairs_at_the_threshold():
     least = ngram_join.least_matches(0.8, 1e-8)
     assert least == sorted(least) and least[-1] < 0.8 * ngram_join.HASHES
