@@ -5,6 +5,10 @@ Every common word of a text starts a chain: the common word and the next content
 text's start counts as one more common word, so any text with a content word has a chain; a text of
 common words only has one chain of all its words, a text without words has none.
 
+Stretches of content words that are longer than a chain draw further starts from their own words: of every
+run of as many words as a start and its chain span, the one with the least hash. Chains therefore cover all
+content words of a text in any language, of code and of tables, and an edit changes the chains around it only.
+
 Likeness is the Jaccard index of two sets; two empty sets are alike. A pair need not be merged when the
 lengths of its sets, or what is left to merge, cannot reach the threshold (`pruned_jaccard`).
 
@@ -23,7 +27,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from flowsift.llm.common import batches, hashes, stored, utf8, whole, wide, word_hashes, words
+from flowsift.llm.common import batches, hashes, mix, stored, utf8, whole, wide, word_hashes, words
 
 # common words of four languages that start a chain
 ANCHORS = frozenset(
@@ -41,6 +45,15 @@ class Signer:
         self.memo = word_hashes()
         self.anchors = np.sort(hashes([a.encode() for a in ANCHORS], self.memo))
 
+    def drawn(self, content: np.ndarray, stretch: np.ndarray) -> np.ndarray:
+        """Places of content words that start chains themselves; `stretch` numbers the stretches they stand in."""
+        span = self.chain * self.distance + 1
+        if len(content) < span:
+            return np.empty(0, np.int64)
+        least = np.lib.stride_tricks.sliding_window_view(mix(content), span).argmin(axis=1)
+        inside = np.flatnonzero(stretch[span - 1 :] == stretch[: len(stretch) - span + 1])
+        return np.unique(inside + least[inside])
+
     def signatures(self, text: bytes) -> np.ndarray:
         """Sorted distinct 32-bit chain hashes of a text."""
         word = hashes(words(text), self.memo)
@@ -52,11 +65,13 @@ class Signer:
         if not len(content):
             content = word[:1] ^ np.bitwise_xor.reduce(word * np.arange(1, 2 * len(word), 2, dtype=np.uint64))
             common = np.zeros(1, bool)
+        drawn = self.drawn(content, np.cumsum(common)[~common] if common.any() else np.zeros(len(content), np.int64))
         # content words before each anchor; the text's start is the first anchor
         begin = np.concatenate([[0], (np.cumsum(~common) - ~common)[common]]) if common.any() else np.zeros(1, np.int64)
         value = np.concatenate([np.zeros(1, np.uint64), word[common]]) if common.any() else np.zeros(1, np.uint64)
         keep = begin < len(content)
-        begin, value = begin[keep], value[keep] * np.uint64(0x9E3779B97F4A7C15)
+        begin, value = np.append(begin[keep], drawn + 1), np.append(value[keep], content[drawn])
+        value = value * np.uint64(0x9E3779B97F4A7C15)
         ends = np.concatenate([content, np.zeros(self.chain * self.distance, np.uint64)])
         for k in range(self.chain):
             value = (value ^ (value >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + ends[begin + k * self.distance]

@@ -180,6 +180,20 @@ def test_fingerprints(corpus):
         assert r.near_next == pytest.approx(likeness(of(text), of(after)))
 
 
+@pytest.mark.parametrize("rare", [0, 40])
+def test_fingerprints_cover_texts_of_few_common_words(rare):
+    signer = spot_signatures.Signer()
+    w = [f"слово{k}" if not rare or k % rare else "the" for k in range(200)]
+    of = lambda w: set(signer.signatures(" ".join(w).encode()).tolist())
+    own = of(w)
+    assert likeness(own, of(w[:3] + [f"x{k}" for k in range(197)])) < 0.1
+    assert 0.3 < len(own & of(w[:100] + [f"x{k}" for k in range(100)])) / len(own) < 0.7
+    for k in range(200):
+        edited = of([*w[:k], "other", *w[k + 1 :]])
+        # a word shows wherever it stands, in the chains around it only
+        assert edited != own and len(edited - own) <= 8
+
+
 def test_fingerprints_of_all_rows(corpus, spark):
     assert spot_signatures.fingerprints(corpus, parts=3).count() == len(rows())
     assert spot_signatures.fingerprints(none(spark)).count() == 0
