@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from flowsift.operators.joins import lookup_join
 from flowsift.schema import CONN_DASH_FIELDS
 
-# log kinds the pipeline reacts to, rotated copies included (conn.2024-01-01.log)
-RELEVANT_GLOB = "{conn,dns,ssl,http,quic}*.log"
+# connection logs, rotated copies included (conn.2024-01-01.log)
+CONN_GLOB = "conn*.log"
 MAX_LAYOUTS = 1000
 
 
@@ -115,17 +115,26 @@ def read_conn_log(spark: SparkSession, path, mode: str = "strict") -> DataFrame:
 
 
 def stream_log(spark: SparkSession, directory: str, fields: list[str], preserve_dash=(),
-               separator: str = "\t", glob: str = RELEVANT_GLOB, max_files: int = 100) -> DataFrame:
+               separator: str = "\t", glob: str | None = None, max_files: int = 100) -> DataFrame:
     """The same rows as an unbounded table: new files are picked up once each.
 
-    A stream has no second look at a file's header, so the column list is given.
+    A stream has no second look at a file's header, so the column list is given, and `glob` names the files of
+    the one log kind it holds for; only fields of a connection log have a default. A line that does not fit
+    the fields becomes a row with `_malformed` set. `_raw` is the line, for `ingest.split_log`.
     """
+    if glob is None:
+        if "conn_state" not in fields:
+            raise ValueError("name the files of one log kind by a glob, such as dns*.log")
+        glob = CONN_GLOB
     lines = (
         spark.readStream.format("text").option("pathGlobFilter", glob)
         .option("recursiveFileLookup", "true").option("maxFilesPerTrigger", max_files)
         .load(directory).filter(~F.col("value").startswith("#"))
+        .select(F.regexp_replace("value", "[\r\n]+$", "").alias("_raw"), F.col("_metadata.file_path").alias("_file"))
     )
-    cells = split_line(F.regexp_replace("value", "[\r\n]+$", ""), separator)
     preserve = set(preserve_dash)
-    split = lines.select(cells.alias("_cells")).filter(F.size("_cells") == len(fields))
-    return split.select(*[_cell(i, name in preserve).alias(name) for i, name in enumerate(fields)])
+    split = lines.withColumn("_cells", split_line(F.col("_raw"), separator))
+    return split.select(
+        *[_cell(i, name in preserve).alias(name) for i, name in enumerate(fields)],
+        "_file", "_raw", (F.size("_cells") != len(fields)).alias("_malformed"),
+    )

@@ -57,6 +57,18 @@ def split_messages(good_table: str, dead_table: str) -> Callable[[DataFrame, int
     return write
 
 
+def split_log(good_table: str, dead_table: str) -> Callable[[DataFrame, int], None]:
+    """foreachBatch writer of `zeek.stream_log`: rows that fit their fields, and the file and line of all others."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        kept = batch.persist()
+        write_batch(kept.filter(~F.col("_malformed")).drop("_file", "_raw", "_malformed"), good_table, batch_id)
+        write_batch(kept.filter("_malformed").select("_file", "_raw"), dead_table, batch_id)
+        kept.unpersist()
+
+    return write
+
+
 def start_batches(stream: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str,
                   once: bool = False, interval: str = "2 seconds"):
     writer = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)

@@ -89,6 +89,24 @@ def test_log_stream(spark, tmp_path):
     assert sorted((r.uid, r.orig_bytes, r.duration) for r in spark.read.parquet(out).collect()) == [("C1", "128", "2.0"), ("C2", "-", None)]
 
 
+def test_log_stream_keeps_torn_lines(spark, tmp_path):
+    logs = tmp_path / "logs"
+    logs.mkdir()
+    write_log(logs / "conn.log", CONN, [TLS_FLOW, TLS_FLOW[:5], [*QUIC_FLOW, "more"]])
+    # another log of as many columns
+    write_log(logs / "dns.log", [f"c{k}" for k in range(len(CONN))], [QUIC_FLOW])
+    good, dead = str(tmp_path / "rows"), str(tmp_path / "dead")
+    stream = zeek.stream_log(spark, str(logs), CONN, ["orig_bytes"])
+    ingest.start_batches(stream, ingest.split_log(good, dead), str(tmp_path / "ck"), once=True).awaitTermination()
+    rows = read_table(spark, good)
+    assert set(CONN) <= set(rows.columns) and [r.uid for r in rows.collect()] == ["C1"]
+    letters = read_table(spark, dead).collect()
+    assert sorted(r._raw for r in letters) == ["\t".join(TLS_FLOW[:5]), "\t".join([*QUIC_FLOW, "more"])]
+    assert all(r._file.endswith("/conn.log") for r in letters)
+    with pytest.raises(ValueError, match="glob"):
+        zeek.stream_log(spark, str(logs), ["ts", "query"])
+
+
 def test_score_stream_and_correlate(spark, tmp_path, trained):  # noqa: F811
     from flowsift.plans import jobs
 
