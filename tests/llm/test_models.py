@@ -88,6 +88,33 @@ def test_attention_learns():
     assert net.log_probabilities(inputs, targets, net.tables()).ravel()[places].mean() > before + 1
 
 
+def test_network_learns_from_all_training_texts(spark, vocabulary, tmp_path, monkeypatch):
+    draw = np.random.default_rng(4)
+    texts = [" ".join(draw.choice(["red", "green", "blue"], 40)) for _ in range(500)]
+    texts[7] = " ".join(f"zebra{k % 50}" for k in range(6_000))  # a long one
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4).write.parquet(str(tmp_path / "d"))
+    docs = spark.read.parquet(str(tmp_path / "d"))
+    encode, end = vocabulary.encoder()
+    want = Counter(n for t in texts for w in language_model.tokens(t.encode()) for n in encode(w))
+    counts = language_model.subword_counts(language_model.word_counts(docs, vocabulary), vocabulary)
+    assert {n: int(counts[n]) for n in np.flatnonzero(counts)} == want
+    # pieces of all texts where there are few, a share of them where there are many
+    every = language_model.pieces(docs, vocabulary, 1.0).collect()
+    assert Counter(n for r in every for n in r.ids) == want
+    some = language_model.pieces(docs, vocabulary, 0.25).collect()
+    assert 0.1 < len(some) / len(every) < 0.4 and any(not r.begins for r in some)
+    # several tasks, averaged
+    monkeypatch.setattr(language_model, "LEAST", int(counts.sum()) // 3)
+    monkeypatch.setattr(language_model, "DRAWN", 1.0)
+    ids = [np.array([n for w in language_model.tokens(texts[7].encode()) for n in encode(w)])]
+    inputs, targets, places = language_model.half_windows(ids, end, end + 1)
+    fresh = language_model.Attention(end + 1)
+    fresh.set_classes(counts)
+    net = language_model.fit(docs, vocabulary, counts)
+    before, after = (n.log_probabilities(inputs, targets, n.tables()).ravel()[places].mean() for n in (fresh, net))
+    assert after > before + 0.5
+
+
 def test_lm_query_scores_every_document(spark, sf):
     got = op1(spark, sf).collect()
     assert len(got) == spark.read.parquet(f"{sf}/documents.parquet").count()
