@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowsift.llm.common import Memo, batches, held_out, mix, utf8, whole, words
+from flowsift.llm.common import Memo, batches, held_out, mix, stored, utf8, whole, words
 
 WINDOW, STRIDE = 32, 24
 CHAR_BUCKETS = 1 << 13
@@ -312,15 +312,21 @@ def logistic_fit(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 def sample(docs: DataFrame, labels: DataFrame, column: str = "toxic", count: tuple[int, int] = SAMPLE,
            size: int = SAMPLE_BYTES) -> tuple[list[bytes], np.ndarray]:
-    """Whole texts and labels of at most `count` training documents of label 0 and 1."""
+    """Texts and labels of at most `count` training documents of label 0 and 1 that `docs` has.
+
+    Of a text of more than `size` bytes a drawn stretch of at most `size` characters is taken.
+    """
     usable = labels.where(F.col(column).isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(3, 1)).select(
         "doc_id", F.col(column).cast("int").alias("label")).distinct()
+    usable = stored(usable.join(docs.where("text is not null").select("doc_id"), "doc_id", "left_semi"))
     chosen = [usable.where(F.col("label") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(count[k]) for k in (0, 1)]
     # the sample's size bounds these rows
     ids = docs.sparkSession.createDataFrame(
         [tuple(r) for part in chosen for r in part.collect()], usable.schema)
+    start = F.pmod(F.xxhash64("doc_id", "text"), F.greatest(F.lit(1), F.length("text") - size + 1)).cast("int") + 1
+    part = F.when(F.octet_length("text") <= size, F.col("text")).otherwise(F.substring("text", start, F.lit(size)))
     rows = (
-        docs.where(F.octet_length("text") <= size).select("doc_id", "text").join(F.broadcast(ids), "doc_id")
+        docs.where("text is not null").join(F.broadcast(ids), "doc_id").select("doc_id", "label", part.alias("text"))
         .select("text", "label", F.xxhash64("doc_id", "text").alias("draw")).orderBy("draw", "text").limit(sum(count))
         .collect())
     return [r[0].encode() for r in rows], np.array([r[1] for r in rows], np.float32)

@@ -171,6 +171,14 @@ def test_windows_cover_texts():
         assert {k for s in starts for k in range(s, s + toxicity.WINDOW)} >= set(range(n)) and (np.diff(starts) > 0).all()
 
 
+def test_toxicity_sample_is_taken_of_documents_that_are_there(spark):
+    docs = spark.createDataFrame([(k, "short" if k % 4 else "long " * 50) for k in range(900, 960)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(1_000)], "doc_id long, toxic int")
+    texts, y = toxicity.sample(docs, labels, count=(10, 10), size=40)
+    assert len(texts) == 20 and y.sum() == 10
+    assert all(len(t) <= 40 for t in texts) and any(b"long" in t for t in texts)
+
+
 def test_toxicity_of_awkward_tables(spark, corpus):
     labels = spark.createDataFrame([(1, 1), (2, 0), (2, 0), (None, 1), (99, 1), (3, None), (5, 0), (11, 1)],
                                    "doc_id long, toxic int")
