@@ -9,16 +9,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowsift.llm import (
+    embedding_links,
     language_model,
     license_scan,
+    merkle,
     ngram_join,
     packing,
+    periodic_runs,
     positional_index,
     sharding,
     spot_signatures,
     suffix_dedup,
     token_counts,
     toxicity,
+    twins,
 )
 
 from flowsift.llm.common import held_out
@@ -102,3 +106,19 @@ def op8(spark, directory):
 def op1(spark, directory):
     words = language_model.Vocabulary(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
     return language_model.language_scores(table(spark, directory, "documents"), words)
+
+
+@query("op11_embedding_near_dedup", twins.EMBEDDING_LINKS)
+def op11(spark, directory):
+    return embedding_links.vector_links(table(spark, directory, "embeddings"))
+
+
+@query("op12_periodic_runs")
+def op12(spark, directory):
+    docs = table(spark, directory, "documents")
+    return periodic_runs.run_digests(docs.withColumn("text", periodic_runs.repeated_tails()))
+
+
+@query("op13_merkle_manifest", twins.MERKLE_MANIFEST)
+def op13(spark, directory):
+    return merkle.verified_rows(table(spark, directory, "documents"))
