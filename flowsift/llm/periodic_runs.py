@@ -194,21 +194,19 @@ def periodic_runs(docs: DataFrame, *extra: str) -> DataFrame:
     return source.mapInArrow(found, schema)
 
 
-def repeated_tails() -> Column:
-    """The text with a tail made periodic in one row of ten, by the crc of its id; other texts as they are."""
+def with_repeated_tails(docs: DataFrame) -> DataFrame:
+    """The rows with a tail of the text made periodic in one of ten, by the crc of the id; other texts as they are."""
     h = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
-    words = F.filter(F.split("text", SPACES), lambda w: w != "")
-
-    def tail(words: Column, g: Column) -> Column:
-        n = F.size(words)
-        a = F.pmod(g, n)
-        p = 1 + F.floor((n - a) / (3 + F.pmod(g, F.lit(8))))
-        at = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.when(i < a, i).otherwise(a + F.pmod(i - a, p)))
-        return F.array_join(F.transform(at, lambda i: F.get(words, i.cast("int"))), " ")
-
-    g = F.floor(h / 10)
-    edited = F.when(F.size(words) > 0, tail(words, g)).otherwise(F.col("text"))
-    return F.when(h % 10 == 0, edited).otherwise(F.col("text"))
+    chosen = docs.withColumns({
+        "_g": F.floor(h / 10).cast("bigint"),
+        "_words": F.when(h % 10 == 0, F.array_remove(F.split("text", SPACES), ""))})
+    words, n = F.col("_words"), F.size("_words")
+    a = F.pmod(F.col("_g"), n).cast("int")
+    p = (1 + F.floor((n - a) / (3 + F.pmod("_g", F.lit(8))))).cast("int")
+    # as many periods as the tail needs, cut to its length
+    tail = F.slice(F.flatten(F.array_repeat(F.slice(words, a + 1, p), F.ceil((n - a) / p).cast("int"))), 1, n - a)
+    edited = F.array_join(F.concat(F.slice(words, 1, a), tail), " ")
+    return chosen.withColumn("text", F.when(n > 0, edited).otherwise(F.col("text"))).drop("_g", "_words")
 
 
 def run_digests(docs: DataFrame) -> DataFrame:

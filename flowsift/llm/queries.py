@@ -115,8 +115,7 @@ def op11(spark, directory):
 
 @query("op12_periodic_runs")
 def op12(spark, directory):
-    docs = table(spark, directory, "documents")
-    return periodic_runs.run_digests(docs.withColumn("text", periodic_runs.repeated_tails()))
+    return periodic_runs.run_digests(periodic_runs.with_repeated_tails(table(spark, directory, "documents")))
 
 
 @query("op13_merkle_manifest", twins.MERKLE_MANIFEST)

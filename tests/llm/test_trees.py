@@ -58,7 +58,7 @@ def plain_digest(doc_id, text):
 
 
 def digests(docs):
-    found = periodic_runs.run_digests(docs.withColumn("text", periodic_runs.repeated_tails()))
+    found = periodic_runs.run_digests(periodic_runs.with_repeated_tails(docs))
     assert found.columns == ["doc_id", "n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", "collapsed_sha256"]
     return Counter(map(tuple, found.collect()))
 
