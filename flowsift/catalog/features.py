@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from flowsift.catalog.base import DAY, FLOWS_SQL, flows, micros, prop_k, query, rounded, table
+from flowsift.catalog.base import DAY, FLOWS_SQL, ORACLE, flows, micros, prop_k, query, rounded, table
 from flowsift.functions import evidence, scalar
 from flowsift.operators import dns, enrich, rolling
 from flowsift.sources import wire
@@ -82,7 +82,20 @@ def arrival_intervals(spark, d):
   FROM a JOIN b USING (uid) JOIN c USING (uid) JOIN d USING (uid) JOIN e USING (uid)""")
 def flow_windows(spark, d):
     """The whole rolling feature set in two shuffles."""
-    done = rolling.flow_windows(flows(spark, d), DAY)
+    return _windows_rounded(rolling.flow_windows(flows(spark, d), DAY))
+
+
+# so few rows to a task that users and event types are both cut into segments
+SEGMENT_ROWS = 50
+
+
+@query("flow_windows_sliced", ORACLE["flow_windows"])
+def flow_windows_sliced(spark, d):
+    """The same set where both keys are too large for one task."""
+    return _windows_rounded(rolling.flow_windows(flows(spark, d), DAY, SEGMENT_ROWS))
+
+
+def _windows_rounded(done):
     return done.select(
         "uid", "connection_frequency", "fan_out", "unique_dst_ips", "unique_dst_ports", "fan_in",
         rounded("src_ip_entropy"), *_interval_columns(),
@@ -246,6 +259,13 @@ def dns_window(spark, d):
     return _dns_rounded(dns.dns_features(purchases, _queries(spark, d), window_seconds=DAY), "uid")
 
 
+@query("dns_window_sliced", ORACLE["dns_window"])
+def dns_window_sliced(spark, d):
+    """The same where a user's block of queries is too large for one task."""
+    purchases = flows(spark, d).filter("dst_ip = 'purchase'")
+    return _dns_rounded(dns.dns_features(purchases, _queries(spark, d), window_seconds=DAY, target_rows=5), "uid")
+
+
 @query("dns_by_uid", f"WITH {QUERIES_SQL} SELECT sid AS uid, {DNS_SQL} FROM m GROUP BY sid")
 def dns_by_uid(spark, d):
     return _dns_rounded(dns.uid_dns(_queries(spark, d)), "uid")

@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from flowsift.catalog.alerts import ALERTS_SQL, CORRELATED_SQL, LOOKBACK, MOMENT, alerts
-from flowsift.catalog.base import DAY, ORACLE, flows, micros, query, run_folder, table
+from flowsift.catalog.base import DAY, FLOWS_SQL, ORACLE, flows, micros, query, run_folder, table
 from flowsift.catalog.features import _interval_columns, damaged_messages
 from flowsift.catalog.analytics import contract_features, small_models
 from flowsift.operators.alerts import correlate
 from flowsift.streaming import ingest, metrics
 from flowsift.streaming.correlation import tagged_alerts
-from flowsift.streaming.features import FlowFeatures
+from flowsift.streaming.features import start_features
 from flowsift.streaming.scoring import score_batches
 from flowsift.streaming.store import read_table, write_batch
 
@@ -31,11 +31,36 @@ def _append(path: str):
     return lambda batch, batch_id: write_batch(batch, path, batch_id)
 
 
+def _in_parts(rows, order: str, folder: str, parts: int = 4):
+    """Writes rows as files in time order, one per part, so a stream of one file a batch meets them in turn."""
+    cuts = rows.select(F.col(order).cast("double").alias("x")).approxQuantile("x", [i / parts for i in range(1, parts)], 0.01)
+    edges = [None, *cuts, None]
+    for low, high in zip(edges, edges[1:]):
+        at = F.col(order).cast("double")
+        inside = (F.lit(True) if low is None else at > low) & (F.lit(True) if high is None else at <= high)
+        rows.where(inside).coalesce(1).write.mode("append").parquet(folder)
+
+
+def _as_stream(spark, folder: str):
+    schema = spark.read.parquet(folder).schema
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder)
+
+
+def _heartbeat(rows, order: str, seconds: float, columns: dict):
+    """One row without a flow, later than all others by that many seconds: it flushes a stream."""
+    end = rows.agg((F.max(order) + F.lit(seconds)).alias(order))
+    return end.select(*(F.col(c) if c == order else columns.get(c, F.lit(None).cast(rows.schema[c].dataType)).alias(c)
+                        for c in rows.columns))
+
+
 @query("stream_flow_features", ORACLE["flow_windows"])
 def stream_flow_features(spark, d):
-    """Rolling features computed batch by batch with carried state."""
+    """Rolling features from keyed state, over four batches in time order and one that flushes."""
     root = run_folder(spark, "features")
-    _drain(_flow_stream(spark, d), FlowFeatures(root, DAY, lateness_seconds=0), root)
+    rows = flows(spark, d)
+    _in_parts(rows, "ts", f"{root}/in")
+    _heartbeat(rows, "ts", 10.0, {}).write.mode("append").parquet(f"{root}/in")
+    start_features(_as_stream(spark, f"{root}/in"), root, DAY, lateness_seconds=5.0, once=True).awaitTermination()
     return read_table(spark, f"{root}/features").select(
         "uid", "connection_frequency", "fan_out", "unique_dst_ips", "unique_dst_ports", "fan_in",
         (F.round("src_ip_entropy", 6) + 0.0).alias("src_ip_entropy"), *_interval_columns(),
@@ -43,21 +68,41 @@ def stream_flow_features(spark, d):
     )
 
 
+LATE_SQL = f"""WITH {FLOWS_SQL} SELECT uid, CASE WHEN t % 10 = 0 THEN 'no time' ELSE 'behind' END AS reason FROM flows WHERE t % 10 < 2"""
+
+
+@query("stream_late_flows", LATE_SQL)
+def stream_late_flows(spark, d):
+    """Flows that come after the watermark has passed them, or have no time, leave as late ones."""
+    root = run_folder(spark, "late")
+    rows = flows(spark, d)
+    digit = F.round(F.col("ts") * 1e6).cast("bigint") % 10
+    _in_parts(rows.where(digit >= 2), "ts", f"{root}/in", 2)
+    _heartbeat(rows, "ts", 10.0, {}).write.mode("append").parquet(f"{root}/in")
+    late = rows.where(digit < 2).withColumn("ts", F.when(digit == 1, F.col("ts")))
+    late.coalesce(1).write.mode("append").parquet(f"{root}/in")
+    start_features(_as_stream(spark, f"{root}/in"), root, DAY, lateness_seconds=5.0, once=True).awaitTermination()
+    reason = F.when(F.col("ts").isNull(), "no time").otherwise("behind")
+    return read_table(spark, f"{root}/late").select("uid", reason.alias("reason"))
+
+
 def _flow_stream(spark, d):
     return flows(spark, d, _events(spark, d))
 
 
 @query("stream_throughput", f"""WITH e AS (SELECT epoch_us(ts) // {HOUR} AS h, length(props) AS b FROM events)
   SELECT h * {HOUR} AS t, round(count(*) / 3600.0, 2) AS flows_per_sec, round(sum(b) / 3600.0, 2) AS bytes_per_sec, count(*) AS window_flows
-  FROM e GROUP BY h HAVING (h + 1) * {HOUR} <= (SELECT max(epoch_us(ts)) FROM events) - {HOUR}""")
+  FROM e GROUP BY h""")
 def stream_throughput(spark, d):
-    """Hourly windows, each written once the watermark has passed its end."""
-    rows = _events(spark, d).select(
-        F.timestamp_micros(micros("ts")).alias("event_time"), F.col("event_id").alias("flow_id"),
-        F.length("props").alias("bytes"), F.col("value").alias("latency_ms"),
-    ).withWatermark("event_time", "1 hour")
+    """Hourly windows, each written once the watermark has passed its end; a heartbeat flushes the last ones."""
     root = run_folder(spark, "throughput")
-    _drain(metrics.throughput(rows, 3600), _append(f"{root}/metrics"), root)
+    rows = table(spark, d, "events").select(
+        micros("ts").alias("t"), F.col("event_id").alias("flow_id"), F.length("props").alias("bytes"),
+        F.col("value").alias("latency_ms"))
+    _in_parts(rows, "t", f"{root}/in")
+    _heartbeat(rows, "t", 3 * HOUR, {}).select(F.col("t").cast("bigint"), *rows.columns[1:]).write.mode("append").parquet(f"{root}/in")
+    timed = _as_stream(spark, f"{root}/in").withColumn("event_time", F.timestamp_micros("t")).withWatermark("event_time", "1 hour")
+    _drain(metrics.throughput(timed, 3600), _append(f"{root}/metrics"), root)
     return read_table(spark, f"{root}/metrics").select(
         F.unix_micros("ts").alias("t"), "flows_per_sec", "bytes_per_sec", "window_flows"
     )

@@ -13,14 +13,14 @@ drifts and slices of a hot key add up exactly. Cost is n log n whatever the wind
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowsift.functions.scalar import ticks
-from flowsift.operators.joins import lookup_join
-from flowsift.operators.running import (
-    FOLDS, Slicing, combine, neighbours, per_temperature, plan_slices, running,
-)
+from flowsift.operators.running import Slicing, neighbours, per_temperature, plan_slices, running
+from flowsift.operators.segments import DESTINATION, SOURCE, plan_segments, segmented_folds
 from flowsift.schema import EPSILON, WINDOW_SECONDS
 
 MICROS = 1_000_000
@@ -125,46 +125,6 @@ def _gap_folds() -> dict[str, tuple[str, Column]]:
     }
 
 
-def _placed_after(rows: DataFrame, sources: DataFrame, target_rows: int | None) -> tuple[DataFrame, Slicing | None]:
-    """Rows with prev__t, where the first row of a source follows the stored last one."""
-    timed = rows.withColumn("_t", ticks("ts"))
-    slicing = plan_slices(timed, ["src_ip"], "_t", target_rows)
-    placed = per_temperature(
-        timed, slicing, lambda part, cut: neighbours(part, ["src_ip"], ORDER, ("prev__t", "next__t"), cut)
-    )
-    stored = sources.select("src_ip", *[F.col(c).alias(f"_s{c}") for c in ("_last", *_LIFETIME)])
-    joined = lookup_join(placed, stored, "src_ip", row_id="uid")
-    return joined.withColumn("prev__t", F.coalesce("prev__t", "_s_last")).drop("next__t"), slicing
-
-
-def continue_lifetime(rows: DataFrame, sources: DataFrame, target_rows: int | None = None) -> DataFrame:
-    """Adds iat_mean/std/min/max where each source goes on from its stored state."""
-    placed, slicing = _placed_after(rows, sources, target_rows)
-    folds = _gap_folds()
-    local = {f"_l{name}": fold for name, fold in folds.items()}
-    summed = per_temperature(
-        placed, slicing, lambda part, cut: running(part, ["src_ip"], ORDER, local, cut)
-    )
-    total = summed.select(*rows.columns, *[
-        combine(kind, F.col(f"_s{name}"), F.col(f"_l{name}")).alias(name) for name, (kind, _) in folds.items()
-    ])
-    return total.select(*rows.columns, *_lifetime_columns())
-
-
-def lifetime_state(rows: DataFrame, sources: DataFrame, target_rows: int | None = None) -> DataFrame:
-    """The state of every source after the rows: one narrow row each, summed map-side."""
-    placed, _ = _placed_after(rows, sources, target_rows)
-    folds = _gap_folds()
-    now = placed.groupBy("src_ip").agg(
-        F.max("_t").alias("_n_last"), *[FOLDS[k](c).alias(f"_n{name}") for name, (k, c) in folds.items()]
-    )
-    merged = {"_last": F.coalesce("_n_last", "_last")}
-    merged |= {name: combine(kind, F.col(name), F.col(f"_n{name}")) for name, (kind, _) in folds.items()}
-    return sources.join(now, "src_ip", "full").select(
-        "src_ip", *[v.cast("decimal(38,0)" if n == "_gap_squares" else "bigint").alias(n) for n, v in merged.items()]
-    )
-
-
 def _seconds(micros: Column) -> Column:
     return micros / F.lit(float(MICROS))
 
@@ -186,14 +146,12 @@ _LIFETIME = ["_gaps", "_gap_sum", "_gap_squares", "_gap_min", "_gap_max"]
 
 
 def source_window(flows: DataFrame, window_seconds: float = WINDOW_SECONDS,
-                  target_rows: int | None = None, lifetime: bool = True,
-                  plan_on: DataFrame | None = None) -> DataFrame:
+                  target_rows: int | None = None, lifetime: bool = True) -> DataFrame:
     """Adds every source-keyed statistic.
 
     fan_out, unique_dst_ips, unique_dst_ports, connection_frequency, src_ip_entropy and
     periodicity_score over the trailing window; iat_* over the lifetime of the source.
     Cold sources need one shuffle: hash(src_ip) also satisfies the finer (src_ip, dst) keys.
-    plan_on: a cheaper table of the same flows to look for hot sources in.
     """
     window = round(window_seconds * MICROS)
     timed = flows.withColumn("_t", ticks("ts"))
@@ -234,7 +192,7 @@ def source_window(flows: DataFrame, window_seconds: float = WINDOW_SECONDS,
             step, ["src_ip"], SWEEP,
             {
                 "_n": sign,
-                "_ips": ("sum", F.when(first, 1).when(last, -1).otherwise(0).cast("bigint")),
+                "_values": ("sum", F.when(first, 1).when(last, -1).otherwise(0).cast("bigint")),
                 "_pairs": ("sum", F.col("_pair")),
                 "_ports": ("sum", F.col("_port")),
                 "_log_whole": ("sum", F.floor(now) - F.floor(before)),
@@ -246,32 +204,44 @@ def source_window(flows: DataFrame, window_seconds: float = WINDOW_SECONDS,
         )
         return step.filter("_leaves = 0")
 
-    planned = timed if plan_on is None else plan_on.withColumn("_t", ticks("ts"))
-    done = per_temperature(timed, plan_slices(planned, ["src_ip"], "_t", target_rows), sweep)
+    done = per_temperature(timed, plan_slices(timed, ["src_ip"], "_t", target_rows), sweep)
+    return done.select(*flows.columns, *_source_columns(lifetime))
+
+
+def _source_columns(lifetime: bool = True) -> list[Column]:
+    """Features out of the running folds of a source."""
     n = F.col("_n")
     logs = F.col("_log_whole") + F.col("_log_part") / F.lit(float(1 << _FRACTION_BITS))
     entropy = F.greatest(F.log2(n.cast("double")) - logs / n, F.lit(0.0))
     spread = _seconds(_spread(n - 1, F.col("_window_gap"), F.col("_window_square")))
     periodicity = F.when(n > 1, F.lit(1.0) / F.greatest(spread, F.lit(EPSILON))).otherwise(F.lit(0.0))
-    return done.select(
-        *flows.columns,
+    return [
         F.col("_pairs").cast("double").alias("fan_out"),
-        F.col("_ips").alias("unique_dst_ips"),
+        F.col("_values").alias("unique_dst_ips"),
         F.col("_ports").alias("unique_dst_ports"),
         *(_lifetime_columns() if lifetime else []),
         n.cast("double").alias("connection_frequency"),
         entropy.alias("src_ip_entropy"),
         periodicity.alias("periodicity_score"),
-    )
+    ]
 
 
 def flow_windows(flows: DataFrame, window_seconds: float = WINDOW_SECONDS,
                  target_rows: int | None = None) -> DataFrame:
     """Source and destination statistics of flows(uid, ts, src_ip, dst_ip, dst_port, ...).
 
-    Two shuffles of the flows, no join: the destination sweep carries the row on to the
-    source sweep.
+    Where every key fits into a task: two shuffles of the flows, no join, the destination sweep carries the row
+    on to the source sweep. Else a segmented scan over narrow rows of both sides, joined by uid, which has to be
+    unique then.
     """
-    return source_window(
-        destination_window(flows, window_seconds, target_rows), window_seconds, target_rows, plan_on=flows
-    )
+    timed = flows.withColumn("_t", ticks("ts"))
+    slicing = plan_segments(timed, target_rows)
+    if slicing is None:
+        cold = destination_window(flows, window_seconds, math.inf)
+        return source_window(cold, window_seconds, math.inf)
+    window = round(window_seconds * MICROS)
+    narrow = timed.select("uid", "_t", "src_ip", "dst_ip", "dst_port")
+    folds = segmented_folds(narrow, window, slicing, _c_log_c, _fraction)
+    of_source = folds.select("uid", F.col(f"{DESTINATION}._values").alias("_fan_in"), f"{SOURCE}.*")
+    return flows.join(of_source, "uid").select(
+        *flows.columns, F.col("_fan_in").cast("double").alias("fan_in"), *_source_columns())

@@ -50,7 +50,7 @@ class Slicing:
 
 
 def plan_slices(df: DataFrame, keys: list[str], order_col: str,
-                target_rows: int | None = None) -> Slicing | None:
+                target_rows: float | None = None) -> Slicing | None:
     """Finds keys too large for one task; None when there are none.
 
     Runs up to three column-pruned passes when the plan is built: a count, a count per key
@@ -58,6 +58,8 @@ def plan_slices(df: DataFrame, keys: list[str], order_col: str,
     order column over hot rows. What comes to the driver is bounded by MAX_SLICES rows.
     """
     target = target_rows or TARGET_ROWS
+    if target == math.inf:
+        return None  # the caller knows that no key is too large
     narrow = df.select(*keys, order_col)
     total = narrow.count()
     if total <= target:

@@ -1,89 +1,271 @@
 """Rolling flow features over an unbounded stream, equal to the batch result.
 
-Each micro-batch runs the batch operators over its ready rows plus the rows of one window
-before them. A row is ready when the watermark has passed it; rows behind the last watermark
-go to a side table. Lifetime interval statistics continue from one small row per source.
-A burst from one source is spread by the same slices as in batch.
+One stateful operator keeps the windows: every flow goes to its source and to its destination as keys of their
+own, in one shuffle. A flow waits in its key's state until the watermark has passed it, so flows of a key leave
+in (ts, uid) order whatever order they came in; an event-time timer wakes the key. The state of a key is
+what waits, the flows of one window before, and, for sources, the sums of all gaps so far. Another timer empties
+a window that nothing follows. With `forget_seconds` the sums of a source start anew after so long a silence, and
+the state is freed then.
+
+Flows behind the watermark and flows without a time leave at once as late ones. A row without a uid is no
+flow but a heartbeat: its time moves the watermark on, which is how a finished log is flushed.
+
+A key's rows of one batch are in one task, so the reader's limits per batch bound what a busy key holds there.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections import Counter, deque
+from collections.abc import Iterable, Iterator
+from decimal import Decimal
+from math import log2, sqrt
+
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+
+from flowsift.functions.scalar import event_time, ticks
+from flowsift.operators.rolling import MICROS
+from flowsift.schema import EPSILON, WINDOW_SECONDS
+from flowsift.streaming.store import read_batch, write_batch
+
+SOURCE, DESTINATION = "source", "destination"
+NARROW = "_t bigint, uid string, src_ip string, dst_ip string, dst_port int"
+SUMS = "last bigint, gaps bigint, total bigint, squares decimal(38,0), least bigint, most bigint"
+SOURCE_FEATURES = {
+    "fan_out": "double", "unique_dst_ips": "bigint", "unique_dst_ports": "bigint", "iat_mean": "double",
+    "iat_std": "double", "iat_min": "double", "iat_max": "double", "connection_frequency": "double",
+    "src_ip_entropy": "double", "periodicity_score": "double",
+}
+STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+# entropy sums are whole multiples of this part, so that they don't drift
+_PART = 1 << 36
+_C_LOG_C = [0, 0]
+
+
+def _c_log_c(count: int) -> int:
+    while len(_C_LOG_C) <= count:
+        c = len(_C_LOG_C)
+        _C_LOG_C.append(round(c * log2(c) * _PART))
+    return _C_LOG_C[count]
+
+
+class _Gaps:
+    """Number, sum and sum of squares of gaps in microseconds, all exact."""
 
-from flowsift.functions.scalar import ticks
-from flowsift.operators.rolling import (
-    MICROS, continue_lifetime, destination_window, lifetime_state, source_window,
-)
-from flowsift.schema import WINDOW_SECONDS
-from flowsift.streaming.store import batch_numbers, drop_batches_before, read_batch, write_batch
+    def __init__(self, count: int = 0, total: int = 0, squares: int = 0):
+        self.count, self.total, self.squares = count, total, squares
 
-STATE_SCHEMA = (
-    "src_ip string, _last bigint, _gaps bigint, _gap_sum bigint, _gap_squares decimal(38,0),"
-    " _gap_min bigint, _gap_max bigint"
-)
+    def add(self, gap: int, sign: int = 1) -> None:
+        self.count += sign
+        self.total += sign * gap
+        self.squares += sign * gap * gap
 
+    def spread(self) -> float:
+        """Population deviation in seconds."""
+        return sqrt(self.count * self.squares - self.total * self.total) / self.count / MICROS
 
-class FlowFeatures:
-    """foreachBatch writer of flow features.
 
-    Tables under `root`: features, late, and the state tables recent, waiting, sources,
-    watermark. State of batch N-1 is the only thing batch N depends on.
+class _Window:
+    """The flows of the last `width` microseconds up to the newest one, and what their features need."""
+
+    def __init__(self, width: int, sources: bool):
+        self.width, self.sources = width, sources
+        self.rows: deque = deque()
+        self.values = Counter(), Counter(), Counter()
+        self.logs, self.gaps = 0, _Gaps()
+
+    def _count(self, row, sign: int) -> None:
+        _, _, src_ip, dst_ip, dst_port = row
+        for counter, value in zip(self.values, (dst_ip, dst_port, (dst_ip, dst_port)) if self.sources else (src_ip,)):
+            before = counter[value]
+            if counter is self.values[0]:
+                self.logs += _c_log_c(before + sign) - _c_log_c(before)
+            if before + sign:
+                counter[value] = before + sign
+            else:
+                del counter[value]
+
+    def enter(self, row) -> None:
+        if self.rows:
+            self.gaps.add(row[0] - self.rows[-1][0])
+        self.rows.append(row)
+        self._count(row, 1)
+        while self.rows[0][0] < row[0] - self.width:
+            gone = self.rows.popleft()
+            self._count(gone, -1)
+            self.gaps.add(self.rows[0][0] - gone[0], -1)
+
+    def features(self) -> tuple:
+        n = len(self.rows)
+        if not self.sources:
+            return (float(len(self.values[0])),)
+        ips, ports, pairs = map(len, self.values)
+        entropy = max(log2(n) - self.logs / _PART / n, 0.0)
+        periodicity = 1.0 / max(self.gaps.spread(), EPSILON) if n > 1 else 0.0
+        return float(pairs), ips, ports, float(n), entropy, periodicity
+
+
+class KeyedWindows(StatefulProcessor):
+    """State of one source or one destination; keys are (side, address).
+
+    Output: side, late, the flow's columns (of a destination: those that name the flow), fan_in, source features.
     """
 
-    def __init__(self, root: str, window_seconds: float = WINDOW_SECONDS, lateness_seconds: float = 120.0,
-                 target_rows: int | None = None):
-        self.root, self.window_seconds, self.target_rows = root, window_seconds, target_rows
-        self.window, self.lateness = round(window_seconds * MICROS), round(lateness_seconds * MICROS)
-
-    def _table(self, name: str) -> str:
-        return f"{self.root}/{name}"
-
-    def _before(self, spark: SparkSession, batch_id: int) -> int | None:
-        done = [n for n in batch_numbers(spark, self._table("watermark")) if n < batch_id]
-        return max(done) if done else None
-
-    def __call__(self, batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        last = self._before(spark, batch_id)
-        columns = batch.columns
-        fresh = batch.withColumn("_t", ticks("ts"))
-        empty = fresh.limit(0)
-
-        def state(name: str) -> DataFrame:
-            return empty if last is None else read_batch(spark, self._table(name), last)
-
-        mark = None if last is None else read_batch(spark, self._table("watermark"), last).first()[0]
-        fresh = fresh.persist()
-        top = fresh.agg(F.max("_t")).first()[0]
-        reached = max([m for m in (mark, None if top is None else top - self.lateness) if m is not None], default=None)
-
-        is_late = F.col("_t").isNull() if mark is None else F.coalesce(F.col("_t") <= mark, F.lit(True))
-        candidates = fresh.filter(~is_late).unionByName(state("waiting"))
-        is_ready = F.lit(False) if reached is None else F.col("_t") <= reached
-        write_batch(fresh.filter(is_late).select(*columns), self._table("late"), batch_id)
-        write_batch(candidates.filter(~is_ready), self._table("waiting"), batch_id)
-        write_batch(candidates.filter(is_ready), self._table("ready"), batch_id)
-        fresh.unpersist()
-
-        # from here on everything reads written tables
-        ready = read_batch(spark, self._table("ready"), batch_id)
-        recent = state("recent")
-        sources = (
-            spark.createDataFrame([], STATE_SCHEMA) if last is None
-            else read_batch(spark, self._table("sources"), last)
-        )
-        window_rows = recent.withColumn("_new", F.lit(False)).unionByName(ready.withColumn("_new", F.lit(True)))
-        rolled = source_window(
-            destination_window(window_rows.drop("_t"), self.window_seconds, self.target_rows),
-            self.window_seconds, self.target_rows, lifetime=False, plan_on=window_rows,
-        ).filter("_new").drop("_new")
-        features = continue_lifetime(rolled, sources, self.target_rows)
-        write_batch(features, self._table("features"), batch_id)
-        write_batch(lifetime_state(ready.select(*columns), sources, self.target_rows), self._table("sources"), batch_id)
-        keep = F.lit(True) if reached is None else F.col("_t") >= reached - self.window
-        write_batch(recent.unionByName(ready).filter(keep), self._table("recent"), batch_id)
-        # the watermark is written last: it marks the batch as complete
-        write_batch(spark.createDataFrame([(reached,)], "reached bigint"), self._table("watermark"), batch_id)
-        for name in ("ready", "waiting", "recent", "sources", "watermark"):
-            drop_batches_before(spark, self._table(name), batch_id - 1)
+    def __init__(self, columns: list[str], waiting: str, window_seconds: float, forget_seconds: float | None):
+        self.columns, self.waiting_schema = columns, waiting
+        self.width = round(window_seconds * MICROS)
+        self.forget = None if forget_seconds is None else round(forget_seconds * MICROS)
+        self.narrow = [columns.index(c) for c in ("_t", "uid", "src_ip", "dst_ip", "dst_port")]
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", self.waiting_schema)
+        self.recent = handle.getListState("recent", NARROW)
+        self.sums = handle.getValueState("sums", SUMS)
+
+    def _wake(self, micros: int) -> None:
+        self.handle.registerTimer(-(-micros // 1000))
+
+    def handleInputRows(self, key, rows: Iterable[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        at = self.columns.index("_t")
+        late, fresh = [], []
+        for frame in rows:
+            # by place: names that are no Python names arrive changed
+            frame = frame.iloc[:, -len(self.columns):].astype(object)
+            for row in frame.where(frame.notna(), None).itertuples(index=False, name=None):
+                (late if row[at] is None or row[at] <= passed else fresh).append(row)
+        if fresh:
+            fresh = [tuple(int(x) if k in (at, self.narrow[4]) and x is not None else x for k, x in enumerate(r))
+                     for r in fresh]
+            self.waiting.appendList(fresh)
+            self._wake(min(r[at] for r in fresh))
+        if late and key[0] == SOURCE:
+            yield self._frame(SOURCE, True, [(*r, *(None,) * (1 + len(SOURCE_FEATURES))) for r in late])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        at, uid = self.columns.index("_t"), self.columns.index("uid")
+        held = list(self.waiting.get()) if self.waiting.exists() else []
+        ready = sorted((r for r in held if r[at] <= passed), key=lambda r: (r[at], r[uid]))
+        if ready:
+            rest = [r for r in held if r[at] > passed]
+            if rest:
+                self.waiting.put(rest)
+                self._wake(min(r[at] for r in rest))
+            else:
+                self.waiting.clear()
+            yield self._frame(key[0], False, self._leave(key[0] == SOURCE, ready, passed))
+        elif not held:
+            self._tidy(passed)
+
+    def _leave(self, of_source: bool, ready: list, passed: int) -> list:
+        """Ready rows with their features; the state moves on behind them."""
+        window = _Window(self.width, of_source)
+        for row in self.recent.get() if self.recent.exists() else ():
+            window.enter(tuple(row))
+        life = self.sums.get() if of_source and self.sums.exists() else None
+        last, count, total, squares, least, most = life or (None, 0, 0, 0, None, None)
+        gaps = _Gaps(count, total, int(squares))
+        out = []
+        for row in ready:
+            narrow = tuple(row[k] for k in self.narrow)
+            window.enter(narrow)
+            if not of_source:
+                out.append((*row, *window.features(), *(None,) * len(SOURCE_FEATURES)))
+                continue
+            if last is not None and self.forget is not None and narrow[0] - last > self.forget:
+                last, gaps, least, most = None, _Gaps(), None, None
+            if last is not None:
+                gap = narrow[0] - last
+                gaps.add(gap)
+                least, most = (gap, gap) if least is None else (min(least, gap), max(most, gap))
+            last = narrow[0]
+            intervals = (0.0,) * 4 if not gaps.count else (
+                gaps.total / gaps.count / MICROS, gaps.spread(), least / MICROS, most / MICROS)
+            pairs, ips, ports, *others = window.features()
+            out.append((*row, None, pairs, ips, ports, *intervals, *others))
+        # what later flows, all of them behind the watermark, can still reach
+        kept = [r for r in window.rows if r[0] >= passed - self.width]
+        if kept:
+            self.recent.put(kept)
+            self._wake(kept[-1][0] + self.width + 1000)
+        else:
+            self.recent.clear()
+        if of_source:
+            self.sums.update((last, gaps.count, gaps.total, Decimal(gaps.squares), least, most))
+            if self.forget is not None:
+                self._wake(last + self.forget)
+        return out
+
+    def _tidy(self, passed: int) -> None:
+        if self.recent.exists() and list(self.recent.get())[-1][0] < passed - self.width:
+            self.recent.clear()
+        if self.forget is not None and self.sums.exists() and self.sums.get()[0] + self.forget <= passed:
+            self.sums.clear()
+
+    def _frame(self, side: str, late: bool, rows: list) -> pd.DataFrame:
+        frame = pd.DataFrame(rows, columns=[*self.columns, "fan_in", *SOURCE_FEATURES], dtype=object)
+        return frame.assign(side=side, late=late)
+
+    def close(self) -> None:
+        pass
+
+
+def keyed_features(flows: DataFrame, window_seconds: float = WINDOW_SECONDS, lateness_seconds: float = 120.0,
+                   forget_seconds: float | None = None) -> DataFrame:
+    """Two rows per flow of a stream: the source's features and the destination's; late flows once, marked."""
+    columns = [*flows.columns, "_t"]
+    timed = flows.withColumn("_event_time", event_time("ts")).withWatermark(
+        "_event_time", f"{round(lateness_seconds * 1000)} milliseconds").withColumn("_t", ticks("ts"))
+    named = ("_t", "uid", "src_ip", "dst_ip", "dst_port")
+
+    def half(side: str, key: str) -> F.Column:
+        kept = columns if side == SOURCE else named
+        values = [(F.col(c) if c in kept else F.lit(None).cast(timed.schema[c].dataType)).alias(c) for c in columns]
+        return F.struct(F.lit(side).alias("side"), F.col(key).alias("key"), *values)
+
+    both = F.when(F.col("uid").isNotNull(), F.array(half(SOURCE, "src_ip"), half(DESTINATION, "dst_ip")))
+    # the event time itself stays behind: the operator sees late flows too
+    halves = timed.select(F.explode(both).alias("_half")).select("_half.*")
+    fields = [halves.schema[c] for c in columns]
+    waiting = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
+    out = T.StructType([
+        *fields, T.StructField("fan_in", T.DoubleType()),
+        *(T.StructField(n, T.LongType() if kind == "bigint" else T.DoubleType()) for n, kind in SOURCE_FEATURES.items()),
+        T.StructField("side", T.StringType()), T.StructField("late", T.BooleanType())])
+    return halves.groupBy("side", "key").transformWithStateInPandas(
+        KeyedWindows(columns, waiting, window_seconds, forget_seconds), out, "Append", "eventTime")
+
+
+def split_features(root: str):
+    """foreachBatch writer under `root`: features (both halves of a flow as one row) and late."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        write_batch(batch, f"{root}/halves", batch_id)
+        halves = read_batch(batch.sparkSession, f"{root}/halves", batch_id)
+        of_source = halves.filter((F.col("side") == SOURCE) & ~F.col("late")).drop("fan_in", "side", "late")
+        of_destination = halves.filter(F.col("side") == DESTINATION).select("uid", "_t", "fan_in")
+        write_batch(of_source.join(of_destination, ["uid", "_t"]).drop("_t"), f"{root}/features", batch_id)
+        late = halves.filter("late").drop("_t", "side", "late", "fan_in", *SOURCE_FEATURES)
+        write_batch(late, f"{root}/late", batch_id)
+
+    return write
+
+
+def start_features(flows: DataFrame, root: str, window_seconds: float = WINDOW_SECONDS, lateness_seconds: float = 120.0,
+                   forget_seconds: float | None = None, once: bool = False, interval: str = "2 seconds"):
+    """Starts the query; its state lives beside its tables under `root`, a folder that all machines share."""
+    conf = flows.sparkSession.conf
+    before = conf.get(STORE, None)
+    conf.set(STORE, ROCKS)  # read when the query starts
+    try:
+        writer = keyed_features(flows, window_seconds, lateness_seconds, forget_seconds).writeStream.foreachBatch(
+            split_features(root)).option("checkpointLocation", f"{root}/state")
+        return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=interval)).start()
+    finally:
+        conf.unset(STORE) if before is None else conf.set(STORE, before)

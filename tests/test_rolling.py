@@ -1,12 +1,16 @@
 import math
 import random
+import re
 from collections import Counter, defaultdict
 
 import pytest
 from pyspark.sql import functions as F
 
+from flowsift.functions.scalar import ticks
 from flowsift.operators import running as R
-from flowsift.operators.rolling import flow_windows, lifetime_intervals
+from flowsift.operators import segments
+from flowsift.operators.rolling import destination_window, flow_windows, lifetime_intervals, source_window
+from flowsift.operators.segments import plan_segments
 
 FLOWS = "uid string, ts double, src_ip string, dst_ip string, dst_port int, note string"
 
@@ -71,12 +75,57 @@ def test_windows_match_brute_force(spark, window):
     assert {r["uid"]: r["note"] for r in got} == {r[0]: r[5] for r in rows}
 
 
-def test_hot_keys_are_sliced_and_agree(spark):
+@pytest.mark.parametrize("window", [60.0, 4000.0])
+def test_hot_keys_are_cut_into_segments_and_agree(spark, window):
+    """Both keys hot: one source and every destination hold more rows than a task takes."""
+    rows = make_flows(300, 5)
+    df = spark.createDataFrame(rows, FLOWS).repartition(4)
+    plan = plan_segments(df.withColumn("_t", ticks("ts")), 40)
+    assert plan is not None and len(plan.splits) >= 5
+    assert {r._key.side for r in plan.hot.collect()} == {"source", "destination"}
+    got = flow_windows(df, window, target_rows=40).collect()
+    compare(got, brute(rows, window))
+    assert {r["uid"]: r["note"] for r in got} == {r[0]: r[5] for r in rows}
+
+
+def test_a_burst_inside_one_window_is_cut(spark):
+    """All flows of one source inside a second, all of them to ports of their own."""
+    rows = [(f"u{k:03d}", 1700000000.0 + k / 1000, "s", f"d{k % 3}", k, "") for k in range(200)]
+    rows += [(f"v{k}", 1700000000.0 + 30 * k, "t", "d0", 1, "") for k in range(5)]
+    compare(flow_windows(spark.createDataFrame(rows, FLOWS), 60.0, target_rows=20).collect(), brute(rows, 60.0))
+
+
+def test_segments_with_null_keys(spark):
+    rows = [(f"u{k:03d}", 1000.0 + k, None if k % 2 else "s", None if k % 3 else "d", None if k % 5 else 7, "") for k in range(120)]
+    df = spark.createDataFrame(rows, FLOWS)
+    cold, hot = ({r.uid: r for r in flow_windows(df, 10.0, n).collect()} for n in (None, 10))
+    assert cold.keys() == hot.keys()
+    for uid, row in cold.items():
+        for name, value in row.asDict().items():
+            assert hot[uid][name] == (pytest.approx(value) if isinstance(value, float) else value), (uid, name)
+
+
+def test_scans_and_shuffles_of_segments(spark, tmp_path, monkeypatch):
+    """Both keys hot: the written step and the rest together."""
+    path = str(tmp_path / "flows")
+    spark.createDataFrame(make_flows(300, 5), FLOWS).write.parquet(path)
+    plans = []
+    written = segments.stored
+    shown = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(segments, "stored", lambda df: (plans.append(shown(df)), written(df))[1])
+    plans.append(shown(flow_windows(spark.read.parquet(path), 60.0, target_rows=40)))
+    assert len(plans) == 2
+    assert sum(p.count("FileScan") for p in plans) <= 6
+    # the list of hot keys is small by construction and not a shuffle
+    assert sum(len(re.findall(r"\bExchange (?:hash|range|Round)", p)) for p in plans) <= 14
+
+
+def test_single_sides_are_sliced_and_agree(spark):
     rows = make_flows(300, 5)
     df = spark.createDataFrame(rows, FLOWS)
     plan = R.plan_slices(df.withColumn("_t", F.col("ts")), ["src_ip"], "_t", 60)
     assert plan is not None and len(plan.splits) >= 2
-    compare(flow_windows(df, 60.0, target_rows=60).collect(), brute(rows, 60.0))
+    compare(source_window(destination_window(df, 60.0, 60), 60.0, 60).collect(), brute(rows, 60.0))
 
 
 def test_no_slices_below_the_target(spark):

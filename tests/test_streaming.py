@@ -1,4 +1,4 @@
-import time
+import random
 from datetime import datetime, timezone
 
 import pytest
@@ -9,7 +9,7 @@ from flowsift.operators.enrich import to_contract
 from flowsift.sources import wire, zeek
 from flowsift.streaming import ingest, metrics
 from flowsift.streaming.correlation import correlation_cycle, tagged_alerts
-from flowsift.streaming.features import FlowFeatures
+from flowsift.streaming.features import split_features, start_features
 from flowsift.streaming.scoring import score_batches
 from flowsift.streaming.store import drop_partitions_before, read_table, state_root
 from tests.test_jobs import CONN, QUIC_FLOW, TLS_FLOW, contract_row, write_log
@@ -19,32 +19,61 @@ from tests.test_rolling import FLOWS, brute, compare, make_flows
 
 
 def test_stream_features_equal_batch(spark, tmp_path):
+    """Four files in time order, one per batch, the query stopped and started again in between."""
     rows = sorted(make_flows(240, 6), key=lambda r: (r[1], r[0]))
-    source = tmp_path / "flows"
-    for i in range(4):  # four files in time order, one per batch; a late row in the last
+    source, root = tmp_path / "flows", str(tmp_path / "out")
+
+    def send(part):
+        spark.createDataFrame(part, FLOWS).coalesce(1).write.mode("append").parquet(str(source))
+
+    def drain():
+        stream = spark.readStream.schema(FLOWS).option("maxFilesPerTrigger", 1).parquet(str(source))
+        query = start_features(stream, root, 60.0, lateness_seconds=30.0, once=True)
+        query.awaitTermination()
+        assert query.exception() is None
+
+    draw = random.Random(1)
+    for i in range(4):
         part = rows[i * 60:(i + 1) * 60]
+        draw.shuffle(part)  # within the lateness any order will do
         if i == 3:
-            part = part + [("late", 1700000000.0, "as", "d0", 1, "x")]
-        spark.createDataFrame(part, FLOWS).coalesce(1).write.mode("append").parquet(str(source))
-        time.sleep(1.1)
-    stream = spark.readStream.schema(FLOWS).option("maxFilesPerTrigger", 1).parquet(str(source))
-    root = str(tmp_path / "state")
-    job = FlowFeatures(root, 60.0, lateness_seconds=30.0)
-    query = ingest.start_batches(stream, job, str(tmp_path / "ck"), once=True)
-    query.awaitTermination()
-    assert query.exception() is None
-    batches = [job._before(spark, 99)]
-    assert batches == [3]
-    got = read_table(spark, f"{root}/features").collect()
+            part = part + [("late", 1700000000.0, "as", "d0", 1, "x"), ("none", None, "as", "d0", 1, "y")]
+        send(part)
+        if i == 1:
+            drain()
+    drain()
     horizon = max(r[1] for r in rows) - 30.0
-    expected = brute(rows, 60.0)
+    got = read_table(spark, f"{root}/features").collect()
     assert {r.uid for r in got} == {r[0] for r in rows if r[1] <= horizon}
-    compare(got, {u: e for u, e in expected.items() if u in {r.uid for r in got}})
-    assert [r.uid for r in read_table(spark, f"{root}/late").collect()] == ["late"]
+    expected = brute(rows, 60.0)
+    compare(got, {r.uid: expected[r.uid] for r in got})
+    assert {r.uid: r.note for r in got} == {r[0]: r[5] for r in rows if r[1] <= horizon}
+    late = read_table(spark, f"{root}/late")
+    assert sorted((r.uid, r.note) for r in late.collect()) == [("late", "x"), ("none", "y")]
+    assert set(spark.createDataFrame([], FLOWS).columns) <= set(late.columns)
+    # a heartbeat flushes what still waits
+    send([(None, 1700010000.0, None, None, None, None)])
+    drain()
+    got = read_table(spark, f"{root}/features").collect()
+    compare(got, expected)
     # a batch that runs again leaves the same rows
-    before = read_table(spark, f"{root}/features").count()
-    job(spark.createDataFrame(rows[180:] + [("late", 1700000000.0, "as", "d0", 1, "x")], FLOWS), 3)
-    assert read_table(spark, f"{root}/features").count() == before
+    again = spark.read.parquet(f"{root}/halves/batch=2")
+    split_features(root)(spark.createDataFrame(again.collect(), again.schema), 2)
+    assert read_table(spark, f"{root}/features").count() == len(rows)
+
+
+def test_silent_sources_are_forgotten(spark, tmp_path):
+    at = [0.0, 1.0, 3.0, 500.0, 504.0, 1500.0]
+    source = str(tmp_path / "flows")
+    for k, t in enumerate(at):
+        spark.createDataFrame([(f"u{k}", 1000.0 + t, "s", "d", None, "")], FLOWS).coalesce(1).write.mode("append").parquet(source)
+    for name, forget, want in (("kept", None, 126.0), ("gone", 100.0, 4.0)):
+        stream = spark.readStream.schema(FLOWS).option("maxFilesPerTrigger", 1).parquet(source)
+        root = str(tmp_path / name)
+        start_features(stream, root, 10.0, 0.0, forget, once=True).awaitTermination()
+        got = {r.uid: r for r in read_table(spark, f"{root}/features").collect()}
+        assert got["u2"].iat_mean == 1.5 and got["u4"].iat_mean == want and got["u4"].connection_frequency == 2.0
+        assert got["u4"].unique_dst_ports == 1 and got["u4"].fan_in == 1.0
 
 
 def test_dead_letters_and_deduplication(spark, tmp_path):
