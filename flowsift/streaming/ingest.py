@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowsift.functions.scalar import event_time
-from flowsift.sources import wire
+from flowsift.sources import wire, zeek
 from flowsift.streaming.store import write_batch
 
 MESSAGE_SCHEMA = "key binary, value binary"
@@ -39,6 +39,12 @@ def publish(rows: DataFrame, checkpoint: str, fmt: str = "parquet", **options):
     return writer.options(**options).trigger(**TRIGGER).start()
 
 
+def tail_log(spark: SparkSession, directory: str, fields: list[str], progress: str, preserve_dash=(),
+             glob: str | None = None, max_rows: int = BATCH_ROWS) -> DataFrame:
+    """Rows of growing logs in batches of the producer's size, for `publish` and `start_batches`."""
+    return zeek.stream_log(spark, directory, fields, preserve_dash, glob=glob, max_rows=max_rows, progress=progress)
+
+
 def deduplicate(rows: DataFrame, key: str = "flow_id", lateness: str = LATENESS) -> DataFrame:
     """One row per flow within the lateness: re-sent files produce every row again."""
     timed = rows if "event_time" in rows.columns else rows.withColumn("event_time", event_time("ts"))
@@ -62,7 +68,7 @@ def split_log(good_table: str, dead_table: str) -> Callable[[DataFrame, int], No
 
     def write(batch: DataFrame, batch_id: int) -> None:
         kept = batch.persist()
-        write_batch(kept.filter(~F.col("_malformed")).drop("_file", "_raw", "_malformed"), good_table, batch_id)
+        write_batch(kept.filter(~F.col("_malformed")).drop("_file", "_offset", "_raw", "_malformed"), good_table, batch_id)
         write_batch(kept.filter("_malformed").select("_file", "_raw"), dead_table, batch_id)
         kept.unpersist()
 

@@ -53,6 +53,25 @@ def test_log_reader_errors(spark, tmp_path):
     assert [r._malformed for r in zeek.read_log(spark, narrow, mode="quarantine").orderBy("_line").collect()] == [False, True]
 
 
+def test_a_header_holds_to_the_next_one_of_its_file(spark, tmp_path):
+    (tmp_path / "a.log").write_text("1\t2\n#fields\tuid\tx\n1\ta\n#close\n#separator ||\n#fields||x||uid||z\nb||2||c|d\n"
+                                    "#separator \\x2c\\x20\n#fields, uid\n3\n")
+    got = zeek.read_log(spark, str(tmp_path), mode="quarantine").orderBy("_line").collect()
+    assert [(r.uid, r.x, r.z, r._malformed) for r in got] == [
+        (None, None, None, True), ("1", "a", None, False), ("2", "b", "c|d", False), ("3", None, None, False)]
+    with pytest.raises(Exception, match="does not match"):
+        zeek.read_log(spark, str(tmp_path)).select("_file").collect()  # whatever columns are read
+
+
+def test_layouts_are_one_scan(spark, tmp_path):
+    for k in range(12):
+        write_log(tmp_path / f"{k}.log", ["uid", f"c{k % 6}"], [[str(k), "v"]])
+    read = zeek.read_log(spark, str(tmp_path))
+    plan = read._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan text") == 1 and "Union" not in plan
+    assert {r.uid for r in read.collect()} == {str(k) for k in range(12)} and read.columns[:7] == ["uid", *(f"c{k}" for k in range(6))]
+
+
 def conn_frame(spark, **changes):
     row = dict(zip(CONN, TLS_FLOW)) | changes
     return spark.createDataFrame([tuple(row[c] for c in CONN)], ", ".join(f"`{c}` string" for c in CONN))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from flowsift.operators import alerts as A
 from flowsift.operators.enrich import to_contract
 from flowsift.sources import wire, zeek
+from flowsift.sources.tail import TailedLog
 from flowsift.streaming import ingest, metrics
 from flowsift.streaming.correlation import correlation_cycle, tagged_alerts
 from flowsift.streaming.features import split_features, start_features
@@ -118,6 +119,45 @@ def test_log_stream(spark, tmp_path):
     assert sorted((r.uid, r.orig_bytes, r.duration) for r in spark.read.parquet(out).collect()) == [("C1", "128", "2.0"), ("C2", "-", None)]
 
 
+def test_lines_added_to_a_file_come_out_once(spark, tmp_path):
+    logs, good, dead = tmp_path / "logs", str(tmp_path / "rows"), str(tmp_path / "dead")
+    logs.mkdir()
+    row = lambda k: "\t".join([f"C{k}", *TLS_FLOW[1:]])
+    write_log(logs / "conn.log", CONN, [[f"C{k}", *TLS_FLOW[1:]] for k in range(7)])
+    (logs / "conn.plain.log").write_text(row(50) + "\n")  # no header: the given fields
+
+    def drain(*actions):
+        stream = ingest.tail_log(spark, str(logs), CONN, str(tmp_path / "progress"), ["orig_bytes"], max_rows=3)
+        query = ingest.start_batches(stream, ingest.split_log(good, dead), str(tmp_path / "ck"), interval="0 seconds")
+        query.processAllAvailable()
+        for act in actions:
+            act()
+            query.processAllAvailable()
+        query.stop()
+        return [r.uid for r in read_table(spark, good).orderBy("uid").collect()]
+
+    def add(text):
+        with open(logs / "conn.log", "a") as file:
+            file.write(text)
+
+    assert drain() == sorted([*(f"C{k}" for k in range(7)), "C50"])
+    sizes = [read_table(spark, good).where(F.col("batch") == n).count() for n in range(3)]
+    assert sizes == [3, 3, 2]
+    # a line is complete when its end is written; a new header changes the order of the columns
+    swapped = ["ts", "uid", *CONN[2:]]
+    got = drain(lambda: add(row(8)), lambda: add("\n" + row(9) + "\n"), lambda: add("#fields\t" + "\t".join(swapped) + "\n"),
+                lambda: add("\t".join(["7.5", "C10", *TLS_FLOW[2:]]) + "\n" + "torn\tline\n"))
+    assert got == sorted([*(f"C{k}" for k in range(7)), "C8", "C9", "C10", "C50"])
+    assert drain() == got
+    assert read_table(spark, good).where("uid = 'C10'").first().ts == "7.5"
+    assert [r._raw for r in read_table(spark, dead).collect()] == ["torn\tline"]
+    # a file written anew starts over
+    got = drain(lambda: write_log(logs / "conn.log", CONN, [["N1", *TLS_FLOW[1:]]]))
+    assert "N1" in got and len(got) == 12
+    with pytest.raises(ValueError, match="progress"):
+        TailedLog({"path": str(logs), "maxRows": "3"}).streamReader(None)
+
+
 def test_log_stream_keeps_torn_lines(spark, tmp_path):
     logs = tmp_path / "logs"
     logs.mkdir()
