@@ -219,7 +219,7 @@ def quic_candidates(spark, d):
     return enrich.quic_flows(conn).select("uid", "is_quic", "zero_rtt")
 
 
-def _queries(spark, d):
+def name_queries(spark, d):
     """Views and clicks seen as name queries of their user."""
     k = prop_k()
     name = F.concat_ws(".", F.concat(F.lit("h"), k), F.col("event_type"), F.concat(F.lit("u"), F.col("user_id")), F.lit("lab"))
@@ -246,7 +246,7 @@ DNS_SQL = """round(avg(e), 6) AS dns_query_entropy, round(avg(length(name)), 6)
     count(*) AS dns_query_count"""
 
 
-def _dns_rounded(df, *keys):
+def dns_rounded(df, *keys):
     whole = ("domain_length_max", "subdomain_count", "dns_query_count")
     return df.select(*keys, *[F.col(c) if c in whole else rounded(c) for c in df.columns if c not in keys])
 
@@ -256,19 +256,19 @@ def _dns_rounded(df, *keys):
 def dns_window(spark, d):
     """Purchases with the name queries of their user in the day before."""
     purchases = flows(spark, d).filter("dst_ip = 'purchase'")
-    return _dns_rounded(dns.dns_features(purchases, _queries(spark, d), window_seconds=DAY), "uid")
+    return dns_rounded(dns.dns_features(purchases, name_queries(spark, d), window_seconds=DAY), "uid")
 
 
 @query("dns_window_sliced", ORACLE["dns_window"])
 def dns_window_sliced(spark, d):
     """The same where a user's block of queries is too large for one task."""
     purchases = flows(spark, d).filter("dst_ip = 'purchase'")
-    return _dns_rounded(dns.dns_features(purchases, _queries(spark, d), window_seconds=DAY, target_rows=5), "uid")
+    return dns_rounded(dns.dns_features(purchases, name_queries(spark, d), window_seconds=DAY, target_rows=5), "uid")
 
 
 @query("dns_by_uid", f"WITH {QUERIES_SQL} SELECT sid AS uid, {DNS_SQL} FROM m GROUP BY sid")
 def dns_by_uid(spark, d):
-    return _dns_rounded(dns.uid_dns(_queries(spark, d)), "uid")
+    return dns_rounded(dns.uid_dns(name_queries(spark, d)), "uid")
 
 
 BLANKS_SQL = "e' \\t\\n\\r\\x0b\\x0c'"

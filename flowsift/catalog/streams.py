@@ -6,12 +6,13 @@ from pyspark.sql import functions as F
 
 from flowsift.catalog.alerts import ALERTS_SQL, CORRELATED_SQL, LOOKBACK, MOMENT, alerts
 from flowsift.catalog.base import DAY, FLOWS_SQL, ORACLE, flows, micros, query, run_folder, table
-from flowsift.catalog.features import _interval_columns, damaged_messages
+from flowsift.catalog.features import _interval_columns, damaged_messages, dns_rounded, name_queries
 from flowsift.catalog.analytics import contract_features, small_models
 from flowsift.operators.alerts import correlate
 from flowsift.streaming import ingest, metrics
 from flowsift.streaming.correlation import tagged_alerts
 from flowsift.streaming.features import start_features
+from flowsift.streaming.names import start_queries
 from flowsift.streaming.scoring import score_batches
 from flowsift.streaming.store import read_table, write_batch
 
@@ -46,11 +47,10 @@ def _as_stream(spark, folder: str):
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder)
 
 
-def _heartbeat(rows, order: str, seconds: float, columns: dict):
-    """One row without a flow, later than all others by that many seconds: it flushes a stream."""
-    end = rows.agg((F.max(order) + F.lit(seconds)).alias(order))
-    return end.select(*(F.col(c) if c == order else columns.get(c, F.lit(None).cast(rows.schema[c].dataType)).alias(c)
-                        for c in rows.columns))
+def _heartbeat(rows, order: str, later: float):
+    """One row without a flow, later than all others by so much: it flushes a stream."""
+    end = rows.agg((F.max(order) + F.lit(later)).alias(order))
+    return end.select(*(F.col(c) if c == order else F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in rows.columns))
 
 
 @query("stream_flow_features", ORACLE["flow_windows"])
@@ -59,7 +59,7 @@ def stream_flow_features(spark, d):
     root = run_folder(spark, "features")
     rows = flows(spark, d)
     _in_parts(rows, "ts", f"{root}/in")
-    _heartbeat(rows, "ts", 10.0, {}).write.mode("append").parquet(f"{root}/in")
+    _heartbeat(rows, "ts", 10.0).write.mode("append").parquet(f"{root}/in")
     start_features(_as_stream(spark, f"{root}/in"), root, DAY, lateness_seconds=5.0, once=True).awaitTermination()
     return read_table(spark, f"{root}/features").select(
         "uid", "connection_frequency", "fan_out", "unique_dst_ips", "unique_dst_ports", "fan_in",
@@ -68,6 +68,21 @@ def stream_flow_features(spark, d):
     )
 
 
+@query("stream_dns_window", ORACLE["dns_window"])
+def stream_dns_window(spark, d):
+    """Purchases with the name queries of their user in the day before, both arriving over four batches."""
+    root = run_folder(spark, "names")
+    purchases, asked = flows(spark, d).filter("dst_ip = 'purchase'"), name_queries(spark, d)
+    for name, rows in (("flows", purchases), ("queries", asked)):
+        _in_parts(rows, "ts", f"{root}/{name}")
+        # behind both ends: the slower stream's watermark rules
+        _heartbeat(rows, "ts", 40 * DAY).select(
+            *(F.col(f.name).cast(f.dataType) for f in rows.schema)).write.mode("append").parquet(f"{root}/{name}")
+    start_queries(_as_stream(spark, f"{root}/flows"), _as_stream(spark, f"{root}/queries"), root, DAY, 5.0, 5.0,
+                  once=True).awaitTermination()
+    return dns_rounded(read_table(spark, f"{root}/dns").drop("batch"), "uid")
+
+
 LATE_SQL = f"""WITH {FLOWS_SQL} SELECT uid, CASE WHEN t % 10 = 0 THEN 'no time' ELSE 'behind' END AS reason FROM flows WHERE t % 10 < 2"""
 
 
@@ -78,7 +93,7 @@ def stream_late_flows(spark, d):
     rows = flows(spark, d)
     digit = F.round(F.col("ts") * 1e6).cast("bigint") % 10
     _in_parts(rows.where(digit >= 2), "ts", f"{root}/in", 2)
-    _heartbeat(rows, "ts", 10.0, {}).write.mode("append").parquet(f"{root}/in")
+    _heartbeat(rows, "ts", 10.0).write.mode("append").parquet(f"{root}/in")
     late = rows.where(digit < 2).withColumn("ts", F.when(digit == 1, F.col("ts")))
     late.coalesce(1).write.mode("append").parquet(f"{root}/in")
     start_features(_as_stream(spark, f"{root}/in"), root, DAY, lateness_seconds=5.0, once=True).awaitTermination()
@@ -100,7 +115,7 @@ def stream_throughput(spark, d):
         micros("ts").alias("t"), F.col("event_id").alias("flow_id"), F.length("props").alias("bytes"),
         F.col("value").alias("latency_ms"))
     _in_parts(rows, "t", f"{root}/in")
-    _heartbeat(rows, "t", 3 * HOUR, {}).select(F.col("t").cast("bigint"), *rows.columns[1:]).write.mode("append").parquet(f"{root}/in")
+    _heartbeat(rows, "t", 3 * HOUR).select(F.col("t").cast("bigint"), *rows.columns[1:]).write.mode("append").parquet(f"{root}/in")
     timed = _as_stream(spark, f"{root}/in").withColumn("event_time", F.timestamp_micros("t")).withWatermark("event_time", "1 hour")
     _drain(metrics.throughput(timed, 3600), _append(f"{root}/metrics"), root)
     return read_table(spark, f"{root}/metrics").select(

@@ -12,7 +12,7 @@ from flowsift.sources.columns import optional, resolve
 
 MICROS = 1_000_000
 # per-event measures and how they fold
-_MEASURES = {
+MEASURES = {
     "_queries": "sum", "_entropy": "sum", "_length": "sum", "_labels": "sum",
     "_a": "sum", "_aaaa": "sum", "_txt": "sum", "_mx": "sum", "_longest": "max",
 }
@@ -35,7 +35,7 @@ def dns_events(log: DataFrame, clean=clean_ip, mode: str = "quarantine") -> Data
     )
 
 
-def _measured(events: DataFrame) -> DataFrame:
+def measured(events: DataFrame) -> DataFrame:
     """One row per non-blank query, measured once, before any copying or shuffling."""
     one = F.lit(1).cast("bigint")
 
@@ -73,6 +73,11 @@ def _features() -> list[Column]:
     ]
 
 
+def features_of_measures(folded: DataFrame) -> DataFrame:
+    """uid and its statistics from folded measures."""
+    return folded.select("uid", *_features())
+
+
 def source_window_dns(flows: DataFrame, events: DataFrame, window_seconds: float = WINDOW_SECONDS,
                       target_rows: int | None = None) -> DataFrame:
     """Per flow uid: statistics of the source's queries with 0 <= flow.ts - query.ts <= window.
@@ -87,10 +92,10 @@ def source_window_dns(flows: DataFrame, events: DataFrame, window_seconds: float
     """
     window = round(window_seconds * MICROS)
     block = F.floor(F.col("_t") / F.lit(window))
-    measures = [F.col(c) for c in _MEASURES]
-    blank = [F.lit(None).cast("double" if c == "_entropy" else "bigint").alias(c) for c in _MEASURES]
+    measures = [F.col(c) for c in MEASURES]
+    blank = [F.lit(None).cast("double" if c == "_entropy" else "bigint").alias(c) for c in MEASURES]
 
-    queries = _measured(events)
+    queries = measured(events)
     # the head scan runs forward, the tail scan backward: position orders both ascending
     asked_of = F.explode(F.array(
         F.struct(F.lit("head").alias("_scan"), F.col("_t").alias("_at")),
@@ -98,7 +103,7 @@ def source_window_dns(flows: DataFrame, events: DataFrame, window_seconds: float
     ))
     event_rows = queries.select(
         "src_ip", block.alias("_block"), *measures, asked_of.alias("_x")
-    ).select("src_ip", "_block", "_x.*", F.lit(0).alias("_asks"), F.lit(None).cast("string").alias("uid"), *_MEASURES)
+    ).select("src_ip", "_block", "_x.*", F.lit(0).alias("_asks"), F.lit(None).cast("string").alias("uid"), *MEASURES)
 
     flow_at = flows.select("uid", "src_ip", ticks("ts").alias("_t"))
     question = F.explode(F.array(
@@ -112,24 +117,24 @@ def source_window_dns(flows: DataFrame, events: DataFrame, window_seconds: float
     rows = event_rows.unionByName(flow_rows)
 
     keys = ["src_ip", "_block", "_scan"]
-    folds = {f"_r{c}": (kind, F.col(c)) for c, kind in _MEASURES.items()}
+    folds = {f"_r{c}": (kind, F.col(c)) for c, kind in MEASURES.items()}
     slicing = plan_slices(rows, keys, "_at", target_rows)
     scanned = per_temperature(
         rows, slicing, lambda part, cut: running(part, keys, ["_at", "_asks"], folds, cut)
     )
     answered = scanned.filter("_asks = 1 and _r_queries > 0")
     merged = answered.groupBy("uid").agg(
-        *[(F.max if kind == "max" else F.sum)(f"_r{c}").alias(c) for c, kind in _MEASURES.items()]
+        *[(F.max if kind == "max" else F.sum)(f"_r{c}").alias(c) for c, kind in MEASURES.items()]
     )
-    return merged.select("uid", *_features())
+    return features_of_measures(merged)
 
 
 def uid_dns(events: DataFrame) -> DataFrame:
     """Per non-blank uid: statistics of all queries with that uid, whatever their time."""
-    totals = _measured(events).filter("uid <> ''").groupBy("uid").agg(
-        *[(F.max if kind == "max" else F.sum)(c).alias(c) for c, kind in _MEASURES.items()]
+    totals = measured(events).filter("uid <> ''").groupBy("uid").agg(
+        *[(F.max if kind == "max" else F.sum)(c).alias(c) for c, kind in MEASURES.items()]
     )
-    return totals.select("uid", *_features())
+    return features_of_measures(totals)
 
 
 def dns_features(flows: DataFrame, events: DataFrame, mode: str = "source_window",

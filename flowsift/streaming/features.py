@@ -29,6 +29,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from flowsift.functions.scalar import event_time, ticks
 from flowsift.operators.rolling import MICROS
 from flowsift.schema import EPSILON, WINDOW_SECONDS
+from flowsift.streaming.ingest import start_batches
 from flowsift.streaming.store import read_batch, write_batch
 
 SOURCE, DESTINATION = "source", "destination"
@@ -260,12 +261,16 @@ def split_features(root: str):
 def start_features(flows: DataFrame, root: str, window_seconds: float = WINDOW_SECONDS, lateness_seconds: float = 120.0,
                    forget_seconds: float | None = None, once: bool = False, interval: str = "2 seconds"):
     """Starts the query; its state lives beside its tables under `root`, a folder that all machines share."""
-    conf = flows.sparkSession.conf
+    rows = keyed_features(flows, window_seconds, lateness_seconds, forget_seconds)
+    return with_keyed_state(rows, split_features(root), f"{root}/state", once, interval)
+
+
+def with_keyed_state(rows: DataFrame, write, checkpoint: str, once: bool, interval: str):
+    """Starts a foreachBatch query whose keyed state needs a store of its own kind."""
+    conf = rows.sparkSession.conf
     before = conf.get(STORE, None)
     conf.set(STORE, ROCKS)  # read when the query starts
     try:
-        writer = keyed_features(flows, window_seconds, lateness_seconds, forget_seconds).writeStream.foreachBatch(
-            split_features(root)).option("checkpointLocation", f"{root}/state")
-        return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=interval)).start()
+        return start_batches(rows, write, checkpoint, once, interval)
     finally:
         conf.unset(STORE) if before is None else conf.set(STORE, before)

@@ -5,12 +5,14 @@ import pytest
 from pyspark.sql import functions as F
 
 from flowsift.operators import alerts as A
+from flowsift.operators.dns import source_window_dns
 from flowsift.operators.enrich import to_contract
 from flowsift.sources import wire, zeek
 from flowsift.sources.tail import TailedLog
 from flowsift.streaming import ingest, metrics
 from flowsift.streaming.correlation import correlation_cycle, tagged_alerts
 from flowsift.streaming.features import split_features, start_features
+from flowsift.streaming.names import start_queries
 from flowsift.streaming.scoring import score_batches
 from flowsift.streaming.store import drop_partitions_before, read_table, state_root
 from tests.test_jobs import CONN, QUIC_FLOW, TLS_FLOW, contract_row, write_log
@@ -77,6 +79,40 @@ def test_silent_sources_are_forgotten(spark, tmp_path):
         assert got["u4"].unique_dst_ports == 1 and got["u4"].fan_in == 1.0
 
 
+def test_stream_queries_equal_batch(spark, tmp_path):
+    """Flows and queries in four files each, ties and bounds of the window included, then late rows of both."""
+    draw = random.Random(9)
+    at = lambda: 1000.0 + draw.choice([draw.randint(0, 300), round(300 * draw.random(), 6)])
+    made = sorted(((f"f{k}", at(), draw.choice(["a", "a", "b", None])) for k in range(160)), key=lambda r: r[1])
+    asked = sorted((("u", draw.choice(["a", "a", "b", "c", None]), at(), draw.choice(["x.lab", "mail.long.lab", "", "y"]),
+                     draw.choice(["A", "TXT", "MX"])) for _ in range(200)), key=lambda r: r[2])
+    flows, queries = "uid string, ts double, src_ip string", "uid string, src_ip string, ts double, query string, qtype string"
+    end = 5000.0
+    for k in range(4):
+        spark.createDataFrame(made[40 * k:40 * k + 40], flows).coalesce(1).write.mode("append").parquet(str(tmp_path / "flows"))
+        spark.createDataFrame(asked[50 * k:50 * k + 50], queries).coalesce(1).write.mode("append").parquet(str(tmp_path / "asked"))
+    spark.createDataFrame([(None, end, None)], flows).coalesce(1).write.mode("append").parquet(str(tmp_path / "flows"))
+    spark.createDataFrame([(None, None, end, None, None)], queries).coalesce(1).write.mode("append").parquet(str(tmp_path / "asked"))
+    root = str(tmp_path / "out")
+
+    def drain():
+        of = lambda schema, name: spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / name))
+        start_queries(of(flows, "flows"), of(queries, "asked"), root, 60.0, 1.0, 1.0, once=True).awaitTermination()
+
+    drain()
+    got = {r.uid: r for r in read_table(spark, f"{root}/dns").drop("batch").collect()}
+    batch = source_window_dns(spark.createDataFrame(made, flows), spark.createDataFrame(asked, queries), 60.0)
+    expected = {r.uid: r for r in batch.collect()}
+    assert got.keys() == expected.keys() and len(got) > 100
+    for uid, row in expected.items():
+        assert tuple(got[uid][c] for c in batch.columns[1:]) == pytest.approx(tuple(row)[1:]), uid
+    spark.createDataFrame([("late", 1001.0, "a"), ("none", None, "a")], flows).coalesce(1).write.mode("append").parquet(str(tmp_path / "flows"))
+    spark.createDataFrame([("q", "a", 1001.0, "x.lab", "A")], queries).coalesce(1).write.mode("append").parquet(str(tmp_path / "asked"))
+    drain()
+    assert sorted((r.flow, r.uid) for r in read_table(spark, f"{root}/late").collect()) == [(False, "q"), (True, "late"), (True, "none")]
+    assert read_table(spark, f"{root}/dns").count() == len(expected)
+
+
 def test_dead_letters_and_deduplication(spark, tmp_path):
     sent = wire.encode(to_contract(contract_row(spark)))
     bad = spark.createDataFrame([(b"k", b"\xff"), (b"k", b"{")], ingest.MESSAGE_SCHEMA)
