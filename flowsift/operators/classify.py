@@ -1,4 +1,4 @@
-"""Weighted multi-class trees, search, prediction and per-row attribution."""
+"""Weighted multi-class trees, search, prediction and exact Shapley values."""
 
 from __future__ import annotations
 
@@ -94,18 +94,43 @@ def search(training: DataFrame, validation: DataFrame | None, features: list[str
     return best, best_score
 
 
+def _orders(most: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each number of features, the points and weights that integrate their polynomial exactly."""
+    out = []
+    for count in range(most + 1):
+        point, weight = np.polynomial.legendre.leggauss(max(1, (count + 1) // 2))
+        out.append(((point + 1) / 2, weight / 2))
+    return out
+
+
+def subset_weights(zero: np.ndarray, one: np.ndarray, order: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """For every row of `one` (rows, features) and feature i: the sum over sets S of the other features of
+    |S|! (m - |S| - 1)! / m! times the product of `one` over S and of `zero` over the rest.
+
+    The factorials are integrals of t^|S| (1 - t)^(m - |S| - 1), so the sum is the integral of the product of
+    (one t + zero (1 - t)) over the others: a polynomial of degree m - 1.
+    """
+    out = np.zeros(one.shape)
+    for t, weight in zip(*order):
+        term = one * t + zero * (1 - t)
+        out += weight * term.prod(axis=1, keepdims=True) / term
+    return out
+
+
 class TreePaths:
-    """Splits of an ensemble and what each node says about every class, as flat arrays.
+    """Splits of an ensemble, how many training rows met each node and what leaves say about every class.
 
     Size is fixed by the parameters: at most trees * 2 ** (maxDepth + 1) nodes.
     """
 
     def __init__(self):
         self.feature, self.threshold, self.below, self.above, self.said, self.roots = [], [], [], [], [], []
+        self.cover: list[float] = []
 
     def _add(self, node, value) -> int:
         at = len(self.feature)
         self.said.append(value(node))
+        self.cover.append(float(node.impurityStats().count()))
         for values in (self.feature, self.below, self.above):
             values.append(-1)
         self.threshold.append(0.0)
@@ -119,10 +144,20 @@ class TreePaths:
     def _freeze(self):
         for name in ("feature", "below", "above", "roots"):
             setattr(self, name, np.array(getattr(self, name), dtype=np.int64))
-        self.threshold, self.said = np.array(self.threshold), np.array(self.said)
+        self.threshold, self.said, self.cover = (np.array(x, dtype=float) for x in (self.threshold, self.said, self.cover))
+        # an inner node says what its leaves say, weighted by their rows; children stand behind their parents
+        for at in range(len(self.feature) - 1, -1, -1):
+            if self.feature[at] >= 0:
+                share = self._share(at)
+                self.said[at] = share[0] * self.said[self.below[at]] + share[1] * self.said[self.above[at]]
+
+    def _share(self, at: int) -> np.ndarray:
+        """Parts of a node's training rows that went below and above its threshold."""
+        both = self.cover[[self.below[at], self.above[at]]]
+        return both / both.sum() if both.sum() > 0 else np.array([0.5, 0.5])
 
     def base(self) -> np.ndarray:
-        """What the ensemble says about each class before any split."""
+        """What the ensemble says about each class on average over the training rows."""
         return self.said[self.roots].sum(axis=0)
 
     def _walk(self, x: np.ndarray, root: int):
@@ -138,17 +173,50 @@ class TreePaths:
                 at = following
 
     def contributions(self, x: np.ndarray, target: np.ndarray) -> np.ndarray:
-        """How far each feature moved the target class along the paths.
+        """Exact Shapley values of each feature for the target class of each row.
 
+        A feature outside a set is averaged out by the training rows of the branches. A leaf contributes by
+        the features on its path alone: each has the part of training rows that its splits let through, and is
+        met by the row or not, so a leaf has one small table of what each combination of met features gives.
         base()[target] plus the row sum is what the ensemble says about the target.
         """
         out = np.zeros(x.shape)
+        rows = np.arange(len(x))
         for root in self.roots:
-            for rows, node, following in self._walk(x, root):
-                moved = self.said[following, target[rows]] - self.said[node, target[rows]]
-                out[rows, self.feature[node]] += moved  # a row occurs once per step
+            for leaf, features, zero, met in self._leaves(x, root):
+                said = self.said[leaf, target]
+                if not features or not said.any():
+                    continue
+                m = len(features)
+                code = (met.astype(np.int64) << np.arange(m)[:, None]).sum(axis=0)
+                some, code = (np.arange(1 << m), code) if 1 << m <= 4 * len(x) + 64 else np.unique(code, return_inverse=True)
+                one = (some[:, None] >> np.arange(m) & 1).astype(float)
+                table = (one - zero) * subset_weights(np.array(zero), one, _ORDERS[m])
+                given = table[code] * said[:, None]
+                for k, feature in enumerate(features):
+                    out[rows, feature] += given[:, k]
         return out
 
+    def _leaves(self, x: np.ndarray, root: int):
+        """(leaf, features on its path, part of the training rows each lets through, rows that meet each)."""
+        stack = [(int(root), [], [], [])]
+        while stack:
+            at, features, zero, met = stack.pop()
+            if self.feature[at] < 0:
+                yield at, features, zero, np.array(met)
+                continue
+            feature, share = int(self.feature[at]), self._share(at)
+            goes_below = x[:, feature] <= self.threshold[at]
+            for child, part, follows in ((self.below[at], share[0], goes_below), (self.above[at], share[1], ~goes_below)):
+                if part == 0:
+                    continue  # no training row went there: its weight is nothing in any average
+                if feature in features:
+                    k = features.index(feature)
+                    again = [*zero[:k], zero[k] * part, *zero[k + 1:]], [*met[:k], met[k] & follows, *met[k + 1:]]
+                    stack.append((int(child), features, *again))
+                else:
+                    stack.append((int(child), [*features, feature], [*zero, part], [*met, follows]))
+
     def totals(self, x: np.ndarray) -> np.ndarray:
         """What the ensemble says about every class, per row."""
         out = np.tile(self.base(), (len(x), 1))
@@ -158,6 +226,10 @@ class TreePaths:
         return out
 
 
+# paths are at most this deep
+_ORDERS = _orders(31)
+
+
 class ForestPaths(TreePaths):
     """Class probabilities: the mean of the trees' class shares."""
 

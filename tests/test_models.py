@@ -67,6 +67,57 @@ def test_score(spark, trained):
     assert sum(r.n for r in done["distribution"].collect()) == 239
 
 
+def drawn_tree(draw, features, depth, paths):
+    """A tree with covers in arrays, as the paths keep it."""
+    def add(level, cover):
+        at = len(paths.feature)
+        paths.said.append(draw.normal(size=2))
+        paths.cover.append(float(cover))
+        for values in (paths.feature, paths.below, paths.above):
+            values.append(-1)
+        paths.threshold.append(0.0)
+        if level and cover > 1 and draw.random() < 0.9:
+            paths.feature[at], paths.threshold[at] = int(draw.integers(features)), float(draw.normal())
+            left = int(draw.integers(1, cover))
+            paths.below[at] = add(level - 1, left)
+            paths.above[at] = add(level - 1, cover - left)
+        return at
+
+    paths.roots.append(add(depth, 200))
+
+
+def test_shapley_values_match_all_subsets():
+    from itertools import combinations
+    from math import factorial
+
+    draw, features = np.random.default_rng(5), 5
+    for depth in (1, 2, 4, 7):
+        paths = classify.TreePaths()
+        for _ in range(3):
+            drawn_tree(draw, features, depth, paths)
+        paths._freeze()
+        x, target = draw.normal(size=(30, features)), draw.integers(0, 2, 30)
+
+        def mean(at, row, known, k):
+            if paths.feature[at] < 0:
+                return paths.said[at, k]
+            if paths.feature[at] in known:
+                return mean(paths.below[at] if row[paths.feature[at]] <= paths.threshold[at] else paths.above[at], row, known, k)
+            a, b = paths.below[at], paths.above[at]
+            return (paths.cover[a] * mean(a, row, known, k) + paths.cover[b] * mean(b, row, known, k)) / (paths.cover[a] + paths.cover[b])
+
+        got = paths.contributions(x, target)
+        for r, row in enumerate(x):
+            worth = lambda known: sum(mean(root, row, known, target[r]) for root in paths.roots)
+            assert paths.base()[target[r]] == pytest.approx(worth(()))
+            for i in range(features):
+                others = [j for j in range(features) if j != i]
+                value = sum(factorial(n) * factorial(features - n - 1) / factorial(features) * (worth((*s, i)) - worth(s))
+                            for n in range(features) for s in combinations(others, n))
+                assert got[r, i] == pytest.approx(value, abs=1e-9)
+            assert paths.base()[target[r]] + got[r].sum() == pytest.approx(paths.totals(x)[r, target[r]])
+
+
 def test_contributions_add_up(spark, trained):
     rows, out, _ = trained
     models = jobs.load_models(spark, out)
