@@ -9,8 +9,9 @@ from flowsift.catalog.base import DAY, FLOWS_SQL, ORACLE, flows, micros, query,
 from flowsift.catalog.features import _interval_columns, damaged_messages, dns_rounded, name_queries
 from flowsift.catalog.analytics import contract_features, small_models
 from flowsift.operators.alerts import correlate
+from flowsift.sources import wire
 from flowsift.streaming import ingest, metrics
-from flowsift.streaming.correlation import tagged_alerts
+from flowsift.streaming.correlation import start_correlation, tagged_alerts
 from flowsift.streaming.features import start_features
 from flowsift.streaming.names import start_queries
 from flowsift.streaming.scoring import score_batches
@@ -157,6 +158,39 @@ def stream_correlation(spark, d):
     return read_table(spark, f"{root}/chains").select("id", "src_ip", "kill_chain_id")
 
 
+@query("stream_correlation_cycles", f"""WITH {ALERTS_SQL}, seen AS (SELECT *, (arrived + {24 * HOUR - 1}) // {24 * HOUR} AS cycle FROM alerts WHERE threat_class <> 'benign'),
+  per AS (SELECT src_ip, cycle, count(DISTINCT threat_class) AS classes, arg_min(id, (arrived, id)) AS first_id,
+      arg_min(kill_chain_id, (arrived, id)) FILTER (kill_chain_id IS NOT NULL) AS old FROM seen GROUP BY src_ip, cycle)
+  SELECT id, src_ip, coalesce(old, 'kc-' || md5(src_ip || '|' || first_id)) AS kill_chain_id
+  FROM seen JOIN per USING (src_ip, cycle) WHERE classes >= 2 AND kill_chain_id IS NULL""")
+def stream_correlation_cycles(spark, d):
+    """Daily cycles over the day before, from keyed state, the alerts arriving over four batches."""
+    root = run_folder(spark, "cycles")
+    rows = alerts(spark, d).select("id", "src_ip", "threat_class", "kill_chain_id", F.unix_micros("ingested_at").alias("t"))
+    _in_parts(rows, "t", f"{root}/in")
+    _heartbeat(rows, "t", 48 * HOUR).withColumn("t", F.col("t").cast("bigint")).write.mode("append").parquet(f"{root}/in")
+    stream = _as_stream(spark, f"{root}/in").withColumn("ingested_at", F.timestamp_micros("t")).drop("t")
+    start_correlation(stream, f"{root}/chains", f"{root}/state", LOOKBACK, LOOKBACK, once=True).awaitTermination()
+    return read_table(spark, f"{root}/chains").select("id", "src_ip", "kill_chain_id")
+
+
+@query("result_messages", """WITH e AS (SELECT *, json_extract_string(props, '$.k')::INT AS k FROM events)
+  SELECT user_id::VARCHAR AS sender, '{"flow_id":"' || event_id || '","ts":' || epoch_us(ts) || ',"src_ip":"' || user_id || '","dst_ip":"' || event_type
+    || '","src_port":' || event_id % 65536 || ',"dst_port":' || k || ',"protocol":"tcp","threat_class":"' || event_type || '","confidence":0.5,"anomaly_score":0.25,"evidence":['
+    || CASE WHEN k % 3 > 0 THEN '"High rate: ' || k || '"' ELSE '' END || '],"latency_ms":' || CASE WHEN k % 2 = 0 THEN 'null' ELSE k::VARCHAR END || ',"consumer_ts":1.5}' AS body FROM e""")
+def result_messages(spark, d):
+    """Scored rows as messages keyed by their source."""
+    rows = flows(spark, d).select(
+        F.col("uid").alias("flow_id"), F.round(F.col("ts") * 1e6).cast("bigint").alias("ts"), "src_ip", "dst_ip",
+        (F.col("uid").cast("bigint") % 65536).alias("src_port"), "dst_port", F.lit("tcp").alias("protocol"),
+        F.col("dst_ip").alias("threat_class"), F.lit(0.5).alias("confidence"), F.lit(0.25).alias("anomaly_score"),
+        F.when(F.col("dst_port") % 3 > 0, F.array(F.concat(F.lit("High rate: "), "dst_port"))).otherwise(
+            F.array().cast("array<string>")).alias("evidence"),
+        F.when(F.col("dst_port") % 2 > 0, F.col("dst_port")).alias("latency_ms"), F.lit(1.5).alias("consumer_ts"))
+    sent = wire.encode_results(rows)
+    return sent.select(F.col("key").cast("string").alias("sender"), F.col("value").cast("string").alias("body"))
+
+
 @query("stream_scores")
 def stream_scores(spark, d):
     """Contract rows scored as a stream: results per class, alerts and metrics written beside."""

@@ -5,14 +5,18 @@ Every check yields (check, severity, subject, message), so reports union and fil
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from flowsift.schema import (
     CLASSES, ENCODED_COLUMNS, FEATURE_COLUMNS, FLOW_COLUMNS, FLOW_TYPES, IMBALANCE_RATIO, LABEL_REQUIRED,
 )
+from flowsift.sources.tail import filesystem
 
 FINDING = "check string, severity string, subject string, message string"
 MODEL_ONLY = ["ja4_hash_enc"]
@@ -54,21 +58,41 @@ def missing_and_extra(columns: list[str], expected: list[str]) -> tuple[list[str
     return [c for c in expected if c not in columns], [c for c in columns if c not in expected]
 
 
-def check_columns(df: DataFrame, expected: list[str] = FLOW_COLUMNS, subject: str = "features") -> DataFrame:
-    """Schema against the durable contract; reads no data."""
-    columns = df.columns
+def _column_findings(columns: list[str], expected: list[str], subject: str) -> list[tuple[str, str, str, str]]:
     missing, extra = missing_and_extra(columns, [c for c in expected if c != "label"])
     repeated = sorted({c for c in columns if columns.count(c) > 1})
     found = [("columns", "error", subject, f"missing required columns: {c}") for c in missing]
     found += [("columns", "error", subject, f"unexpected model-only column: {c}") for c in extra if c in MODEL_ONLY]
     found += [("columns", "warning", subject, f"extra column: {c}") for c in extra if c not in MODEL_ONLY + ["label", "scenario"]]
-    found += [("columns", "error", subject, f"duplicate column names: {c}") for c in repeated]
-    return _static(df, found)
+    return found + [("columns", "error", subject, f"duplicate column names: {c}") for c in repeated]
 
 
-def check_files(spark: SparkSession, paths: list[str], expected: list[str] = FLOW_COLUMNS) -> DataFrame:
-    """Schema of each feature file on its own: footers only, one file per capture scenario."""
-    return union_all([check_columns(spark.read.parquet(p), expected, p.rsplit("/", 1)[-1]) for p in paths])
+def check_columns(df: DataFrame, expected: list[str] = FLOW_COLUMNS, subject: str = "features") -> DataFrame:
+    """Schema against the durable contract; reads no data."""
+    return _static(df, _column_findings(df.columns, expected, subject))
+
+
+def check_files(spark: SparkSession, roots: list[str], expected: list[str] = FLOW_COLUMNS) -> DataFrame:
+    """Schema of each Parquet file below the roots on its own, named by folder and file.
+
+    Files are listed as rows, and tasks read their footers: neither plan nor driver grows with them.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option(
+        "pathGlobFilter", "*.parquet").load(roots).select("path")
+
+    def footers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [part.split()[0] for part in FINDING.split(", ")]
+        for batch in batches:
+            found = []
+            for path in batch.column("path").to_pylist():
+                place, name = filesystem(path)
+                with place.open_input_file(name) as file:
+                    columns = pq.read_schema(file).names
+                found += _column_findings(columns, expected, "/".join(path.split("/")[-2:]))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([f[k] for f in found], pa.string()) for k in range(len(names))], names=names)
+
+    return files.mapInArrow(footers, FINDING)
 
 
 def check_raw_columns(df: DataFrame) -> list[str]:

@@ -199,7 +199,7 @@ def check_job(spark: SparkSession, labels_dir: str, features_dir: str, captures_
     """All findings over labels, captures, feature files and class balance."""
     labels = tables.read_labels(spark, labels_dir)
     rows = tables.read_features(spark, features_dir)
-    found = [quality.check_labels(labels), quality.check_rows(rows)]
+    found = [quality.check_labels(labels), quality.check_files(spark, [features_dir]), quality.check_rows(rows)]
     stems = rows.select(F.col("scenario").alias("stem")).distinct()
     found.append(quality.consistency(stems, labels, "features"))
     if captures_dir:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from flowsift.functions.evidence import evidence_texts, top_contributions
 from flowsift.functions.scalar import anomaly_norm, decide, severity
 from flowsift.operators.classify import TreePaths, attribution_column, paths_of, predict
-from flowsift.operators.encode import model_rows
+from flowsift.operators.encode import model_rows, strict_model_rows
 from flowsift.operators.isolation import Forest, with_score
 from flowsift.schema import CLASSES, FEATURE_COLUMNS
 
@@ -40,11 +40,12 @@ def score(rows: DataFrame, models: Models, top_k: int = 5, policy: str = "servic
     """Adds threat_class, confidence, anomaly_score, severity and evidence to the flow fields.
 
     The evidence explains the class the classifier chose, also where the verdict became an
-    unknown anomaly. policy "library" keeps the raw isolation score.
+    unknown anomaly. policy "library" keeps the raw isolation score. A model value that is null or not
+    finite ends the job.
     """
     classes = list(models.classes)
     carried = F.struct(*[c for c in CARRIED if c in rows.columns])
-    model = model_rows(rows.withColumn("_flow", carried), models.encoders, ["_flow"])
+    model = strict_model_rows(model_rows(rows.withColumn("_flow", carried), models.encoders, ["_flow"]))
     probable = predict(models.classifier, model, FEATURE_COLUMNS, classes)
     isolated = with_score(probable, models.forest, FEATURE_COLUMNS, "_raw")
     anomaly = anomaly_norm("_raw") if policy == "service" else F.col("_raw")

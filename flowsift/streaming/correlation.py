@@ -1,18 +1,35 @@
-"""Periodic correlation over the alert table.
+"""Kill chains over the alert stream: cycles in event time, each over a look-back of its source's alerts.
 
-Files are not rewritten: each cycle appends the new chain ids, and readers join them in.
+A source keeps the alerts of the look-back in keyed state. A timer wakes it at every cycle that an alert of its
+falls into; what the cycle sees and assigns is what `operators.alerts.correlate` would over the whole table at
+that moment. Nothing older is read again, and a source without alerts costs nothing. Files are not
+rewritten: each batch appends the new chain ids, and readers join them in.
+
+A row without an id is no alert but a heartbeat that moves the watermark on. An alert behind the watermark has
+missed its cycle and is seen by the next ones that reach back to it.
 """
 
 from __future__ import annotations
 
-from datetime import datetime
+import hashlib
+from collections.abc import Iterable, Iterator
+from datetime import datetime, timedelta
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from flowsift.operators.alerts import correlate, write_back
+from flowsift.operators.alerts import LOOKBACK, correlate, write_back
+from flowsift.streaming.features import with_keyed_state
 from flowsift.streaming.store import batch_numbers, read_table, write_batch
 
+# fixed value: the service correlates this often
+CYCLE = timedelta(seconds=30)
+_ALERT = "t bigint, id string, threat_class string, kill_chain_id string"
+_FIELDS = ["t", "id", "threat_class", "kill_chain_id"]
+_MICROS = timedelta(microseconds=1)
+
 
 def tagged_alerts(spark: SparkSession, alerts_table: str, chains_table: str) -> DataFrame:
     """Alerts with the chain ids of all cycles so far."""
@@ -26,14 +43,91 @@ def tagged_alerts(spark: SparkSession, alerts_table: str, chains_table: str) ->
 
 
 def correlation_cycle(spark: SparkSession, alerts_table: str, chains_table: str, now: datetime, cycle: int) -> None:
-    """One cycle; running a cycle again replaces its own output."""
+    """One cycle over a whole table, by hand; running a cycle again replaces its own output."""
     write_batch(correlate(tagged_alerts(spark, alerts_table, chains_table), now), chains_table, cycle)
 
 
-def correlate_on_trigger(alerts_table: str, chains_table: str, clock):
-    """foreachBatch writer for a 30-second trigger on the alert stream."""
+def new_chain(source: str, first_id: str) -> str:
+    return "kc-" + hashlib.md5(f"{source}|{first_id}".encode()).hexdigest()
+
+
+class KeyedChains(StatefulProcessor):
+    """State of one source: its alerts that a coming cycle can still see."""
+
+    def __init__(self, lookback: timedelta, cycle: timedelta, min_classes: int):
+        self.lookback, self.cycle, self.min_classes = lookback // _MICROS, cycle // _MICROS, min_classes
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.alerts = handle.getListState("alerts", _ALERT)
+
+    def _cycle_of(self, t: int) -> int:
+        """The first cycle at or after a time."""
+        return -(-t // self.cycle) * self.cycle
+
+    def _wake(self, moment: int) -> None:
+        self.handle.registerTimer(-(-moment // 1000))
+
+    def handleInputRows(self, key, rows: Iterable[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        fresh = []
+        for frame in rows:
+            frame = frame.iloc[:, -len(_FIELDS):].astype(object)
+            for t, *others in frame.where(frame.notna(), None).itertuples(index=False, name=None):
+                fresh.append((int(t), *others))
+        self.alerts.appendList(fresh)
+        for moment in sorted({self._cycle_of(max(r[0], passed + 1)) for r in fresh}):
+            self._wake(moment)
+        yield pd.DataFrame({"id": [], "src_ip": [], "kill_chain_id": []}, dtype=object)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if not self.alerts.exists():
+            return
+        # timers have whole milliseconds, and so do cycles
+        now = expiredTimerInfo.getExpiryTimeInMs() * 1000 // self.cycle * self.cycle
+        held = sorted(self.alerts.get())
+        seen = [r for r in held if now - self.lookback <= r[0] <= now]
+        given = {}
+        if len({r[2] for r in seen}) >= self.min_classes:
+            tagged = [r for r in seen if r[3]]
+            chain = tagged[0][3] if tagged else new_chain(key[0], seen[0][1])
+            given = {r[1]: chain for r in seen if not r[3]}
+        # what the next cycle reaches back to
+        rest = [(*r[:3], r[3] or (given.get(r[1]) if r[0] <= now else None)) for r in held
+                if r[0] >= now + self.cycle - self.lookback]
+        if rest:
+            self.alerts.put(rest)
+            self._wake(now + self.cycle)
+        else:
+            self.alerts.clear()
+        yield pd.DataFrame({"id": list(given), "src_ip": key[0], "kill_chain_id": list(given.values())}, dtype=object)
+
+    def close(self) -> None:
+        pass
+
+
+def keyed_chains(alerts: DataFrame, lookback: timedelta = LOOKBACK, cycle: timedelta = CYCLE,
+                 lateness: str = "10 seconds", min_classes: int = 2) -> DataFrame:
+    """(id, src_ip, kill_chain_id) of a stream's alerts, as cycles assign them.
+
+    alerts: id, src_ip, threat_class, kill_chain_id, ingested_at. `cycle` is a whole number of milliseconds.
+    """
+    if cycle % timedelta(milliseconds=1):
+        raise ValueError("a cycle lasts whole milliseconds")
+    kept = F.struct("src_ip", F.unix_micros("ingested_at").alias("t"), "id", "threat_class", "kill_chain_id")
+    counts = F.col("id").isNotNull() & (F.col("threat_class") != "benign") & (F.coalesce("src_ip", F.lit("")) != "")
+    # dropped where the watermark has seen them
+    rows = alerts.withWatermark("ingested_at", lateness).select(
+        F.explode(F.when(counts & F.col("ingested_at").isNotNull(), F.array(kept))).alias("_a")).select("_a.*")
+    return rows.groupBy("src_ip").transformWithStateInPandas(
+        KeyedChains(lookback, cycle, min_classes), "id string, src_ip string, kill_chain_id string", "Append", "eventTime")
+
 
+def start_correlation(alerts: DataFrame, chains_table: str, checkpoint: str, lookback: timedelta = LOOKBACK,
+                      cycle: timedelta = CYCLE, lateness: str = "10 seconds", once: bool = False,
+                      interval: str = "2 seconds"):
+    """Starts the query that appends chain ids; state lies in `checkpoint`, a folder that all machines share."""
     def write(batch: DataFrame, batch_id: int) -> None:
-        correlation_cycle(batch.sparkSession, alerts_table, chains_table, clock(), batch_id)
+        write_batch(batch, chains_table, batch_id)
 
-    return write
+    return with_keyed_state(keyed_chains(alerts, lookback, cycle, lateness), write, checkpoint, once, interval)

@@ -1,4 +1,4 @@
-"""Scores a stream of contract rows into results, alerts and metrics."""
+"""Scores a stream of contract rows into results (as rows and as keyed messages), alerts and metrics."""
 
 from __future__ import annotations
 
@@ -11,6 +11,7 @@ from flowsift.functions.scalar import event_time
 from flowsift.operators.alerts import to_alerts
 from flowsift.plans.score import Models, score
 from flowsift.schema import RESULT_COLUMNS
+from flowsift.sources import wire
 from flowsift.streaming.ingest import with_hour
 from flowsift.streaming.metrics import batch_point
 from flowsift.streaming.store import read_batch, write_batch
@@ -18,7 +19,7 @@ from flowsift.streaming.store import read_batch, write_batch
 
 def score_batches(models: Models, root: str, clock: Callable[[], float],
                   depth: Callable[[], int] = lambda: -1) -> Callable[[DataFrame, int], None]:
-    """foreachBatch writer: every row is scored once, the three tables derive from that.
+    """foreachBatch writer: every row is scored once, the four tables derive from that.
 
     clock gives epoch seconds; latency is the time from the start of the batch to its score. depth gives
     the rows still to read, for which `progress_depth` of the running query's last progress serves.
@@ -38,6 +39,7 @@ def score_batches(models: Models, root: str, clock: Callable[[], float],
             F.lit(finished).alias("consumer_ts"),
         )
         write_batch(done.select(*RESULT_COLUMNS), f"{root}/results", batch_id)
+        write_batch(wire.encode_results(done), f"{root}/messages", batch_id)
         alerts = to_alerts(done, event_time(F.lit(finished)))
         hourly = with_hour(alerts.withColumn("ts", F.unix_micros("timestamp") / 1e6)).drop("ts")
         # rebalanced: few files per hour, and an hour with most rows still splits over tasks

@@ -1,5 +1,6 @@
+import json
 import random
-from datetime import datetime, timezone
+from datetime import datetime, timedelta, timezone
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,7 +11,7 @@ from flowsift.operators.enrich import to_contract
 from flowsift.sources import wire, zeek
 from flowsift.sources.tail import TailedLog
 from flowsift.streaming import ingest, metrics
-from flowsift.streaming.correlation import correlation_cycle, tagged_alerts
+from flowsift.streaming.correlation import correlation_cycle, new_chain, start_correlation, tagged_alerts
 from flowsift.streaming.features import split_features, start_features
 from flowsift.streaming.names import start_queries
 from flowsift.streaming.scoring import score_batches
@@ -224,6 +225,9 @@ def test_score_stream_and_correlate(spark, tmp_path, trained):  # noqa: F811
     ticks = iter([1000.0, 1000.5])
     ingest.start_batches(stream, score_batches(models, root, lambda: next(ticks)), str(tmp_path / "ck"), once=True).awaitTermination()
     results, alerts = read_table(spark, f"{root}/results"), read_table(spark, f"{root}/alerts")
+    messages = read_table(spark, f"{root}/messages").collect()
+    assert len(messages) == 240 and all(bytes(m.key) == b"s" for m in messages)
+    assert {json.loads(bytes(m.value))["flow_id"] for m in messages} == {r.flow_id for r in results.collect()}
     assert results.count() == 240 and results.filter("latency_ms = 500").count() == 240
     assert alerts.count() == results.filter("threat_class <> 'benign'").count() > 100
     (point,) = read_table(spark, f"{root}/metrics").collect()  # 240 flows in the half second the batch took
@@ -238,6 +242,47 @@ def test_score_stream_and_correlate(spark, tmp_path, trained):  # noqa: F811
     assert drop_partitions_before(spark, f"{root}/alerts/batch=0", "hour", "1970-01-02") == ["hour=1970-01-01-00"]
 
 
+def test_correlation_cycles_equal_repeated_batch_cycles(spark, tmp_path):
+    """Every cycle in turn over a whole table, chain ids carried on, against keyed state over four files."""
+    draw = random.Random(4)
+    schema = "id string, src_ip string, threat_class string, kill_chain_id string, ingested_at timestamp"
+    start = datetime(2024, 1, 1)
+    rows = []
+    for k in range(120):
+        at = start + timedelta(milliseconds=draw.randint(0, 600_000), microseconds=draw.randint(0, 999))
+        rows.append((f"al{k:03d}", draw.choice(["a", "a", "b", "c", "", None]), draw.choice(["ddos", "ddos", "port_scan", "benign"]),
+                     f"kc-old{k}" if draw.random() < 0.05 else None, at))
+    rows.sort(key=lambda r: r[4])
+    lookback, cycle = timedelta(seconds=90), timedelta(seconds=30)
+    chain = {r[0]: r[3] for r in rows}
+    for n in range(1, 24):
+        now = start + n * cycle
+        seen = [r for r in rows if now - lookback <= r[4] <= now and r[2] != "benign" and r[1]]
+        before = dict(chain)
+        for source in {r[1] for r in seen}:
+            own = [r for r in seen if r[1] == source]
+            if len({r[2] for r in own}) >= 2:
+                old = [before[r[0]] for r in own if before[r[0]]]
+                for r in own:
+                    chain[r[0]] = chain[r[0]] or (old[0] if old else new_chain(source, own[0][0]))
+    expected = {i: c for i, c in chain.items() if c and not dict((r[0], r[3]) for r in rows)[i]}
+    inbox = str(tmp_path / "in")
+    for k in range(4):
+        spark.createDataFrame(rows[30 * k:30 * k + 30], schema).coalesce(1).write.mode("append").parquet(inbox)
+    spark.createDataFrame([(None, None, None, None, start + timedelta(hours=1))], schema).coalesce(1).write.mode("append").parquet(inbox)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(inbox)
+    start_correlation(stream, str(tmp_path / "chains"), str(tmp_path / "state"), lookback, cycle, "0 seconds", once=True).awaitTermination()
+    found = read_table(spark, str(tmp_path / "chains"))
+    got = [(r.id, r.kill_chain_id) for r in found.collect()]
+    assert len(got) == len(dict(got)) and dict(got) == expected and len(got) > 30
+    assert found.select("batch").distinct().count() > 2
+    # the alerts that the batch operator chains at one moment are among them
+    now = start + 10 * cycle
+    table = spark.createDataFrame(rows, schema).where(F.col("ingested_at") <= F.lit(now))
+    at_once = {r.id for r in A.correlate(table, now, lookback).collect()}
+    assert at_once and at_once <= expected.keys()
+
+
 def test_throughput_stream_equals_batch(spark, sf, tmp_path):
     events = spark.read.parquet(f"{sf}/events.parquet")
     shaped = lambda df: df.select(F.col("ts").cast("timestamp").alias("event_time"), F.col("event_id").alias("flow_id"),
