@@ -14,11 +14,11 @@ from pyspark.sql import SparkSession  # noqa: E402
 
 HEADLINE = [
     "flow_rates", "parsed_values", "fingerprints", "rolling_fan_in", "arrival_intervals", "rolling_source",
-    "flow_windows", "dns_by_uid", "dns_window", "enriched_flows", "contract_violations", "char_entropy",
+    "flow_windows", "flow_windows_sliced", "dns_by_uid", "dns_window", "enriched_flows", "contract_violations", "char_entropy",
     "wire_messages", "top_contributions", "alert_page", "text_search", "stats_timeline", "correlate",
     "chain_summary", "kill_chains", "applied_codes", "group_split", "classification_report",
     "score_summary", "score_histogram", "row_checks", "isolation_scores", "trained_predictions",
-    "scored_flows", "stream_flow_features", "stream_messages",
+    "scored_flows", "stream_flow_features", "stream_dns_window", "stream_messages", "mixed_log_rows", "feature_job_rows",
 ]
 
 
