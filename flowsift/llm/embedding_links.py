@@ -254,6 +254,27 @@ def _near(unit: np.ndarray, side: np.ndarray, least: float) -> Iterator[tuple[np
         yield i, j
 
 
+# parts of up to these many vectors are compared as stacks of equal blocks
+STACKED = (4, 16, 64)
+
+
+def _near_stacked(unit: np.ndarray, start: np.ndarray, size: np.ndarray, least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The same of many small parts (start and size, all pairs wanted) at once, padded to one width."""
+    for below, width in zip((1, *STACKED), STACKED):
+        chosen = np.flatnonzero((size > below) & (size <= width))
+        place = np.arange(width)
+        later = place[:, None] < place
+        step = max(1, (1 << 15) // width)
+        for at in range(0, len(chosen), step):
+            parts = chosen[at : at + step]
+            there = place < size[parts, None]
+            rows = np.where(there, start[parts, None] + place, start[parts, None])
+            block = unit[rows]
+            near = block @ block.transpose(0, 2, 1) >= least
+            part, i, j = np.nonzero(near & later & there[:, None, :])
+            yield rows[part, i], rows[part, j]
+
+
 def _linked(tasks: DataFrame, tables: Hashing, least: float) -> DataFrame:
     """node, links (copies of the vectors it links with, in this task), root (a vector it is connected with)."""
     schema = T.StructType([T.StructField(n, T.LongType()) for n in ("node", "links", "root")])
@@ -275,25 +296,32 @@ def _linked(tasks: DataFrame, tables: Hashing, least: float) -> DataFrame:
             return np.array([keys[r] for r in rows.tolist()])
 
         first, second, links = [], [], np.zeros(len(node), np.int64)
-        for begin, end in zip(edges[:-1], edges[1:]):
-            for i, j in _near(unit[begin:end], side[begin:end], least):
-                i, j = i + begin, j + begin
-                known = in_ball[i] & in_ball[j] & (ball[i] == ball[j])
-                i, j = i[~known], j[~known]
-                for at in range(0, len(i), 4_096):
-                    a, b = i[at : at + 4_096], j[at : at + 4_096]
-                    x, y = keys_of(a), keys_of(b)
-                    same = (x[:, :, None] == y[:, None, :]).any(2)
-                    lowest = np.where(same, x, np.iinfo(np.int64).max).min(1)
-                    here = lowest == bucket[a]
-                    a, b = a[here], b[here]
-                    np.add.at(links, a, copies[b])
-                    np.add.at(links, b, copies[a])
-                    # a spanning forest of these is enough
-                    ends, both = np.unique(np.concatenate([a, b]), return_inverse=True)
-                    root = _forest(both[: len(a)], both[len(a) :], len(ends))
-                    first.append(ends)
-                    second.append(ends[root])
+        begins, sizes = edges[:-1], np.diff(edges)
+        stacked = (sizes <= STACKED[-1]) & (np.minimum.reduceat(side, begins) == 2)
+
+        def pairs() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            yield from _near_stacked(unit, begins[stacked], sizes[stacked], least)
+            for begin, size in zip(begins[~stacked], sizes[~stacked]):
+                for i, j in _near(unit[begin : begin + size], side[begin : begin + size], least):
+                    yield i + begin, j + begin
+
+        for i, j in pairs():
+            known = in_ball[i] & in_ball[j] & (ball[i] == ball[j])
+            i, j = i[~known], j[~known]
+            for at in range(0, len(i), 4_096):
+                a, b = i[at : at + 4_096], j[at : at + 4_096]
+                x, y = keys_of(a), keys_of(b)
+                same = (x[:, :, None] == y[:, None, :]).any(2)
+                lowest = np.where(same, x, np.iinfo(np.int64).max).min(1)
+                here = lowest == bucket[a]
+                a, b = a[here], b[here]
+                np.add.at(links, a, copies[b])
+                np.add.at(links, b, copies[a])
+                # a spanning forest of these is enough
+                ends, both = np.unique(np.concatenate([a, b]), return_inverse=True)
+                root = _forest(both[: len(a)], both[len(a) :], len(ends))
+                first.append(ends)
+                second.append(ends[root])
         if not first:
             return pa.table({n: pa.array([], pa.int64()) for n in ("node", "links", "root")})
         first, second = np.concatenate(first), np.concatenate(second)
