@@ -219,11 +219,9 @@ def to_contract(rows: DataFrame, mode: str = "strict") -> DataFrame:
     checked = rows.select(*typed, found.alias(VIOLATIONS))
     if mode == "quarantine":
         return checked
-    guard = F.when(
-        F.size(VIOLATIONS) > 0,
-        F.raise_error(F.concat(F.lit("feature row rejected: "), F.array_join(VIOLATIONS, ", "))),
-    ).otherwise(F.col("flow_id"))
-    return checked.select(guard.cast("string").alias("flow_id"), *FLOW_COLUMNS[1:])
+    # a filter holds whatever columns are read later
+    refused = F.raise_error(F.concat(F.lit("feature row rejected: "), F.array_join(VIOLATIONS, ", "))).cast("boolean")
+    return checked.filter(F.when(F.size(VIOLATIONS) > 0, refused).otherwise(F.lit(True))).drop(VIOLATIONS)
 
 
 def split_violations(checked: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -137,6 +137,8 @@ def test_contract(spark):
         assert good.isEmpty() and bad.first().violations == [f"invalid {problem}"]
         with pytest.raises(Exception, match=problem):
             to_contract(contract_row(spark, **change)).collect()
+        with pytest.raises(Exception, match=problem):  # whatever columns are read
+            to_contract(contract_row(spark, **change)).select("duration").collect()
 
 
 def test_wire_round_trip_and_dead_letters(spark):
