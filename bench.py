@@ -17,7 +17,7 @@ HEADLINE = [
     "flow_windows", "flow_windows_sliced", "dns_by_uid", "dns_window", "enriched_flows", "contract_violations", "char_entropy",
     "wire_messages", "top_contributions", "alert_page", "text_search", "stats_timeline", "correlate",
     "chain_summary", "kill_chains", "applied_codes", "group_split", "classification_report",
-    "score_summary", "score_histogram", "row_checks", "isolation_scores", "trained_predictions",
+    "score_summary", "score_histogram", "row_checks", "isolation_scores", "trained_predictions", "boosted_predictions",
     "scored_flows", "stream_flow_features", "stream_dns_window", "stream_messages", "mixed_log_rows", "feature_job_rows",
 ]
 

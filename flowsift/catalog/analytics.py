@@ -344,6 +344,16 @@ def trained_predictions(spark, d):
     return classify.predict(model, rows.drop("weight"), SMALL_FEATURES).select("flow_id", "label", "predicted", F.round("confidence", 6).alias("confidence"))
 
 
+@query("boosted_predictions")
+def boosted_predictions(spark, d):
+    """Boosted trees of all classes at once on all events, predicting the value band."""
+    band = F.when(F.col("value") > 60, "ddos").when(F.col("value") > 20, "port_scan").otherwise("benign")
+    rows = encode.with_weights(_points(spark, d).withColumn("label", band))
+    model = classify.fit("softmax", rows, SMALL_FEATURES, params={"rounds": 5, "maxDepth": 3})
+    return classify.predict(model, rows.drop("weight"), SMALL_FEATURES).select(
+        "flow_id", "label", "predicted", F.round("confidence", 6).alias("confidence"))
+
+
 def contract_features(spark, d):
     """Contract rows of all sound events, labelled by their kind."""
     good, _ = enrich.split_violations(enrich.to_contract(contract_rows(spark, d), "quarantine"))

@@ -12,10 +12,11 @@ from pyspark.ml.classification import (
 )
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowsift.functions.scalar import class_index, class_name
+from flowsift.operators import boosting
 from flowsift.operators.evaluate import macro_f1, pair_counts
 from flowsift.schema import CLASSES, FEATURE_COLUMNS
 
@@ -24,6 +25,7 @@ DEFAULT_PARAMS = {"numTrees": 40, "maxDepth": 8, "minInstancesPerNode": 1}
 SPACE = {"numTrees": [20, 40, 80], "maxDepth": [4, 6, 8, 10], "minInstancesPerNode": [1, 2, 5]}
 TRIALS = 20
 BOOSTED_PARAMS = {"maxIter": 20, "maxDepth": 4}
+BOOSTED_SPACE = {"maxIter": [10, 20, 40], "maxDepth": [3, 4, 6], "minInstancesPerNode": [1, 2, 5]}
 SEED = 42
 
 
@@ -54,11 +56,36 @@ def train_boosted(rows: DataFrame, features: list[str] = FEATURE_COLUMNS, classe
     return each.fit(assemble(indexed, features))
 
 
+# families of models and their search spaces
+SPACES = {"forest": SPACE, "per_class": BOOSTED_SPACE, "softmax": boosting.SPACE}
+
+
+def fit(family: str, rows: DataFrame, features: list[str] = FEATURE_COLUMNS, classes: list[str] = CLASSES,
+        params: dict | None = None, seed: int = SEED):
+    """A forest, one boosted ensemble per class, or boosted trees of all classes at once."""
+    if family == "softmax":
+        return boosting.train(rows, features, classes, params)
+    return {"forest": train, "per_class": train_boosted}[family](rows, features, classes, params, seed=seed)
+
+
+def save(model, spark: SparkSession, path: str) -> None:
+    if isinstance(model, boosting.SoftmaxTrees):
+        model.save(spark, path)
+    else:
+        model.write().overwrite().save(path)
+
+
+def load(family: str, spark: SparkSession, path: str, class_count: int):
+    if family == "softmax":
+        return boosting.SoftmaxTrees.load(spark, path, class_count)
+    return {"forest": RandomForestClassificationModel, "per_class": OneVsRestModel}[family].load(path)
+
+
 def predict(model, rows: DataFrame, features: list[str] = FEATURE_COLUMNS,
             classes: list[str] = CLASSES) -> DataFrame:
     """Adds probabilities (one per class), class_index, predicted and confidence."""
-    if isinstance(model, OneVsRestModel):
-        scored = rows.withColumn("probabilities", boosted_probabilities(BoostedPaths(model, len(classes)), features))
+    if isinstance(model, (OneVsRestModel, boosting.SoftmaxTrees)):
+        scored = rows.withColumn("probabilities", boosted_probabilities(paths_of(model, len(classes)), features))
     else:
         # classes above the largest label seen in training have no entry in the vector
         given = F.concat(vector_to_array("probability"), F.array(*[F.lit(0.0)] * len(classes)))
@@ -72,10 +99,10 @@ def predict(model, rows: DataFrame, features: list[str] = FEATURE_COLUMNS,
 
 def search(training: DataFrame, validation: DataFrame | None, features: list[str] = FEATURE_COLUMNS,
            classes: list[str] = CLASSES, trials: int = TRIALS, seed: int = SEED,
-           space: dict | None = None) -> tuple[dict, float]:
+           space: dict | None = None, family: str = "forest") -> tuple[dict, float]:
     """Random search for the highest macro F1; without validation rows it uses training rows."""
     draw = random.Random(seed)
-    options = space or SPACE
+    options = space or SPACES[family]
     combinations = 1
     for values in options.values():
         combinations *= len(values)
@@ -87,7 +114,7 @@ def search(training: DataFrame, validation: DataFrame | None, features: list[str
         if key in tried:
             continue
         tried.add(key)
-        model = train(training, features, classes, params, seed=seed)
+        model = fit(family, training, features, classes, params, seed)
         score = macro_f1(pair_counts(predict(model, judged, features, classes)), classes)
         if score > best_score:
             best, best_score = params, score
@@ -270,11 +297,41 @@ class BoostedPaths(TreePaths):
         return odds / odds.sum(axis=1, keepdims=True)
 
 
+class SoftmaxPaths(TreePaths):
+    """Class margins: the sum of the trees of the class."""
+
+    def __init__(self, model: boosting.SoftmaxTrees, class_count: int):
+        super().__init__()
+        place: dict[tuple, int] = {}
+        # ordered by round, class and node, so children stand behind their parents
+        for turn, k, node, feature, threshold, value, cover in sorted(model.nodes):
+            at = place[turn, k, node] = len(self.feature)
+            said = np.zeros(class_count)
+            said[k] = value
+            self.feature.append(feature)
+            self.threshold.append(threshold)
+            self.said.append(said)
+            self.cover.append(float(cover))
+            self.below.append(-1)
+            self.above.append(-1)
+            if node == 1:
+                self.roots.append(at)
+            else:
+                (self.above if node % 2 else self.below)[place[turn, k, node // 2]] = at
+        self._freeze()
+        self.said = self.said.reshape(-1, class_count)
+
+    def probabilities(self, x: np.ndarray) -> np.ndarray:
+        return boosting.softmax(self.totals(x))
+
+
 def paths_of(model, class_count: int) -> TreePaths:
+    if isinstance(model, boosting.SoftmaxTrees):
+        return SoftmaxPaths(model, class_count)
     return (BoostedPaths if isinstance(model, OneVsRestModel) else ForestPaths)(model, class_count)
 
 
-def boosted_probabilities(paths: BoostedPaths, features: list[str]) -> Column:
+def boosted_probabilities(paths: BoostedPaths | SoftmaxPaths, features: list[str]) -> Column:
     @F.pandas_udf("array<double>")
     def probabilities(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for x in parts:

@@ -5,7 +5,6 @@ from __future__ import annotations
 import json
 from dataclasses import dataclass, field
 
-from pyspark.ml.classification import OneVsRestModel, RandomForestClassificationModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -80,9 +79,16 @@ class TrainConfig:
     seed: int = 42
     trials: int = 20
     params: dict | None = None  # given: no search
-    boosted: bool = False  # one boosted ensemble per class, with the given or default parameters
+    boosted: bool = False  # short for family="per_class"
+    family: str = "forest"  # or "per_class": one boosted ensemble per class, or "softmax": boosted for all classes at once
     space: dict | None = None
 
+    def __post_init__(self):
+        if self.boosted and self.family == "forest":
+            self.family = "per_class"
+        if self.family not in classify.SPACES:
+            raise ValueError(f"unknown model family: {self.family}")
+
 
 def train_job(rows: DataFrame, output_dir: str, config: TrainConfig | None = None) -> dict[str, DataFrame]:
     """Split by scenario, fit codes on train, search, refit on train + val, report on test.
@@ -107,15 +113,14 @@ def train_job(rows: DataFrame, output_dir: str, config: TrainConfig | None = Non
         ready[name] = rows.sparkSession.read.parquet(path)
 
     params, found = config.params, None
-    if params is None and not config.boosted:
+    if params is None:
         params, found = classify.search(
             encode.with_weights(ready["train"]), ready["val"], classes=config.classes, trials=config.trials,
-            seed=config.seed, space=config.space,
+            seed=config.seed, space=config.space, family=config.family,
         )
     final_rows = encode.with_weights(ready["train"].unionByName(ready["val"]))
-    train = classify.train_boosted if config.boosted else classify.train
-    model = train(final_rows, classes=config.classes, params=params, seed=config.seed)
-    model.write().overwrite().save(f"{output_dir}/classifier")
+    model = classify.fit(config.family, final_rows, classes=config.classes, params=params, seed=config.seed)
+    classify.save(model, rows.sparkSession, f"{output_dir}/classifier")
 
     tested = ready["train"] if ready["test"].isEmpty() else ready["test"]
     pairs = evaluate.pair_counts(classify.predict(model, tested, classes=config.classes))
@@ -123,7 +128,7 @@ def train_job(rows: DataFrame, output_dir: str, config: TrainConfig | None = Non
     pairs = rows.sparkSession.read.parquet(f"{output_dir}/pairs")
     _write_json(rows.sparkSession, f"{output_dir}/training", {
         "classes": config.classes, "features": FEATURE_COLUMNS, "params": params, "validation_macro_f1": found,
-        "boosted": config.boosted,
+        "family": config.family,
     })
     return {
         "split": encode.split_report(known, assignment),
@@ -170,9 +175,10 @@ def read_json(spark: SparkSession, path: str) -> dict:
 
 def load_models(spark: SparkSession, model_dir: str, forest_dir: str | None = None) -> Models:
     meta = read_json(spark, f"{model_dir}/training")
-    kind = OneVsRestModel if meta["boosted"] else RandomForestClassificationModel
+    # models saved before there were families say whether they were boosted
+    family = meta.get("family") or ("per_class" if meta["boosted"] else "forest")
     return Models(
-        classifier=kind.load(f"{model_dir}/classifier"),
+        classifier=classify.load(family, spark, f"{model_dir}/classifier", len(meta["classes"])),
         forest=isolation.load(spark.read.parquet(f"{forest_dir or model_dir}/forest")),
         encoders=spark.read.parquet(f"{model_dir}/encoders"),
         classes=tuple(meta["classes"]),

@@ -6,7 +6,7 @@ import __spark_entry__ as entry_point
 from flowsift.catalog import ORACLE, QUERIES
 from tests.oracle import compare, connect
 
-MODELS = {"isolation_scores", "trained_predictions", "scored_flows", "stream_scores"}
+MODELS = {"isolation_scores", "trained_predictions", "boosted_predictions", "scored_flows", "stream_scores"}
 
 
 @pytest.fixture(scope="module")

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from flowsift.operators import classify, encode, isolation
+from flowsift.operators import boosting, classify, encode, isolation
 from flowsift.plans import jobs
 from flowsift.plans.score import score
 from flowsift.schema import FEATURE_COLUMNS, FLOW_COLUMNS, FLOW_TYPES
@@ -167,3 +167,113 @@ def test_isolation_ranks_outliers_first(spark):
 def test_mean_path():
     assert isolation.mean_path([1, 2]).tolist() == [0.0, 1.0]
     assert float(isolation.mean_path(256)) == pytest.approx(10.2448, abs=1e-3)
+
+
+def by_hand(rows, cuts, classes, rounds, depth, rate, penalty):
+    """Rows of trees as nested tuples, one row at a time: (label, weight, values)."""
+    from math import exp
+
+    one = boosting.ONE
+    margins, trees = [[0.0] * classes for _ in rows], []
+
+    def value(g, h):
+        return -rate * (g / one) / (h / one + penalty)
+
+    def grow(k, members, sums, level):
+        def total(some):
+            return [sum(sums[i][c] for i in some) for c in (0, 1)]
+
+        def worth(g, h):
+            return (g / one) * (g / one) / (h / one + penalty)
+
+        g, h = total(members)
+        best = None
+        for f, cut in enumerate(cuts):
+            for c in cut if level < depth else ():
+                below = [i for i in members if rows[i][2][f] <= c]
+                if 0 < len(below) < len(members):
+                    gb, hb = total(below)
+                    gain = worth(gb, hb) + worth(g - gb, h - hb) - worth(g, h)
+                    if gain > 1e-9 and (best is None or gain > best[0]):
+                        best = (gain, f, c, below)
+        if best is None:
+            for i in members:
+                margins[i][k] += value(g, h)
+            return value(g, h)
+        below = set(best[3])
+        return best[1], grow(k, best[3], sums, level + 1), grow(k, [i for i in members if i not in below], sums, level + 1)
+
+    for _ in range(rounds):
+        p = []
+        for m in margins:
+            odds = [exp(v - max(m)) for v in m]
+            p.append([o / sum(odds) for o in odds])
+        for k in range(classes):
+            sums = [(round((p[i][k] - (r[0] == k)) * r[1] * one), round(2 * p[i][k] * (1 - p[i][k]) * r[1] * one))
+                    for i, r in enumerate(rows)]
+            trees.append(grow(k, list(range(len(rows))), sums, 0))
+    return trees, margins
+
+
+def test_softmax_boosting_by_hand(spark):
+    rng = random.Random(3)
+    data = []
+    for _ in range(300):
+        x = [rng.randint(0, 9), rng.random(), rng.choice([0, 0, 0, 1])]
+        data.append(("abc"[(x[0] > 4) + (x[1] > 0.5 and x[2] == 0)], rng.choice([0.5, 1.0, 3.0]), *map(float, x)))
+    columns, classes = ["x0", "x1", "x2"], ["a", "b", "c"]
+    df = spark.createDataFrame(data, "label string, weight double, x0 double, x1 double, x2 double")
+    params = {"rounds": 4, "maxDepth": 2, "bins": 8}
+    model = boosting.train(df.repartition(5), columns, classes, params)
+    cuts = [list(c) for c in boosting.cut_points(df, columns, 8)]
+    assert all(len(c) <= 7 for c in cuts)
+    rows = [("abc".index(r[0]), r[1], r[2:]) for r in data]
+    trees, margins = by_hand(rows, cuts, 3, 4, 2, boosting.PARAMS["rate"], boosting.PARAMS["penalty"])
+    got = classify.SoftmaxPaths(model, 3).totals(np.array([r[2] for r in rows]))
+    assert got == pytest.approx(np.array(margins), abs=1e-6)
+    # the same trees however the rows are spread, and whatever the rounds between two writings
+    kept, boosting.KEPT = boosting.KEPT, 2
+    try:
+        assert boosting.train(df.coalesce(1), columns, classes, params).nodes == model.nodes
+    finally:
+        boosting.KEPT = kept
+    assert all(b < a for a, b in zip(model.losses, model.losses[1:])) and len(model.losses) == 4
+    assert model.losses[0] == pytest.approx(np.log(3), abs=1e-6)
+
+
+def test_softmax_boosting_edges(spark):
+    kind = "label string, weight double, x double"
+    nothing = boosting.train(spark.createDataFrame([], kind), ["x"], ["a", "b"], {"rounds": 2})
+    assert nothing.nodes == [] and nothing.losses == []
+    rows = spark.createDataFrame([("a", 1.0, 1.0)], kind)
+    assert classify.predict(nothing, rows, ["x"], ["a", "b"]).first().probabilities == [0.5, 0.5]
+    # unknown labels and weights that are no positive number say nothing
+    odd = spark.createDataFrame([("a", 1.0, 1.0), ("b", 1.0, 2.0), ("q", 9.0, 1.0), (None, 9.0, 1.0), ("b", 0.0, 1.0), ("b", None, 1.0),
+                                 ("b", float("nan"), 1.0)], kind)
+    model = boosting.train(odd, ["x"], ["a", "b"], {"rounds": 2, "penalty": 0.1})
+    assert {n[6] for n in model.nodes if n[2] == 1} == {2}
+    assert classify.predict(model, rows, ["x"], ["a", "b"]).first().predicted == "a"
+    with pytest.raises(Exception, match="invalid training value"):
+        boosting.train(spark.createDataFrame([("a", 1.0, None)], kind), ["x"], ["a", "b"])
+
+
+def test_softmax_job(spark, tmp_path):
+    out = str(tmp_path)
+    rows = labelled(spark, 8, 4).persist()
+    config = jobs.TrainConfig(family="softmax", trials=2, space={"rounds": [2, 3], "maxDepth": [2]})
+    reports = jobs.train_job(rows, out, config)
+    assert {r["class"]: r for r in reports["report"].collect()}["accuracy"].f1 > 0.9
+    jobs.train_anomaly_job(rows.filter("label = 'benign'"), out, trees=10, sample=16)
+    models = jobs.load_models(spark, out)
+    assert isinstance(models.classifier, boosting.SoftmaxTrees)
+    ready = encode.model_rows(rows, models.encoders, ["flow_id"])
+    predicted = classify.predict(models.classifier, ready)
+    got = predicted.withColumn("moved", classify.attribution_column(models.paths, FEATURE_COLUMNS, "class_index")).collect()
+    x = np.array([[r[c] for c in FEATURE_COLUMNS] for r in got], dtype=float)
+    margins = models.paths.totals(x)
+    for r, margin in zip(got, margins):
+        assert sum(r.probabilities) == pytest.approx(1.0) and min(r.probabilities) > 0
+        assert models.paths.base()[r.class_index] + sum(r.moved) == pytest.approx(margin[r.class_index], abs=1e-9)
+    assert all(len(r.evidence) == 5 for r in score(rows, models).collect())
+    with pytest.raises(ValueError, match="family"):
+        jobs.TrainConfig(family="none")
