@@ -6,10 +6,11 @@ from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
-from flowsift.catalog.base import NOW, micros, prop_k, query, table
+from flowsift.catalog.base import NOW, ORACLE, micros, prop_k, query, run_folder, table
 from flowsift.functions import scalar
 from flowsift.operators import alerts as A
 from flowsift.operators.ordering import first_in_groups, latest
+from flowsift.sources import alert_table
 from flowsift.streaming import metrics
 
 MOMENT = datetime.fromisoformat(NOW)
@@ -307,3 +308,68 @@ def publisher_counters(spark, d):
         F.when(kind == "error", "error").when(kind == "view", "dropped").otherwise("published").alias("outcome"),
     )
     return metrics.outcome_counters(rows, 86_400).select(_at("ts"), "published", "dropped", "errors", "batches")
+
+
+# --- the alert table on disk ---
+
+
+def _written(spark, d, name):
+    folder = run_folder(spark, name)
+    alert_table.write_alerts(alerts(spark, d), f"{folder}/alerts")
+    return f"{folder}/alerts"
+
+
+@query("table_write_back", f"""WITH {ALERTS_SQL}, {CORRELATED_SQL}, {TAGGED_SQL}
+  SELECT id, arrived // 3600000000 AS hour, kill_chain_id FROM tagged""")
+def table_write_back(spark, d):
+    """A correlation cycle on the table by ingest hour: only the hours with new chain ids are rewritten."""
+    folder = _written(spark, d, "write_back")
+    alert_table.correlate_table(spark, folder, MOMENT, LOOKBACK)
+    return alert_table.read_alerts(spark, folder).select("id", "hour", "kill_chain_id")
+
+
+@query("table_retention", f"""WITH {ALERTS_SQL} SELECT arrived // 3600000000 AS hour, count(*) AS n FROM alerts
+  WHERE arrived // 3600000000 >= ({NOW_SQL} - 5 * {DAY_SQL}) // 3600000000 GROUP BY 1""")
+def table_retention(spark, d):
+    """Hours left once all that ended five days before the moment are dropped."""
+    folder = _written(spark, d, "retention")
+    alert_table.retain(spark, folder, MOMENT - 5 * LOOKBACK)
+    return alert_table.read_alerts(spark, folder).groupBy("hour").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("feed_page", f"""WITH {ALERTS_SQL} SELECT id, t, severity FROM alerts ORDER BY t DESC, id LIMIT 25 OFFSET 600""")
+def feed_page(spark, d):
+    """Page 25 of the feed, read from the parts that hold it."""
+    folder = run_folder(spark, "feed")
+    alert_table.write_feed(alerts(spark, d), folder, 100)
+    return alert_table.feed_page(spark, folder, 25, 25).select("id", _at("timestamp"), "severity")
+
+
+@query("indexed_evidence", f"""WITH {ALERTS_SQL} SELECT id, t FROM alerts
+  WHERE k % 3 > 0 AND threat_class = 'port_scan' AND arrived >= {NOW_SQL} - 10 * {DAY_SQL}""")
+def indexed_evidence(spark, d):
+    """Alerts of ten days whose evidence holds both words, by the word index."""
+    folder = _written(spark, d, "evidence")
+    alert_table.index_evidence(alerts(spark, d), f"{folder}_words")
+    hits = alert_table.search(spark, folder, f"{folder}_words", "Error PACKET", "all", MOMENT - 10 * LOOKBACK)
+    return hits.select("id", _at("timestamp"))
+
+
+def _indexed_documents(spark, d):
+    folder = f"{run_folder(spark, 'words')}/words"
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text", F.lit(0).cast("bigint").alias("hour"))
+    alert_table.write_postings(docs, folder, F.col("text"))
+    return folder
+
+
+@query("indexed_text_search", ORACLE["text_search"])
+def indexed_text_search(spark, d):
+    """The same as text_search from postings: the buckets of the four words are read."""
+    return alert_table.find(spark, _indexed_documents(spark, d), WORDS).select(F.col("id").cast("bigint").alias("doc_id"))
+
+
+@query("indexed_text_search_all", f"""SELECT doc_id FROM documents
+  WHERE list_has_all(regexp_split_to_array(lower(text), '{WORD_PATTERN}'), ['the', 'of', 'and'])""")
+def indexed_text_search_all(spark, d):
+    """Documents with all words, rarest word first."""
+    return alert_table.find(spark, _indexed_documents(spark, d), "the of AND", "all").select(F.col("id").cast("bigint").alias("doc_id"))

@@ -51,6 +51,15 @@ def drop_partitions_before(spark: SparkSession, table: str, column: str, cutoff:
     return expired
 
 
+def drop_numbers_below(spark: SparkSession, table: str, column: str, least: int) -> list[str]:
+    """Retention by number: drops partitions whose value is a number below `least`; returns their names."""
+    numbered = [(n, n.split("=", 1)[1]) for n in _children(spark, table) if n.startswith(f"{column}=")]
+    expired = [name for name, value in numbered if value.lstrip("-").isdigit() and int(value) < least]
+    for name in expired:
+        _delete(spark, f"{table}/{name}")
+    return expired
+
+
 def _filesystem(spark: SparkSession, path: str):
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
