@@ -313,27 +313,32 @@ def publisher_counters(spark, d):
 # --- the alert table on disk ---
 
 
+# a folder of the table spans a day, since events are spread thinly over thirty of them
+SPAN = 24
+SPAN_SQL = "arrived // 86400000000 * 24"
+
+
 def _written(spark, d, name):
     folder = run_folder(spark, name)
-    alert_table.write_alerts(alerts(spark, d), f"{folder}/alerts")
+    alert_table.write_alerts(alerts(spark, d), f"{folder}/alerts", hours=SPAN)
     return f"{folder}/alerts"
 
 
 @query("table_write_back", f"""WITH {ALERTS_SQL}, {CORRELATED_SQL}, {TAGGED_SQL}
-  SELECT id, arrived // 3600000000 AS hour, kill_chain_id FROM tagged""")
+  SELECT id, {SPAN_SQL} AS hour, kill_chain_id FROM tagged""")
 def table_write_back(spark, d):
-    """A correlation cycle on the table by ingest hour: only the hours with new chain ids are rewritten."""
+    """A correlation cycle on the table by ingest time: only the folders with new chain ids are rewritten."""
     folder = _written(spark, d, "write_back")
-    alert_table.correlate_table(spark, folder, MOMENT, LOOKBACK)
+    alert_table.correlate_table(spark, folder, MOMENT, LOOKBACK, hours=SPAN)
     return alert_table.read_alerts(spark, folder).select("id", "hour", "kill_chain_id")
 
 
-@query("table_retention", f"""WITH {ALERTS_SQL} SELECT arrived // 3600000000 AS hour, count(*) AS n FROM alerts
-  WHERE arrived // 3600000000 >= ({NOW_SQL} - 5 * {DAY_SQL}) // 3600000000 GROUP BY 1""")
+@query("table_retention", f"""WITH {ALERTS_SQL} SELECT {SPAN_SQL} AS hour, count(*) AS n FROM alerts
+  WHERE arrived // 86400000000 >= ({NOW_SQL} - 5 * {DAY_SQL}) // 86400000000 GROUP BY 1""")
 def table_retention(spark, d):
-    """Hours left once all that ended five days before the moment are dropped."""
+    """Rows of the folders left once all that ended five days before the moment are dropped."""
     folder = _written(spark, d, "retention")
-    alert_table.retain(spark, folder, MOMENT - 5 * LOOKBACK)
+    alert_table.retain(spark, folder, MOMENT - 5 * LOOKBACK, hours=SPAN)
     return alert_table.read_alerts(spark, folder).groupBy("hour").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -341,7 +346,7 @@ def table_retention(spark, d):
 def feed_page(spark, d):
     """Page 25 of the feed, read from the parts that hold it."""
     folder = run_folder(spark, "feed")
-    alert_table.write_feed(alerts(spark, d), folder, 100)
+    alert_table.write_feed(alerts(spark, d), folder, 500)
     return alert_table.feed_page(spark, folder, 25, 25).select("id", _at("timestamp"), "severity")
 
 
@@ -350,8 +355,8 @@ def feed_page(spark, d):
 def indexed_evidence(spark, d):
     """Alerts of ten days whose evidence holds both words, by the word index."""
     folder = _written(spark, d, "evidence")
-    alert_table.index_evidence(alerts(spark, d), f"{folder}_words")
-    hits = alert_table.search(spark, folder, f"{folder}_words", "Error PACKET", "all", MOMENT - 10 * LOOKBACK)
+    alert_table.index_evidence(alerts(spark, d), f"{folder}_words", hours=SPAN)
+    hits = alert_table.search(spark, folder, f"{folder}_words", "Error PACKET", "all", MOMENT - 10 * LOOKBACK, SPAN)
     return hits.select("id", _at("timestamp"))
 
 

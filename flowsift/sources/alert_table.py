@@ -1,9 +1,10 @@
 """The alert table on disk: alerts by ingest hour, an index of evidence words, and a feed cut into pages.
 
-Alerts lie under hour=H/batch=N (hours since 1970, UTC), so a repeated batch leaves the same files, a look-back
+Alerts lie under hour=H/batch=N (hours since 1970, UTC; where alerts are few, a folder can span several hours and
+goes by its first: `hours`, the same for all who write and read a table), so a repeated batch leaves the same files, a look-back
 reads its hours only, write-back rewrites the hours whose alerts changed, and retention drops folders.
-Postings lie under bucket=B/hour=H/batch=N, sorted by word: a search reads the buckets of its words, and of
-these the row groups that may hold them. The feed is range partitioned in page order with the rows before each
+Postings (word, hour, id) lie under bucket=B/day=D/batch=N, sorted by word: a search reads the buckets of its words,
+and of these the row groups that may hold them; days keep the number of small files low. The feed is range partitioned in page order with the rows before each
 part, so any page is read from the parts it overlaps.
 
 Defined results: alerts without an ingest time lie under an hour of their own, which look-backs and
@@ -29,17 +30,18 @@ PART_ROWS = 100_000
 PLACES = [StructField("hour", LongType()), StructField("batch", LongType())]
 TABLE_SCHEMA = StructType([*ALERT_SCHEMA.fields, *PLACES])
 POSTING_SCHEMA = StructType([StructField("token", StringType()), StructField("id", StringType()),
-                             StructField("bucket", IntegerType()), *PLACES])
+                             StructField("hour", LongType()), StructField("bucket", IntegerType()),
+                             StructField("day", LongType()), StructField("batch", LongType())])
 INDEX_SCHEMA = "part int, before bigint, n bigint"
 
 
-def hour_of(time: str | Column) -> Column:
-    return F.floor(F.unix_seconds(time) / 3600).cast("bigint")
+def hour_of(time: str | Column, hours: int = 1) -> Column:
+    return (F.floor(F.unix_seconds(time) / (3600 * hours)) * hours).cast("bigint")
 
 
-def _hour(moment: datetime, spark: SparkSession) -> int:
+def _hour(moment: datetime, spark: SparkSession, hours: int) -> int:
     """The hour of a moment, read in the session's zone like every other literal."""
-    return spark.range(1).select(hour_of(F.lit(moment).cast("timestamp"))).first()[0]
+    return spark.range(1).select(hour_of(F.lit(moment).cast("timestamp"), hours)).first()[0]
 
 
 def _write(rows: DataFrame, folder: str, places: list[str], order: list[str]) -> None:
@@ -52,40 +54,44 @@ def _typed() -> list[Column]:
     return [F.col(f.name).cast(f.dataType).alias(f.name) for f in ALERT_SCHEMA.fields]
 
 
-def write_alerts(alerts: DataFrame, folder: str, batch: int = 0) -> None:
+def write_alerts(alerts: DataFrame, folder: str, batch: int = 0, hours: int = 1) -> None:
     """Adds the alerts of a batch, or puts them in place of what the same batch wrote to these hours before."""
-    placed = alerts.select(*_typed(), hour_of("ingested_at").alias("hour"), F.lit(batch).cast("bigint").alias("batch"))
+    placed = alerts.select(
+        *_typed(), hour_of("ingested_at", hours).alias("hour"), F.lit(batch).cast("bigint").alias("batch"))
     _write(placed, folder, ["hour", "batch"], ["id"])
 
 
-def read_alerts(spark: SparkSession, folder: str, since: datetime | None = None) -> DataFrame:
+def read_alerts(spark: SparkSession, folder: str, since: datetime | None = None, hours: int = 1) -> DataFrame:
     """Alerts with their hour and batch; since: those ingested from then on, from the hours that may hold them."""
     rows = spark.read.schema(TABLE_SCHEMA).parquet(folder)
     if since is None:
         return rows
-    return rows.filter((F.col("hour") >= _hour(since, spark)) & (F.col("ingested_at") >= F.lit(since)))
+    return rows.filter((F.col("hour") >= _hour(since, spark, hours)) & (F.col("ingested_at") >= F.lit(since)))
 
 
 def correlate_table(spark: SparkSession, folder: str, now: datetime, lookback: timedelta = LOOKBACK,
-                    min_classes: int = 2) -> list[int]:
+                    min_classes: int = 2, hours: int = 1) -> list[int]:
     """A correlation cycle on the table: rewrites the hours whose alerts got a chain id and returns them."""
-    recent = read_alerts(spark, folder, now - lookback)
+    recent = read_alerts(spark, folder, now - lookback, hours)
     assigned = stored(correlate(recent, now, lookback, min_classes), "assigned")
     # hours of a look-back, few by its length
-    hours = [r[0] for r in recent.join(assigned, "id", "left_semi").select("hour").distinct().collect()]
-    if hours:
-        touched = spark.read.schema(TABLE_SCHEMA).parquet(folder).filter(F.col("hour").isin(hours))
+    changed = [r[0] for r in recent.join(assigned, "id", "left_semi").select("hour").distinct().collect()]
+    if changed:
+        touched = spark.read.schema(TABLE_SCHEMA).parquet(folder).filter(F.col("hour").isin(changed))
         # kept elsewhere first: rows are never in the table's own files alone while those are replaced
         _write(stored(write_back(touched, assigned), "touched"), folder, ["hour", "batch"], ["id"])
-    return sorted(hours)
+    return sorted(changed)
 
 
-def retain(spark: SparkSession, folder: str, since: datetime, postings: str | None = None) -> int:
-    """Drops the hours that ended before `since`, of the postings too; returns the table's folders dropped."""
-    least = _hour(since, spark)
+def retain(spark: SparkSession, folder: str, since: datetime, postings: str | None = None, hours: int = 1) -> int:
+    """Drops the hours that ended before `since`, and the days of the postings that did; returns how many hours.
+
+    Postings of a day's dropped hours stay until the day is over; a search meets no alert for them.
+    """
+    least = _hour(since, spark, hours)
     if postings:
         for bucket in range(BUCKETS):
-            drop_numbers_below(spark, f"{postings}/bucket={bucket}", "hour", least)
+            drop_numbers_below(spark, f"{postings}/bucket={bucket}", "day", least // 24)
     return len(drop_numbers_below(spark, folder, "hour", least))
 
 
@@ -97,16 +103,17 @@ def write_postings(rows: DataFrame, folder: str, text: Column, batch: int = 0) -
     """One row per word and (id, hour) of rows; a batch written again replaces what it wrote before."""
     words = rows.select(F.explode(F.array_distinct(tokens(text))).alias("token"), F.col("id").cast("string").alias("id"),
                         "hour", F.lit(batch).cast("bigint").alias("batch"))
-    _write(words.withColumn("bucket", bucket_of("token")).select(*POSTING_SCHEMA.names), folder,
-           ["bucket", "hour", "batch"], ["token", "id"])
+    placed = words.withColumn("bucket", bucket_of("token")).withColumn("day", F.floor(F.col("hour") / 24).cast("bigint"))
+    _write(placed.select(*POSTING_SCHEMA.names), folder, ["bucket", "day", "batch"], ["token", "id"])
 
 
-def index_evidence(alerts: DataFrame, folder: str, batch: int = 0) -> None:
-    placed = alerts.withColumn("hour", hour_of("ingested_at"))
+def index_evidence(alerts: DataFrame, folder: str, batch: int = 0, hours: int = 1) -> None:
+    placed = alerts.withColumn("hour", hour_of("ingested_at", hours))
     write_postings(placed, folder, F.concat_ws(" ", "evidence"), batch)
 
 
-def find(spark: SparkSession, postings: str, query: str, match: str = "any", since: datetime | None = None) -> DataFrame:
+def find(spark: SparkSession, postings: str, query: str, match: str = "any", since: datetime | None = None,
+         hours: int = 1) -> DataFrame:
     """(hour, id) of the rows that hold any word of the query, or all of them; a query without words finds none.
 
     For all words, the rarest one's rows are narrowed by the next rare one's.
@@ -118,7 +125,8 @@ def find(spark: SparkSession, postings: str, query: str, match: str = "any", sin
         "token", bucket_of("token").alias("bucket")).collect()
     held = spark.read.schema(POSTING_SCHEMA).parquet(postings)
     if since is not None:
-        held = held.filter(F.col("hour") >= _hour(since, spark))
+        least = _hour(since, spark, hours)
+        held = held.filter((F.col("day") >= least // 24) & (F.col("hour") >= least))
     if not asked:
         return held.filter("false").select("hour", "id")
 
@@ -137,11 +145,11 @@ def find(spark: SparkSession, postings: str, query: str, match: str = "any", sin
 
 
 def search(spark: SparkSession, folder: str, postings: str, query: str, match: str = "any",
-           since: datetime | None = None) -> DataFrame:
+           since: datetime | None = None, hours: int = 1) -> DataFrame:
     """The alerts whose evidence holds the words; hours without a hit are not read where the hits are few."""
-    hits = find(spark, postings, query, match, since).select(F.col("hour").alias("_hour"), F.col("id").alias("_id"))
+    hits = find(spark, postings, query, match, since, hours).select(F.col("hour").alias("_hour"), F.col("id").alias("_id"))
     # null hours meet too; the plain comparison of the hours is what prunes them
-    rows = read_alerts(spark, folder, since)
+    rows = read_alerts(spark, folder, since, hours)
     timed = rows.join(hits, (F.col("hour") == F.col("_hour")) & (F.col("id") == F.col("_id")), "left_semi")
     if since is not None:
         return timed

@@ -62,7 +62,9 @@ def test_retention(spark, tmp_path):
     assert T.retain(spark, folder, NOW - timedelta(minutes=130), words) == 2
     kept = {f"a{i}" for i, m in enumerate(MINUTES) if m <= 130} | {"null"}
     assert {r.id for r in T.read_alerts(spark, folder).collect()} == kept
-    assert {r.id for r in T.find(spark, words, "high odd").collect()} == kept
+    assert {r.id for r in T.search(spark, folder, words, "high odd").collect()} == kept
+    # a day of the postings is dropped as a whole
+    assert "a9" not in {r.id for r in T.find(spark, words, "high odd").collect()}
     assert [r.id for r in T.search(spark, folder, words, "odd").collect()] == ["null"]
 
 
