@@ -115,6 +115,8 @@ def packed(docs: DataFrame, path: str, size: int = 2048, end_id: int = 0, block:
     """Every piece with its sequence_id and offset."""
     cut = stored(pieces(docs, path, size, end_id))
     blocks = max(1, round(cut.count() / block))
+    # stored pieces are numbered by file and place, so rows equal in all columns go to different blocks too
+    dealt = cut.withColumn("block", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(blocks)))
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def pack(table: pa.Table) -> pa.Table:
@@ -127,8 +129,7 @@ def packed(docs: DataFrame, path: str, size: int = 2048, end_id: int = 0, block:
         return table.append_column("offset", pa.array(place, pa.int64()))
 
     return (
-        cut.withColumn("block", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(blocks)))
-        .groupBy("block")
+        dealt.groupBy("block")
         .applyInArrow(pack, f"doc_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint, "
                             "sequence_id bigint, offset bigint")
     )

@@ -65,6 +65,14 @@ def test_packing(corpus, library):
     assert len(sequences) <= total / 64 * 1.05 + 3
 
 
+def test_packing_deals_equal_rows_to_all_blocks(spark):
+    docs = spark.createDataFrame([(None, "the same words")] * 6_000, "doc_id long, text string").repartition(6)
+    got = packing.packed(docs, WORD_BPE, size=64, block=500).collect()
+    assert len(got) == 6_000 and len({(r.sequence_id, r.offset) for r in got}) == 6_000
+    blocks = Counter(r.sequence_id % 12 for r in got)
+    assert len(blocks) == 12 and max(blocks.values()) < 700
+
+
 def test_two_fit_beats_greedy():
     # greedy takes 6 + 3; 4 + 3 + ... : 6 alone leaves 4, filled by 3; two of 2 fill it wholly
     sequence, _ = packing.best_two_fit(np.array([6, 3, 2, 2, 7]), 10)
