@@ -4,8 +4,8 @@ Documents with equal texts are linked through a hub per text. A linked document
 for its row. In each round a hub counts its documents per shard and names the one most of them are in, in
 every second round among the shards with room only; documents in shards that hold fewer want to move there.
 A wish is granted as far as it is matched by the opposite wish or finds room below the target's quota,
-shared out among all that want to go there. Rounds go on until nothing moves. Which documents move is
-decided by a hash of the row, so no list of wishes is ever sorted or held. The quota lies below an even
+shared out among all that want to go there. Rounds go on until four in a row lessen the cut by less than
+`GAIN` of it; texts whose rows have come together are carried no further. Which documents move is decided by a hash of the row, so no list of wishes is ever sorted or held. The quota lies below an even
 share, or a little above an even share of the linked rows where these are nearly all: the cuts even out the
 rest. Documents without links then fill each shard up. At the end all rows are laid out by
 shard, linked ones in the middle of each shard's run, and the layout is cut into runs whose sizes differ
@@ -27,13 +27,16 @@ from pyspark.sql import functions as F
 
 from flowsift.llm.common import stored
 
-# salts of a hub's grants, and the part of an even share that linked rows may take
-SALTS = 8
+# the part of an even share that linked rows may take
 QUOTA = 0.97
 # where linked rows need more: what a shard may hold above an even share of them
 SLACK = 1.05
+# rounds go on while four of them take away at least this part of the cut
+GAIN = 0.05
 # documents of one cell of the layout, about
 CELL = 20_000
+# a text that makes up more than one part in so many is joined by broadcast: at most as many texts
+HEAVY = 1_000
 
 
 def _drawn(*parts) -> Column:
@@ -41,58 +44,82 @@ def _drawn(*parts) -> Column:
     return F.pmod(F.xxhash64(*parts), F.lit(1_000_003)) / F.lit(1_000_003.0)
 
 
-def propagate(nodes: DataFrame, shards: int, quota: float, rounds: int | None = None, salts: int = SALTS) -> DataFrame:
-    """row, hub, shard of linked rows after moves between shards of at most `quota` rows.
+def propagate(nodes: DataFrame, shards: int, quota: float, gain: float = GAIN, cell: int = CELL) -> DataFrame:
+    """row, shard of linked rows (row, hub, linked: rows of the hub) after moves between shards of at most
+    `quota` rows.
 
-    Rounds of the two kinds take turns until one of each moves nothing, or `rounds` are over. Every move takes
-    a row to a shard that holds at least as many rows of its hub, so the hubs' sums of squared counts only
-    grow and the rounds come to an end.
+    The cut is the sum over rows of the part of their hub's rows that lie in other shards. Every move takes a
+    row to a shard that holds at least as many rows of its hub, so the cut falls. Rounds of the two kinds take turns until four in a row
+    take less than `gain` of the cut away, which bounds their number by the logarithm of the rows. Hubs that
+    have come together in one shard are set aside and carried no further.
     """
-    state = nodes.select("row", "hub", F.pmod(F.xxhash64("row", F.lit(17)), F.lit(shards)).cast("int").alias("shard"))
-    numbers = F.array(*map(F.lit, range(salts)))
-    every = nodes.sparkSession.range(shards).select(F.col("id").cast("int").alias("shard"))
-    turn = idle = 0
-    while idle < 2 and (rounds is None or turn < rounds):
-        counts = state.groupBy("hub", "shard").agg(F.count("*").alias("n"))
-        # tables of at most one row per shard, or per pair of shards
-        sizes = every.join(counts.groupBy("shard").agg(F.sum("n").alias("held")), "shard", "left").select(
-            "shard", F.coalesce("held", F.lit(0)).alias("size"))
-        room = F.greatest(F.lit(0.0), F.floor(F.lit(quota) - F.col("size")).cast("double"))
-        ranked = counts.join(F.broadcast(sizes.select("shard", room.alias("room"))), "shard").withColumn(
-            "own", F.struct("n", F.xxhash64("hub", "shard").alias("draw"), "shard"))
+    spark = nodes.sparkSession
+    active = nodes.select(
+        "row", "hub", "linked", F.pmod(F.xxhash64("row", F.lit(17)), F.lit(shards)).cast("int").alias("shard"))
+    together, placed, cuts = [], [0] * shards, []
+    while True:
+        counts = stored(active.groupBy("hub", "shard").agg(F.count("*").alias("n"), F.first("linked").alias("linked")))
+        # one row per shard at most
+        held = {r["shard"]: r["n"] for r in counts.groupBy("shard").agg(F.sum("n").alias("n")).collect()}
+        cuts.append(counts.agg(F.sum(_apart())).first()[0] or 0.0)
+        if not cuts[-1] or (len(cuts) > 4 and cuts[-5] - cuts[-1] < gain * cuts[-5]):
+            break
+        size = [placed[k] + held.get(k, 0) for k in range(shards)]
+        room = F.element_at(F.array(*(F.lit(float(max(0, int(quota) - n))) for n in size)), F.col("shard") + 1)
+        ranked = counts.withColumn("own", F.struct("n", F.xxhash64("hub", "shard").alias("draw"), "shard"))
         # all shards, then those with room only: what can't get into a full shard gathers elsewhere
-        open_ = F.lit(True) if turn % 2 == 0 else F.col("room") > 0
-        best = ranked.groupBy("hub").agg(F.max(F.when(open_, F.col("own"))).alias("best"))
-        wish = ranked.join(best, "hub").where("own < best").select(
-            "hub", "shard", "n", F.col("best.shard").alias("target"))
-        pairs = stored(wish.groupBy("shard", "target").agg(F.sum("n").alias("wanted")))
-        back = pairs.select(F.col("shard").alias("target"), F.col("target").alias("shard"),
-                            F.col("wanted").alias("returned"))
-        pairs = pairs.join(F.broadcast(back), ["shard", "target"], "left").withColumn(
-            "matched", F.least("wanted", F.coalesce("returned", F.lit(0))))
-        into = pairs.groupBy("target").agg(F.sum(F.col("wanted") - F.col("matched")).alias("into"))
-        unmatched = F.col("wanted") - F.col("matched")
-        shares = (
-            pairs.join(F.broadcast(sizes.select(F.col("shard").alias("target"), room.alias("room"))), "target")
-            .join(F.broadcast(into), "target")
-            .select("shard", "target", ((F.col("matched") + unmatched * F.least(
-                F.lit(1.0), F.col("room") / F.greatest(F.lit(1), F.col("into")))) / F.col("wanted")).alias("share"))
-            .where("share > 0"))
-        grants = wish.join(F.broadcast(shares), ["shard", "target"]).select(
-            "hub", "shard", "target", "share", F.explode(numbers).alias("salt"))
-        moved = F.col("share").isNotNull() & (_drawn("row", F.lit(turn)) < F.col("share"))
+        open_ = F.lit(True) if len(cuts) % 2 else room > 0
+        best = ranked.groupBy("hub").agg(F.max(F.when(open_, F.col("own"))).alias("best"), F.count("*").alias("in"))
+        wish = stored(ranked.join(best, "hub").where("in = 1 or own < best").select(
+            "hub", "shard", "n", "linked", F.when(F.col("in") > 1, F.col("best.shard")).alias("target")))
+        # a row per pair of shards at most
+        wanted = {(r["shard"], r["target"]): r["n"] for r in wish.where("target is not null").groupBy(
+            "shard", "target").agg(F.sum("n").alias("n")).collect()}
+        shares = spark.createDataFrame(_shares(wanted, size, quota), "shard int, target int, share double")
+        # rows of one hub and shard meet their grant in as many parts as they fill cells
+        parts = F.ceil(F.col("linked") / cell).cast("int")
+        grants = wish.join(F.broadcast(shares), ["shard", "target"], "left").where(
+            "target is null or share > 0").select(
+            "hub", "shard", "target", "share", F.col("target").isNull().alias("whole"),
+            F.explode(F.sequence(F.lit(0), parts - 1)).alias("salt"))
+        moved = F.col("share").isNotNull() & (_drawn("row", F.lit(len(cuts))) < F.col("share"))
         after = stored(
-            state.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(salts)).cast("int"))
+            active.withColumn("salt", F.pmod(F.xxhash64("row"), parts).cast("int"))
             .join(grants, ["hub", "shard", "salt"], "left")
-            .select("row", "hub", F.when(moved, F.col("target")).otherwise(F.col("shard")).alias("shard"),
-                    moved.alias("moved")))
-        idle = idle + 1 if after.where("moved").isEmpty() else 0
-        state = after.drop("moved")
-        turn += 1
-    return state
+            .select("row", "hub", "linked", F.when(moved, F.col("target")).otherwise(F.col("shard")).alias("shard"),
+                    F.coalesce("whole", F.lit(False)).alias("whole")))
+        together.append(after.where("whole").select("row", "shard"))
+        for r in wish.where("target is null").groupBy("shard").agg(F.sum("n").alias("n")).collect():
+            placed[r["shard"]] += r["n"]
+        active = after.where("not whole").drop("whole")
+    every = active.select("row", "shard")
+    for part in together:
+        every = every.union(part)
+    return every
 
 
-def balanced_shards(docs: DataFrame, shards: int = 16, rounds: int | None = None, cell: int = CELL) -> DataFrame:
+def _shares(wanted: dict[tuple[int, int], int], size: list[int], quota: float) -> list[tuple[int, int, float]]:
+    """The part of each wish (shard, target) that is granted: matched by the opposite one, or into free room."""
+    matched = {(a, b): min(n, wanted.get((b, a), 0)) for (a, b), n in wanted.items()}
+    into = [sum(n - matched[p] for p, n in wanted.items() if p[1] == k) for k in range(len(size))]
+    free = [min(1.0, max(0, int(quota) - n) / max(1, m)) for n, m in zip(size, into)]
+    return [(a, b, (matched[a, b] + (n - matched[a, b]) * free[b]) / n) for (a, b), n in wanted.items()]
+
+
+def _apart() -> Column:
+    """Of `n` rows of a hub in one shard, the cut: each has the part of its hub's rows that lie elsewhere."""
+    return F.col("n") * (F.col("linked") - F.col("n")) / F.col("linked")
+
+
+def cut_links(placed: DataFrame) -> DataFrame:
+    """linked, cut: how many rows (hub, shard) share their hub with others, and the cut, 0 to linked."""
+    counts = placed.groupBy("hub", "shard").agg(F.count("*").alias("n"))
+    hubs = counts.groupBy("hub").agg(F.sum("n").alias("linked")).where("linked > 1")
+    return counts.join(hubs, "hub").agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("linked"), F.coalesce(F.sum(_apart()), F.lit(0.0)).alias("cut"))
+
+
+def balanced_shards(docs: DataFrame, shards: int = 16, gain: float = GAIN, cell: int = CELL) -> DataFrame:
     """doc_id, size, text_crc32, shard, slot of every row; shard sizes differ by one row at most."""
     text = F.coalesce("text", F.lit(""))
     nodes = stored(docs.select(
@@ -102,10 +129,12 @@ def balanced_shards(docs: DataFrame, shards: int = 16, rounds: int | None = None
     total = nodes.count()
     # a hub goes by its least row here
     sizes = nodes.groupBy("hub").agg(F.count("*").alias("linked"), F.min("row").alias("least")).where("linked > 1")
-    linked = stored(nodes.select("row", "hub").join(sizes, "hub").select("row", "linked", F.col("least").alias("hub")))
+    own, heavy = nodes.select("row", "hub"), sizes.where(F.col("linked") * HEAVY > total)
+    light = own.join(F.broadcast(heavy.select("hub")), "hub", "left_anti").join(sizes, "hub")
+    linked = stored(own.join(F.broadcast(heavy), "hub").union(light).select(
+        "row", "linked", F.col("least").alias("hub")))
     quota = max(QUOTA * total, SLACK * linked.count()) / shards
-    placed = stored(linked.select("row", "linked").join(
-        propagate(linked.select("row", "hub"), shards, quota, rounds), "row"))
+    placed = stored(linked.select("row", "linked").join(propagate(linked, shards, quota, gain, cell), "row"))
     # rows without links go where shards have room: a drawn number falls into the part of one shard
     held = {r["shard"]: r["n"] for r in placed.groupBy("shard").agg(F.count("*").alias("n")).collect()}
     rooms = [max(0.0, total / shards - held.get(k, 0)) for k in range(shards)]

@@ -1,3 +1,4 @@
+import random
 import zlib
 from collections import Counter, defaultdict
 
@@ -111,3 +112,27 @@ def test_shards_of_large_groups_only(spark):
     of = shards_of(spark, [(k, f"text {k % 4}") for k in range(1_600)], 8)
     # 400 rows of a group fill two shards of 200; spread over all shards they are in 32 parts
     assert sum(map(len, of.values())) <= 20
+
+
+def test_shards_of_skewed_groups_in_few_rounds(spark, monkeypatch):
+    draw = random.Random(5)
+    sizes, data = [], []
+    while len(data) < 4_000:
+        sizes.append(min(900, int(2 * draw.paretovariate(0.9))))
+        data += [(len(data) + k, f"text {len(sizes)}") for k in range(sizes[-1])]
+    shards, rounds = 8, []
+    monkeypatch.setattr(sharding, "_shares", lambda *x, own=sharding._shares: rounds.append(1) or own(*x))
+    docs = spark.createDataFrame(data, "doc_id long, text string").repartition(4)
+    got = sharding.balanced_shards(docs, shards=shards).join(docs, "doc_id").withColumnRenamed("text", "hub")
+    measured = sharding.cut_links(got).first()
+    # a greedy plan: the largest groups first, each into the emptiest shards
+    free, cut = [len(data) / shards] * shards, 0
+    for size in sorted((s for s in sizes if s > 1), reverse=True):
+        parts = []
+        while size > 0.5:
+            k = max(range(shards), key=free.__getitem__)
+            parts.append(min(size, free[k]))
+            free[k] -= parts[-1]
+            size -= parts[-1]
+        cut += sum(n * (sum(parts) - n) / sum(parts) for n in parts)
+    assert len(rounds) <= 20 and measured.cut <= 2 * cut
