@@ -1,8 +1,8 @@
 """Balanced label propagation: linked documents move into the same shard while shards stay even.
 
 Documents with equal texts are linked through a hub per text. A linked document starts in a shard drawn
-for its row. In each round a hub counts its documents per shard and names the one most of them are in, in
-every second round among the shards with room only; documents in shards that hold fewer want to move there.
+for its row. In each round a hub counts its documents per shard and names the one most of them are in, save
+shards it fills by itself, in every second round among the shards with room only; documents in shards that hold fewer want to move there.
 A wish is granted as far as it is matched by the opposite wish or finds room below the target's quota,
 shared out among all that want to go there. Rounds go on until four in a row lessen the cut by less than
 `GAIN` of it; texts whose rows have come together are carried no further. Which documents move is decided by a hash of the row, so no list of wishes is ever sorted or held. The quota lies below an even
@@ -31,6 +31,8 @@ from flowsift.llm.common import stored
 QUOTA = 0.97
 # where linked rows need more: what a shard may hold above an even share of them
 SLACK = 1.05
+# a text that holds this part of a shard's quota gathers its other rows elsewhere
+FILLED = 0.9
 # rounds go on while four of them take away at least this part of the cut
 GAIN = 0.05
 # documents of one cell of the layout, about
@@ -49,9 +51,9 @@ def propagate(nodes: DataFrame, shards: int, quota: float, gain: float = GAIN, c
     `quota` rows.
 
     The cut is the sum over rows of the part of their hub's rows that lie in other shards. Every move takes a
-    row to a shard that holds at least as many rows of its hub, so the cut falls. Rounds of the two kinds take turns until four in a row
-    take less than `gain` of the cut away, which bounds their number by the logarithm of the rows. Hubs that
-    have come together in one shard are set aside and carried no further.
+    row to a shard that holds at least as many rows of its hub, so the cut falls. Rounds of the two kinds take
+    turns until four in a row take less than `gain` of the cut away, which bounds their number by the logarithm
+    of the rows. Hubs that have come together in one shard are set aside and carried no further.
     """
     spark = nodes.sparkSession
     active = nodes.select(
@@ -67,8 +69,9 @@ def propagate(nodes: DataFrame, shards: int, quota: float, gain: float = GAIN, c
         size = [placed[k] + held.get(k, 0) for k in range(shards)]
         room = F.element_at(F.array(*(F.lit(float(max(0, int(quota) - n))) for n in size)), F.col("shard") + 1)
         ranked = counts.withColumn("own", F.struct("n", F.xxhash64("hub", "shard").alias("draw"), "shard"))
-        # all shards, then those with room only: what can't get into a full shard gathers elsewhere
-        open_ = F.lit(True) if len(cuts) % 2 else room > 0
+        # all shards that the hub doesn't fill by itself, then those with room only: what can't get into a full
+        # shard gathers elsewhere
+        open_ = F.col("n") < F.lit(FILLED * quota) if len(cuts) % 2 else room > 0
         best = ranked.groupBy("hub").agg(F.max(F.when(open_, F.col("own"))).alias("best"), F.count("*").alias("in"))
         wish = stored(ranked.join(best, "hub").where("in = 1 or own < best").select(
             "hub", "shard", "n", "linked", F.when(F.col("in") > 1, F.col("best.shard")).alias("target")))
