@@ -4,8 +4,11 @@ The index is cut by documents: every stored row is the index of one block of doc
 term hashes of the block, the number of postings per term, and all postings as word numbers in the block.
 A query term's list is found by bisection, lists are intersected from the rarest term of a phrase on,
 each shifted by its offset, and a block answers for its own documents alone. Nothing of the index is
-shuffled. The queries (benchmark windows) go to the blocks in groups of bounded size; however large the
-benchmark is, each group is held against all blocks and the answers are merged per document.
+shuffled. The queries (benchmark items) are hashed in tasks into a stored table of pieces, each with a bounded
+number of words. The pieces go to the blocks in groups of bounded size: the driver fetches the hashes of one
+group, holds it against all blocks and writes the answers before it fetches the next, so neither the driver
+nor a task holds more than one group however large the benchmark is; each group reads the index once. The
+answers are merged per document.
 
 Defined results: null texts and texts without words have no words and no hits; items without words
 match nothing; null or repeated ids stay separate rows; an empty benchmark leaves all documents clean.
@@ -22,11 +25,12 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowsift.llm.common import batches, hashes, stored, utf8, whole, word_hashes, words
+from flowsift.llm.common import batches, hashes, shared_folder, stored, utf8, whole, word_hashes, words
 
 WINDOW = 13
-# words of one group of items; the driver holds one group at a time
+# words of one group of items, and window starts of one piece; the driver holds one group at a time
 GROUP_WORDS = 500_000
+PIECE = 20_000
 # documents and bytes of text of one block of the index
 BLOCK_ROWS, BLOCK_BYTES = 2_000, 8_000_000
 SEGMENT = 4_000_000
@@ -150,14 +154,13 @@ def build_index(docs: DataFrame) -> DataFrame:
 class Phrases:
     """Distinct windows of some items, ready to be held against blocks."""
 
-    def __init__(self, items: list[tuple[object, str]], window: int):
-        memo, of = word_hashes(), defaultdict(set)
-        for number, (_, text) in enumerate(items):
-            own = text_hashes((text or "").encode(), memo)
+    def __init__(self, items: list[tuple[str, np.ndarray]], window: int):
+        of = defaultdict(set)
+        for number, (_, own) in enumerate(items):
             width = min(window, len(own))
             for start in range(len(own) - width + 1 if width else 0):
                 of[own[start : start + width].tobytes()].add(number)
-        self.names = ["" if name is None else str(name) for name, _ in items]
+        self.names = [name for name, _ in items]
         self.items = [sorted(x) for x in of.values()]
         self.windows = [np.frombuffer(x, np.uint64) for x in of]
         self.terms, place = np.unique(np.concatenate([*self.windows, np.empty(0, np.uint64)]), return_inverse=True)
@@ -178,18 +181,46 @@ class Phrases:
                 yield window, places
 
 
-def item_groups(items: DataFrame, group_words: int) -> list[list[tuple[object, str]]]:
-    """Items in groups of bounded size, each fetched on its own."""
-    sized = items.select("item_id", F.coalesce("text", F.lit("")).alias("text"))
-    total = sized.agg(F.sum(F.length("text") / 2 + 1)).first()[0] or 0
-    groups = max(1, int(total // group_words) + 1)
-    for group in range(groups):
-        part = sized.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(groups)) == group)
-        yield sorted(((r[0], r[1]) for r in part.collect()), key=lambda r: (str(r[0]), r[1]))
+def item_pieces(items: DataFrame, window: int, piece: int = PIECE) -> DataFrame:
+    """name, words, hashes: distinct pieces of the items, which overlap so that each window lies in one."""
 
-
-def search(index: DataFrame, phrases: Phrases) -> DataFrame:
-    """block, place, doc_id, n_words, spans and items of every document, for one group of phrases."""
+    def cut(records):
+        memo = word_hashes()
+        for batch in batches(records, 100):
+            names, sizes, values = [], [], []
+            for name, text in zip(batch.column(0).to_pylist(), utf8(batch.column(1))):
+                own = text_hashes(text, memo)
+                last = max(1, len(own) - window + 1) if len(own) else 0
+                for start in range(0, last, piece):
+                    part = own[start : start + piece + window - 1]
+                    names.append(name)
+                    sizes.append(len(part))
+                    values.append(part.astype("<u8").tobytes())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(names, pa.string()), pa.array(sizes, pa.int64()), pa.array(values, pa.binary())],
+                ["name", "words", "hashes"])
+
+    named = items.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("name"),
+                         F.coalesce("text", F.lit("")).alias("text"))
+    return named.mapInArrow(cut, "name string, words bigint, hashes binary").distinct()
+
+
+def item_groups(pieces: DataFrame, group_words: int) -> list[DataFrame]:
+    """The pieces in groups of about so many words."""
+    total = pieces.agg(F.sum("words")).first()[0] or 0
+    groups = int(total // group_words) + 1
+    dealt = F.pmod(F.xxhash64("name", "hashes"), F.lit(groups))
+    return [pieces.where(dealt == group) for group in range(groups)]
+
+
+def fetched(group: DataFrame, window: int) -> Phrases:
+    """One group's windows, on the driver."""
+    rows = group.select("name", "hashes").collect()
+    return Phrases(sorted(((r[0], np.frombuffer(r[1], "<u8")) for r in rows), key=lambda r: (r[0], r[1].tobytes())), window)
+
+
+def search(index: DataFrame, phrases: Phrases, every: bool = True) -> DataFrame:
+    """block, place, doc_id, n_words, spans and items of every document, or those hit, for one group of phrases."""
     kind = index.schema["doc_ids"].dataType.elementType.simpleString()
 
     def ask(records):
@@ -206,15 +237,16 @@ def search(index: DataFrame, phrases: Phrases) -> DataFrame:
             hit = np.cumsum(edge[:-1]) > 0
             for begin, end in _runs(hit, block.starts):
                 starts[block.document(np.array([begin]))[0]].append((begin, end))
-            n = len(row["doc_ids"])
+            own = range(len(row["doc_ids"])) if every else sorted(starts)
+            sizes = np.diff(block.starts)
             yield pa.RecordBatch.from_arrays([
-                pa.array([row["block"]] * n, pa.int64()), pa.array(range(n), pa.int64()),
-                pa.array(row["doc_ids"], batch.schema.field("doc_ids").type.value_type),
-                pa.array(np.diff(block.starts), pa.int64()),
+                pa.array([row["block"]] * len(own), pa.int64()), pa.array(own, pa.int64()),
+                pa.array([row["doc_ids"][k] for k in own], batch.schema.field("doc_ids").type.value_type),
+                pa.array([int(sizes[k]) for k in own], pa.int64()),
                 pa.array([[{"start": int(a - block.starts[k]), "stop": int(b - block.starts[k])}
-                           for a, b in starts[k]] for k in range(n)],
+                           for a, b in starts[k]] for k in own],
                          pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))),
-                pa.array([sorted({phrases.names[i] for i in lengths[k]}) for k in range(n)], pa.list_(pa.string())),
+                pa.array([sorted({phrases.names[i] for i in lengths[k]}) for k in own], pa.list_(pa.string())),
             ], ["block", "place", "doc_id", "n_words", "spans", "items"])
 
     return index.mapInArrow(
@@ -237,16 +269,17 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW,
                   group_words: int = GROUP_WORDS) -> DataFrame:
     """doc_id, n_words, spans of hit words, n_hit and items of every document."""
     index = stored(build_index(docs))
-    answers = [search(index, Phrases(group, window)) for group in item_groups(items, group_words)]
-    if len(answers) == 1:
-        merged = answers[0]
+    groups = item_groups(stored(item_pieces(items, window)), group_words)
+    if len(groups) == 1:
+        merged = search(index, fetched(groups[0], window))
     else:
-        every = answers[0]
-        for answer in answers[1:]:
-            every = every.union(answer)
-        kind = answers[0].schema["doc_id"].dataType.simpleString()
-        merged = every.groupBy("block", "place").agg(
-            F.first("doc_id").cast(kind).alias("doc_id"), F.first("n_words").alias("n_words"),
+        folder = shared_folder(docs.sparkSession)
+        for number, group in enumerate(groups):
+            # the first group's answers have all documents
+            answer = search(index, fetched(group, window), number == 0)
+            answer.write.mode("append").parquet(folder)
+        merged = docs.sparkSession.read.schema(answer.schema).parquet(folder).groupBy("block", "place").agg(
+            F.max("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"),
             F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"),
             F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
     # spans in order; each adds what lies beyond the words already counted

@@ -32,6 +32,24 @@ def test_contamination(spark, corpus, group_words):
     assert Counter((r.doc_id, r.n_words, r.n_hit, tuple(r["items"])) for r in got) == want
 
 
+def test_item_pieces_hold_every_window_once_and_the_driver_one_group(spark, corpus, monkeypatch):
+    long = " ".join(f"w{k * k % 997} the {k % 89}" for k in range(300))
+    items = spark.createDataFrame([(1, long)] * 30 + [(2, "a b c")] * 30, "item_id long, text string")
+    # 900 words: windows start at the first 888, a hundred starts to a piece; equal items are one
+    pieces = positional_index.item_pieces(items, 13, piece=100).collect()
+    assert sorted(p.words for p in pieces) == [3, 100, *[112] * 8]
+    monkeypatch.setattr(positional_index.item_pieces, "__defaults__", (100,))
+    fetched = []
+    monkeypatch.setattr(positional_index, "fetched",
+                        lambda *x, own=positional_index.fetched: fetched.append(own(*x)) or fetched[-1])
+    many = positional_index.contamination(corpus, items, group_words=150)
+    assert len(fetched) > 3 and max(len(p.flat) for p in fetched) < 900 * 13
+    one = positional_index.contamination(corpus, items)
+    columns = ["doc_id", "n_words", "n_hit", "items"]
+    assert sorted(map(str, many.select(columns).collect())) == sorted(map(str, one.select(columns).collect()))
+    assert one.where("n_hit > 0").count() >= 4
+
+
 def test_no_items_and_no_documents(spark, corpus):
     items = spark.createDataFrame([], "item_id long, text string")
     assert positional_index.contamination(corpus, items).where("n_hit > 0").count() == 0
