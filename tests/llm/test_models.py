@@ -113,6 +113,11 @@ def test_network_learns_from_all_training_texts(spark, vocabulary, tmp_path, mon
     net = language_model.fit(docs, vocabulary, counts)
     before, after = (n.log_probabilities(inputs, targets, n.tables()).ravel()[places].mean() for n in (fresh, net))
     assert after > before + 0.5
+    # the sum in two levels is the sum in one
+    monkeypatch.setattr(language_model, "ADDED", 2)
+    levels = language_model.fit(docs, vocabulary, counts)
+    assert np.allclose(levels.embed, net.embed, atol=1e-4)
+    assert all(np.allclose(levels.p[name], net.p[name], atol=1e-4) for name in net.p)
 
 
 def test_lm_query_scores_every_document(spark, sf):
