@@ -15,6 +15,7 @@ from flowsift.operators.enrich import (
 )
 from flowsift.operators.ordering import histogram, score_summary
 from flowsift.operators.rolling import flow_windows
+from flowsift.operators.steps import stored
 from flowsift.plans.score import Models, score
 from flowsift.schema import CLASSES, FEATURE_COLUMNS, WINDOW_SECONDS
 from flowsift.sources import tables, zeek
@@ -31,9 +32,13 @@ def feature_rows(conn_log: DataFrame, dns_log: DataFrame | None = None, tls_log:
                  window_seconds: float = WINDOW_SECONDS, target_rows: int | None = None) -> DataFrame:
     """Log tables to contract rows. In quarantine mode rejected rows keep `violations`; rows of the
     connection log that can't become features at all are given by rejected_flows."""
-    flows = normalise_conn(conn_log, mode)
     if mode == "quarantine":
-        flows = mark_duplicates(flows).filter(F.size("violations") == 0).drop("violations")
+        return _rows_of(accepted(marked_flows(conn_log)), dns_log, tls_log, quic_log, mode, dns_mode, window_seconds, target_rows)
+    return _rows_of(normalise_conn(conn_log, mode), dns_log, tls_log, quic_log, mode, dns_mode, window_seconds, target_rows)
+
+
+def _rows_of(flows: DataFrame, dns_log, tls_log, quic_log, mode: str, dns_mode: str, window_seconds: float = WINDOW_SECONDS,
+             target_rows: int | None = None) -> DataFrame:
     if mode == "strict":
         assert_unique(flows, "uid", "flows")  # on the narrow flows, not on the finished features
     features = conn_features(flows, window_seconds, target_rows)
@@ -45,9 +50,19 @@ def feature_rows(conn_log: DataFrame, dns_log: DataFrame | None = None, tls_log:
     return to_contract(enrich(features, dns, tls, quic, validate=False), mode)
 
 
+def marked_flows(conn_log: DataFrame) -> DataFrame:
+    """Typed flows with their `violations`. Both steps are written: a filter on violations would else take the
+    parsing of every cell along, to each reader of the flows."""
+    return stored(mark_duplicates(stored(normalise_conn(conn_log, "quarantine"), "typed")), "flows")
+
+
+def accepted(marked: DataFrame) -> DataFrame:
+    return marked.filter(F.size("violations") == 0).drop("violations")
+
+
 def rejected_flows(conn_log: DataFrame) -> DataFrame:
     """Rows of the connection log with their `violations`: torn lines, bad values, repeated uids."""
-    return mark_duplicates(normalise_conn(conn_log, "quarantine")).filter(F.size("violations") > 0)
+    return marked_flows(conn_log).filter(F.size("violations") > 0)
 
 
 def feature_job(spark: SparkSession, log_dir: str, scenario: str, output_dir: str, mode: str = "strict",
@@ -55,13 +70,15 @@ def feature_job(spark: SparkSession, log_dir: str, scenario: str, output_dir: st
     """conn.log is required; dns, ssl and quic logs are used when present."""
     conn = zeek.read_conn_log(spark, f"{log_dir}/conn.log", mode)
     others = {name: _if_present(spark, f"{log_dir}/{name}.log", mode) for name in ("dns", "ssl", "quic")}
-    rows = feature_rows(conn, others["dns"], others["ssl"], others["quic"], mode, dns_mode)
     if mode == "quarantine":
-        good = rows.filter(F.size("violations") == 0).drop("violations")
-        rejected = rows.filter(F.size("violations") > 0).unionByName(
-            rejected_flows(conn).withColumnRenamed("uid", "flow_id"), allowMissingColumns=True)
+        marked = marked_flows(conn)
+        checked = stored(_rows_of(accepted(marked), others["dns"], others["ssl"], others["quic"], mode, dns_mode), "checked")
+        rejected = checked.filter(F.size("violations") > 0).unionByName(
+            marked.filter(F.size("violations") > 0).withColumnRenamed("uid", "flow_id"), allowMissingColumns=True)
         rejected.write.mode("overwrite").parquet(f"{output_dir}_rejected/scenario={scenario}")
-        rows = good
+        rows = accepted(checked)
+    else:
+        rows = feature_rows(conn, others["dns"], others["ssl"], others["quic"], mode, dns_mode)
     tables.write_features(rows, scenario, output_dir)
 
 
