@@ -1,7 +1,7 @@
 """Kill chains over the alert stream: cycles in event time, each over a look-back of its source's alerts.
 
-A source keeps the alerts of the look-back in keyed state. A timer wakes it at every cycle that an alert of its
-falls into; what the cycle sees and assigns is what `operators.alerts.correlate` would over the whole table at
+A source keeps the alerts of the look-back in keyed state. A timer wakes it at its next cycle that sees an alert,
+and it goes through all cycles that the watermark has passed at once; what the cycle sees and assigns is what `operators.alerts.correlate` would over the whole table at
 that moment. Nothing older is read again, and a source without alerts costs nothing. Files are not
 rewritten: each batch appends the new chain ids, and readers join them in.
 
@@ -15,8 +15,7 @@ import hashlib
 from collections.abc import Iterable, Iterator
 from datetime import datetime, timedelta
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -28,6 +27,7 @@ from flowsift.streaming.store import batch_numbers, read_table, write_batch
 CYCLE = timedelta(seconds=30)
 _ALERT = "t bigint, id string, threat_class string, kill_chain_id string"
 _FIELDS = ["t", "id", "threat_class", "kill_chain_id"]
+_CHAINED = Row("id", "src_ip", "kill_chain_id")
 _MICROS = timedelta(microseconds=1)
 
 
@@ -60,47 +60,57 @@ class KeyedChains(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.alerts = handle.getListState("alerts", _ALERT)
+        self.coming = handle.getValueState("coming", "moment bigint")
 
     def _cycle_of(self, t: int) -> int:
         """The first cycle at or after a time."""
         return -(-t // self.cycle) * self.cycle
 
     def _wake(self, moment: int) -> None:
+        self.coming.update((moment,))
         self.handle.registerTimer(-(-moment // 1000))
 
-    def handleInputRows(self, key, rows: Iterable[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterable[Row], timerValues) -> Iterator[Row]:
         passed = timerValues.getCurrentWatermarkInMs() * 1000
-        fresh = []
-        for frame in rows:
-            frame = frame.iloc[:, -len(_FIELDS):].astype(object)
-            for t, *others in frame.where(frame.notna(), None).itertuples(index=False, name=None):
-                fresh.append((int(t), *others))
+        fresh = [tuple(row)[-len(_FIELDS):] for row in rows]
         self.alerts.appendList(fresh)
-        for moment in sorted({self._cycle_of(max(r[0], passed + 1)) for r in fresh}):
-            self._wake(moment)
-        yield pd.DataFrame({"id": [], "src_ip": [], "kill_chain_id": []}, dtype=object)
+        first = self._cycle_of(max(min(r[0] for r in fresh), passed + 1))
+        coming = self.coming.get()
+        if coming is None or first < coming[0]:
+            self._wake(first)
+        return iter(())
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if not self.alerts.exists():
-            return
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        coming = self.coming.get()
+        # a timer that an earlier one has overtaken finds nothing to do
+        if coming is None or coming[0] > passed:
+            return iter(())
         # timers have whole milliseconds, and so do cycles
-        now = expiredTimerInfo.getExpiryTimeInMs() * 1000 // self.cycle * self.cycle
-        held = sorted(self.alerts.get())
-        seen = [r for r in held if now - self.lookback <= r[0] <= now]
-        given = {}
-        if len({r[2] for r in seen}) >= self.min_classes:
-            tagged = [r for r in seen if r[3]]
-            chain = tagged[0][3] if tagged else new_chain(key[0], seen[0][1])
-            given = {r[1]: chain for r in seen if not r[3]}
-        # what the next cycle reaches back to
-        rest = [(*r[:3], r[3] or (given.get(r[1]) if r[0] <= now else None)) for r in held
-                if r[0] >= now + self.cycle - self.lookback]
-        if rest:
-            self.alerts.put(rest)
-            self._wake(now + self.cycle)
+        now, held, out = coming[0], sorted(self.alerts.get()), []
+        while held and now <= passed:
+            given = self._given(key[0], [r for r in held if now - self.lookback <= r[0] <= now])
+            out += [_CHAINED(i, key[0], chain) for i, chain in given.items()]
+            # what the next cycle reaches back to
+            held = [(*r[:3], r[3] or (given.get(r[1]) if r[0] <= now else None)) for r in held
+                    if r[0] >= now + self.cycle - self.lookback]
+            if held:
+                now = max(now + self.cycle, self._cycle_of(held[0][0]))
+        if held:
+            self.alerts.put(held)
+            self._wake(now)
         else:
             self.alerts.clear()
-        yield pd.DataFrame({"id": list(given), "src_ip": key[0], "kill_chain_id": list(given.values())}, dtype=object)
+            self.coming.clear()
+        return iter(out)
+
+    def _given(self, source: str, seen: list) -> dict:
+        """Chain ids of one cycle; seen: its alerts in order of time and id."""
+        if len({r[2] for r in seen}) < self.min_classes:
+            return {}
+        tagged = [r for r in seen if r[3]]
+        chain = tagged[0][3] if tagged else new_chain(source, seen[0][1])
+        return {r[1]: chain for r in seen if not r[3]}
 
     def close(self) -> None:
         pass
@@ -119,7 +129,7 @@ def keyed_chains(alerts: DataFrame, lookback: timedelta = LOOKBACK, cycle: timed
     # dropped where the watermark has seen them
     rows = alerts.withWatermark("ingested_at", lateness).select(
         F.explode(F.when(counts & F.col("ingested_at").isNotNull(), F.array(kept))).alias("_a")).select("_a.*")
-    return rows.groupBy("src_ip").transformWithStateInPandas(
+    return rows.groupBy("src_ip").transformWithState(
         KeyedChains(lookback, cycle, min_classes), "id string, src_ip string, kill_chain_id string", "Append", "eventTime")
 
 

@@ -1,12 +1,12 @@
 """What keeps a job's plans and tasks small as its tables grow."""
 
-import os
-
-from pyspark.sql import functions as F
+from datetime import timedelta
 
 from flowsift.catalog import logs
 from flowsift.plans import jobs
 from flowsift.sources import zeek
+from flowsift.streaming.correlation import KeyedChains, new_chain
+from flowsift.streaming.features import KeyedWindows
 
 
 def _small_log(spark, sf, folder):
@@ -20,3 +20,73 @@ def test_readers_of_marked_flows_parse_no_cells(spark, sf, tmp_path):
     plan = rejected._jdf.queryExecution().optimizedPlan().toString()
     assert "trim" not in plan and len(plan) < 20_000
     assert rejected.count() == 0
+
+
+class _Cell:
+    def __init__(self):
+        self.value = None
+
+    def get(self):
+        return self.value
+
+    def exists(self):
+        return self.value is not None
+
+    def update(self, value):
+        self.value = value
+
+    put = update
+
+    def appendList(self, rows):
+        self.value = [*(self.value or ()), *rows]
+
+    def clear(self):
+        self.value = None
+
+
+class _Handle:
+    def __init__(self):
+        self.cells, self.timers = {}, []
+
+    def getListState(self, name, schema):
+        return self.cells.setdefault(name, _Cell())
+
+    getValueState = getListState
+
+    def registerTimer(self, moment):
+        self.timers.append(moment)
+
+
+class _Watermark:
+    def __init__(self, millis):
+        self.millis = millis
+
+    def getCurrentWatermarkInMs(self):
+        return self.millis
+
+
+def test_a_timer_goes_through_all_cycles_behind_the_watermark():
+    day = timedelta(days=1)
+    chains, handle = KeyedChains(day, day, 2), _Handle()
+    chains.init(handle)
+    micros = day // timedelta(microseconds=1)
+    rows = [("a", round(d * micros), f"{d}", kind, None) for d in (0.5, 3.5, 9.5) for kind in ("x", "y")]
+    rows = [(k, t, f"{i}{kind}", kind, chain) for k, t, i, kind, chain in rows]
+    assert list(chains.handleInputRows(("a",), iter(rows), _Watermark(0))) == []
+    assert handle.timers == [86_400_000]
+    out = list(chains.handleExpiredTimer(("a",), _Watermark(5 * 86_400_000), None))
+    assert [(r.id, r.kill_chain_id) for r in out] == [
+        (i, new_chain("a", f"{d}x")) for d in (0.5, 3.5) for i in (f"{d}x", f"{d}y")]
+    # what the watermark has not passed waits for its own cycle
+    assert [r[1] for r in handle.cells["alerts"].value] == ["9.5x", "9.5y"] and handle.timers[-1] == 10 * 86_400_000
+
+
+def test_keyed_windows_take_and_give_rows():
+    columns = ["uid", "src_ip", "dst_ip", "dst_port", "_t"]
+    windows, handle = KeyedWindows(columns, "", 60.0, None), _Handle()
+    windows.init(handle)
+    rows = [("source", "s", "1", "s", "d", None, 5_000_000), ("source", "s", "2", "s", "d", 80, 0)]
+    (late,) = windows.handleInputRows(("source", "s"), iter(rows), _Watermark(1_000))
+    assert late.late and late.uid == "2" and late.dst_port == 80
+    (row,) = windows.handleExpiredTimer(("source", "s"), _Watermark(6_000), None)
+    assert (row.uid, row.dst_port, row.connection_frequency, row.side, row.late) == ("1", None, 1.0, "source", False)
