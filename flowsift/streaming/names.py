@@ -14,8 +14,7 @@ from __future__ import annotations
 from collections import deque
 from collections.abc import Iterable, Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -32,6 +31,7 @@ _TYPES = {c: "double" if c == "_entropy" else "bigint" for c in MEASURES}
 _ROW = "flow boolean, _t bigint, uid string, " + ", ".join(f"{c} {_TYPES[c]}" for c in MEASURES)
 _NAMES = ["flow", "_t", "uid", *MEASURES]
 _OUT = f"{_ROW}, late boolean"
+_FOUND = Row(*_NAMES, "late")
 # sums of entropies are whole multiples of this part
 _PART = 1 << 36
 
@@ -82,26 +82,18 @@ class KeyedQueries(StatefulProcessor):
     def _wake(self, micros: int) -> None:
         self.handle.registerTimer(-(-micros // 1000))
 
-    def handleInputRows(self, key, rows: Iterable[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterable[Row], timerValues) -> Iterator[Row]:
         passed = timerValues.getCurrentWatermarkInMs() * 1000
         late, fresh = [], []
-        for frame in rows:
-            # by place: names that are no Python names arrive changed
-            frame = frame.iloc[:, -len(_NAMES):].astype(object)
-            for row in frame.where(frame.notna(), None).itertuples(index=False, name=None):
-                (late if row[1] is None or row[1] <= passed else fresh).append(self._typed(row))
+        for row in rows:
+            row = tuple(row)[-len(_NAMES):]
+            (late if row[1] is None or row[1] <= passed else fresh).append(row)
         if fresh:
             self.waiting.appendList(fresh)
             self._wake(min(r[1] for r in fresh))
-        if late:
-            yield pd.DataFrame(late, columns=_NAMES, dtype=object).assign(late=True)
+        return iter([_FOUND(*row, True) for row in late])
 
-    @staticmethod
-    def _typed(row: tuple) -> tuple:
-        kinds = [bool, int, str, *(float if c == "_entropy" else int for c in MEASURES)]
-        return tuple(None if v is None else kind(v) for v, kind in zip(row, kinds))
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         passed = timerValues.getCurrentWatermarkInMs() * 1000
         held = list(self.waiting.get()) if self.waiting.exists() else []
         # a query at the time of a flow counts for it
@@ -129,8 +121,7 @@ class KeyedQueries(StatefulProcessor):
             self._wake(window.rows[-1][1] + self.width + 1000)
         elif self.recent.exists():
             self.recent.clear()
-        if found:
-            yield pd.DataFrame(found, columns=_NAMES, dtype=object).assign(late=False)
+        return iter([_FOUND(*row, False) for row in found])
 
     def close(self) -> None:
         pass
@@ -153,7 +144,7 @@ def keyed_queries(flows: DataFrame, events: DataFrame, window_seconds: float = W
     blank = [F.lit(None).cast(_TYPES[c]).alias(c) for c in MEASURES]
     both = asked.select(F.lit(False).alias("flow"), "_t", "uid", *MEASURES, "src_ip").union(
         made.select(F.lit(True), "_t", "uid", *blank, "src_ip"))
-    return both.select("src_ip", *_NAMES).groupBy("src_ip").transformWithStateInPandas(
+    return both.select("src_ip", *_NAMES).groupBy("src_ip").transformWithState(
         KeyedQueries(window_seconds), _OUT, "Append", "eventTime")
 
 
