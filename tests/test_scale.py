@@ -2,9 +2,13 @@
 
 from datetime import timedelta
 
+from pyspark.sql import functions as F
+
 from flowsift.catalog import logs
+from flowsift.catalog.alerts import alerts
+from flowsift.operators import joins
 from flowsift.plans import jobs
-from flowsift.sources import zeek
+from flowsift.sources import alert_table, zeek
 from flowsift.streaming.correlation import KeyedChains, new_chain
 from flowsift.streaming.features import KeyedWindows
 
@@ -90,3 +94,32 @@ def test_keyed_windows_take_and_give_rows():
     assert late.late and late.uid == "2" and late.dst_port == 80
     (row,) = windows.handleExpiredTimer(("source", "s"), _Watermark(6_000), None)
     assert (row.uid, row.dst_port, row.connection_frequency, row.side, row.late) == ("1", None, 1.0, "source", False)
+
+
+def test_a_log_has_more_files_where_it_has_more_lines(spark, sf, tmp_path, monkeypatch):
+    monkeypatch.setattr(logs, "PIECE_LINES", 200)
+    rows = logs._log_rows(spark, sf)
+    logs._conn_log(rows, str(tmp_path))
+    files = [f.read_text() for f in (tmp_path / "conn.log").glob("part-*")]
+    assert len([f for f in files if f]) > 4 and all(f.startswith("#separator") for f in files if f)
+    assert zeek.read_conn_log(spark, f"{tmp_path}/conn.log").count() == rows.count()
+
+
+def test_only_hot_keys_are_copied_for_a_join(spark, monkeypatch):
+    monkeypatch.setattr(joins, "HOT_ROWS", 50)
+    rows = spark.range(300).select(F.when(F.col("id") < 100, -1).otherwise(F.col("id")).alias("k"), "id")
+    side = spark.range(-1, 250).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
+    met = joins.lookup_join(rows, side, "k", "inner", max_rows=10)
+    assert {(r.id, r.v) for r in met.collect()} == {(i, -2 if i < 100 else 2 * i) for i in range(250)}
+    assert "SortMergeJoin" in met._jdf.queryExecution().executedPlan().toString()
+    hot = spark.createDataFrame([(-1, True)], "k bigint, _hot boolean")
+    assert joins._copies(side, hot, "k").count() == side.count() - 1 + joins.SALTS
+
+
+def test_a_feed_has_a_bounded_number_of_parts(spark, sf, tmp_path, monkeypatch):
+    monkeypatch.setattr(alert_table, "MAX_PARTS", 3)
+    alert_table.write_feed(alerts(spark, sf), str(tmp_path), 10)
+    assert len(list((tmp_path / "rows").glob("part=*"))) == 3
+    whole = alerts(spark, sf).orderBy(F.desc("timestamp"), "id").offset(600).limit(25)
+    page = alert_table.feed_page(spark, str(tmp_path), 25, 25)
+    assert [r.id for r in page.collect()] == [r.id for r in whole.collect()]
