@@ -27,6 +27,7 @@ from flowsift.streaming.store import drop_numbers_below
 
 BUCKETS = 16
 PART_ROWS = 100_000
+MAX_PARTS = 2_000
 PLACES = [StructField("hour", LongType()), StructField("batch", LongType())]
 TABLE_SCHEMA = StructType([*ALERT_SCHEMA.fields, *PLACES])
 POSTING_SCHEMA = StructType([StructField("token", StringType()), StructField("id", StringType()),
@@ -158,10 +159,11 @@ def search(spark: SparkSession, folder: str, postings: str, query: str, match: s
 
 
 def write_feed(alerts: DataFrame, folder: str, part_rows: int = PART_ROWS) -> None:
-    """A snapshot of the alerts in page order, newest first, in parts of about part_rows rows."""
+    """A snapshot of the alerts in page order, newest first, in parts of about part_rows rows; of larger ones where
+    that would be more than MAX_PARTS, since each part is a task, a folder and a hundred sampled rows on the driver."""
     spark = alerts.sparkSession
     order = [F.desc("timestamp"), F.asc("id")]
-    parts = max(1, math.ceil(alerts.count() / part_rows))
+    parts = min(MAX_PARTS, max(1, math.ceil(alerts.count() / part_rows)))
     (alerts.select(*_typed()).repartitionByRange(parts, *order).withColumn("part", F.spark_partition_id())
      .write.mode("overwrite").partitionBy("part").parquet(f"{folder}/rows"))
     counts = _feed(spark, folder).groupBy("part").agg(F.count(F.lit(1)).alias("n"))
