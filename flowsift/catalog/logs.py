@@ -17,6 +17,8 @@ from flowsift.streaming.store import read_table
 
 CONN = ["uid", "ts", "id.orig_h", "id.resp_h", "id.orig_p", "id.resp_p", "proto", "duration",
         "orig_bytes", "resp_bytes", "orig_pkts", "resp_pkts", "conn_state"]
+# lines of a log for which four files are written
+PIECE_LINES = 400_000
 EVENTS_SQL = "e AS (SELECT *, json_extract_string(props, '$.k')::INT AS k, epoch_us(ts) AS t FROM events)"
 
 
@@ -43,10 +45,17 @@ def _line(cells: list[Column], separator: str = "\t") -> Column:
 
 
 def _write_logs(lines: DataFrame, headers: list[tuple[int, int, str]], folder: str) -> None:
-    """lines: part, line. Each part stands under its own header, several parts may share a file."""
-    above = lines.sparkSession.createDataFrame(headers, "part int, place int, line string")
-    below = lines.select("part", F.lit(1_000).alias("place"), "line")
-    above.union(below).repartition(4, "part").sortWithinPartitions("part", "place").select("line").write.text(folder)
+    """lines: part, line. Each part stands under its own header, several parts may share a file.
+
+    A part is spread over as many pieces as its rows ask for, each of which repeats its header."""
+    pieces = max(1, -(-lines.count() // PIECE_LINES))
+    above = lines.sparkSession.createDataFrame(headers, "part int, place int, line string").withColumn(
+        "piece", F.explode(F.sequence(F.lit(0), F.lit(pieces - 1))))
+    below = lines.select("part", F.lit(1_000).alias("place"), "line",
+                         F.pmod(F.xxhash64("line"), F.lit(pieces)).cast("int").alias("piece"))
+    of_piece = ["part"] if pieces == 1 else ["part", "piece"]
+    above.unionByName(below).repartition(4 * pieces, *of_piece).sortWithinPartitions(*of_piece, "place").select(
+        "line").write.text(folder)
 
 
 def _header(part: int, names: list[str], separator: str = "\t", named: str = r"\x09") -> list[tuple[int, int, str]]:

@@ -21,7 +21,8 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-TARGET_ROWS = 4_000_000
+# a quarter of a million rows of whole flows take a task about 250 MB
+TARGET_ROWS = 1_000_000
 MAX_SLICES = 10_000
 SLICE = "_slice"
 KEY = "_key"

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from flowsift.catalog import logs
 from flowsift.catalog.alerts import alerts
-from flowsift.operators import joins
+from flowsift.operators import joins, running
 from flowsift.plans import jobs
 from flowsift.sources import alert_table, zeek
 from flowsift.streaming.correlation import KeyedChains, new_chain
@@ -123,3 +123,9 @@ def test_a_feed_has_a_bounded_number_of_parts(spark, sf, tmp_path, monkeypatch):
     whole = alerts(spark, sf).orderBy(F.desc("timestamp"), "id").offset(600).limit(25)
     page = alert_table.feed_page(spark, str(tmp_path), 25, 25)
     assert [r.id for r in page.collect()] == [r.id for r in whole.collect()]
+
+
+def test_a_key_of_over_a_million_rows_is_cut(spark):
+    rows = spark.range(1_200_000).select(F.lit("a").alias("k"), F.col("id").alias("_t"))
+    assert running.plan_slices(rows, ["k"], "_t").splits
+    assert running.plan_slices(rows.limit(900_000), ["k"], "_t") is None
