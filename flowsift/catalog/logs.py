@@ -5,7 +5,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 from contextlib import ExitStack
 
-from pyspark.sql import Column, DataFrame, Row
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowsift.catalog.base import micros, prop_k, query, run_folder, table
@@ -127,16 +129,18 @@ def rejected_rows(spark, d):
 
 
 def _appender(folder: str):
-    """Adds lines to log files where they lie, a task per file."""
-    def add(rows: Iterator[Row]) -> None:
+    """Adds lines to log files where they lie, a task per file and a write per batch of lines."""
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, place = filesystem(folder)
         with ExitStack() as opened:
             logs = {}
-            for row in rows:
-                log = row["log"]
-                if log not in logs:
-                    logs[log] = opened.enter_context(files.open_append_stream(f"{place}/conn.{log}.log"))
-                logs[log].write(f"{row['line']}\n".encode())
+            for batch in batches:
+                for log in pc.unique(batch.column("log")).to_pylist():
+                    if log not in logs:
+                        logs[log] = opened.enter_context(files.open_append_stream(f"{place}/conn.{log}.log"))
+                    lines = batch.filter(pc.equal(batch.column("log"), log)).column("line").to_pylist()
+                    logs[log].write("".join(f"{line}\n" for line in lines).encode())
+                yield batch.select(["log"])
 
     return add
 
@@ -158,7 +162,8 @@ def tailed_log_rows(spark, d):
     running = ingest.start_batches(stream, ingest.split_log(f"{folder}/rows", f"{folder}/dead"), f"{folder}/offsets", interval="0 seconds")
     try:
         for turn in range(3):
-            rows.where(F.col("turn") == turn).repartition(4, "log").foreachPartition(_appender(f"{folder}/logs"))
+            new = rows.where(F.col("turn") == turn).select("log", "line").repartition(4, "log")
+            new.mapInArrow(_appender(f"{folder}/logs"), "log int").write.format("noop").mode("overwrite").save()
             running.processAllAvailable()
     finally:
         running.stop()

@@ -98,7 +98,9 @@ def read_log(spark: SparkSession, path, preserve_dash=(), mode: str = "strict")
     met = lookup_join(lines, placed, "_file", "left", row_id="_line")
     above = F.filter("_headers", lambda h: F.struct(h["block"], h["line"]) <= F.struct("_block", "_line"))
     header = F.get(above, F.size(above) - 1)
-    return _as_columns(met.withColumn("_header", header), names, set(preserve_dash), mode).select(
+    laid = met.withColumn("_header", header).withColumns({
+        "_cut": F.col("_header.separator"), "_width": F.col("_header.width"), "_places": F.col("_header.places")})
+    return _as_columns(laid, names, set(preserve_dash), mode).select(
         *names_of(names), "_file", "_block", "_line", *(["_malformed"] if mode != "strict" else []))
 
 
@@ -107,17 +109,17 @@ def names_of(names: list[str]) -> list[str]:
 
 
 def _as_columns(lines: DataFrame, names: list[str], preserve: set[str], mode: str) -> DataFrame:
-    """Lines with `_raw` and `_header` (separator, width, places) as columns of text and `_malformed`."""
-    cells = lines.withColumn("_cells", cut(F.col("_raw"), F.col("_header.separator")))
-    fits = F.coalesce(F.size("_cells") == F.col("_header.width"), F.lit(False))
+    """Lines with `_raw` and their header's `_cut` (separator), `_width` and `_places` as columns of text and `_malformed`."""
+    cells = lines.withColumn("_cells", cut(F.col("_raw"), F.col("_cut")))
+    fits = F.coalesce(F.size("_cells") == F.col("_width"), F.lit(False))
     if mode == "strict":
         # as a filter it holds whatever columns are read later
         cells = cells.filter(F.when(fits, F.lit(True)).otherwise(F.raise_error(F.lit(UNFIT)).cast("boolean")))
-    values = {}
-    for i, name in enumerate(names):
-        cell = F.get("_cells", F.get("_header.places", F.lit(i)) - 1)
-        values[name] = cell if name in preserve else F.when(cell != "-", cell)
-    return cells.select("*", *(v.alias(n) for n, v in values.items()), (~fits).alias("_malformed"))
+    # all cells of a line at once: a lookup per column makes the generated code too large to be compiled
+    taken = cells.withColumn("_taken", F.transform("_places", lambda place: F.get("_cells", place - 1))).withColumn(
+        "_filled", F.transform("_taken", lambda cell: F.when(cell != "-", cell)))
+    values = {name: F.get("_taken" if name in preserve else "_filled", F.lit(i)) for i, name in enumerate(names)}
+    return taken.select("*", *(v.alias(n) for n, v in values.items()), (~fits).alias("_malformed"))
 
 
 def read_conn_log(spark: SparkSession, path, mode: str = "strict") -> DataFrame:
@@ -146,8 +148,9 @@ def stream_log(spark: SparkSession, directory: str, fields: list[str], preserve_
     own = F.when(F.col("_fields").isNotNull(), separator_of(F.col("_separator"))).otherwise(F.lit(separator))
     given = F.array(*map(F.lit, fields))
     named = F.when(F.col("_fields").isNotNull(), _names(F.col("_fields"), F.col("_own"))).otherwise(given)
-    lines = reader.load(directory).withColumn("_own", own).withColumn("_named", named).withColumn("_header", F.struct(
-        F.col("_own").alias("separator"), F.size("_named").alias("width"),
-        F.transform(given, lambda n: F.array_position("_named", n).cast("int")).alias("places")))
+    # plain columns: a struct of them would be taken apart and worked out again for every field of the result
+    lines = reader.load(directory).withColumn("_own", own).withColumn("_named", named).select(
+        "_file", "_offset", "_raw", F.col("_own").alias("_cut"), F.size("_named").alias("_width"),
+        F.array(*(F.array_position("_named", F.lit(n)).cast("int") for n in fields)).alias("_places"))
     return _as_columns(lines, fields, set(preserve_dash), "quarantine").select(
         *names_of(fields), "_file", "_offset", "_raw", "_malformed")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from flowsift.functions.scalar import event_time
@@ -64,13 +64,18 @@ def split_messages(good_table: str, dead_table: str) -> Callable[[DataFrame, int
 
 
 def split_log(good_table: str, dead_table: str) -> Callable[[DataFrame, int], None]:
-    """foreachBatch writer of `zeek.stream_log`: rows that fit their fields, and the file and line of all others."""
+    """foreachBatch writer of `zeek.stream_log`: rows that fit their fields, and the file and line of all others.
+
+    Lines that don't fit are counted while the others are written; a batch without any, but the first one, writes no
+    table of them, and only a batch with some is read a second time.
+    """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        kept = batch.persist()
-        write_batch(kept.filter(~F.col("_malformed")).drop("_file", "_offset", "_raw", "_malformed"), good_table, batch_id)
-        write_batch(kept.filter("_malformed").select("_file", "_raw"), dead_table, batch_id)
-        kept.unpersist()
+        unfit = Observation()
+        seen = batch.observe(unfit, F.count_if("_malformed").alias("n"))
+        write_batch(seen.filter(~F.col("_malformed")).drop("_file", "_offset", "_raw", "_malformed"), good_table, batch_id)
+        if batch_id == 0 or unfit.get["n"]:
+            write_batch(batch.filter("_malformed").select("_file", "_raw"), dead_table, batch_id)
 
     return write
 

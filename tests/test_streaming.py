@@ -15,7 +15,7 @@ from flowsift.streaming.correlation import correlation_cycle, new_chain, start_c
 from flowsift.streaming.features import split_features, start_features
 from flowsift.streaming.names import start_queries
 from flowsift.streaming.scoring import score_batches
-from flowsift.streaming.store import drop_partitions_before, read_table, state_root
+from flowsift.streaming.store import batch_numbers, drop_partitions_before, read_table, state_root
 from tests.test_jobs import CONN, QUIC_FLOW, TLS_FLOW, contract_row, write_log
 from tests.test_models import trained  # noqa: F401
 from tests.test_rolling import FLOWS, brute, compare, make_flows
@@ -195,6 +195,20 @@ def test_lines_added_to_a_file_come_out_once(spark, tmp_path):
         TailedLog({"path": str(logs), "maxRows": "3"}).streamReader(None)
 
 
+def test_only_batches_with_torn_lines_write_them(spark, tmp_path):
+    logs, good, dead = tmp_path / "logs", str(tmp_path / "rows"), str(tmp_path / "dead")
+    logs.mkdir()
+    write_log(logs / "conn.log", CONN, [[f"C{k}", *TLS_FLOW[1:]] for k in range(8)] + [["torn"]])
+    stream = ingest.tail_log(spark, str(logs), CONN, str(tmp_path / "progress"), max_rows=3)
+    query = ingest.start_batches(stream, ingest.split_log(good, dead), str(tmp_path / "ck"), interval="0 seconds")
+    query.processAllAvailable()
+    query.stop()
+    assert sorted(r.uid for r in read_table(spark, good).collect()) == [f"C{k}" for k in range(8)]
+    assert [(r.batch, r._raw) for r in read_table(spark, dead).collect()] == [(2, "torn")]
+    # the first one makes the table, the second one has none to write
+    assert batch_numbers(spark, dead) == [0, 2]
+
+
 def test_log_stream_keeps_torn_lines(spark, tmp_path):
     logs = tmp_path / "logs"
     logs.mkdir()
