@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import functions as F
 
 from flowsift.catalog.base import prop_k, query, rounded, run_folder, table
@@ -362,9 +363,11 @@ def contract_features(spark, d):
 
 
 def small_models(labelled):
-    ready = encode.model_rows(labelled, None, ["flow_id", "label"])
-    model = classify.train(encode.with_weights(ready), params={"numTrees": 10, "maxDepth": 4})
+    # both models pass over the rows several times: they are encoded once, and keep their partitions
+    ready = encode.with_weights(encode.model_rows(labelled, None, ["flow_id", "label"])).persist(StorageLevel.DISK_ONLY)
+    model = classify.train(ready, params={"numTrees": 10, "maxDepth": 4})
     forest = isolation.load(isolation.fit(ready.filter("label = 'benign'"), FEATURE_COLUMNS, "flow_id", trees=50))
+    ready.unpersist()
     return Models(model, forest, None)
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -120,34 +123,74 @@ def evidence_text(item: Column) -> Column:
     return F.concat(body, F.lit(" ("), item["direction"], F.lit(" prediction)"))
 
 
+def _strongest(values: list | None, contributions: list | None, most: int) -> list[tuple] | None:
+    """(position, value, contribution) of one row by falling size; none of a size comes first, no number last."""
+    if contributions is None:
+        return None
+    size = lambda i: (0, 0.0) if (c := contributions[i]) is None else (2, 0.0) if c != c else (1, -abs(c))
+    return [(i, None if values is None else values[i], contributions[i])
+            for i in sorted(range(len(contributions)), key=size)[:most]]
+
+
+def _top_items(values: pa.Array, contributions: pa.Array, most: int, names: list[str]) -> pa.Array:
+    count = len(contributions)
+    flat, met = contributions.flatten(), values.flatten()
+    width = len(flat) // count if count else 0
+    regular = (count > 0 and not (contributions.null_count or values.null_count or flat.null_count)
+               and all(pc.all(pc.equal(pc.list_value_length(x), width)).as_py() for x in (contributions, values)))
+    if regular:
+        sizes = -np.abs(flat.to_numpy(zero_copy_only=False).reshape(count, width))
+        position = np.argsort(sizes, axis=1, kind="stable")[:, :most]
+        place = (position + np.arange(count)[:, None] * width).ravel()
+        ends, gone = np.arange(count + 1) * position.shape[1], np.zeros(count, bool)
+        position, value, moved = position.ravel(), met.take(pa.array(place)), flat.take(pa.array(place))
+    else:
+        rows = [_strongest(v, c, most) for v, c in zip(values.to_pylist(), contributions.to_pylist())]
+        ends, gone = np.cumsum([0, *(len(r or ()) for r in rows)]), np.array([r is None for r in rows], bool)
+        items = [item for row in rows for item in row or ()]
+        position = np.array([i for i, _, _ in items], int)
+        value, moved = (pa.array([item[k] for item in items], pa.float64()) for k in (1, 2))
+    shown = pa.array([FEATURE_LABELS.get(n, n) for n in names], pa.string())
+    supports = pc.fill_null(pc.or_(pc.greater_equal(moved, 0.0), pc.is_nan(moved)), False)
+    items = pa.StructArray.from_arrays(
+        [pa.array(names, pa.string()).take(pa.array(position)), shown.take(pa.array(position)), value, moved,
+         pc.if_else(supports, "supports", "opposes")],
+        ["feature", "label", "value", "contribution", "direction"])
+    # a row without a start is null
+    starts = pa.array([None if none else int(x) for x, none in zip(ends, gone)] + [int(ends[-1])], pa.int32())
+    return pa.ListArray.from_arrays(starts, items)
+
+
 def top_contributions(values: Column, contributions: Column, top_k: int = 5,
                       names: list[str] = FEATURE_COLUMNS) -> Column:
-    """The k features with the largest absolute contribution, ties by feature order."""
+    """The k features with the largest absolute contribution, ties by feature order; ranked in Arrow batches."""
     if isinstance(top_k, bool) or not isinstance(top_k, int) or top_k < 1:
         raise ValueError("top_k must be a positive integer")
-    name_array = F.array(*[F.lit(n) for n in names])
-    # a plain struct sort: larger |v| first, then the lower index
-    ranked = F.array_sort(
-        F.transform(
-            contributions,
-            lambda c, i: F.struct((-F.abs(c)).alias("order"), i.alias("position"), c.alias("contribution")),
-        )
-    )
-    best = F.slice(ranked, 1, min(top_k, len(names)))
+    most, named = min(top_k, len(names)), list(names)
+
+    @F.arrow_udf("array<struct<feature:string,label:string,value:double,contribution:double,direction:string>>")
+    def top(values: pa.Array, contributions: pa.Array) -> pa.Array:
+        return _top_items(values, contributions, most, named)
+
+    return top(values.cast("array<double>"), contributions.cast("array<double>"))
 
-    def describe(item: Column) -> Column:
-        position = item["position"] + 1
-        name = F.element_at(name_array, position)
-        return F.struct(
-            name.alias("feature"),
-            feature_label(name).alias("label"),
-            F.element_at(values, position).cast("double").alias("value"),
-            item["contribution"].cast("double").alias("contribution"),
-            F.when(item["contribution"] >= 0, "supports").otherwise("opposes").alias("direction"),
-        )
 
-    return F.transform(best, describe)
+def _item_text(feature: str, label: str, value: float | None, direction: str) -> str | None:
+    if value is None:
+        return None
+    body = label if feature in BOOL_COLUMNS and value != 0 else f"{label}: {value:.4g}" if value else f"{label}: 0"
+    return f"{body} ({direction} prediction)"
 
 
 def evidence_texts(contributions: Column) -> Column:
-    return F.transform(contributions, evidence_text)
+    """`evidence_text` of all items, in Arrow batches; Python's four digits follow the binary value as `g4` does."""
+    @F.arrow_udf("array<string>")
+    def texts(rows: pa.Array) -> pa.Array:
+        items = rows.flatten()
+        of = lambda name: pc.struct_field(items, name).to_pylist()
+        made = map(_item_text, *(of(name) for name in ("feature", "label", "value", "direction")))
+        ends = np.cumsum([0, *pc.fill_null(pc.list_value_length(rows), 0).to_pylist()])
+        starts = [None if none else int(x) for x, none in zip(ends, rows.is_null().to_pylist())]
+        return pa.ListArray.from_arrays(pa.array([*starts, int(ends[-1])], pa.int32()), pa.array(list(made), pa.string()))
+
+    return texts(contributions)

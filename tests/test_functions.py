@@ -128,6 +128,26 @@ def test_top_contributions(spark):
         E.top_contributions(F.col("v"), F.col("c"), 0)
 
 
+def test_contributions_are_ranked_and_told_in_batches(spark):
+    """Ties, nulls, no numbers and rows of several lengths; no array of all features is sorted row by row."""
+    names = ["duration", "is_tls", "fan_out"]
+    rows = [([1.0, 2.0, 3.0], [0.5, -0.5, 0.5]), ([1.5, 0.0, None], [0.0, 2.0, -3.0]), ([1e-7, 1.0, 123456.0], [-0.0, 1.0, float("nan")]),
+            ([1.0, 2.0, 3.0], [1.0, None, -2.0]), ([4.0], [1.0]), ([], []), (None, None)]
+    expected = [
+        ["Connection duration: 1 (supports prediction)", "TLS traffic detected (opposes prediction)"],
+        [None, "TLS traffic detected: 0 (supports prediction)"],
+        ["TLS traffic detected (supports prediction)", "Connection duration: 1e-07 (supports prediction)"],
+        ["TLS traffic detected (opposes prediction)", "Connections to many destinations: 3 (opposes prediction)"],
+        ["Connection duration: 4 (supports prediction)"], [], None,
+    ]
+    schema = "n int, v array<double>, c array<double>"
+    for part in (range(7), range(1), [2]):  # together, and full rows by themselves
+        df = spark.createDataFrame([(n, *rows[n]) for n in part], schema).coalesce(1)
+        told = df.select("n", E.evidence_texts(E.top_contributions(F.col("v"), F.col("c"), 2, names)).alias("s"))
+        assert {r.n: r.s for r in told.collect()} == {n: expected[n] for n in part}
+    assert "array_sort" not in told._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_evidence_text(spark):
     got = evidence(spark, [5.0, -4.0, 3.0, -2.0, 1.0, 0.5, *[0.0] * 30])
     assert list(got.s) == [
