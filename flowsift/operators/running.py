@@ -30,12 +30,13 @@ KEY = "_key"
 
 @dataclass(frozen=True)
 class Slicing:
-    """Hot keys (at most MAX_SLICES rows) and the cut points of the order column."""
+    """Hot keys (at most MAX_SLICES rows), the cut points of the order column and how many rows were counted."""
 
     keys: list[str]
     hot: DataFrame
     order_col: str
     splits: list[float] = field(default_factory=list)
+    rows: int = 0
 
     def assign(self, df: DataFrame) -> DataFrame:
         """Adds the slice number of the order column."""
@@ -76,7 +77,7 @@ def plan_slices(df: DataFrame, keys: list[str], order_col: str,
     quantiles = rows.withColumn(order_col, F.col(order_col).cast("double")).approxQuantile(
         order_col, [i / slices for i in range(1, slices)], 0.25 / slices
     )
-    return Slicing(keys, hot, order_col, sorted(set(quantiles)))
+    return Slicing(keys, hot, order_col, sorted(set(quantiles)), total)
 
 
 def _same_keys(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:

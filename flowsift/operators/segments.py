@@ -13,10 +13,15 @@ segment. What a segment needs to know of the others comes in as a few rows or on
 Edges and counts name only values that occur in the segment, so they never outgrow the rows. All folds are sums,
 minima and maxima of whole numbers, so any cut gives the same result. One step is written (the marks with what
 each adds): totals and the final scan both read it.
+
+Every shuffle has as many partitions as the rows ask for, not as the session sets, and rows are dealt out before they
+are grouped: groups are nearly as many as rows, so a grouping inside the scan's tasks would hold all of a task's rows.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,6 +31,8 @@ from flowsift.operators.steps import stored
 SOURCE, DESTINATION = "source", "destination"
 _ORDER = ["_t", "uid"]
 _SWEEP = ["_t", "_leaves", "uid"]
+# halves, or marks, of a shuffle's partition on average
+PARTITION_ROWS = 100_000
 _KINDS = {"self": (), "port": ("dst_port",), "pair": ("_value", "dst_port")}
 
 
@@ -46,6 +53,11 @@ def plan_segments(flows: DataFrame, target_rows: int | None = None) -> Slicing |
     return plan_slices(halves(flows), [KEY], "_t", target_rows)
 
 
+def partitions(rows: DataFrame, slicing: Slicing, each: int = 1) -> int:
+    """Partitions for so many rows per half, at least one per core."""
+    return max(math.ceil(each * slicing.rows / PARTITION_ROWS), rows.sparkSession.sparkContext.defaultParallelism)
+
+
 def _sliced(rows: DataFrame, slicing: Slicing) -> DataFrame:
     """Adds the slice of `_t`; cold keys (`_hot` false) have one."""
     placed = slicing.assign(rows)
@@ -57,8 +69,10 @@ def _with_heat(rows: DataFrame, slicing: Slicing) -> DataFrame:
     return rows.join(hot, KEY, "left").withColumn("_hot", F.coalesce("_hot", F.lit(False)))
 
 
-def _borders(rows: DataFrame) -> DataFrame:
-    """For each value of a segment: its last time before the segment and its first one after it, as rows."""
+def _borders(rows: DataFrame, parts: int) -> DataFrame:
+    """For each value of a segment: its last time before the segment and its first one after it, as rows.
+
+    rows: dealt by segment."""
     def kind(name: str, columns: tuple) -> Column:
         return F.struct(F.lit(name).alias("_kind"), *(
             (F.col(c) if c in columns else F.lit(None).cast(rows.schema[c].dataType)).alias(c)
@@ -68,16 +82,16 @@ def _borders(rows: DataFrame) -> DataFrame:
     values = of_sources.select(KEY, SLICE, "_t", F.explode(F.array(*(kind(*k) for k in _KINDS.items()))).alias("_k"))
     same = [KEY, "_kind", "_value", "dst_port"]
     edges = values.select(KEY, SLICE, "_t", "_k.*").groupBy(*same, SLICE).agg(
-        F.min("_t").alias("_first"), F.max("_t").alias("_last"))
+        F.min("_t").alias("_first"), F.max("_t").alias("_last")).repartition(parts, *same)
     along = Window.partitionBy(*same).orderBy(SLICE)
     met = edges.withColumn("_times", F.array(F.lag("_last").over(along), F.lead("_first").over(along)))
     return met.select(*same, SLICE, F.explode(F.filter("_times", lambda t: t.isNotNull())).alias("_t"))
 
 
-def _neighbours(rows: DataFrame, borders: DataFrame) -> DataFrame:
+def _neighbours(rows: DataFrame, borders: DataFrame, parts: int) -> DataFrame:
     """Rows with the times of the same value before and after: prev_self, next_self, prev_port and so on."""
     met = rows.withColumn("_kind", F.lit(None).cast("string")).unionByName(borders, allowMissingColumns=True)
-    out = met.repartition(KEY, SLICE)
+    out = met.repartition(parts, KEY, SLICE)
     for name, columns in _KINDS.items():
         applies = F.col("_kind").isNull() | (F.col("_kind") == name)
         along = Window.partitionBy(KEY, SLICE, F.struct(applies, *columns)).orderBy(*_ORDER)
@@ -109,13 +123,14 @@ def _changes(placed: DataFrame, window: int, slicing: Slicing, square_type: str)
         KEY, "_hot", "uid", "_value", "_m.*"), slicing)
 
 
-def _openings(rows: DataFrame, window: int, slicing: Slicing) -> DataFrame:
+def _openings(rows: DataFrame, window: int, slicing: Slicing, parts: int) -> DataFrame:
     """For each value that a segment mentions: how many flows with it are in the window when it begins."""
     ends = F.array(F.struct(F.col("_t").alias("_t"), F.lit(1).alias("_sign")),
                    F.struct((F.col("_t") + window).alias("_t"), F.lit(-1).alias("_sign")))
     marks = _sliced(rows.where("_hot").select(KEY, "_hot", "_value", F.explode(ends).alias("_m")).select(
         KEY, "_hot", "_value", "_m.*"), slicing)
-    counts = marks.groupBy(KEY, "_value", SLICE).agg(F.sum("_sign").alias("_n"))
+    counts = marks.repartition(parts, KEY, "_value", SLICE).groupBy(KEY, "_value", SLICE).agg(
+        F.sum("_sign").alias("_n")).repartition(parts, KEY, "_value")
     earlier = Window.partitionBy(KEY, "_value").orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
     return counts.select(KEY, SLICE, "_value", F.sum("_n").over(earlier).cast("int").alias("_sign")).where("_sign > 0")
 
@@ -144,11 +159,12 @@ def segmented_folds(flows: DataFrame, window: int, slicing: Slicing, c_log_c, fr
     flows: uid (unique), _t, src_ip, dst_ip, dst_port. c_log_c and fraction: how entropy sums are kept whole.
     """
     square_type = "bigint" if window * window < 2**63 else "decimal(38,0)"
-    rows = _sliced(_with_heat(halves(flows), slicing), slicing)
-    placed = _neighbours(rows, _borders(rows))
+    few, many = partitions(flows, slicing), partitions(flows, slicing, 2)
+    rows = _sliced(_with_heat(halves(flows), slicing), slicing).repartition(few, KEY, SLICE)
+    placed = _neighbours(rows, _borders(rows, few), few)
     marks = _changes(placed, window, slicing, square_type).withColumn("_opens", F.lit(0))
-    openings = _openings(rows, window, slicing).withColumn("_opens", F.lit(1))
-    met = marks.unionByName(openings, allowMissingColumns=True).repartition(KEY, SLICE)
+    openings = _openings(rows, window, slicing, many).withColumn("_opens", F.lit(1))
+    met = marks.unionByName(openings, allowMissingColumns=True).repartition(many, KEY, SLICE)
     along = Window.partitionBy(KEY, SLICE, "_value").orderBy(F.desc("_opens"), *_SWEEP).rowsBetween(
         Window.unboundedPreceding, 0)
     counted = met.withColumn("_n_value", F.sum("_sign").over(along)).where("_opens = 0")
@@ -159,10 +175,10 @@ def segmented_folds(flows: DataFrame, window: int, slicing: Slicing, c_log_c, fr
     earlier = Window.partitionBy(KEY).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
     carry = totals.select(KEY, SLICE, *(FOLDS[k](n).over(earlier).alias(f"_before{n}") for n, (k, _) in folds.items()))
     along = Window.partitionBy(KEY, SLICE).orderBy(*_SWEEP).rowsBetween(Window.unboundedPreceding, 0)
-    local = steps.repartition(KEY, SLICE).select(
+    local = steps.repartition(many, KEY, SLICE).select(
         KEY, SLICE, "uid", "_leaves", *(FOLDS[k](n).over(along).alias(f"_here{n}") for n, (k, _) in folds.items()))
     whole = local.where("_leaves = 0").join(carry, [KEY, SLICE], "left").select(
         "uid", F.col(f"{KEY}.side").alias("_side"),
         F.struct(*(combine(k, F.col(f"_before{n}"), F.col(f"_here{n}")).alias(n) for n, (k, _) in folds.items())).alias("_f"))
     of = lambda side: F.first(F.when(F.col("_side") == side, F.col("_f")), True).alias(side)
-    return whole.groupBy("uid").agg(of(SOURCE), of(DESTINATION))
+    return whole.repartition(many, "uid").groupBy("uid").agg(of(SOURCE), of(DESTINATION))

@@ -120,6 +120,23 @@ def test_scans_and_shuffles_of_segments(spark, tmp_path, monkeypatch):
     assert sum(len(re.findall(r"\bExchange (?:hash|range|Round)", p)) for p in plans) <= 14
 
 
+def test_partitions_of_segments_follow_the_rows(spark, monkeypatch):
+    """Not the session's number of partitions: a task would grow with the table."""
+    rows = make_flows(300, 5)
+    df = spark.createDataFrame(rows, FLOWS)
+    monkeypatch.setattr(segments, "PARTITION_ROWS", 50)
+    plan = plan_segments(df.withColumn("_t", ticks("ts")), 40)
+    assert plan.rows == 600 and segments.partitions(df, plan) == 12 and segments.partitions(df, plan, 2) == 24
+    shown = []
+    written = segments.stored
+    monkeypatch.setattr(segments, "stored", lambda d: (shown.append(d._jdf.queryExecution().executedPlan().toString()), written(d))[1])
+    done = flow_windows(df, 60.0, target_rows=40)
+    shown.append(done._jdf.queryExecution().executedPlan().toString())
+    sizes = [set(map(int, re.findall(r"Exchange hashpartitioning\(.*, (\d+)\)", p))) for p in shown]
+    assert sizes[0] == {12, 24} and {12, 24} <= sizes[1]
+    compare(done.collect(), brute(rows, 60.0))
+
+
 def test_single_sides_are_sliced_and_agree(spark):
     rows = make_flows(300, 5)
     df = spark.createDataFrame(rows, FLOWS)
