@@ -11,6 +11,7 @@ rows are packed once each; only documents longer than a sequence are cut; an emp
 
 from __future__ import annotations
 
+import struct
 import zlib
 
 import numpy as np
@@ -26,13 +27,18 @@ CHUNKS = 500_000
 BLOCK = 50_000
 
 
+def id_bytes(ids: list[int]) -> bytes:
+    """Little-endian unsigned 32-bit ids; a new chunk has few, for which an array would cost more than the ids."""
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 def pieces(docs: DataFrame, path: str, size: int = 2048, end_id: int = 0) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 of every row's whole text."""
 
     def cut(records):
         cutter = Cutter(path)
-        ids = Memo(lambda chunk: np.array(cutter.ids(chunk.decode()), "<u4").tobytes(), CHUNKS)
-        closing = np.array([end_id], "<u4").tobytes()
+        ids = Memo(lambda chunk: id_bytes(cutter.ids(chunk.decode())), CHUNKS)
+        closing = id_bytes([end_id])
         for batch in batches(records):
             rows = ([], [], [], [], [])
             for doc, text in zip(batch.column(0).to_pylist(), utf8(batch.column(1))):

@@ -94,3 +94,8 @@ def test_packing_is_valid(seed):
 def test_empty_table(spark):
     assert token_counts.token_counts(none(spark), WORD_BPE).count() == 0
     assert packing.packed(none(spark), WORD_BPE).count() == 0
+
+
+def test_id_bytes_are_little_endian_words():
+    for ids in ([], [0], [49_151, 1, 2**32 - 1]):
+        assert packing.id_bytes(ids) == np.array(ids, "<u4").tobytes()
