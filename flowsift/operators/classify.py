@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.classification import (
     GBTClassifier, OneVsRest, OneVsRestModel, RandomForestClassificationModel, RandomForestClassifier,
 )
@@ -18,6 +19,7 @@ from pyspark.sql import functions as F
 from flowsift.functions.scalar import class_index, class_name
 from flowsift.operators import boosting
 from flowsift.operators.evaluate import macro_f1, pair_counts
+from flowsift.operators.isolation import matrix
 from flowsift.schema import CLASSES, FEATURE_COLUMNS
 
 DEFAULT_PARAMS = {"numTrees": 40, "maxDepth": 8, "minInstancesPerNode": 1}
@@ -206,22 +208,46 @@ class TreePaths:
         the features on its path alone: each has the part of training rows that its splits let through, and is
         met by the row or not, so a leaf has one small table of what each combination of met features gives.
         base()[target] plus the row sum is what the ensemble says about the target.
+
+        Rows that take the same side at all splits of a tree and have one target get the same from it, so each such
+        kind of rows is reckoned once.
         """
         out = np.zeros(x.shape)
-        rows = np.arange(len(x))
+        columns = np.ascontiguousarray(x.T)
         for root in self.roots:
-            for leaf, features, zero, met in self._leaves(x, root):
-                said = self.said[leaf, target]
-                if not features or not said.any():
-                    continue
-                m = len(features)
-                code = (met.astype(np.int64) << np.arange(m)[:, None]).sum(axis=0)
-                some, code = (np.arange(1 << m), code) if 1 << m <= 4 * len(x) + 64 else np.unique(code, return_inverse=True)
-                one = (some[:, None] >> np.arange(m) & 1).astype(float)
-                table = (one - zero) * subset_weights(np.array(zero), one, _ORDERS[m])
-                given = table[code] * said[:, None]
-                for k, feature in enumerate(features):
-                    out[rows, feature] += given[:, k]
+            inner = self._inner(int(root))
+            if len(inner) > MOST_SPLITS:
+                out += self._tree_contributions(x, target, root)
+                continue
+            kind = target.astype(np.int64) << len(inner)
+            for k, at in enumerate(inner):
+                kind |= (columns[self.feature[at]] <= self.threshold[at]).astype(np.int64) << k
+            _, some, of = np.unique(kind, return_index=True, return_inverse=True)
+            out += self._tree_contributions(x[some], target[some], root)[of]
+        return out
+
+    def _inner(self, root: int) -> list[int]:
+        """The splits of a tree."""
+        found, pending = [], [root]
+        while pending:
+            at = pending.pop()
+            if self.feature[at] >= 0:
+                found.append(at)
+                pending += [int(self.below[at]), int(self.above[at])]
+        return found
+
+    def _tree_contributions(self, x: np.ndarray, target: np.ndarray, root: int) -> np.ndarray:
+        out = np.zeros(x.shape)
+        for leaf, features, zero, met in self._leaves(x, root):
+            said = self.said[leaf, target]
+            if not features or not said.any():
+                continue
+            m = len(features)
+            code = (met.astype(np.int64) << np.arange(m)[:, None]).sum(axis=0)
+            some, code = (np.arange(1 << m), code) if 1 << m <= 4 * len(x) + 64 else np.unique(code, return_inverse=True)
+            one = (some[:, None] >> np.arange(m) & 1).astype(float)
+            table = (one - zero) * subset_weights(np.array(zero), one, _ORDERS[m])
+            out[:, features] += table[code] * said[:, None]
         return out
 
     def _leaves(self, x: np.ndarray, root: int):
@@ -253,6 +279,8 @@ class TreePaths:
         return out
 
 
+# sides at so many splits and a class fit into one 64-bit number
+MOST_SPLITS = 48
 # paths are at most this deep
 _ORDERS = _orders(31)
 
@@ -342,12 +370,11 @@ def boosted_probabilities(paths: BoostedPaths | SoftmaxPaths, features: list[str
 
 def attribution_column(paths: TreePaths, features: list[str], target: str) -> Column:
     """array<double> in feature order: contributions to the class of index column `target`."""
-    @F.pandas_udf("array<double>")
-    def attribute(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for x, wanted in parts:
-            if len(x) == 0:
-                yield pd.Series([], dtype=object)
-                continue
-            yield pd.Series(list(paths.contributions(np.stack(x.to_numpy()), wanted.to_numpy().astype(int))))
+    width = len(features)
+
+    @F.arrow_udf("array<double>")
+    def attribute(x: pa.Array, wanted: pa.Array) -> pa.Array:
+        moved = paths.contributions(matrix(x, width), wanted.to_numpy(zero_copy_only=False).astype(int))
+        return pa.ListArray.from_arrays(np.arange(0, moved.size + 1, width, np.int32), moved.ravel())
 
     return attribute(F.array(*[F.col(c).cast("double") for c in features]), F.col(target))

@@ -7,10 +7,10 @@ sample_size rows. The fitted forest is a table of at most trees * (2 * sample_si
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -49,6 +49,10 @@ def tree_samples(rows: DataFrame, features: list[str], row_id: str, trees: int =
     draws = F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.struct(
         t.alias("tree"), F.pmod(F.xxhash64(F.lit(seed), t, F.col(row_id)), F.lit(1 << 62)).alias("draw")))
     near = F.filter(draws, lambda d: d["draw"] < F.lit(bound))
+    # few rows are near for any tree; one compiled expression finds them before the draws are made one by one
+    least = F.least(*[F.pmod(F.xxhash64(F.lit(seed), F.lit(t), F.col(row_id)), F.lit(1 << 62))
+                      for t in range(trees)], F.lit(1 << 62))
+    rows = rows.where(least < F.lit(bound))
     x = F.array(*[F.col(c).cast("double") for c in features]).alias("x")
     copies = rows.select(x, F.col(row_id).alias("_id"), F.explode(near).alias("_d")).select("x", "_id", "_d.*")
     return first_in_groups(copies, ["tree"], [F.col("draw"), F.col("_id")], size).select("tree", "x"), size
@@ -120,6 +124,11 @@ def load(nodes: DataFrame) -> Forest:
     return Forest(nodes.toPandas())
 
 
+def matrix(rows: pa.Array, width: int) -> np.ndarray:
+    """Arrow rows of so many doubles each as one array; nulls are NaN."""
+    return rows.flatten().to_numpy(zero_copy_only=False).reshape(len(rows), width)
+
+
 def score_column(forest: Forest, features: list[str]) -> Column:
     """Raw isolation score in (0, 1): near 1 is easy to isolate.
 
@@ -127,11 +136,13 @@ def score_column(forest: Forest, features: list[str]) -> Column:
     """
     batch = 512  # rows times trees fit the processor cache
 
-    @F.pandas_udf("double")
-    def score(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for x in parts:
-            pieces = [forest.score(np.stack(x.iloc[i:i + batch].to_numpy())) for i in range(0, len(x), batch)]
-            yield pd.Series(np.concatenate(pieces) if pieces else np.empty(0))
+    width = len(features)
+
+    @F.arrow_udf("double")
+    def score(rows: pa.Array) -> pa.Array:
+        x = matrix(rows, width)
+        pieces = [forest.score(x[i:i + batch]) for i in range(0, len(x), batch)]
+        return pa.array(np.concatenate(pieces) if pieces else np.empty(0), pa.float64())
 
     return score(F.array(*[F.col(c).cast("double") for c in features]))
 

@@ -19,8 +19,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowsift.functions.scalar import ticks
-from flowsift.operators.running import Slicing, neighbours, per_temperature, plan_slices, running
-from flowsift.operators.segments import DESTINATION, SOURCE, plan_segments, segmented_folds
+from flowsift.operators.running import KEY, Slicing, neighbours, per_temperature, plan_slices, running
+from flowsift.operators.segments import DESTINATION, SOURCE, partitions, plan_segments, segmented_folds, segmented_sums
 from flowsift.schema import EPSILON, WINDOW_SECONDS
 
 MICROS = 1_000_000
@@ -146,12 +146,12 @@ _LIFETIME = ["_gaps", "_gap_sum", "_gap_squares", "_gap_min", "_gap_max"]
 
 
 def source_window(flows: DataFrame, window_seconds: float = WINDOW_SECONDS,
-                  target_rows: int | None = None, lifetime: bool = True) -> DataFrame:
+                  target_rows: int | None = None, lifetime: bool = True, parts: int | None = None) -> DataFrame:
     """Adds every source-keyed statistic.
 
     fan_out, unique_dst_ips, unique_dst_ports, connection_frequency, src_ip_entropy and
     periodicity_score over the trailing window; iat_* over the lifetime of the source.
-    Cold sources need one shuffle: hash(src_ip) also satisfies the finer (src_ip, dst) keys.
+    Cold sources need one shuffle, into `parts` if given: hash(src_ip) also satisfies the finer (src_ip, dst) keys.
     """
     window = round(window_seconds * MICROS)
     timed = flows.withColumn("_t", ticks("ts"))
@@ -160,7 +160,7 @@ def source_window(flows: DataFrame, window_seconds: float = WINDOW_SECONDS,
 
     def sweep(rows: DataFrame, slicing: Slicing | None) -> DataFrame:
         if slicing is None:
-            rows = rows.repartition("src_ip")
+            rows = _by_source(rows, parts)
         gaps = ("prev__t", "next__t")
         placed = _lifetime(rows, slicing) if lifetime else neighbours(rows, ["src_ip"], ORDER, gaps, slicing)
         placed = neighbours(placed, ["src_ip", "dst_port"], ORDER, ("_port_before", "_port_after"), slicing)
@@ -208,6 +208,10 @@ def source_window(flows: DataFrame, window_seconds: float = WINDOW_SECONDS,
     return done.select(*flows.columns, *_source_columns(lifetime))
 
 
+def _by_source(rows: DataFrame, parts: int | None) -> DataFrame:
+    return rows.repartition(parts, "src_ip") if parts else rows.repartition("src_ip")
+
+
 def _source_columns(lifetime: bool = True) -> list[Column]:
     """Features out of the running folds of a source."""
     n = F.col("_n")
@@ -231,8 +235,8 @@ def flow_windows(flows: DataFrame, window_seconds: float = WINDOW_SECONDS,
     """Source and destination statistics of flows(uid, ts, src_ip, dst_ip, dst_port, ...).
 
     Where every key fits into a task: two shuffles of the flows, no join, the destination sweep carries the row
-    on to the source sweep. Else a segmented scan over narrow rows of both sides, joined by uid, which has to be
-    unique then.
+    on to the source sweep. Where every source does: the other way round, and destinations are swept in slices.
+    Else a segmented scan over narrow rows of both sides, joined by uid, which has to be unique then.
     """
     timed = flows.withColumn("_t", ticks("ts"))
     slicing = plan_segments(timed, target_rows)
@@ -240,8 +244,37 @@ def flow_windows(flows: DataFrame, window_seconds: float = WINDOW_SECONDS,
         cold = destination_window(flows, window_seconds, math.inf)
         return source_window(cold, window_seconds, math.inf)
     window = round(window_seconds * MICROS)
+    if slicing.hot.where(F.col(f"{KEY}.side") == SOURCE).isEmpty():
+        return _sliced_destinations(timed, flows.columns, window_seconds, slicing)
     narrow = timed.select("uid", "_t", "src_ip", "dst_ip", "dst_port")
     folds = segmented_folds(narrow, window, slicing, _c_log_c, _fraction)
     of_source = folds.select("uid", F.col(f"{DESTINATION}._values").alias("_fan_in"), f"{SOURCE}.*")
     return flows.join(of_source, "uid").select(
         *flows.columns, F.col("_fan_in").cast("double").alias("fan_in"), *_source_columns())
+
+
+def _sliced_destinations(timed: DataFrame, columns: list[str], window_seconds: float, slicing: Slicing) -> DataFrame:
+    """flow_windows where only destinations are hot.
+
+    A source's flows to one destination lie with the source, so its sweep tells where a source appears at a
+    destination and vanishes again. Rows then go to slices of their destination, where that is summed up. What earlier
+    slices add up to comes from the same marks of narrow rows.
+    """
+    window = round(window_seconds * MICROS)
+    parts = partitions(timed, slicing)
+
+    def marks(rows: DataFrame, payload: list[str]) -> DataFrame:
+        key = F.struct(F.lit(DESTINATION).alias("side"), F.col("dst_ip").alias("address")).alias(KEY)
+        return _marks(rows.select("*", key), window, ["uid", KEY], payload,
+                      {"_step": _appears("_before", window)}, {"_step": _vanishes("_after", window)})
+
+    def met(rows: DataFrame) -> DataFrame:
+        return neighbours(_by_source(rows, parts), ["src_ip", "dst_ip"], ORDER, ("_before", "_after"))
+
+    swept = source_window(met(timed).drop("_t"), window_seconds, math.inf, parts=parts).withColumn("_t", ticks("ts"))
+    carried = [c for c in swept.columns if c not in ("uid", "_t", "_before", "_after")]
+    summed = segmented_sums(marks(swept, carried), marks(met(timed.select("uid", "_t", "src_ip", "dst_ip")), []),
+                            "_step", SWEEP, slicing, parts)
+    statistics = [c for c in carried if c not in columns]
+    return summed.filter("_leaves = 0").select(
+        *columns, F.col("_sum").cast("double").alias("fan_in"), *statistics)

@@ -182,3 +182,19 @@ def segmented_folds(flows: DataFrame, window: int, slicing: Slicing, c_log_c, fr
         F.struct(*(combine(k, F.col(f"_before{n}"), F.col(f"_here{n}")).alias(n) for n, (k, _) in folds.items())).alias("_f"))
     of = lambda side: F.first(F.when(F.col("_side") == side, F.col("_f")), True).alias(side)
     return whole.repartition(many, "uid").groupBy("uid").agg(of(SOURCE), of(DESTINATION))
+
+
+def segmented_sums(marks: DataFrame, narrow: DataFrame, step: str, order: list[str], slicing: Slicing,
+                   parts: int) -> DataFrame:
+    """Adds _sum, the running sum of `step` of a key in the given order, whose first column is `_t`.
+
+    narrow: the same marks without what they carry; the sums of whole segments are taken from it.
+    """
+    cut = lambda rows: _sliced(_with_heat(rows, slicing), slicing)
+    totals = cut(narrow).where("_hot").groupBy(KEY, SLICE).agg(F.sum(step).alias("_total"))
+    earlier = Window.partitionBy(KEY).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
+    carry = totals.select(KEY, SLICE, F.sum("_total").over(earlier).alias("_before_sum"))
+    along = Window.partitionBy(KEY, SLICE).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    local = cut(marks).repartition(parts, KEY, SLICE).withColumn("_here_sum", F.sum(step).over(along))
+    return local.join(carry, [KEY, SLICE], "left").withColumn(
+        "_sum", combine("sum", F.col("_before_sum"), F.col("_here_sum"))).drop("_before_sum", "_here_sum", "_hot", SLICE)

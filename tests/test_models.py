@@ -277,3 +277,25 @@ def test_softmax_job(spark, tmp_path):
     assert all(len(r.evidence) == 5 for r in score(rows, models).collect())
     with pytest.raises(ValueError, match="family"):
         jobs.TrainConfig(family="none")
+
+
+def test_rows_of_one_kind_are_explained_once(monkeypatch):
+    """Rows on the same sides of all splits of a tree, with one target; the values are those of rows one by one."""
+    draw, paths = np.random.default_rng(5), classify.TreePaths()
+    for _ in range(3):
+        drawn_tree(draw, 5, 4, paths)
+    paths._freeze()
+    x, target = np.tile(draw.normal(size=(20, 5)), (50, 1)), np.tile(draw.integers(0, 2, 20), 50)
+    met, whole = [], paths._tree_contributions
+    monkeypatch.setattr(paths, "_tree_contributions", lambda x, *rest: (met.append(len(x)), whole(x, *rest))[1])
+    got = paths.contributions(x, target)
+    assert len(met) == 3 and max(met) <= 20
+    monkeypatch.setattr(classify, "MOST_SPLITS", 0)
+    assert got == pytest.approx(paths.contributions(x, target), abs=1e-12) and max(met[3:]) == 1000
+
+
+def test_isolation_draws_are_made_for_near_rows_only(spark):
+    rows = spark.range(20_000).select("id", F.col("id").cast("double").alias("a"))
+    samples, size = isolation.tree_samples(rows, ["a"], "id", trees=4, sample=16)
+    plan = samples._jdf.queryExecution().optimizedPlan().toString()
+    assert "least(" in plan and samples.count() == 4 * size == 64

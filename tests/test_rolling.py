@@ -181,3 +181,18 @@ def test_running_null_key(spark):
     plan = R.plan_slices(df, ["k"], "t", 10)
     got = R.per_temperature(df, plan, lambda p, c: R.running(p, ["k"], ["t"], {"n": ("sum", F.col("v"))}, c))
     assert sorted((r.t, r.n) for r in got.collect() if r.k is None) == [(i, i + 1) for i in range(40)]
+
+
+def test_hot_destinations_are_sliced_behind_the_source_sweep(spark):
+    """Only destinations hold more rows than a task takes; uids may repeat, and a null destination is a key too."""
+    rows = [(f"u{k // 2 if k % 50 == 1 else k:03d}", 1700000000.0 + 7 * (k % 131), f"s{k % 23}", None if k % 4 == 3 else f"d{k % 4}",
+             k % 5, "n") for k in range(300)]
+    df = spark.createDataFrame(rows, FLOWS).repartition(4)
+    plan = plan_segments(df.withColumn("_t", ticks("ts")), 40)
+    assert {r._key.side for r in plan.hot.collect()} == {"destination"} and len(plan.splits) >= 3
+    for window in (60.0, 4000.0):
+        cold, hot = (flow_windows(df, window, n) for n in (None, 40))
+        assert hot.columns == cold.columns
+        assert sorted(map(repr, hot.collect())) == sorted(map(repr, cold.collect()))
+    plan = hot._jdf.queryExecution().optimizedPlan().toString()
+    assert not re.search(r"Join Inner, \(uid", plan)  # rows carry their sums and are not joined by uid
