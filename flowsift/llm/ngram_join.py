@@ -158,7 +158,7 @@ def _signed(docs: DataFrame) -> DataFrame:
 
     def sign(records):
         memo = word_hashes()
-        for batch in batches(records, 100):
+        for batch in batches(records, 100, memo):
             sets = [shingle_hashes(text_hashes(t, memo), WIDTH) for t in utf8(batch.column(2))]
             keys = band_keys(min_hashes(sets))
             yield pa.RecordBatch.from_arrays(

@@ -39,7 +39,7 @@ def pieces(docs: DataFrame, path: str, size: int = 2048, end_id: int = 0) -> Dat
         cutter = Cutter(path)
         ids = Memo(lambda chunk: id_bytes(cutter.ids(chunk.decode())), CHUNKS)
         closing = id_bytes([end_id])
-        for batch in batches(records):
+        for batch in batches(records, 1_000, ids):
             rows = ([], [], [], [], [])
             for doc, text in zip(batch.column(0).to_pylist(), utf8(batch.column(1))):
                 data = b"".join([*map(ids.__getitem__, text.split()), closing])

@@ -132,7 +132,7 @@ def build_index(docs: DataFrame) -> DataFrame:
 
     def build(records):
         memo = word_hashes()
-        for batch in batches(records, BLOCK_ROWS):
+        for batch in batches(records, BLOCK_ROWS, memo):
             ids, texts = batch.column(0), utf8(batch.column(1))
             start, size = 0, 0
             for end, text in enumerate([*texts, None]):
@@ -186,7 +186,7 @@ def item_pieces(items: DataFrame, window: int, piece: int = PIECE) -> DataFrame:
 
     def cut(records):
         memo = word_hashes()
-        for batch in batches(records, 100):
+        for batch in batches(records, 100, memo):
             names, sizes, values = [], [], []
             for name, text in zip(batch.column(0).to_pylist(), utf8(batch.column(1))):
                 own = text_hashes(text, memo)

@@ -320,9 +320,8 @@ def sample(docs: DataFrame, labels: DataFrame, column: str = "toxic", count: tup
         "doc_id", F.col(column).cast("int").alias("label")).distinct()
     usable = stored(usable.join(docs.where("text is not null").select("doc_id"), "doc_id", "left_semi"))
     chosen = [usable.where(F.col("label") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(count[k]) for k in (0, 1)]
-    # the sample's size bounds these rows
-    ids = docs.sparkSession.createDataFrame(
-        [tuple(r) for part in chosen for r in part.collect()], usable.schema)
+    # the sample's size bounds these rows; they stay with Spark, local rows would start Python workers on every executor
+    ids = stored(chosen[0].unionAll(chosen[1]))
     start = F.pmod(F.xxhash64("doc_id", "text"), F.greatest(F.lit(1), F.length("text") - size + 1)).cast("int") + 1
     part = F.when(F.octet_length("text") <= size, F.col("text")).otherwise(F.substring("text", start, F.lit(size)))
     rows = (
@@ -345,12 +344,13 @@ class Scorer:
 
     def __init__(self, net: Network):
         self.net = net
-        self._reset()
+        self.clear()
 
-    def _reset(self):
+    def clear(self):
         self.fresh: list[bytes] = []
         self.known = Memo(self._number, 1 << 60)
-        self.table = np.zeros((WORDS_HELD // 4, 6 * STATE), np.float32)  # row 0 is padding
+        # row 0 is padding; rows take memory only once they are written, so there is room for those of a last batch too
+        self.table = np.zeros((2 * WORDS_HELD, 6 * STATE), np.float32)
 
     def _number(self, word: bytes) -> int:
         self.fresh.append(word)
@@ -358,7 +358,7 @@ class Scorer:
 
     def scores(self, texts: list[bytes]) -> np.ndarray:
         if len(self.known) > WORDS_HELD:
-            self._reset()
+            self.clear()
         numbers = [np.fromiter(map(self.known.__getitem__, words(t)), np.int32) for t in texts]
         if self.fresh:
             end = len(self.known) + 1
@@ -388,7 +388,7 @@ def scored(docs: DataFrame, net: Network | None, *extra: str) -> DataFrame:
 
     def score(records):
         scorer = Scorer(net)
-        for batch in batches(records, 200):
+        for batch in batches(records, 200, scorer):
             values = scorer.scores(utf8(batch.column("text")))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(values, pa.float64())], [*names, "score"])
 

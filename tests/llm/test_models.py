@@ -3,9 +3,10 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from flowsift.llm import language_model, toxicity
+from flowsift.llm import common, language_model, toxicity
 from flowsift.llm.queries import op1
 from tests.llm.fixtures import CHUNK, LOWER, none, rows
 
@@ -193,3 +194,23 @@ def test_toxicity_of_awkward_tables(spark, corpus):
     assert toxicity.fit(corpus, labels.where("toxic = 0")) is None
     assert {r.score for r in toxicity.scored(corpus, None).collect()} == {0.5}
     assert toxicity.scored(none(spark), net).count() == 0
+
+
+def test_toxicity_scores_give_their_memory_back(spark):
+    """Caches are empty when a task's memory is given back, and a table of gates takes only the rows written."""
+    texts, y = labelled(1, 60)
+    scorer = toxicity.Scorer(toxicity.Trainer(texts, y).train(1))
+    first = scorer.scores(texts)
+    room = scorer.table.shape
+    records = iter([pa.RecordBatch.from_arrays([pa.array([t.decode() for t in texts])], ["text"])])
+    assert sum(b.num_rows for b in common.batches(records, 7, scorer)) == len(texts)
+    assert not scorer.known and not scorer.fresh and not scorer.table.any()
+    assert scorer.scores(texts).tolist() == first.tolist() and scorer.table.shape == room
+    docs = spark.createDataFrame([(k, "one two") for k in range(900, 960)], "doc_id long, text string").localCheckpoint()
+    labels = spark.createDataFrame([(k, k % 2) for k in range(1_000)], "doc_id long, toxic int").localCheckpoint()
+    made = type(spark).createDataFrame
+    try:
+        type(spark).createDataFrame = None  # local rows would start workers of their own
+        assert len(toxicity.sample(docs, labels, count=(10, 10))[0]) == 20
+    finally:
+        type(spark).createDataFrame = made
