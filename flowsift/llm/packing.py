@@ -13,16 +13,23 @@ from __future__ import annotations
 
 import struct
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowsift.llm.common import Memo, batches, stored, utf8, whole
+from flowsift.llm.common import Memo, batches, stored, whole
 from flowsift.llm.pretokens import Cutter
 
-CHUNKS = 500_000
+PIECES = 500_000
+CHUNKS = 100_000
+# bytes of texts whose chunks are told apart together
+GROUP = 16_000_000
+# stands between chunks where ids do: no id is so large
+BETWEEN = b"\xff\xff\xff\xff"
 # pieces of one block, on average
 BLOCK = 50_000
 
@@ -32,17 +39,84 @@ def id_bytes(ids: list[int]) -> bytes:
     return struct.pack(f"<{len(ids)}I", *ids)
 
 
+class ChunkIds:
+    """Ids of texts as bytes: each distinct chunk of some texts is cut once, and a piece seen before is not encoded again.
+
+    The bounds limit memory only: ids are the same whenever they are computed.
+    """
+
+    def __init__(self, path: str, bound: int = PIECES):
+        self.cutter, self.bound = Cutter(path), bound
+        self.pieces = {"\n": BETWEEN}
+        # chunks that the library has to cut
+        self.others = Memo(lambda chunk: id_bytes(self.cutter.ids(chunk)), CHUNKS)
+
+    def clear(self) -> None:
+        self.pieces = {"\n": BETWEEN}
+        self.others.clear()
+
+    def of(self, chunks: pa.Array) -> list[bytes]:
+        """Ids of each chunk."""
+        if not len(chunks):
+            return []
+        joined = pc.binary_join(pa.ListArray.from_arrays([0, len(chunks)], chunks), "\n")[0].as_py()
+        cut = self.cutter.lines(joined)
+        if cut is None:
+            texts = chunks.to_pylist()
+            plain = [self.cutter.plain(chunk) for chunk in texts]
+            known = iter(self.of(chunks.filter(pa.array(plain))))
+            return [next(known) if fine else self.others[chunk] for chunk, fine in zip(texts, plain)]
+        new = set(cut) - self.pieces.keys()
+        if len(self.pieces) + len(new) > self.bound:
+            self.pieces = {"\n": BETWEEN}
+            new = set(cut) - self.pieces.keys()
+        encode = self.cutter.line_ids
+        for piece in new:
+            self.pieces[piece] = id_bytes(encode(piece))
+        return b"".join(map(self.pieces.__getitem__, cut)).split(BETWEEN)
+
+    def texts(self, column: pa.Array) -> Iterator[memoryview]:
+        """Ids of each text."""
+        split = pc.ascii_split_whitespace(column)
+        coded = split.flatten().dictionary_encode()
+        distinct = []
+        for start in range(0, len(coded.dictionary), CHUNKS):
+            distinct += self.of(coded.dictionary.slice(start, CHUNKS))
+        ids = pa.array(distinct, pa.large_binary()).take(coded.indices)
+        ends = np.concatenate([[0], np.cumsum(pc.binary_length(ids).to_numpy(zero_copy_only=False))])
+        at = ends[np.concatenate([[0], np.cumsum(pc.list_value_length(split).to_numpy(zero_copy_only=False))])].tolist()
+        data = memoryview(ids.buffers()[2] or b"")
+        return (data[start:end] for start, end in zip(at, at[1:]))
+
+
+def grouped(records: Iterator[pa.RecordBatch], size: int = GROUP) -> Iterator[pa.RecordBatch]:
+    """The rows in batches whose texts have at most so many bytes besides their longest text."""
+    held, total = [], 0
+    for batch in records:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        borders = [0, *(np.flatnonzero(np.diff(ends // size)) + 1).tolist(), batch.num_rows]
+        for start, end in zip(borders, borders[1:]):
+            part = batch.slice(start, end - start)
+            own = part.column(1).nbytes
+            if held and total + own > size:
+                yield pa.concat_batches(held)
+                held, total = [], 0
+            held.append(part)
+            total += own
+    if held:
+        yield pa.concat_batches(held)
+
+
 def pieces(docs: DataFrame, path: str, size: int = 2048, end_id: int = 0) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 of every row's whole text."""
 
     def cut(records):
-        cutter = Cutter(path)
-        ids = Memo(lambda chunk: id_bytes(cutter.ids(chunk.decode())), CHUNKS)
+        ids = ChunkIds(path)
         closing = id_bytes([end_id])
-        for batch in batches(records, 1_000, ids):
+        for batch in batches(grouped(records), GROUP, ids):
             rows = ([], [], [], [], [])
-            for doc, text in zip(batch.column(0).to_pylist(), utf8(batch.column(1))):
-                data = b"".join([*map(ids.__getitem__, text.split()), closing])
+            for doc, own in zip(batch.column(0).to_pylist(), ids.texts(pc.fill_null(batch.column(1), ""))):
+                data = b"".join([own, closing])
                 for piece, at in enumerate(range(0, len(data), 4 * size)):
                     part = data[at : at + 4 * size]
                     for values, value in zip(rows, (doc, piece, at // 4, len(part) // 4, zlib.crc32(part))):

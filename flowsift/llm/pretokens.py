@@ -16,6 +16,9 @@ from tokenizers import Tokenizer
 _LETTER = "a-zß-öø-ÿ"
 _CHUNK = re.compile("[!-~" + "À-ÖØ-öø-ÿ" + "]*")
 _PIECE = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[0-9]|[^{_LETTER}0-9]+")
+# the same for plain chunks joined by line feeds, which stand by themselves
+_LINES = re.compile("[!-~\nÀ-ÖØ-öø-ÿ]*")
+_LINE_PIECE = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[0-9]|[^{_LETTER}0-9\n]+|\n")
 
 
 def byte_letters() -> list[str]:
@@ -54,6 +57,16 @@ class Cutter:
             end = match.end()
         return out + self._library(chunk[end:])
 
+    def lines(self, joined: str) -> list[str] | None:
+        """Lower-cased pieces of chunks joined by line feeds, which stay between them; None if not all are plain."""
+        if _LINES.fullmatch(joined) is None or "<|" in joined:
+            return None
+        return _LINE_PIECE.findall(joined.lower())
+
+    def line_ids(self, piece: str) -> list[int]:
+        """The library's ids of one of the `lines`."""
+        return [token.id for token in self.tokenizer.model.tokenize(piece if piece.isascii() else self._spelt(piece))]
+
     def _library(self, text: str) -> list[str]:
         if not text:
             return []

@@ -2,6 +2,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -99,3 +100,31 @@ def test_empty_table(spark):
 def test_id_bytes_are_little_endian_words():
     for ids in ([], [0], [49_151, 1, 2**32 - 1]):
         assert packing.id_bytes(ids) == np.array(ids, "<u4").tobytes()
+
+
+def test_chunk_ids_are_those_of_the_library(library):
+    texts = ["Hello, world! don't we'll STOP...", "naïve Über-straße 123", "日本 語x é <|endoftext|>y", "", " a\n\nb\x1cc\xa0d ", "STOP... a"]
+    own = packing.ChunkIds(WORD_BPE, bound=8)
+    for _ in range(2):
+        got = [np.frombuffer(data, "<u4").tolist() for data in own.texts(pa.array(texts))]
+        assert got == [ids(library, text) for text in texts]
+    assert [bytes(data) for data in own.texts(pa.array(["", " "]))] == [b"", b""]
+
+
+def test_a_known_piece_is_encoded_once():
+    own, asked = packing.ChunkIds(WORD_BPE), []
+    encode = own.cutter.line_ids
+    own.cutter.line_ids = lambda piece: asked.append(piece) or encode(piece)
+    # seven chunks in two groups, of three pieces in all
+    for texts in (["Word word, word. WORD,"], ["word word.", "Word"]):
+        list(own.texts(pa.array(texts)))
+    assert sorted(asked) == [",", ".", "word"]
+
+
+def test_groups_hold_all_rows():
+    texts = ["x" * n for n in (3, 0, 50, 7, 7, 7, 1, 120, 2)]
+    batch = pa.record_batch([pa.array(range(len(texts))), pa.array(texts)], ["doc_id", "text"])
+    groups = list(packing.grouped(iter([batch.slice(0, 4), batch.slice(4)]), 40))
+    assert [row for group in groups for row in group.column(1).to_pylist()] == texts
+    sizes = [[len(text) for text in group.column(1).to_pylist()] for group in groups]
+    assert len(groups) > 1 and all(sum(own) - max(own) <= 40 for own in sizes)
