@@ -157,8 +157,7 @@ def _top_items(values: pa.Array, contributions: pa.Array, most: int, names: list
          pc.if_else(supports, "supports", "opposes")],
         ["feature", "label", "value", "contribution", "direction"])
     # a row without a start is null
-    starts = pa.array([None if none else int(x) for x, none in zip(ends, gone)] + [int(ends[-1])], pa.int32())
-    return pa.ListArray.from_arrays(starts, items)
+    return pa.ListArray.from_arrays(pa.array(np.asarray(ends, np.int32), mask=np.append(gone, False)), items)
 
 
 def top_contributions(values: Column, contributions: Column, top_k: int = 5,
@@ -175,6 +174,11 @@ def top_contributions(values: Column, contributions: Column, top_k: int = 5,
     return top(values.cast("array<double>"), contributions.cast("array<double>"))
 
 
+def _listed(values: pa.Array) -> list:
+    """The values as Python's own; at once where nothing is null."""
+    return values.to_pylist() if values.null_count else values.to_numpy(zero_copy_only=False).tolist()
+
+
 def _item_text(feature: str, label: str, value: float | None, direction: str) -> str | None:
     if value is None:
         return None
@@ -187,10 +191,11 @@ def evidence_texts(contributions: Column) -> Column:
     @F.arrow_udf("array<string>")
     def texts(rows: pa.Array) -> pa.Array:
         items = rows.flatten()
-        of = lambda name: pc.struct_field(items, name).to_pylist()
+        of = lambda name: _listed(pc.struct_field(items, name))
         made = map(_item_text, *(of(name) for name in ("feature", "label", "value", "direction")))
-        ends = np.cumsum([0, *pc.fill_null(pc.list_value_length(rows), 0).to_pylist()])
-        starts = [None if none else int(x) for x, none in zip(ends, rows.is_null().to_pylist())]
-        return pa.ListArray.from_arrays(pa.array([*starts, int(ends[-1])], pa.int32()), pa.array(list(made), pa.string()))
+        size, gone = pc.fill_null(pc.list_value_length(rows), 0), rows.is_null().to_numpy(zero_copy_only=False)
+        ends = np.concatenate([[0], np.cumsum(size.to_numpy(zero_copy_only=False))]).astype(np.int32)
+        starts = pa.array(ends, mask=np.append(gone, False))
+        return pa.ListArray.from_arrays(starts, pa.array(list(made), pa.string()))
 
     return texts(contributions)

@@ -187,7 +187,7 @@ def to_contract(rows: DataFrame, mode: str = "strict") -> DataFrame:
     """
     if "uid" not in rows.columns:
         raise ValueError("feature rows are missing uid")
-    extra = {"cipher_suite_enc": F.lit(0), "label": F.lit(None).cast("string"), "flow_id": text("uid")}
+    extra = {"cipher_suite_enc": F.lit(0), "label": F.lit(None).cast("string"), "flow_id": F.col("uid")}
     have = {c: F.col(c) for c in rows.columns}
     have.update({c: v for c, v in extra.items() if c == "flow_id" or c not in have})
     missing = [c for c in FLOW_COLUMNS if c not in have]

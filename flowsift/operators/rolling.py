@@ -27,6 +27,8 @@ MICROS = 1_000_000
 ORDER = ["_t", "uid"]
 SWEEP = ["_t", "_leaves", "uid"]
 _FRACTION_BITS = 36
+# columns of flows that windows read, and the one that holds all others
+_READ, _REST = ["uid", "ts", "src_ip", "dst_ip", "dst_port"], "_rest"
 
 
 def _marks(df: DataFrame, window: int, keep: list[str], payload: list[str], on_enter: dict, on_leave: dict) -> DataFrame:
@@ -237,7 +239,17 @@ def flow_windows(flows: DataFrame, window_seconds: float = WINDOW_SECONDS,
     Where every key fits into a task: two shuffles of the flows, no join, the destination sweep carries the row
     on to the source sweep. Where every source does: the other way round, and destinations are swept in slices.
     Else a segmented scan over narrow rows of both sides, joined by uid, which has to be unique then.
+    What the windows don't read rides through their sorts as one column, which a leaving mark lacks as a whole.
     """
+    rest = [c for c in flows.columns if c not in _READ]
+    if not rest:
+        return _flow_windows(flows, window_seconds, target_rows)
+    done = _flow_windows(flows.select(*_READ, F.struct(*rest).alias(_REST)), window_seconds, target_rows)
+    return done.select(*[F.col(c) if c in _READ else F.col(_REST)[c].alias(c) for c in flows.columns],
+                       *[c for c in done.columns if c not in (*_READ, _REST)])
+
+
+def _flow_windows(flows: DataFrame, window_seconds: float, target_rows: int | None) -> DataFrame:
     timed = flows.withColumn("_t", ticks("ts"))
     slicing = plan_segments(timed, target_rows)
     if slicing is None:

@@ -1,13 +1,18 @@
 """What keeps a job's plans and tasks small as its tables grow."""
 
+import contextlib
+import io
+import re
 from datetime import timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
-from flowsift.catalog import logs
+from flowsift.catalog import analytics, logs
 from flowsift.catalog.alerts import alerts
-from flowsift.operators import joins, running
+from flowsift.operators import encode, joins, running
 from flowsift.plans import jobs
+from flowsift.schema import FEATURE_COLUMNS, FLOW_SCHEMA
 from flowsift.sources import alert_table, zeek
 from flowsift.streaming.correlation import KeyedChains, new_chain
 from flowsift.streaming.features import KeyedWindows
@@ -129,3 +134,37 @@ def test_a_key_of_over_a_million_rows_is_cut(spark):
     rows = spark.range(1_200_000).select(F.lit("a").alias("k"), F.col("id").alias("_t"))
     assert running.plan_slices(rows, ["k"], "_t").splits
     assert running.plan_slices(rows.limit(900_000), ["k"], "_t") is None
+
+
+def longest_method(df):
+    """Bytes of the longest method that Spark generates for a plan; Java interprets those of 8 000 and more."""
+    shown = io.StringIO()
+    with contextlib.redirect_stdout(shown):
+        df.explain("codegen")
+    return max(map(int, re.findall(r"maxMethodCodeSize:(\d+)", shown.getvalue())))
+
+
+def test_methods_of_scoring_are_compiled(spark, sf):
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        assert longest_method(analytics.contract_features(spark, sf)) < 8_000
+        rows = spark.createDataFrame([], FLOW_SCHEMA).localCheckpoint()
+        model = encode.model_rows(rows, None, ["flow_id", "label"])
+        assert longest_method(encode.with_weights(model)) < 8_000
+        assert longest_method(encode.strict_model_rows(model)) < 8_000
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+
+
+@pytest.mark.parametrize("value", [None, float("nan"), float("inf"), float("-inf")])
+def test_an_invalid_model_value_ends_the_job_with_its_name(spark, value):
+    good = [float(i) for i in range(len(FEATURE_COLUMNS))]
+    schema = "uid string, " + ", ".join(f"{c} double" for c in FEATURE_COLUMNS)
+    fine = spark.createDataFrame([("a", *good)], schema)
+    assert [tuple(r) for r in encode.strict_model_rows(fine).collect()] == [("a", *good)]
+    at = FEATURE_COLUMNS.index("fan_in")
+    bad = spark.createDataFrame([("a", *good), ("b", *good[:at], value, *good[at + 1:])], schema)
+    with pytest.raises(Exception, match="invalid model value: fan_in"):
+        # whatever is read later
+        encode.strict_model_rows(bad).select("uid").collect()
