@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from flowsift.catalog.alerts import ALERTS_SQL, CORRELATED_SQL, LOOKBACK, MOMENT, alerts
@@ -15,9 +17,11 @@ from flowsift.streaming.correlation import start_correlation, tagged_alerts
 from flowsift.streaming.features import start_features
 from flowsift.streaming.names import start_queries
 from flowsift.streaming.scoring import score_batches
-from flowsift.streaming.store import read_table, write_batch
+from flowsift.streaming.store import children, read_table, write_batch
 
 HOUR = 3_600_000_000
+# rows of one file of a stream's input
+FILE_ROWS = 200_000
 
 
 def _events(spark, d):
@@ -33,19 +37,33 @@ def _append(path: str):
     return lambda batch, batch_id: write_batch(batch, path, batch_id)
 
 
-def _in_parts(rows, order: str, folder: str, parts: int = 4):
-    """Writes rows as files in time order, one per part, so a stream of one file a batch meets them in turn."""
+def _files(rows, parts: int) -> int:
+    """Files of one part, so that a task writes or reads a bounded number of rows."""
+    return max(1, math.ceil(rows.count() / (parts * FILE_ROWS)))
+
+
+def _as_batch(rows, folder: str, files: int = 1):
+    """Adds rows as exactly so many files, which a stream of so many files a batch takes at once; blank rows fill up."""
+    (rows.coalesce(1) if files == 1 else rows.repartition(files)).write.mode("append").parquet(folder)
+    missing = -sum(name.endswith(".parquet") for name in children(rows.sparkSession, folder)) % files
+    if missing:
+        blank = [F.lit(None).cast(f.dataType).alias(f.name) for f in rows.schema]
+        rows.sparkSession.range(0, missing, 1, missing).select(*blank).write.mode("append").parquet(folder)
+
+
+def _in_parts(rows, order: str, folder: str, parts: int = 4, files: int = 1):
+    """Writes rows as files in time order, so many per part, so a stream of so many files a batch meets the parts in turn."""
     cuts = rows.select(F.col(order).cast("double").alias("x")).approxQuantile("x", [i / parts for i in range(1, parts)], 0.01)
     edges = [None, *cuts, None]
     for low, high in zip(edges, edges[1:]):
         at = F.col(order).cast("double")
         inside = (F.lit(True) if low is None else at > low) & (F.lit(True) if high is None else at <= high)
-        rows.where(inside).coalesce(1).write.mode("append").parquet(folder)
+        _as_batch(rows.where(inside), folder, files)
 
 
-def _as_stream(spark, folder: str):
+def _as_stream(spark, folder: str, files: int = 1):
     schema = spark.read.parquet(folder).schema
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(folder)
 
 
 def _heartbeat(rows, order: str, later: float):
@@ -59,9 +77,10 @@ def stream_flow_features(spark, d):
     """Rolling features from keyed state, over four batches in time order and one that flushes."""
     root = run_folder(spark, "features")
     rows = flows(spark, d)
-    _in_parts(rows, "ts", f"{root}/in")
-    _heartbeat(rows, "ts", 10.0).write.mode("append").parquet(f"{root}/in")
-    start_features(_as_stream(spark, f"{root}/in"), root, DAY, lateness_seconds=5.0, once=True).awaitTermination()
+    files = _files(rows, 4)
+    _in_parts(rows, "ts", f"{root}/in", 4, files)
+    _as_batch(_heartbeat(rows, "ts", 10.0), f"{root}/in", files)
+    start_features(_as_stream(spark, f"{root}/in", files), root, DAY, lateness_seconds=5.0, once=True).awaitTermination()
     return read_table(spark, f"{root}/features").select(
         "uid", "connection_frequency", "fan_out", "unique_dst_ips", "unique_dst_ports", "fan_in",
         (F.round("src_ip_entropy", 6) + 0.0).alias("src_ip_entropy"), *_interval_columns(),
@@ -93,11 +112,12 @@ def stream_late_flows(spark, d):
     root = run_folder(spark, "late")
     rows = flows(spark, d)
     digit = F.round(F.col("ts") * 1e6).cast("bigint") % 10
-    _in_parts(rows.where(digit >= 2), "ts", f"{root}/in", 2)
-    _heartbeat(rows, "ts", 10.0).write.mode("append").parquet(f"{root}/in")
+    files = _files(rows, 2)
+    _in_parts(rows.where(digit >= 2), "ts", f"{root}/in", 2, files)
+    _as_batch(_heartbeat(rows, "ts", 10.0), f"{root}/in", files)
     late = rows.where(digit < 2).withColumn("ts", F.when(digit == 1, F.col("ts")))
-    late.coalesce(1).write.mode("append").parquet(f"{root}/in")
-    start_features(_as_stream(spark, f"{root}/in"), root, DAY, lateness_seconds=5.0, once=True).awaitTermination()
+    _as_batch(late, f"{root}/in", files)
+    start_features(_as_stream(spark, f"{root}/in", files), root, DAY, lateness_seconds=5.0, once=True).awaitTermination()
     reason = F.when(F.col("ts").isNull(), "no time").otherwise("behind")
     return read_table(spark, f"{root}/late").select("uid", reason.alias("reason"))
 

@@ -34,7 +34,7 @@ def read_table(spark: SparkSession, table: str) -> DataFrame:
 
 def batch_numbers(spark: SparkSession, table: str) -> list[int]:
     """Numbers of the batches present, from the folder listing."""
-    return sorted(int(name.split("=", 1)[1]) for name in _children(spark, table) if name.startswith(f"{BATCH}="))
+    return sorted(int(name.split("=", 1)[1]) for name in children(spark, table) if name.startswith(f"{BATCH}="))
 
 
 def drop_batches_before(spark: SparkSession, table: str, batch_id: int) -> None:
@@ -45,7 +45,7 @@ def drop_batches_before(spark: SparkSession, table: str, batch_id: int) -> None:
 
 def drop_partitions_before(spark: SparkSession, table: str, column: str, cutoff: str) -> list[str]:
     """Retention: drops partitions whose value sorts before the cutoff; returns their names."""
-    expired = [n for n in _children(spark, table) if n.startswith(f"{column}=") and n.split("=", 1)[1] < cutoff]
+    expired = [n for n in children(spark, table) if n.startswith(f"{column}=") and n.split("=", 1)[1] < cutoff]
     for name in expired:
         _delete(spark, f"{table}/{name}")
     return expired
@@ -53,7 +53,7 @@ def drop_partitions_before(spark: SparkSession, table: str, column: str, cutoff:
 
 def drop_numbers_below(spark: SparkSession, table: str, column: str, least: int) -> list[str]:
     """Retention by number: drops partitions whose value is a number below `least`; returns their names."""
-    numbered = [(n, n.split("=", 1)[1]) for n in _children(spark, table) if n.startswith(f"{column}=")]
+    numbered = [(n, n.split("=", 1)[1]) for n in children(spark, table) if n.startswith(f"{column}=")]
     expired = [name for name, value in numbered if value.lstrip("-").isdigit() and int(value) < least]
     for name in expired:
         _delete(spark, f"{table}/{name}")
@@ -65,7 +65,7 @@ def _filesystem(spark: SparkSession, path: str):
     return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
 
 
-def _children(spark: SparkSession, path: str) -> list[str]:
+def children(spark: SparkSession, path: str) -> list[str]:
     files, place = _filesystem(spark, path)
     if not files.exists(place):
         return []
